@@ -209,27 +209,34 @@ def field_codes() -> list[str]:
     return sorted(code for _, code, _, _ in taxonomy_rows())
 
 
+# The tables below have a fixed number of rows, so they carry the broadcast hint.
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(taxonomy_rows(), schema.TAXONOMY)
+    return F.broadcast(spark.createDataFrame(taxonomy_rows(), schema.TAXONOMY))
 
 
 def agencies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(AGENCY_NAMES.items()), "agency_code string, agency_name string")
+    return F.broadcast(
+        spark.createDataFrame(list(AGENCY_NAMES.items()), "agency_code string, agency_name string")
+    )
 
 
 def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(INSTITUTION_ALIASES.items()), "alias string, full_name string")
+    return F.broadcast(
+        spark.createDataFrame(list(INSTITUTION_ALIASES.items()), "alias string, full_name string")
+    )
 
 
 def short_labels(spark: SparkSession) -> DataFrame:
     rows = [(code, short) for code, (_stem, short, _subs) in TAXONOMY.items()]
-    return spark.createDataFrame(rows, "field_code string, label string")
+    return F.broadcast(spark.createDataFrame(rows, "field_code string, label string"))
 
 
 def terms(spark: SparkSession) -> DataFrame:
     rows = [(t, "field", c) for t, c in FIELD_TERMS.items()]
     rows += [(t, "agency", c) for t, c in AGENCY_TERMS.items()]
-    return spark.createDataFrame(rows, "term string, kind string, code string")
+    return F.broadcast(spark.createDataFrame(rows, "term string, kind string, code string"))
 
 
 def lookup(mapping: dict[str, str], key):

@@ -63,7 +63,7 @@ def field_expenditures(micro: DataFrame, taxonomy: DataFrame) -> DataFrame:
     One aggregation over both questions gives the same rows as a full outer
     join of the two: a field in only one of them has 0 in the other.
     """
-    sums = _field_cells(micro).join(F.broadcast(taxonomy), "field_name").groupBy(
+    sums = _field_cells(micro).join(taxonomy, "field_name").groupBy(
         "inst_id", "year", "field_code", "parent_field", "is_parent", "field_name"
     ).agg(
         dollars(F.max("federal")).alias("federal"), dollars(F.max("nonfederal")).alias("nonfederal")
@@ -73,7 +73,7 @@ def field_expenditures(micro: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 def unmapped_fields(micro: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Field labels the taxonomy does not know, with the years they occur."""
-    unknown = _field_cells(micro).join(F.broadcast(taxonomy.select("field_name")), "field_name", "left_anti")
+    unknown = _field_cells(micro).join(taxonomy.select("field_name"), "field_name", "left_anti")
     return unknown.groupBy("field_name").agg(
         F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.count(F.lit(1)).alias("n_rows"),

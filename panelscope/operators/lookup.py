@@ -121,7 +121,7 @@ def resolve_entities(queries: DataFrame, inst: DataFrame, aliases: DataFrame) ->
     )
     nick = aliases.select(F.upper("alias").alias("nick"), F.lower("full_name").alias("alias_pattern"))
     texts = (
-        asked.join(F.broadcast(nick), F.upper("query") == F.col("nick"), "left")
+        asked.join(nick, F.upper("query") == F.col("nick"), "left")
         .select("query", "alias_pattern", F.lower("query").alias("own_pattern"))
     )
     patterns = texts.select(F.explode(F.array_compact(F.array("alias_pattern", "own_pattern"))).alias("pattern"))
@@ -157,6 +157,6 @@ def normalise_terms(asked: DataFrame, terms: DataFrame) -> DataFrame:
     known = terms.select(F.col("term").alias("known"), "kind", "code")
     return (
         asked.select("term").distinct()
-        .join(F.broadcast(known), F.lower(F.trim("term")) == F.col("known"), "left")
+        .join(known, F.lower(F.trim("term")) == F.col("known"), "left")
         .select("term", "kind", "code")
     )

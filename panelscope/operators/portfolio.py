@@ -191,6 +191,6 @@ def callouts(portfolio: DataFrame, mix: DataFrame) -> DataFrame:
 
 def labelled(fields: DataFrame, labels: DataFrame) -> DataFrame:
     """Short display label per field code, the full name where there is none."""
-    return fields.join(F.broadcast(labels), "field_code", "left").withColumn(
+    return fields.join(labels, "field_code", "left").withColumn(
         "label", F.coalesce("label", "field_name")
     )
