@@ -9,6 +9,7 @@ from __future__ import annotations
 
 Y0, Y1 = 1996, 2001
 TARGET = "000000000003"
+OTHER_TARGET = "000000000052"
 METRICS = ["total_rd", "federal", "state_local", "business", "nonprofit", "institutional", "other_sources"]
 AGENCIES = [
     ("DOD", "Dept of Defense"), ("DOE", "Dept of Energy"), ("HHS", "HHS (incl. NIH)"),
@@ -187,12 +188,12 @@ STATE_RANKING = f"""
 ends2 AS (SELECT inst_id, arg_max(state, year) AS state, arg_max(name, year) AS name, {at(Y1)} AS total_rd,
                  {at(Y0)} AS s, {at(Y1, 'federal')} AS fed FROM inst WHERE year IN ({Y0}, {Y1}) GROUP BY inst_id),
 ranking AS (SELECT state, inst_id, name, total_rd,
-                   {as_int('rank() OVER (PARTITION BY state ORDER BY total_rd DESC)')} AS state_rank,
+                   {big('rank() OVER (PARTITION BY state ORDER BY total_rd DESC)')} AS state_rank,
                    {cagr('s', 'total_rd', Y1 - Y0)} AS cagr, {pct('fed', 'total_rd')} AS federal_pct,
                    {pct('total_rd', 'sum(total_rd) OVER (PARTITION BY state)')} AS market_share
             FROM ends2 WHERE total_rd > 0)"""
 TREND = f"""
-trend AS (SELECT inst_id, year, total_rd, {as_int('rank() OVER (PARTITION BY year ORDER BY total_rd DESC)')} AS national_rank
+trend AS (SELECT inst_id, year, total_rd, {big('rank() OVER (PARTITION BY year ORDER BY total_rd DESC)')} AS national_rank
           FROM inst WHERE year BETWEEN {Y0} AND {Y1})"""
 MOVEMENT = """
 movement AS (SELECT inst_id, arg_max(national_rank, year) AS current_rank, arg_min(national_rank, year) AS start_rank,
@@ -425,8 +426,8 @@ def oracle_sql() -> dict[str, str]:
                CASE WHEN s.national_rank = target_rank THEN target_id ELSE h.inst_id END AS inst_id,
                h.total_rd, h.n_at_rank, s.national_rank = target_rank AS is_target
         FROM shown s JOIN holders h ON s.national_rank = h.national_rank""",
-        f"""ranked AS (SELECT inst_id, total_rd, {as_int('rank() OVER (ORDER BY total_rd DESC)')} AS national_rank,
-                   {as_int('count(*) OVER ()')} AS n FROM inst WHERE year = {Y1})""",
+        f"""ranked AS (SELECT inst_id, total_rd, {big('rank() OVER (ORDER BY total_rd DESC)')} AS national_rank,
+                   {big('count(*) OVER ()')} AS n FROM inst WHERE year = {Y1})""",
         f"""holders AS (SELECT national_rank, min(inst_id) AS inst_id, max(total_rd) AS total_rd, {big('count(*)')} AS n_at_rank
                     FROM ranked GROUP BY national_rank)""",
         "marks(mark) AS (VALUES (1), (10), (25), (50), (100), (250), (500), (750))",
@@ -447,14 +448,14 @@ def oracle_sql() -> dict[str, str]:
                inst_id, name, total_rd, cagr FROM ranking QUALIFY place <= 10""", STATE_RANKING)
     sql["R8_state_positions"] = customer(f"""
         SELECT inst_id, state, total_rd,
-               {as_int('row_number() OVER (PARTITION BY state ORDER BY total_rd DESC, md5(inst_id), inst_id)')} AS state_position,
+               {big('row_number() OVER (PARTITION BY state ORDER BY total_rd DESC, inst_id)')} AS state_position,
                {big('count(*) OVER (PARTITION BY state)')} AS state_total FROM inst WHERE year = (SELECT y FROM newest)""")
     sql["R9_Q11_metric_band"] = supplier(f"""
         SELECT m.inst_id, t.r AS target_rank, m.field_rd, m.r AS metric_rank, {big('m.n')} AS total_institutions,
                CASE WHEN m.r = t.r THEN 1 ELSE 0 END AS is_selected, names.name
         FROM (SELECT DISTINCT r FROM ranked) t JOIN ranked m ON m.r BETWEEN t.r - 8 AND t.r + 7
         JOIN names ON names.inst_id = m.inst_id""",
-        f"""ranked AS (SELECT inst_id, total AS field_rd, {as_int('rank() OVER (ORDER BY total DESC)')} AS r, count(*) OVER () AS n
+        f"""ranked AS (SELECT inst_id, total AS field_rd, {big('rank() OVER (ORDER BY total DESC)')} AS r, count(*) OVER () AS n
                     FROM fields WHERE year = {Y1} AND field_code = 'economy' AND total > 0)""")
 
     sql["C1_cagr_window"] = customer("SELECT inst_id, s AS start_value, e AS end_value, cagr FROM rates", RATES_WINDOW)
@@ -592,7 +593,7 @@ def oracle_sql() -> dict[str, str]:
           FROM movement m LEFT JOIN growth g ON g.target_id = m.inst_id LEFT JOIN callouts c ON c.inst_id = m.inst_id)""",
         *KNN, RATES_AVAILABLE, peer_growth(), TREND, MOVEMENT, PORTFOLIO, MIX, CALLOUTS)
 
-    rank_of = "CAST(rank() OVER (ORDER BY {v} DESC) AS INTEGER) AS {out}"
+    rank_of = "CAST(rank() OVER (ORDER BY {v} DESC) AS BIGINT) AS {out}"
     sql["Q1_top_total"] = customer(f"""
         SELECT inst_id, name, total_rd, {rank_of.format(v='total_rd', out='national_rank')} FROM inst WHERE year = {Y1}
         ORDER BY total_rd DESC, inst_id LIMIT 10""")
@@ -604,7 +605,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE s > 0 AND e > 0 AND i.state = {home} AND r.inst_id <> '{TARGET}'
           AND cagr > (SELECT cagr FROM rates WHERE inst_id = '{TARGET}')""", RATES_WINDOW)
     sql["Q2_faster_counts"] = customer(f"""
-        SELECT inst_id, state, cagr, {as_int('rank() OVER (PARTITION BY state ORDER BY cagr DESC) - 1')} AS n_faster
+        SELECT inst_id, state, cagr, {big('rank() OVER (PARTITION BY state ORDER BY cagr DESC) - 1')} AS n_faster
         FROM rates JOIN (SELECT inst_id, arg_max(state, year) AS state FROM inst WHERE year IN ({Y0}, {Y1}) GROUP BY inst_id) h
         USING (inst_id) WHERE s > 0 AND e > 0""", RATES_WINDOW)
     one_field = f"fields f JOIN inst i ON i.inst_id = f.inst_id AND i.year = f.year WHERE f.year = {Y1} AND field_code = 'economy'"
@@ -620,7 +621,7 @@ def oracle_sql() -> dict[str, str]:
                {rank_of.format(v='amount', out='agency_rank')} FROM {one_agency} ORDER BY amount DESC, i.inst_id LIMIT 10""")
     sql["Q6_field_in_states"] = supplier(f"""
         SELECT i.inst_id, state, total AS field_rd, {pct('total', 'total_rd')} AS pct_of_portfolio,
-               {as_int('rank() OVER (PARTITION BY state ORDER BY total DESC)')} AS state_rank, name FROM {one_field}""")
+               {big('rank() OVER (PARTITION BY state ORDER BY total DESC)')} AS state_rank, name FROM {one_field}""")
     sql["Q8_subfield_growth"] = supplier(f"""
         SELECT *, rd_end - rd_start AS absolute_change, {cagr('rd_start', 'rd_end', Y1 - Y0)} AS cagr FROM (
             SELECT inst_id, field_code, field_name, parent_field, {at(Y0, 'total')} AS rd_start, {at(Y1, 'total')} AS rd_end
@@ -635,14 +636,15 @@ def oracle_sql() -> dict[str, str]:
         SELECT state, {big('sum(total_rd)')} AS total_state_rd, {big('count(DISTINCT inst_id)')} AS num_institutions,
                round(CAST(sum(total_rd) AS DOUBLE) / count(DISTINCT inst_id), 0) AS avg_per_institution
         FROM inst WHERE year = {Y1} GROUP BY state""")
-    mine = f"(SELECT {{c}} FROM {one_agency} AND i.inst_id = '{TARGET}')"
+    other_home = f"(SELECT state FROM inst WHERE inst_id = '{OTHER_TARGET}' AND year = {Y1})"
+    mine = f"(SELECT {{c}} FROM {one_agency} AND i.inst_id = '{OTHER_TARGET}')"
     sql["Q12_more_agency_less_total"] = supplier(f"""
         SELECT i.inst_id, name, total_rd, amount, {pct('amount', 'federal')} AS pct_of_federal,
                {mine.format(c='total_rd')} AS target_total_rd, {mine.format(c='amount')} AS target_amount
-        FROM {one_agency} AND i.state = {home} AND amount > {mine.format(c='amount')} AND total_rd < {mine.format(c='total_rd')}""")
+        FROM {one_agency} AND i.state = {other_home} AND amount > {mine.format(c='amount')} AND total_rd < {mine.format(c='total_rd')}""")
     sql["Q13_agency_share_rank"] = supplier(f"""
         SELECT inst_id, agency_code, amount, pct_of_federal,
-               {as_int('rank() OVER (PARTITION BY agency_code ORDER BY pct_of_federal DESC)')} AS share_rank
+               {big('rank() OVER (PARTITION BY agency_code ORDER BY pct_of_federal DESC)')} AS share_rank
         FROM mix WHERE pct_of_federal IS NOT NULL""", MIX)
     sql["Q13_mix_shift"] = supplier(" UNION ALL ".join(
         f"SELECT inst_id, '{s}' AS source, {at(Y0, pct(s, 'total_rd'))} AS start_pct, {at(Y1, pct(s, 'total_rd'))} AS end_pct,"

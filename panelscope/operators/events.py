@@ -1,7 +1,7 @@
 """Usage events in batch: repeats, quotas, latest preferences, counts.
 
 A single user may own a large part of all events, so nothing here needs all
-events of a user in one task: time buckets carry a summary to the next bucket.
+events of a user in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
-from ..plans.ordering import top_k
+from ..plans.ordering import previous_values, top_k
 from ..session import is_small, write_scratch
 
 HOT_ROWS = 1_000_000
@@ -31,27 +31,16 @@ def time_bucket(ts: str, seconds: int) -> Column:
 
 def dedup_consecutive(
     views: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    value: str = "institution", bucket_seconds: int = 3600,
+    value: str = "institution", in_runs: bool | None = None,
 ) -> DataFrame:
     """Keep a view only if the user's previous view was of something else.
 
-    Views of nothing are ignored. Inside a (user, hour) the previous row is
-    looked up directly; its first row compares with the last value of the
-    user's hour before, taken from a table of one row per user and hour.
+    Views of nothing are ignored; views at the same time are ordered by ``key``.
     """
     real = views.where(F.col(value).isNotNull() & (F.col(value) != ""))
-    cut = real.withColumn("_b", time_bucket(ts, bucket_seconds))
-    inside = Window.partitionBy(user, "_b").orderBy(ts, key)
-    seen = cut.withColumns({
-        "_prev": F.lag(value).over(inside), "_i": F.row_number().over(inside),
-    })
-    by_hour = Window.partitionBy(user).orderBy("_b")
-    carried = cut.groupBy(user, "_b").agg(
-        F.max_by(value, F.struct(ts, key)).alias("_last")
-    ).select(user, "_b", F.lag("_last").over(by_hour).alias("_carried"))
-    previous = F.when(F.col("_i") == 1, F.col("_carried")).otherwise(F.col("_prev"))
-    joined = seen.join(carried, [user, "_b"])
-    return joined.where(previous.isNull() | (previous != F.col(value))).select(views.columns)
+    known = previous_values(real, value, [user], [ts, key], "_previous", in_runs)
+    changed = F.col("_previous").isNull() | (F.col("_previous") != F.col(value))
+    return known.where(changed).select(views.columns)
 
 
 def _runs(cut: DataFrame, user: str) -> DataFrame:

@@ -22,7 +22,7 @@ from .lookup import latest_names
 def _first_n(df: DataFrame, value: str, n: int, out: str, key: str = "inst_id") -> DataFrame:
     """Top n rows with their rank: ranking n rows gives the same rank as ranking all."""
     first = df.orderBy(F.desc_nulls_last(value), key).limit(n)
-    return first.withColumn(out, F.rank().over(Window.orderBy(F.desc_nulls_last(value))))
+    return first.withColumn(out, F.rank().over(Window.orderBy(F.desc_nulls_last(value))).cast("long"))
 
 
 def top_total(inst: DataFrame, year: int, n: int = 10) -> DataFrame:

@@ -48,7 +48,7 @@ def anchor_view(
     holds, because a tie skips them, are left out.
     """
     rows = inst.where(F.col("year") == year).select("inst_id", "total_rd")
-    total = rows.agg(F.count(F.lit(1)).cast("int")).scalar()
+    total = rows.agg(F.count(F.lit(1))).scalar()
     table = ranked(rows, "total_rd", [], "national_rank")
     holders = table.groupBy("national_rank").agg(
         F.min("inst_id").alias("inst_id"), F.max("total_rd").alias("total_rd"),
@@ -62,12 +62,12 @@ def anchor_view(
         F.col("total_rd").alias("own_rd"),
     )
     own = only(own, ids, "target_id").withColumn("total_institutions", total)
-    marks = F.array(*[F.lit(a) for a in sorted(anchors)])
+    marks = F.array(*[F.lit(a).cast("long") for a in sorted(anchors)])
     above = F.filter(marks, lambda r: F.col("target_rank") - r > 2)
     below = F.filter(marks, lambda r: r - F.col("target_rank") > 2)
     nearest_above = F.when(F.size(above) > 2, F.slice(above, -2, 2)).otherwise(above)
     shown = F.array_distinct(F.concat(
-        F.array(F.lit(1), F.col("total_institutions")), nearest_above, F.slice(below, 1, 2)
+        F.array(F.lit(1).cast("long"), F.col("total_institutions")), nearest_above, F.slice(below, 1, 2)
     ))
     others = (
         own.withColumn("national_rank", F.explode(shown))

@@ -1,14 +1,14 @@
 """Exact ranks, quantiles and sorted neighbours that do not need one task per group.
 
 A panel has few years and few states, so ``rank() over (partition by year)``
-would sort all entities of a year in one task. Here a group is cut into value
-buckets by a fixed monotone function of the value: every row finds its bucket
-without sampling, a small histogram gives how many rows lie in the buckets
-above, and only rows of one bucket are sorted together. Equal values are
-counted before the sort, so a value shared by many rows is one row there.
+would sort all entities of a year in one task. Here the rows are sorted by
+Spark's range partitioning and written: every file is a run of the total order,
+and a row knows its run and its place in it. Sums within a run plus the sums of
+the runs before it give ranks and positions. Sort keys are unique (equal values
+are counted first), so no group, tie or value range can end up in one run.
 
 All functions fall back to the plain window or aggregate when the optimizer's
-size estimate shows the whole input fits one task (``bucketed=None``).
+size estimate shows the whole input fits one task (``in_runs=None``).
 """
 
 from __future__ import annotations
@@ -19,24 +19,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_small
+from ..session import is_small, scratch_dir
 
-# Buckets per doubling of the value; 64 doublings of a long make at most
-# 2 * 64 * 64 + 2 buckets per group, which bounds the histogram.
-STEPS = 64
-_NULL_BUCKET = -(64 * STEPS + 1)
 
+def sorted_runs(df: DataFrame, keys: Sequence[Column], purpose: str = "sorted") -> DataFrame:
+    """Store ``df`` in the order of ``keys``, which must be unique per row.
 
-def value_bucket(value: Column) -> Column:
-    """A bucket number that never falls as the value rises; nulls lowest."""
-    v = value.cast("double")
-    size = F.floor(F.log2(F.abs(v) + 1.0) * STEPS)
-    return F.coalesce(F.when(v < 0, -size).otherwise(size), F.lit(_NULL_BUCKET)).cast("int")
+    Adds ``_run``, the number of the file a row is in, and ``_row``, its place
+    there; (_run, _row) is the total order. Being stored, the runs stay the same
+    however often they are read.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.orderBy(*keys).write.parquet(path)
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+    more = F.regexp_extract(name, r"-c(\d+)", 1).cast("long")
+    return spark.read.schema(df.schema).parquet(path).select(
+        *df.columns, (part * 1_000_000 + F.coalesce(more, F.lit(0))).alias("_run"),
+        F.col("_metadata.row_index").alias("_row"),
+    )
 
 
-def _use_buckets(df: DataFrame, bucketed: bool | None, bound: DataFrame | None = None) -> bool:
+def _in_runs(df: DataFrame, in_runs: bool | None, bound: DataFrame | None = None) -> bool:
     """``bound`` is a table with no fewer rows than ``df``, whose size is known better."""
-    return (not is_small(df if bound is None else bound)) if bucketed is None else bucketed
+    return (not is_small(df if bound is None else bound)) if in_runs is None else in_runs
 
 
 def _order(value: str, descending: bool) -> Column:
@@ -46,33 +53,29 @@ def _order(value: str, descending: bool) -> Column:
 def _running_counts(df: DataFrame, value: str, by: Sequence[str], descending: bool) -> DataFrame:
     """One row per (group, distinct value): n rows, n before it, distinct before it."""
     by = list(by)
-    counts = (
-        df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", value_bucket(F.col(value)))
-    )
-    step = F.desc("_b") if descending else F.asc("_b")
-    hist = counts.groupBy(*by, "_b").agg(
-        F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd")
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    stored = sorted_runs(counts, [*[F.col(c) for c in by], _order(value, descending)], "counts")
+    sums = stored.groupBy(*by, "_run").agg(
+        F.sum("_n").alias("_run_n"), F.count(F.lit(1)).alias("_run_d")
     )
-    # at most 2 * 64 * STEPS + 2 rows per group
-    earlier = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    # a group has at most one row per run here
+    earlier = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
-    offsets = hist.select(
-        *by, "_b",
-        F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_off_n"),
-        F.coalesce(F.sum("_bd").over(earlier), F.lit(0)).alias("_off_d"),
-        F.sum("_bn").over(everything).alias("_group_n"),
+    offsets = sums.select(
+        *by, "_run",
+        F.coalesce(F.sum("_run_n").over(earlier), F.lit(0)).alias("_off_n"),
+        F.coalesce(F.sum("_run_d").over(earlier), F.lit(0)).alias("_off_d"),
+        F.sum("_run_n").over(everything).alias("_group_n"),
     )
     inside = (
-        Window.partitionBy(*by, "_b").orderBy(_order(value, descending))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, "_run").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = counts.select(
-        *by, value, "_b", "_n",
+    local = stored.select(
+        *by, value, "_run", "_n",
         F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_loc_n"),
         F.coalesce(F.count("_n").over(inside), F.lit(0)).alias("_loc_d"),
     )
-    return null_safe_join(local, offsets, [*by, "_b"], "inner").select(
+    return null_safe_join(local, offsets, [*by, "_run"], "inner").select(
         *by, value, "_n",
         (F.col("_off_n") + F.col("_loc_n")).alias("_before"),
         (F.col("_off_d") + F.col("_loc_d")).alias("_distinct_before"),
@@ -92,18 +95,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def ranked(
     df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank",
-    descending: bool = True, bucketed: bool | None = None, bound: DataFrame | None = None,
+    descending: bool = True, in_runs: bool | None = None, bound: DataFrame | None = None,
 ) -> DataFrame:
     """Append SQL ``rank()`` of ``value`` within ``by`` (nulls ranked as smallest).
 
     After a join the optimizer cannot tell the size of ``df``; pass the joined
     table that has at least as many rows as ``bound``.
     """
-    if not _use_buckets(df, bucketed, bound):
+    if not _in_runs(df, in_runs, bound):
         w = Window.partitionBy(*by).orderBy(_order(value, descending))
-        return df.withColumn(out, F.rank().over(w).cast("int"))
+        return df.withColumn(out, F.rank().over(w).cast("long"))
     table = _running_counts(df, value, by, descending).select(
-        *by, value, (F.col("_before") + 1).cast("int").alias(out)
+        *by, value, (F.col("_before") + 1).alias(out)
     )
     # A value shared by many rows is one row of ``table``; adaptive execution
     # splits that key's share of ``df`` if it outgrows its neighbours.
@@ -112,41 +115,60 @@ def ranked(
 
 def positions(
     df: DataFrame, value: str, key: str, by: Sequence[str] = (), out: str = "position",
-    bucketed: bool | None = None,
+    in_runs: bool | None = None,
 ) -> DataFrame:
-    """Append a gap-free position by ``value`` descending; ties by md5 of ``key``.
-
-    The hash spreads tied rows evenly over 4096 prefixes, so ties too can be
-    numbered prefix by prefix.
-    """
+    """Append a gap-free position by ``value`` descending, ties by the unique ``key``."""
     by = list(by)
-    h = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    if not _use_buckets(df, bucketed):
-        w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(value), "_h", key)
-        return h.withColumn(out, F.row_number().over(w)).drop("_h")
-    h = ranked(h, value, by, "_rank", bucketed=True).withColumn("_p", F.substring("_h", 1, 3))
-    prefix = h.groupBy(*by, "_rank", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        Window.partitionBy(*by, "_rank").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.desc_nulls_last(value), F.col(key)]
+    if not _in_runs(df, in_runs):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
+    stored = sorted_runs(df, [*[F.col(c) for c in by], *order], "positions")
+    earlier = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored.groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
     )
-    offset = prefix.select(
-        *by, "_rank", "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
+    inside = Window.partitionBy(*by, "_run").orderBy("_row")
+    local = stored.withColumn("_i", F.row_number().over(inside))
+    return null_safe_join(local, offsets, [*by, "_run"], "inner").withColumn(
+        out, F.col("_off") + F.col("_i")
+    ).select(*df.columns, out)
+
+
+def previous_values(
+    df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], out: str = "previous",
+    in_runs: bool | None = None,
+) -> DataFrame:
+    """Append ``lag(value)`` within ``by``; ``order`` must be unique in a group.
+
+    The first row of a group's run takes the last value of the group's run
+    before it.
+    """
+    by, order = list(by), list(order)
+    if not _in_runs(df, in_runs):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(out, F.lag(value).over(w))
+    stored = sorted_runs(df, [F.col(c) for c in (*by, *order)], "previous")
+    inside = Window.partitionBy(*by, "_run").orderBy("_row")
+    local = stored.withColumns({"_lag": F.lag(value).over(inside), "_i": F.row_number().over(inside)})
+    # a group has at most one row per run here
+    ends = stored.groupBy(*by, "_run").agg(F.max_by(F.struct(value), "_row").alias("_end"))
+    carried = ends.select(
+        *by, "_run", F.lag("_end").over(Window.partitionBy(*by).orderBy("_run")).alias("_carried")
     )
-    inside = Window.partitionBy(*by, "_rank", "_p").orderBy("_h", key)
-    numbered = h.withColumn("_i", F.row_number().over(inside))
-    joined = null_safe_join(numbered, offset, [*by, "_rank", "_p"], "inner")
+    joined = null_safe_join(local, carried, [*by, "_run"], "inner")
     return joined.withColumn(
-        out, (F.col("_rank") + F.col("_off") + F.col("_i") - 1).cast("int")
-    ).drop("_h", "_p", "_rank", "_off", "_i")
+        out, F.when(F.col("_i") == 1, F.col("_carried")[value]).otherwise(F.col("_lag"))
+    ).select(*df.columns, out)
 
 
 def medians(
-    df: DataFrame, value: str, by: Sequence[str], out: str = "median", bucketed: bool | None = None
+    df: DataFrame, value: str, by: Sequence[str], out: str = "median", in_runs: bool | None = None
 ) -> DataFrame:
     """Exact interpolated median of the non-null values per group."""
     by = list(by)
     known = df.where(F.col(value).isNotNull())
-    if not _use_buckets(df, bucketed):
+    if not _in_runs(df, in_runs):
         return known.groupBy(*by).agg(F.median(value).alias(out))
     table = _running_counts(known, value, by, descending=False)
     low = F.floor((F.col("_group_n") - 1) / 2)
@@ -162,10 +184,10 @@ def medians(
 
 
 def dense_positions(
-    distinct: DataFrame, value: str, out: str = "position", bucketed: bool | None = None
+    distinct: DataFrame, value: str, out: str = "position", in_runs: bool | None = None
 ) -> DataFrame:
     """Number the rows of a table of distinct values 0, 1, 2, … upwards."""
-    if not _use_buckets(distinct, bucketed):
+    if not _in_runs(distinct, in_runs):
         w = Window.orderBy(F.asc_nulls_first(value))
         return distinct.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     table = _running_counts(distinct, value, [], descending=False).select(

@@ -537,6 +537,7 @@ def _(p, edges):
 # --- question patterns --------------------------------------------------------
 
 TARGET = "000000000003"
+OTHER_TARGET = "000000000052"
 
 
 @_customer_query("Q1_top_total")
@@ -597,8 +598,8 @@ def _(c):
 
 @_panel_query("Q12_more_agency_less_total")
 def _(p):
-    home = p.inst.where((F.col("inst_id") == TARGET) & (F.col("year") == Y1)).select("state").scalar()
-    return patterns.more_agency_less_total(p.inst, p.agencies, Y1, "NSF", TARGET, home)
+    home = p.inst.where((F.col("inst_id") == OTHER_TARGET) & (F.col("year") == Y1)).select("state").scalar()
+    return patterns.more_agency_less_total(p.inst, p.agencies, Y1, "NSF", OTHER_TARGET, home)
 
 
 @_panel_query("Q13_agency_share_rank")

@@ -10,9 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this optimizer size estimate an operator leaves its single-shuffle
-# form (one task per group) and takes the bucketed form. An inner join's
-# estimate is the product of its sides, so the check errs towards bucketing.
+# Above this optimizer size estimate an operator leaves its plain form (one task
+# per group) for the form that cuts groups into runs. An inner join's estimate
+# is the product of its sides, so the check errs towards cutting.
 SMALL_PLAN_BYTES = 64 * 1024 * 1024
 
 _local_scratch: dict[str, str] = {}
