@@ -6,7 +6,7 @@ events of a user in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,20 +57,26 @@ def _runs(cut: DataFrame, user: str) -> DataFrame:
     )
 
 
-def quota_windows(times: np.ndarray, limit: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window start and acceptance of each of one user's requests, in time order.
+def quota_windows(
+    times: np.ndarray, limit: int, width: int, opened: int | None = None, used: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Window opening and acceptance of each of one user's requests, in time order.
 
     A window opens with the first request more than ``width`` after the last
-    window's opening; its first ``limit`` requests are accepted.
+    opening; its first ``limit`` requests are accepted. ``opened`` and ``used``
+    are the window still open before the first request.
     """
-    start, accepted = np.empty_like(times), np.empty(len(times), dtype=bool)
+    openings, accepted = np.empty(len(times), dtype=np.int64), np.empty(len(times), dtype=bool)
     i = 0
     while i < len(times):
-        j = int(np.searchsorted(times, times[i] + width, side="right"))
-        start[i:j] = times[i]
-        accepted[i:j] = np.arange(j - i) < limit
+        if opened is None or times[i] - opened > width:
+            opened, used = int(times[i]), 0
+        j = int(np.searchsorted(times, opened + width, side="right"))
+        openings[i:j] = opened
+        accepted[i:j] = np.arange(used, used + j - i) < limit
+        used += j - i
         i = j
-    return start, accepted
+    return openings, accepted
 
 
 def quota_flags(
@@ -80,10 +86,10 @@ def quota_flags(
 ) -> DataFrame:
     """Flag each request as accepted or rejected by a per-user quota.
 
-    Users are cut into runs (see ``_runs``). Runs of up to ``hot_rows`` events
-    go to one task each; larger ones are swept bucket by bucket, see
-    ``_sweep``. Looking for large runs is a job of its own, skipped when the
-    input is small.
+    Users are cut into runs (see ``_runs``), which are spread over tasks and
+    read there in order, a batch at a time. Runs of more than ``hot_rows``
+    events are swept bucket by bucket instead, see ``_sweep``; looking for them
+    is a job of its own, skipped when the input is small.
     """
     width = window_seconds * 1_000_000
     cut = requests.select(
@@ -96,10 +102,27 @@ def quota_flags(
         T.StructField("window_start_us", T.LongType()), T.StructField("accepted", T.BooleanType()),
     ])
 
-    def flag(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["_t", key])
-        start, accepted = quota_windows(run["_t"].to_numpy(), limit, width)
-        return run.assign(window_start_us=start, accepted=accepted)[out.names]
+    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, opened, used = None, None, 0  # the run the last batch ended in
+        for batch in batches:
+            if not len(batch):
+                continue
+            times = batch["_t"].to_numpy()
+            fresh = (batch[user].ne(batch[user].shift()) | batch["_run"].ne(batch["_run"].shift())).to_numpy()
+            cuts = np.append(np.flatnonzero(fresh), len(batch))
+            starts, flags = np.empty(len(batch), dtype=np.int64), np.empty(len(batch), dtype=bool)
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                this = (batch[user].iat[i], batch["_run"].iat[i])
+                state = (opened, used) if this == owner else (None, 0)
+                starts[i:j], flags[i:j] = quota_windows(times[i:j], limit, width, *state)
+                same = starts[i:j] == starts[j - 1]
+                used = int(same.sum()) + (state[1] if state[0] == starts[j - 1] else 0)
+                owner, opened = this, int(starts[j - 1])
+            yield batch.assign(window_start_us=starts, accepted=flags)[out.names]
+
+    def flagged(part: DataFrame) -> DataFrame:
+        ordered = part.repartition(user, "_run").sortWithinPartitions(user, "_run", "_t", key)
+        return ordered.mapInPandas(flag, out)
 
     hot = None
     if (not is_small(requests)) if check_hot is None else check_hot:
@@ -107,14 +130,12 @@ def quota_flags(
         # fewer than (all events / hot_rows) rows
         hot = [r[:2] for r in sizes.where(F.col("n") > hot_rows).collect()]
     if not hot:
-        return tagged.groupBy(user, "_run").applyInPandas(flag, out)
+        return flagged(tagged)
     spark = requests.sparkSession
     hot_keys = spark.createDataFrame(hot, T.StructType([requests.schema[user], T.StructField("_run", T.LongType())]))
     calm = tagged.join(F.broadcast(hot_keys), [user, "_run"], "left_anti")
     busy = tagged.join(F.broadcast(hot_keys), [user, "_run"], "left_semi")
-    return calm.groupBy(user, "_run").applyInPandas(flag, out).unionByName(
-        _sweep(busy, limit, width, user, key).select(out.names)
-    )
+    return flagged(calm).unionByName(_sweep(busy, limit, width, user, key).select(out.names))
 
 
 def _sweep(busy: DataFrame, limit: int, width: int, user: str, key: str) -> DataFrame:

@@ -112,24 +112,24 @@ def _field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_suppkey", "year", "p_type", "p_brand")
         .agg(F.sum("cents").cast("long").alias("total"), _sum_where(F.col("src") == "AF", "federal"))
     )
-    # parent rows come from the same shuffle: each sub row is counted in both levels
-    levels = F.array(F.struct(F.lit(0).alias("is_parent"), F.col("p_brand").alias("brand")),
-                     F.struct(F.lit(1).alias("is_parent"), F.lit(None).cast("string").alias("brand")))
-    both = (
-        sub.select("l_suppkey", "year", "p_type", "total", "federal", F.inline(levels))
-        .groupBy("l_suppkey", "year", "p_type", "is_parent", "brand")
-        .agg(F.sum("total").alias("total"), F.sum("federal").alias("federal"))
+    # both levels read the shuffle of ``sub``, which Spark runs once
+    parent = sub.groupBy("l_suppkey", "year", "p_type").agg(
+        F.sum("total").alias("total"), F.sum("federal").alias("federal")
     )
-    code = F.when(F.col("is_parent") == 1, F.lower("p_type")).otherwise(
-        F.concat(F.lower("p_type"), F.lit("_"), F.lower(F.replace(F.col("brand"), F.lit("Brand#"), F.lit("b"))))
-    )
-    label = F.when(F.col("is_parent") == 1, F.concat("p_type", F.lit(", all"))).otherwise(
-        F.concat("p_type", F.lit(", "), "brand")
-    )
-    return both.select(
-        entity_id("l_suppkey").alias("inst_id"), "year", code.alias("field_code"),
-        F.lower("p_type").alias("parent_field"), "is_parent", label.alias("field_name"),
-        "federal", (F.col("total") - F.col("federal")).alias("nonfederal"), "total",
+    parent_code = F.lower("p_type")
+    sub_code = F.concat(parent_code, F.lit("_"), F.replace("p_brand", F.lit("Brand#"), F.lit("b")))
+    sub_label = F.concat("p_type", F.lit(", "), "p_brand")
+
+    def rows(level: DataFrame, code: Column, is_parent: int, label: Column) -> DataFrame:
+        return level.select(
+            entity_id("l_suppkey").alias("inst_id"), "year", code.alias("field_code"),
+            parent_code.alias("parent_field"), F.lit(is_parent).alias("is_parent"),
+            label.alias("field_name"), "federal",
+            (F.col("total") - F.col("federal")).alias("nonfederal"), "total",
+        )
+
+    return rows(sub, sub_code, 0, sub_label).unionByName(
+        rows(parent, parent_code, 1, F.concat("p_type", F.lit(", all")))
     )
 
 

@@ -456,7 +456,7 @@ def _(p):
 
 @_customer_query("K3_knn_edges_customers")
 def _(c):
-    return _rounded(knn.knn_edges(knn.feature_rows(c), 10, leaf_size=256))
+    return _rounded(knn.knn_edges(knn.feature_rows(c), 10, leaf_size=512))
 
 
 @_edge_query("K4_peer_gap")

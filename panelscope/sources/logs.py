@@ -16,13 +16,12 @@ def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
 def parse_usage_log(lines: DataFrame) -> DataFrame:
     """Timestamp, user and question per line; blank lines and exact repeats go.
 
-    Repeats collapse before the shuffle, so a line copied many times is cheap.
+    Repeats collapse before the shuffle and before any line is parsed, so a
+    line copied many times is cheap.
     """
-    at = F.regexp_extract("value", LINE, 1)
-    return (
-        lines.where(at != "")
-        .select(F.to_timestamp_ntz(at, F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"),
-                F.regexp_extract("value", LINE, 2).alias("username"),
-                F.regexp_extract("value", LINE, 3).alias("question"))
-        .dropDuplicates()
+    kept = lines.select("value").where(F.length("value") > 0).distinct()
+    return kept.where(F.col("value").rlike(LINE)).select(
+        F.to_timestamp_ntz(F.substring("value", 1, 23), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"),
+        F.regexp_extract("value", LINE, 2).alias("username"),
+        F.regexp_extract("value", LINE, 3).alias("question"),
     )

@@ -18,16 +18,23 @@ def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
+def _expire(state: GroupState, newest: pd.Timestamp, idle_ms: int) -> None:
+    """Forget the user once the watermark is ``idle`` past its newest event."""
+    due = int(newest.timestamp() * 1000) + idle_ms
+    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+
 def dedup_consecutive_stream(
     views: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    value: str = "institution", idle: str = "30 days",
+    value: str = "institution", late: str = "1 hour", idle: str = "30 days",
 ) -> DataFrame:
     """Keep changes of the viewed value per user; state is the last value.
 
-    A late view is ordered within its micro-batch only. Users idle longer than
-    ``idle`` lose their state, and their next view counts as a change.
+    A late view is ordered within its micro-batch only, and dropped once it is
+    behind the watermark. Users idle longer than ``idle`` in event time lose
+    their state, and their next view counts as a change.
     """
-    real = views.where(F.col(value).isNotNull() & (F.col(value) != ""))
+    real = views.withWatermark(ts, late).where(F.col(value).isNotNull() & (F.col(value) != ""))
     out = T.StructType(_fields(views, key, user, ts, value))
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -40,19 +47,24 @@ def dedup_consecutive_stream(
         previous = rows[value].shift(1)
         previous.iloc[0] = last
         state.update((rows[value].iloc[-1],))
-        state.setTimeoutDuration(idle_ms)
+        _expire(state, rows[ts].iloc[-1], idle_ms)
         yield rows[rows[value] != previous][out.names]
 
     return real.groupBy(user).applyInPandasWithState(
-        changes, out, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        changes, out, "last string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def quota_stream(
     requests: DataFrame, limit: int = dims.QUOTA_LIMIT, window_seconds: int = dims.QUOTA_SECONDS,
-    user: str = "user_id", ts: str = "ts", key: str = "event_id", idle: str = "30 days",
+    user: str = "user_id", ts: str = "ts", key: str = "event_id",
+    late: str = "1 hour", idle: str = "30 days",
 ) -> DataFrame:
-    """Quota flags on a stream; state per user is the open window and its count."""
+    """Quota flags on a stream; state per user is the open window and its count.
+
+    ``idle`` must be longer than the quota window, so that expired state never
+    differs from a window that has run out.
+    """
     width = window_seconds * 1_000_000
     out = T.StructType([*_fields(requests, key, user, ts),
                         T.StructField("window_start_us", T.LongType()),
@@ -73,11 +85,12 @@ def quota_stream(
             used += flags[-1]
             starts.append(start)
         state.update((start, int(used)))
-        state.setTimeoutDuration(idle_ms)
+        _expire(state, rows[ts].iloc[-1], idle_ms)
         yield rows.assign(window_start_us=starts, accepted=flags)[out.names]
 
-    return requests.select(key, user, ts, micros(ts).alias("_t")).groupBy(user).applyInPandasWithState(
-        admit, out, "start long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = requests.withWatermark(ts, late).select(key, user, ts, micros(ts).alias("_t"))
+    return timed.groupBy(user).applyInPandasWithState(
+        admit, out, "start long, used long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
