@@ -45,7 +45,7 @@ def guarded_query(spark: SparkSession, sql: str, args: dict[str, Any] | None = N
 def _writes(spark: SparkSession, node) -> bool:
     logical = "org.apache.spark.sql.catalyst.plans.logical."
     loader = spark._jvm.Thread.currentThread().getContextClassLoader()
-    kinds = [loader.loadClass(logical + name) for name in ("Command", "ParsedStatement")]
+    kinds = [loader.loadClass(logical + name) for name in ("Command", "ParsedStatement", "InsertIntoDir")]
     if any(kind.isInstance(node) for kind in kinds):
         return True
     children = node.children()
