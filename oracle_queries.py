@@ -476,7 +476,7 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT inst_id, agency_code, agency_name, coalesce({at(Y0, 'amount')}, 0) AS a, coalesce({at(Y1, 'amount')}, 0) AS b
               FROM agencies WHERE year IN ({Y0}, {Y1}) GROUP BY inst_id, agency_code, agency_name)""")
     sql["C7_growth_label"] = supplier("""
-        SELECT target_id, CASE WHEN target_cagr > peer_avg_cagr + 1 THEN 'faster' WHEN target_cagr < peer_avg_cagr - 1
+        SELECT target_id, CASE WHEN target_cagr > peer_avg_cagr + 5 THEN 'faster' WHEN target_cagr < peer_avg_cagr - 5
                THEN 'slower' ELSE 'aligned' END AS label FROM growth""", *KNN, RATES_AVAILABLE, peer_growth())
     sql["C8_year_on_year"] = customer(f"""
         SELECT a.inst_id, a.year, a.total_rd AS value, b.total_rd AS previous, a.total_rd - b.total_rd AS change,
@@ -669,6 +669,10 @@ def oracle_sql() -> dict[str, str]:
         "req AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM us)",
         """win AS (SELECT user_id, min(t) AS s FROM req GROUP BY user_id UNION ALL
              SELECT w.user_id, min(r.t) FROM win w JOIN req r ON r.user_id = w.user_id AND r.t > w.s + 86400000000 GROUP BY w.user_id)""")
+    sql["E2_dedup_stream"], sql["E3_quota_stream"] = sql["E2_dedup_consecutive"], sql["E3_quota_flags"]
+    sql["E5_usage_stream"] = events(f"""
+        SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, {big('count(*)')} AS n_events FROM us
+        WHERE date_trunc('day', ts) + INTERVAL 25 HOUR <= (SELECT max(ts) FROM us) GROUP BY 1, 2""")
     sql["E4_latest_preferences"] = supplier("""
         SELECT user_id, institution, array_to_string(custom_peers, '|') AS custom_peers, updated_at, change_id FROM prefs""",
         ELIGIBLE, PREFERENCES)

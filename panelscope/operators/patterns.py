@@ -48,8 +48,7 @@ def faster_in_state(inst: DataFrame, target: str, state: str, y0: int, y1: int)
 def faster_than_each(inst: DataFrame, y0: int, y1: int) -> DataFrame:
     """For every entity, how many of its state outgrew it: the same comparison
     for all targets at once, without listing pairs."""
-    both = inst.where(F.col("year").isin(y0, y1))
-    home = both.groupBy("inst_id").agg(F.max_by("state", "year").alias("state"))
+    home = inst.where(F.col("year") == y1).select("inst_id", "state")
     growth = cagr_window(inst, y0, y1).where(
         (F.col("start_value") > 0) & (F.col("end_value") > 0)
     ).join(home, "inst_id")

@@ -63,12 +63,11 @@ def parents_with_subfields(fields: DataFrame, year: int) -> DataFrame:
 
 def field_momentum(inst: DataFrame, fields: DataFrame, y0: int, y1: int, ids: Ids = None) -> DataFrame:
     """Share of portfolio in the end year and growth over the window."""
-    growth = only(endpoints(_parents(fields), y0, y1), ids).groupBy("inst_id", "field_code").agg(
-        F.max(F.when(F.col("year") == y1, F.col("field_name"))).alias("field_name"),
-        at_year(F.col("year"), y0, F.col("total")).alias("rd_start"),
-        at_year(F.col("year"), y1, F.col("total")).alias("total"),
-    ).where(F.col("total").isNotNull())
+    parents = only(_parents(fields), ids)
+    now = parents.where(F.col("year") == y1).select("inst_id", "field_code", "field_name", "total")
+    start = parents.where(F.col("year") == y0).select("inst_id", "field_code", F.col("total").alias("rd_start"))
     rate = F.when(F.col("total") > 0, cagr(F.col("rd_start"), F.col("total"), y1 - y0))
+    growth = now.join(start, ["inst_id", "field_code"], "left")
     return growth.join(_totals(inst, y1), "inst_id").select(
         "inst_id", "field_code", "field_name", "total",
         pct(F.col("total"), F.col("total_rd")).alias("portfolio_share"), rate.alias("cagr"),

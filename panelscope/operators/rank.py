@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.ratios import at_year, cagr, pct
+from ..functions.ratios import cagr, pct
 from ..plans.ordering import positions, ranked, top_k
-from .common import Ids, endpoints, in_window, latest, only
+from .common import Ids, in_window, latest, only
 
 
 def rank_trend(inst: DataFrame, y0: int, y1: int, ids: Ids = None) -> DataFrame:
@@ -22,18 +22,16 @@ def rank_trend(inst: DataFrame, y0: int, y1: int, ids: Ids = None) -> DataFrame:
 def rank_movement(inst: DataFrame, y0: int, y1: int, ids: Ids = None) -> DataFrame:
     """First against last national rank and money inside the window."""
     trend = rank_trend(inst, y0, y1, ids)
+    # whole numbers only, so Spark can aggregate by hash instead of sorting
     ends = trend.groupBy("inst_id").agg(
-        F.max_by(F.struct("national_rank", "total_rd"), "year").alias("last"),
-        F.min_by(F.struct("national_rank", "total_rd"), "year").alias("first"),
+        F.max_by("national_rank", "year").alias("current_rank"),
+        F.min_by("national_rank", "year").alias("start_rank"),
+        F.max_by("total_rd", "year").alias("current_rd"),
+        F.min_by("total_rd", "year").alias("start_rd"),
     )
     return ends.select(
-        "inst_id",
-        F.col("last.national_rank").alias("current_rank"),
-        F.col("first.national_rank").alias("start_rank"),
-        (F.col("first.national_rank") - F.col("last.national_rank")).alias("rank_change"),
-        F.col("last.total_rd").alias("current_rd"),
-        F.col("first.total_rd").alias("start_rd"),
-        (F.col("last.total_rd") - F.col("first.total_rd")).alias("rd_change"),
+        "*", (F.col("start_rank") - F.col("current_rank")).alias("rank_change"),
+        (F.col("current_rd") - F.col("start_rd")).alias("rd_change"),
     )
 
 
@@ -88,17 +86,19 @@ def anchor_view(
 
 
 def state_ranking(inst: DataFrame, y0: int, y1: int) -> DataFrame:
-    """Rank within the state, growth, federal share and market share."""
-    ends = endpoints(inst, y0, y1).groupBy("inst_id").agg(
-        F.max_by("state", "year").alias("state"), F.max_by("name", "year").alias("name"),
-        at_year(F.col("year"), y1, F.col("total_rd")).alias("total_rd"),
-        at_year(F.col("year"), y0, F.col("total_rd")).alias("rd_start"),
-        at_year(F.col("year"), y1, F.col("federal")).alias("fed_latest"),
-    ).where(F.col("total_rd") > 0)
+    """Rank within the state, growth, federal share and market share.
+
+    The state is that of the end year, in which an entity must have money.
+    """
+    now = inst.where((F.col("year") == y1) & (F.col("total_rd") > 0)).select(
+        "inst_id", "state", "name", "total_rd", F.col("federal").alias("fed_latest")
+    )
+    start = inst.where(F.col("year") == y0).select("inst_id", F.col("total_rd").alias("rd_start"))
     # no hint: adaptive execution broadcasts the state totals when it has
     # measured them, and splits a large state's share of the join if not
-    totals = ends.groupBy("state").agg(F.sum("total_rd").cast("long").alias("state_rd"))
-    return ranked(ends, "total_rd", ["state"], "state_rank").join(totals, "state").select(
+    totals = now.groupBy("state").agg(F.sum("total_rd").cast("long").alias("state_rd"))
+    placed = ranked(now, "total_rd", ["state"], "state_rank")
+    return placed.join(start, "inst_id", "left").join(totals, "state").select(
         "state", "inst_id", "name", "total_rd", "state_rank",
         cagr(F.col("rd_start"), F.col("total_rd"), y1 - y0).alias("cagr"),
         pct(F.col("fed_latest"), F.col("total_rd")).alias("federal_pct"),

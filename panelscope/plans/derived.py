@@ -101,9 +101,13 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_institution(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def with_institution(events: DataFrame) -> DataFrame:
     """Events with the viewed institution, one of four, on view events."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         "event_id", "ts", "user_id", "event_type", k.alias("k"),
         F.when(F.col("event_type") == "view", F.concat(F.lit("Inst "), (k % 4).cast("string")))
         .alias("institution"),

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import dims, schema
 from ..functions import text
-from ..functions.ratios import pct
 from ..operators import (
     agency, audit, checks, etl, events, growth, knn, lookup, patterns, peers, portfolio, rank,
 )
 from ..session import scratch_dir
 from ..sources import logs, tables
+from ..streaming import events as streams
 from . import adhoc, derived
 from .panel import Panel, customer_panel, supplier_panel
 
@@ -335,7 +335,7 @@ def _(p):
 @_edge_query("C7_growth_label")
 def _(p, edges):
     g = peers.peer_growth(p.inst, edges, Y0, Y1)
-    return g.select("target_id", growth.growth_label(F.col("target_cagr"), F.col("peer_avg_cagr"), 1.0).alias("label"))
+    return g.select("target_id", growth.growth_label(F.col("target_cagr"), F.col("peer_avg_cagr")).alias("label"))
 
 
 @_customer_query("C8_year_on_year")
@@ -661,6 +661,37 @@ def _(spark, sf):
     return audit.unknown_codes(derived.logged_sql(spark, sf), "event_id", "sql")
 
 
+def _streamed(spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over the event files until they are used up; read its output."""
+    out = scratch_dir(spark, "stream")
+    files = spark.read.parquet(f"{sf}/events.parquet")
+    source = spark.readStream.schema(files.schema).parquet(f"{sf}/events.parque[t]")
+    events_in = derived.with_institution(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    query = (
+        build(events_in).writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@_query("E2_dedup_stream")
+def _(spark, sf):
+    kept = _streamed(spark, sf, streams.dedup_consecutive_stream)
+    return kept.select("event_id", "user_id", "institution")
+
+
+@_query("E3_quota_stream")
+def _(spark, sf):
+    return _streamed(spark, sf, lambda e: streams.quota_stream(e, **QUOTA)).drop("ts")
+
+
+@_query("E5_usage_stream")
+def _(spark, sf):
+    counts = _streamed(spark, sf, streams.usage_counts_stream)
+    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
 # --- column helpers -----------------------------------------------------------
 
 
