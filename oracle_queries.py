@@ -227,7 +227,8 @@ own AS (SELECT DISTINCT a.user_id, a.target_id, e.inst_id AS peer_id
 def gap(edge_table: str) -> str:
     return " UNION ALL ".join(
         f"SELECT t.inst_id AS target_id, '{m}' AS metric, round(CAST(max(t.{m}) AS DOUBLE), 2) AS my_val,"
-        f" round(avg(p.{m}), 2) AS peer_avg, round(CAST(max(t.{m}) AS DOUBLE) - avg(p.{m}), 2) AS gap"
+        f" round(CAST(sum(p.{m}) * 100 AS DOUBLE) / count(*)) / 100 AS peer_avg,"
+        f" round(CAST((max(t.{m}) * count(*) - sum(p.{m})) * 100 AS DOUBLE) / count(*)) / 100 AS gap"
         f" FROM {edge_table} g JOIN feat t ON t.inst_id = g.target_id JOIN feat p ON p.inst_id = g.peer_id"
         f" GROUP BY t.inst_id" for m in METRICS)
 
@@ -533,10 +534,10 @@ def oracle_sql() -> dict[str, str]:
     sql["G1_agency_mix"] = supplier("SELECT * FROM mix", MIX)
     sql["G2_agency_trend"] = supplier(f"SELECT * FROM agencies WHERE year BETWEEN {Y0} AND {Y1}")
     sql["G3_concentration"] = supplier("""
-        SELECT inst_id, round(hhi, 4) AS hhi, round((CAST(1 AS DOUBLE) - hhi) / (CAST(1 AS DOUBLE) - CAST(1 AS DOUBLE) / 7) * 100, 1) AS diversification_score,
+        SELECT inst_id, round(squares / CAST(100 AS DOUBLE)) / 10000 AS hhi, round((CAST(1 AS DOUBLE) - hhi) / (CAST(1 AS DOUBLE) - CAST(1 AS DOUBLE) / 7) * 100, 1) AS diversification_score,
                top_agency, top_agency_pct
         FROM (SELECT m.inst_id, CAST(sum(CAST(round(m.pct_of_federal * 10) AS BIGINT) * CAST(round(m.pct_of_federal * 10) AS BIGINT)) AS DOUBLE)
-                     / CAST(1000000 AS DOUBLE) AS hhi, max(ta.agency_name) AS top_agency, max(ta.pct_of_federal) AS top_agency_pct
+                     / CAST(1000000 AS DOUBLE) AS hhi, CAST(sum(CAST(round(m.pct_of_federal * 10) AS BIGINT) * CAST(round(m.pct_of_federal * 10) AS BIGINT)) AS DOUBLE) AS squares, max(ta.agency_name) AS top_agency, max(ta.pct_of_federal) AS top_agency_pct
               FROM mix m JOIN ta ON ta.inst_id = m.inst_id GROUP BY m.inst_id)""", PORTFOLIO, MIX, CALLOUTS)
     sql["G4_concentration_percentile"] = supplier(f"""
         SELECT t.inst_id, t.top_agency_pct,
@@ -571,7 +572,7 @@ def oracle_sql() -> dict[str, str]:
         FROM edges g LEFT JOIN rates p ON p.inst_id = g.peer_id LEFT JOIN rates t ON t.inst_id = g.target_id
         GROUP BY g.target_id""", PARITY, RATES_WINDOW)
     sql["K12_peer_band"] = supplier("""
-        SELECT target_id, year, round(avg(total_rd), 2) AS peer_mean, min(total_rd) AS peer_min, max(total_rd) AS peer_max
+        SELECT target_id, year, round(CAST(sum(total_rd) * 100 AS DOUBLE) / count(*)) / 100 AS peer_mean, min(total_rd) AS peer_min, max(total_rd) AS peer_max
         FROM ptrend WHERE NOT is_target GROUP BY target_id, year""", *KNN, peer_trend())
     sql["K13_effective_edges"] = supplier("""
         SELECT user_id, target_id, peer_id, 'custom' AS peer_mode FROM own UNION ALL

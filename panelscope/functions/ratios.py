@@ -50,6 +50,14 @@ def mean_of_tenths(total: Column, count: Column) -> Column:
     return F.round(F.try_divide(total.cast("double"), count.cast("double"))) / 10
 
 
+def mean_2(total: Column, count: Column) -> Column:
+    """total / count with two decimals, from whole numbers.
+
+    The hundredths are rounded, so a tie is decided on an exact half.
+    """
+    return F.round(F.try_divide((total * 100).cast("double"), count.cast("double"))) / 100
+
+
 def at_year(year: Column, wanted: int, value: Column) -> Column:
     """Aggregate: the value in one year, null if the entity has no such row."""
     return F.max(F.when(year == wanted, value))

@@ -30,11 +30,19 @@ def slug(name: Column) -> Column:
 
 
 def short_dollars(amount: Column) -> Column:
-    """$1.23B, $4.5M or $999."""
+    """$1.23B, $4.5M or $999.
+
+    ``format_number`` rounds the stored binary value, as C and Python do;
+    ``format_string`` would round its printed form, and 4.35 up.
+    """
     x = amount.cast("double")
+
+    def part(value: Column, places: int) -> Column:
+        return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+
     return (
-        F.when(x >= 1e9, F.concat(F.lit("$"), F.format_string("%.2f", x / 1e9), F.lit("B")))
-        .when(x >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", x / 1e6), F.lit("M")))
+        F.when(x >= 1e9, F.concat(F.lit("$"), part(x / 1e9, 2), F.lit("B")))
+        .when(x >= 1e6, F.concat(F.lit("$"), part(x / 1e6, 1), F.lit("M")))
         .otherwise(F.concat(F.lit("$"), F.format_number(x, 0)))
     )
 

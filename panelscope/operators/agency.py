@@ -42,7 +42,7 @@ def concentration(mix: DataFrame, n_agencies: int = 7) -> DataFrame:
     hhi = F.col("squares") / F.lit(1_000_000.0)
     spread = 1.0 - 1.0 / n_agencies
     return sums.select(
-        "inst_id", F.round(hhi, 4).alias("hhi"),
+        "inst_id", (F.round(F.col("squares") / F.lit(100.0)) / 10_000).alias("hhi"),
         F.round((1.0 - hhi) / spread * 100, 1).alias("diversification_score"),
         F.col("top.agency_name").alias("top_agency"), F.col("top.pct_of_federal").alias("top_agency_pct"),
     )

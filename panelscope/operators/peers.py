@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.ratios import mean_of_tenths
+from ..functions.ratios import mean_2, mean_of_tenths
 from ..plans.ordering import dense_positions, neighbours, top_k
 from .common import in_window
 from .growth import cagr_available, cagr_window
@@ -106,18 +106,19 @@ def peer_gap(
 
     Peers without a feature row do not count; a target without any is absent.
     """
-    means = (
+    sums = (
         edges.join(features.select(F.col("inst_id").alias("peer_id"), *metrics), "peer_id")
-        .groupBy("target_id").agg(*[F.avg(m).alias(f"avg_{m}") for m in metrics])
+        .groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"sum_{m}") for m in metrics])
     )
     own = features.select(F.col("inst_id").alias("target_id"), *metrics)
     pairs = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("mine"),
-                 F.col(f"avg_{m}").alias("mean")) for m in metrics
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("mine"), F.col(f"sum_{m}").alias("whole"))
+        for m in metrics
     ])
-    return own.join(means, "target_id").select("target_id", F.inline(pairs)).select(
-        "target_id", "metric", F.round("mine", 2).alias("my_val"), F.round("mean", 2).alias("peer_avg"),
-        F.round(F.col("mine") - F.col("mean"), 2).alias("gap"),
+    return own.join(sums, "target_id").select("target_id", "n", F.inline(pairs)).select(
+        "target_id", "metric", F.col("mine").cast("double").alias("my_val"),
+        mean_2(F.col("whole"), F.col("n")).alias("peer_avg"),
+        mean_2(F.col("mine") * F.col("n") - F.col("whole"), F.col("n")).alias("gap"),
     )
 
 
@@ -192,7 +193,7 @@ def parity_trend(inst: DataFrame, edges: DataFrame, y0: int, y1: int) -> DataFra
 def peer_band(trend: DataFrame) -> DataFrame:
     """Mean, lowest and highest peer total per target and year."""
     return trend.where(~F.col("is_target")).groupBy("target_id", "year").agg(
-        F.round(F.avg("total_rd"), 2).alias("peer_mean"), F.min("total_rd").alias("peer_min"),
+        mean_2(F.sum("total_rd"), F.count("total_rd")).alias("peer_mean"), F.min("total_rd").alias("peer_min"),
         F.max("total_rd").alias("peer_max"),
     )
 
