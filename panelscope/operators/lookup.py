@@ -76,33 +76,28 @@ def _best_containing(patterns: DataFrame, current: DataFrame) -> DataFrame:
 
     A name that contains a pattern contains all its three-letter pieces, so
     pattern and names meet in an equi-join on the pattern's rarest piece; the
-    containment test then runs on those few pairs. Shorter patterns use
-    pieces of their own length.
+    containment test then runs on those few pairs. Patterns of one or two
+    letters use pieces of their own length.
     """
-    names = current.select("inst_id", "name", "total_rd", F.lower("name").alias("low"))
-    best = []
-    for size in range(1, GRAM + 1):
-        fits = F.length("pattern") == size if size < GRAM else F.length("pattern") >= size
-        wanted = patterns.where(fits).select("pattern").distinct()
-        pieces = names.select(
-            "inst_id", "name", "total_rd", "low", F.explode(_grams(F.col("low"), size)).alias("piece")
-        )
-        frequency = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n_names"))
-        rarest = (
-            wanted.select("pattern", F.explode(_grams(F.col("pattern"), size)).alias("piece"))
-            .join(frequency, "piece", "left")
-            .groupBy("pattern")
-            .agg(F.min_by("piece", F.struct(F.coalesce("n_names", F.lit(0)), "piece")).alias("piece"))
-        )
-        best.append(
-            pieces.join(rarest, "piece").where(F.contains("low", "pattern"))
-            .groupBy("pattern")
-            .agg(_largest().alias("hit"))
-        )
-    union = best[0]
-    for more in best[1:]:
-        union = union.unionByName(more)
-    return union
+    sizes = range(1, GRAM + 1)
+    low = F.col("low")
+    all_pieces = F.concat(*[F.coalesce(_grams(low, n), F.array().cast("array<string>")) for n in sizes])
+    pieces = current.select("inst_id", "name", "total_rd", F.lower("name").alias("low")).select(
+        "*", F.explode(all_pieces).alias("piece")
+    )
+    frequency = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n_names"))
+    pattern = F.col("pattern")
+    own_pieces = F.coalesce(*[_grams(pattern, n) for n in reversed(sizes)])
+    rarest = (
+        patterns.where(F.length(pattern) > 0).distinct()
+        .select("pattern", F.explode(own_pieces).alias("piece"))
+        .join(frequency, "piece")  # a pattern with a piece no name has finds nothing either way
+        .groupBy("pattern").agg(F.min_by("piece", F.struct("n_names", "piece")).alias("piece"))
+    )
+    return (
+        pieces.join(rarest, "piece").where(F.contains(low, pattern))
+        .groupBy("pattern").agg(_largest().alias("hit"))
+    )
 
 
 def resolve_entities(queries: DataFrame, inst: DataFrame, aliases: DataFrame) -> DataFrame:
