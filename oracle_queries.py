@@ -211,8 +211,9 @@ eligible AS (SELECT n.inst_id, n.name, g.n_years FROM names n JOIN (
     WHERE year BETWEEN y - 5 AND y GROUP BY inst_id
     HAVING count(DISTINCT year) >= 5 AND sum(total_rd) > 0) g ON n.inst_id = g.inst_id)"""
 PREFERENCES = """
-orderlines AS (SELECT l_orderkey, list(s_name ORDER BY l_linenumber, s_name) AS peers
-               FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey),
+linekeys AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber),
+orderlines AS (SELECT l_orderkey, list(s_name ORDER BY l_linenumber) AS peers
+               FROM linekeys JOIN supplier ON k = s_suppkey GROUP BY l_orderkey),
 changes AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, peers[1] AS institution, peers AS custom_peers,
                    o_orderdate AS updated_at, o_orderkey AS change_id
             FROM orderlines JOIN orders ON l_orderkey = o_orderkey),

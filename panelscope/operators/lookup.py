@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .. import dims
 from .common import latest, max_year
 
-GRAM = 3
-
 
 def year_bounds(inst: DataFrame, first_year: int = dims.FIRST_YEAR) -> DataFrame:
     """Newest year in the panel and the fixed first year of the survey."""
@@ -54,17 +52,6 @@ def eligible_entities(inst: DataFrame, span: int = 5, min_years: int = 5) -> Dat
     return latest_names(inst).join(steady, "inst_id").select("inst_id", "name", "n_years")
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` characters of a lower-case text."""
-    n = F.greatest(F.length(text) - size + 1, F.lit(0))
-    return F.when(
-        n > 0,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(size)))
-        ),
-    )
-
-
 def _largest() -> Column:
     """Aggregate: id and name of the largest spender, smallest id on ties."""
     order = F.struct((-F.coalesce("total_rd", F.lit(-1))).alias("size"), "inst_id")
@@ -74,28 +61,24 @@ def _largest() -> Column:
 def _best_containing(patterns: DataFrame, current: DataFrame) -> DataFrame:
     """Largest current entity whose name contains each (lower-case) pattern.
 
-    A name that contains a pattern contains all its three-letter pieces, so
-    pattern and names meet in an equi-join on the pattern's rarest piece; the
-    containment test then runs on those few pairs. Patterns of one or two
-    letters use pieces of their own length.
+    Every part of a name that is as long as some pattern meets the patterns in
+    an equi-join, so only true hits come out and a common word costs one row
+    per name, not one per name and pattern. Few patterns are broadcast by
+    Spark's size threshold, which makes the join a filter.
     """
-    sizes = range(1, GRAM + 1)
-    low = F.col("low")
-    all_pieces = F.concat(*[F.coalesce(_grams(low, n), F.array().cast("array<string>")) for n in sizes])
-    pieces = current.select("inst_id", "name", "total_rd", F.lower("name").alias("low")).select(
-        "*", F.explode(all_pieces).alias("piece")
-    )
-    frequency = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n_names"))
-    pattern = F.col("pattern")
-    own_pieces = F.coalesce(*[_grams(pattern, n) for n in reversed(sizes)])
-    rarest = (
-        patterns.where(F.length(pattern) > 0).distinct()
-        .select("pattern", F.explode(own_pieces).alias("piece"))
-        .join(frequency, "piece")  # a pattern with a piece no name has finds nothing either way
-        .groupBy("pattern").agg(F.min_by("piece", F.struct("n_names", "piece")).alias("piece"))
-    )
+    names = current.select("inst_id", "name", "total_rd", F.lower("name").alias("low"))
+    longest = names.agg(F.max(F.length("low"))).scalar()
+    n_chars = F.length("pattern")
+    wanted = patterns.where((n_chars > 0) & (n_chars <= longest)).distinct()
+    # no more lengths than the longest name has letters
+    lengths = wanted.agg(F.collect_set(n_chars)).scalar()
+    low, n = F.col("low"), F.col("n")
+    cut = names.withColumn("n", F.explode(lengths)).where(n <= F.length(low))
+    starts = F.sequence(F.lit(1), F.length(low) - n + 1)
+    parts = F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, n)))
     return (
-        pieces.join(rarest, "piece").where(F.contains(low, pattern))
+        cut.select("inst_id", "name", "total_rd", F.explode(parts).alias("pattern"))
+        .join(wanted, "pattern", "left_semi")
         .groupBy("pattern").agg(_largest().alias("hit"))
     )
 

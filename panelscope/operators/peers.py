@@ -147,7 +147,7 @@ def _compare(edges: DataFrame, own: DataFrame, rates: DataFrame) -> DataFrame:
     )
     tenths = F.round(F.col("peer_cagr") * 10).cast("long")
     return pairs.groupBy("target_id").agg(
-        F.first("own_cagr").alias("own_cagr"),  # the same for every peer of a target
+        F.max("own_cagr").alias("own_cagr"),  # the same for every peer of a target
         F.count(F.lit(1)).alias("n_peers"), F.count("peer_cagr").alias("n_rates"),
         F.sum(tenths).alias("tenths"), F.count_if(F.col("peer_cagr") > F.col("own_cagr")).alias("faster"),
     )

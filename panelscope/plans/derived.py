@@ -14,6 +14,7 @@ from ..operators import knn
 from ..session import write_scratch
 from . import panel
 
+LINES_PER_ORDER = 7
 SOURCE_LINES = [
     ("01.a", "Federal government", "federal"),
     ("01.b", "State and local government", "state_local"),
@@ -84,19 +85,27 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a customer's peer list for the supplier of its first line."""
+    """Each order as a customer's peer list for the supplier of its first line.
+
+    One aggregate per line number, of which there are seven, so an order never
+    collects more than seven suppliers however many rows carry its key.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey")
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    named = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    per_order = named.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "s_name"))).alias("lines")
-    )
-    return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("lines")[0]["s_name"].alias("institution"),
-        F.col("lines.s_name").alias("custom_peers"),
-        F.col("o_orderdate").alias("updated_at"), F.col("o_orderkey").alias("change_id"),
+    per_order = lines.groupBy("l_orderkey").agg(*[
+        F.max(F.when(F.col("l_linenumber") == i, F.col("l_suppkey"))).alias(f"line_{i}")
+        for i in range(1, LINES_PER_ORDER + 1)
+    ])
+    keys = F.array_compact(F.array(*[F.col(f"line_{i}") for i in range(1, LINES_PER_ORDER + 1)]))
+    names = F.transform(keys, lambda k: F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0")))
+    return (
+        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("custom_peers", names)
+        .select(
+            F.col("o_custkey").cast("string").alias("user_id"),
+            F.col("custom_peers")[0].alias("institution"), "custom_peers",
+            F.col("o_orderdate").alias("updated_at"), F.col("o_orderkey").alias("change_id"),
+        )
     )
 
 
