@@ -29,6 +29,7 @@ from ..session import write_scratch
 from .common import latest
 
 LEAF_SIZE = 1024
+VISITORS = 65_536
 SLICE_ROWS = 512
 MAX_DEPTH = 16
 SAMPLE_ROWS = 100_000
@@ -226,17 +227,28 @@ def _visits(blocks: DataFrame, tree: Tree, k: int, dims: int) -> DataFrame:
         radius = _radius(z, block["ids"].map(len).to_numpy(), k)
         row, dst = shared.value.visits(z, radius)
         return pd.DataFrame({
-            "src": block["block"].to_numpy()[row], "dst": dst.astype("int32"),
-            "rep": block["rep"].to_numpy()[row], "z": block["z"].to_numpy()[row],
-            "radius": radius[row],
+            "block": dst.astype("int32"), "rep": block["rep"].to_numpy()[row],
+            "z": block["z"].to_numpy()[row], "radius": radius[row],
         })
 
     return blocks.groupBy("block").applyInPandas(
-        reach, "src int, dst int, rep string, z array<double>, radius double"
+        reach, "block int, rep string, z array<double>, radius double"
     )
 
 
-def nearest_vectors(vectors: DataFrame, k: int, dims: int, leaf_size: int = LEAF_SIZE) -> DataFrame:
+def _parts(visits: DataFrame, most: int) -> DataFrame:
+    """Into how many parts the visitors of a crowded block are split.
+
+    At most one row per ``most`` visits; other blocks are absent.
+    """
+    crowded = visits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    rows = crowded.select("block", F.ceil(F.col("n") / most).cast("int").alias("parts")).collect()
+    return F.broadcast(visits.sparkSession.createDataFrame(rows, "block int, parts int"))
+
+
+def nearest_vectors(
+    vectors: DataFrame, k: int, dims: int, leaf_size: int = LEAF_SIZE, visitors: int = VISITORS
+) -> DataFrame:
     """(rep, near): the k + 1 nearest ids of each vector as sorted structs.
 
     ``vectors`` must be a stored table: it is read several times.
@@ -246,23 +258,29 @@ def nearest_vectors(vectors: DataFrame, k: int, dims: int, leaf_size: int = LEAF
     if depth == 0:
         blocks = vectors.select("rep", "ids", "z", F.lit(0).alias("block"))
         visits = vectors.select(
-            F.lit(0).alias("src"), F.lit(0).alias("dst"), "rep", "z",
-            F.lit(float("inf")).alias("radius"),
+            F.lit(0).alias("block"), "rep", "z", F.lit(float("inf")).alias("radius")
         )
     else:
         tree = _plant(vectors, n, depth, dims, leaf_size)
         blocks = write_scratch(_in_blocks(vectors, tree, dims), "knn-blocks")
         visits = write_scratch(_visits(blocks, tree, k, dims), "knn-visits")
-    # a block is sent once to every block with a visitor; both sides of a pair
-    # of blocks are bounded, however many visitors one block attracts
-    pairs = visits.select(F.col("src").alias("asker"), F.col("dst").alias("block")).distinct()
-    sent = blocks.select("block", "ids", F.col("z").alias("at")).join(pairs, "block")
+    # a block's visitors and a copy of the block meet in one task; a crowded
+    # block is copied to several, so both sides stay bounded
+    parts = _parts(visits, visitors)
+    n_parts = F.coalesce("parts", F.lit(1))
+    asking = visits.join(parts, "block", "left").select(
+        "block", F.pmod(F.xxhash64("rep"), n_parts).cast("int").alias("part"), "rep", "z", "radius"
+    )
+    offered = blocks.join(parts, "block", "left").select(
+        F.col("block").alias("to_block"), F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("to_part"),
+        "ids", F.col("z").alias("at"),
+    )
 
     def compare(targets: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return _nearest(targets, block, k, dims)
 
     found = (
-        visits.groupBy("src", "dst").cogroup(sent.groupBy("asker", "block"))
+        asking.groupBy("block", "part").cogroup(offered.groupBy("to_block", "to_part"))
         .applyInPandas(compare, "rep string, peer_id string, distance double")
     )
     best = top_k(found, ["rep"], [F.col("distance"), F.col("peer_id")], k + 1, "i")
@@ -273,7 +291,7 @@ def nearest_vectors(vectors: DataFrame, k: int, dims: int, leaf_size: int = LEAF
 
 def knn_edges(
     features: DataFrame, k: int = 10, metrics: Sequence[str] = tuple(schema.METRICS),
-    leaf_size: int = LEAF_SIZE,
+    leaf_size: int = LEAF_SIZE, visitors: int = VISITORS,
 ) -> DataFrame:
     """Edge table ``(target_id, peer_id, rank, distance)``, nearest first.
 
@@ -282,7 +300,7 @@ def knn_edges(
     """
     cols = list(metrics)
     vectors = write_scratch(_vectors(features, cols, k), "knn-vectors")
-    near = nearest_vectors(vectors, k, len(cols), leaf_size)
+    near = nearest_vectors(vectors, k, len(cols), leaf_size, visitors)
     lists = vectors.select(*cols, "rep").join(near, "rep").drop("rep")
     targets = features.select(F.col("inst_id").alias("target_id"), *cols)
     others = F.filter("near", lambda e: e["peer_id"] != F.col("target_id"))

@@ -58,10 +58,10 @@ def crowd(spark):
     return spark.createDataFrame(rows, COLUMNS).cache()
 
 
-@pytest.mark.parametrize("leaf_size", [1024, 32])
-def test_knn_with_copies(crowd, leaf_size):
+@pytest.mark.parametrize("leaf_size,visitors", [(1024, 10**6), (32, 10**6), (32, 20), (1024, 50)])
+def test_knn_with_copies(crowd, leaf_size, visitors):
     features = knn.feature_rows(crowd)
-    got = as_lists(knn.knn_edges(features, 6, leaf_size=leaf_size))
+    got = as_lists(knn.knn_edges(features, 6, leaf_size=leaf_size, visitors=visitors))
     assert got == brute_knn(features, 6)
 
 
