@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelscope import dims, schema
 from panelscope.operators import checks, etl
+from panelscope.plans import load
 from panelscope.sources import microdata, tables
 
 HEADER = " inst_id ,inst_name_long,inst_city,inst_state_code,year,questionnaire_no,question,row,column, data"
@@ -127,3 +128,20 @@ def test_checks(spark):
     matches = {r["inst_id"]: r["matches"] for r in checks.agency_reconciliation(inst, agencies).collect()}
     assert matches == {"a": True, "b": False}
     assert checks.duplicate_keys(inst.union(inst.limit(1)), "institutions").count() == 1
+
+
+def test_load_microdata(spark, tmp_path):
+    """Files in, three stored tables out; the rules of the panel hold."""
+    total = [line("000007", 2015, "01.a", "S", "Federal government", "Total", "7", name="Plain College"),
+             line("000007", 2015, "01.g", "S", "Total", "Total", "10", name="Plain College")]
+    by_field = [line("000007", 2015, "09", FED, label, "Total", x) for label, x in
+                (("Engineering, all", "7"), ("Engineering, civil", "3"), ("Engineering, other", "4"))]
+    by_field += [line("000007", 2015, "11", NON, "Psychology, all", "Total", "3")]
+    by_agency = [line("000007", 2015, "09", FED, "All", c, "1") for c in dims.AGENCY_NAMES]
+    path = tmp_path / "panel_2015.csv"
+    path.write_bytes("\n".join([HEADER, *total, *by_field, *by_agency]).encode("latin-1"))
+    panel = load.load_microdata(spark, [str(path)], str(tmp_path / "out"))
+    assert (panel.inst.count(), panel.fields.count(), panel.agencies.count()) == (1, 4, 7)
+    assert checks.broken_invariants(panel.inst, panel.fields, panel.agencies).count() == 0
+    again = load.load_microdata(spark, [str(path)], str(tmp_path / "out"))
+    assert again.agencies.count() == 7
