@@ -7,6 +7,8 @@ groups into buckets.
 
 from __future__ import annotations
 
+from panelscope import dims
+
 Y0, Y1 = 1996, 2001
 TARGET = "000000000003"
 OTHER_TARGET = "000000000052"
@@ -306,16 +308,7 @@ SOURCE_LABELS = {
 }
 LOGGED_FIELDS = ["cs", "eng_robotics", "life_health", "biology", "soc_politics"]
 LOGGED_AGENCIES = ["NSF", "NIH", "DOD"]
-FIELD_CODES = sorted([
-    "cs", "engineering", "geosciences", "life_sciences", "math", "physical_sciences", "psychology",
-    "social_sciences", "other_sciences", "non_se",
-    *[f"eng_{x}" for x in "aerospace biomedical chemical civil electrical industrial mechanical materials other".split()],
-    *[f"geo_{x}" for x in "atmospheric earth ocean other".split()],
-    *[f"life_{x}" for x in "agricultural biomedical health natural_resources other".split()],
-    *[f"phys_{x}" for x in "astronomy chemistry materials physics other".split()],
-    *[f"soc_{x}" for x in "anthropology economics political sociology other".split()],
-    *[f"nse_{x}" for x in "business communication education humanities law social_work arts other".split()],
-])
+FIELD_CODES = dims.field_codes()
 
 
 def _suggest(code: str) -> str:
@@ -525,7 +518,7 @@ def oracle_sql() -> dict[str, str]:
     sql["P6_field_distinctiveness"] = supplier("", *KNN, distinctive(fields_now, "field_code", "total"))
     sql["P7_callouts"] = supplier("SELECT * FROM callouts", PORTFOLIO, MIX, CALLOUTS)
     sql["P8_labels"] = supplier(f"""
-        SELECT CASE field_code WHEN 'economy' THEN 'cs' WHEN 'large' THEN 'engineering' WHEN 'promo' THEN 'geosciences'
+        SELECT CASE field_code WHEN 'economy' THEN 'Economy' WHEN 'large' THEN 'Large Scale' WHEN 'promo' THEN 'Promotion'
                ELSE field_name END AS label, is_parent, {big('sum(total)')} AS total FROM fields GROUP BY 1, 2""")
     sql["P9_parents_with_subfields"] = supplier(f"""
         SELECT inst_id, field_code, field_name, total FROM fields p WHERE year = {Y1} AND is_parent = 1 AND field_code <> 'promo'

@@ -39,61 +39,72 @@ AGENCY_NAMES = {
     "Other agencies": "Other Federal",
 }
 
-# --- fixed values: field taxonomy ---------------------------------------------
-# parent code -> (label stem, short label, {sub-field code: label tail})
-TAXONOMY = {
-    "cs": ("Computer and information sciences", "Computer Science", {}),
-    "engineering": ("Engineering", "Engineering", {
-        "eng_aerospace": "aerospace, aeronautical, and astronautical",
-        "eng_biomedical": "bioengineering and biomedical engineering",
-        "eng_chemical": "chemical",
-        "eng_civil": "civil",
-        "eng_electrical": "electrical, electronic, and communications",
-        "eng_industrial": "industrial and manufacturing",
-        "eng_mechanical": "mechanical",
-        "eng_materials": "metallurgical and materials",
-        "eng_other": "other",
-    }),
-    "geosciences": ("Geosciences, atmospheric sciences, and ocean sciences", "Geosciences", {
-        "geo_atmospheric": "atmospheric science and meteorology",
-        "geo_earth": "geological and earth sciences",
-        "geo_ocean": "ocean sciences and marine sciences",
-        "geo_other": "other",
-    }),
-    "life_sciences": ("Life sciences", "Life Sciences", {
-        "life_agricultural": "agricultural sciences",
-        "life_biomedical": "biological and biomedical sciences",
-        "life_health": "health sciences",
-        "life_natural_resources": "natural resources and conservation",
-        "life_other": "other",
-    }),
-    "math": ("Mathematics and statistics", "Math & Statistics", {}),
-    "physical_sciences": ("Physical sciences", "Physical Sciences", {
-        "phys_astronomy": "astronomy and astrophysics",
-        "phys_chemistry": "chemistry",
-        "phys_materials": "materials science",
-        "phys_physics": "physics",
-        "phys_other": "other",
-    }),
-    "psychology": ("Psychology", "Psychology", {}),
-    "social_sciences": ("Social sciences", "Social Sciences", {
-        "soc_anthropology": "anthropology",
-        "soc_economics": "economics",
-        "soc_political": "political science and government",
-        "soc_sociology": "sociology, demography, and population studies",
-        "soc_other": "other",
-    }),
-    "other_sciences": ("Other sciences", "Other Sciences", {}),
-    "non_se": ("Non-S&E", "Non-S&E", {
-        "nse_business": "business management and business administration",
-        "nse_communication": "communication and communications technologies",
-        "nse_education": "education",
-        "nse_humanities": "humanities",
-        "nse_law": "law",
-        "nse_social_work": "social work",
-        "nse_arts": "visual and performing arts",
-        "nse_other": "other",
-    }),
+# --- fixed values: field taxonomy: printed label -> (code, parent code, is_parent)
+FIELD_TAXONOMY = {
+    "Computer and information sciences, all": ("cs", "cs", 1),
+    "Engineering, all": ("engineering", "engineering", 1),
+    "Engineering, aerospace, aeronautical, and astronautical": ("eng_aerospace", "engineering", 0),
+    "Engineering, bioengineering and biomedical engineering": ("eng_biomedical", "engineering", 0),
+    "Engineering, chemical": ("eng_chemical", "engineering", 0),
+    "Engineering, civil": ("eng_civil", "engineering", 0),
+    "Engineering, electrical, electronic, and communications": ("eng_electrical", "engineering", 0),
+    "Engineering, industrial and manufacturing": ("eng_industrial", "engineering", 0),
+    "Engineering, mechanical": ("eng_mechanical", "engineering", 0),
+    "Engineering, metallurgical and materials": ("eng_materials", "engineering", 0),
+    "Engineering, other": ("eng_other", "engineering", 0),
+    "Geosciences, atmospheric sciences, and ocean sciences, all": ("geosciences", "geosciences", 1),
+    "Geosciences, atmospheric sciences, and ocean sciences, atmospheric science and meteorology":
+        ("geo_atmospheric", "geosciences", 0),
+    "Geosciences, atmospheric sciences, and ocean sciences, geological and earth sciences":
+        ("geo_earth", "geosciences", 0),
+    "Geosciences, atmospheric sciences, and ocean sciences, ocean sciences and marine sciences":
+        ("geo_ocean", "geosciences", 0),
+    "Geosciences, atmospheric sciences, and ocean sciences, other": ("geo_other", "geosciences", 0),
+    "Life sciences, all": ("life_sciences", "life_sciences", 1),
+    "Life sciences, agricultural sciences": ("life_agricultural", "life_sciences", 0),
+    "Life sciences, biological and biomedical sciences": ("life_biomedical", "life_sciences", 0),
+    "Life sciences, health sciences": ("life_health", "life_sciences", 0),
+    "Life sciences, natural resources and conservation": ("life_natural_resources", "life_sciences", 0),
+    "Life sciences, other": ("life_other", "life_sciences", 0),
+    "Mathematics and statistics, all": ("math", "math", 1),
+    "Physical sciences, all": ("physical_sciences", "physical_sciences", 1),
+    "Physical sciences, astronomy and astrophysics": ("phys_astronomy", "physical_sciences", 0),
+    "Physical sciences, chemistry": ("phys_chemistry", "physical_sciences", 0),
+    "Physical sciences, materials science": ("phys_materials", "physical_sciences", 0),
+    "Physical sciences, physics": ("phys_physics", "physical_sciences", 0),
+    "Physical sciences, other": ("phys_other", "physical_sciences", 0),
+    "Psychology, all": ("psychology", "psychology", 1),
+    "Social sciences, all": ("social_sciences", "social_sciences", 1),
+    "Social sciences, anthropology": ("soc_anthropology", "social_sciences", 0),
+    "Social sciences, economics": ("soc_economics", "social_sciences", 0),
+    "Social sciences, political science and government": ("soc_political", "social_sciences", 0),
+    "Social sciences, sociology, demography, and population studies":
+        ("soc_sociology", "social_sciences", 0),
+    "Social sciences, other": ("soc_other", "social_sciences", 0),
+    "Other sciences, all": ("other_sciences", "other_sciences", 1),
+    "Non-S&E, all": ("non_se", "non_se", 1),
+    "Non-S&E, business management and business administration": ("nse_business", "non_se", 0),
+    "Non-S&E, communication and communications technologies": ("nse_communication", "non_se", 0),
+    "Non-S&E, education": ("nse_education", "non_se", 0),
+    "Non-S&E, humanities": ("nse_humanities", "non_se", 0),
+    "Non-S&E, law": ("nse_law", "non_se", 0),
+    "Non-S&E, social work": ("nse_social_work", "non_se", 0),
+    "Non-S&E, visual and performing arts": ("nse_arts", "non_se", 0),
+    "Non-S&E, other": ("nse_other", "non_se", 0),
+}
+
+# --- fixed values: parent code -> short label ----------------------------------
+FIELD_SHORT_LABELS = {
+    "cs": "Computer Science",
+    "engineering": "Engineering",
+    "geosciences": "Geosciences",
+    "life_sciences": "Life Sciences",
+    "math": "Math & Statistics",
+    "physical_sciences": "Physical Sciences",
+    "psychology": "Psychology",
+    "social_sciences": "Social Sciences",
+    "other_sciences": "Other Sciences",
+    "non_se": "Non-S&E",
 }
 
 # --- fixed values: sub-fields first surveyed in 2016 --------------------------
@@ -157,10 +168,10 @@ INSTITUTION_ALIASES = {
 # --- fixed values: everyday word -> field code --------------------------------
 FIELD_TERMS = {
     "biomedical engineering": "eng_biomedical",
-    "bme": "eng_biomedical",
+    "BME": "eng_biomedical",
     "biomed eng": "eng_biomedical",
     "comp sci": "cs",
-    "cs": "cs",
+    "CS": "cs",
     "computer science": "cs",
     "econ": "soc_economics",
     "economics": "soc_economics",
@@ -177,7 +188,7 @@ FIELD_TERMS = {
     "agriculture": "life_agricultural",
     "health sciences": "life_health",
     "non-science": "non_se",
-    "non-s&e": "non_se",
+    "non-S&E": "non_se",
     "humanities": "nse_humanities",
     "materials": "phys_materials",
     "materials science": "phys_materials",
@@ -185,9 +196,9 @@ FIELD_TERMS = {
 
 # --- fixed values: everyday word -> agency code -------------------------------
 AGENCY_TERMS = {
-    "nih": "HHS",
-    "national institutes of health": "HHS",
-    "pentagon": "DOD",
+    "NIH": "HHS",
+    "National Institutes of Health": "HHS",
+    "Pentagon": "DOD",
     "military": "DOD",
     "defense": "DOD",
     "energy": "DOE",
@@ -198,15 +209,11 @@ AGENCY_TERMS = {
 
 def taxonomy_rows() -> list[tuple[str, str, str, int]]:
     """(label, code, parent, is_parent) for each parent and sub-field."""
-    rows = []
-    for parent, (stem, _short, subs) in TAXONOMY.items():
-        rows.append((f"{stem}, all", parent, parent, 1))
-        rows += [(f"{stem}, {tail}", code, parent, 0) for code, tail in subs.items()]
-    return rows
+    return [(label, *codes) for label, codes in FIELD_TAXONOMY.items()]
 
 
 def field_codes() -> list[str]:
-    return sorted(code for _, code, _, _ in taxonomy_rows())
+    return sorted(code for code, _parent, _level in FIELD_TAXONOMY.values())
 
 
 # The tables below have a fixed number of rows, so they carry the broadcast hint.
@@ -229,7 +236,7 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 def short_labels(spark: SparkSession) -> DataFrame:
-    rows = [(code, short) for code, (_stem, short, _subs) in TAXONOMY.items()]
+    rows = list(FIELD_SHORT_LABELS.items())
     return F.broadcast(spark.createDataFrame(rows, "field_code string, label string"))
 
 

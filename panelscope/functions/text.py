@@ -19,7 +19,7 @@ def source_column(label: Column) -> Column:
 
 def article_first(name: Column) -> Column:
     """'Ohio State University, The' -> 'The Ohio State University'."""
-    tail = r"(?i),\s*The\s*$"
+    tail = r"(?i),\s*The\s*$"  # fixed pattern
     moved = F.concat(F.lit("The "), F.trim(F.regexp_replace(name, tail, "")))
     return F.when(name.rlike(tail), moved).otherwise(name)
 

@@ -132,7 +132,7 @@ def resolve_entities(queries: DataFrame, inst: DataFrame, aliases: DataFrame) ->
 
 def normalise_terms(asked: DataFrame, terms: DataFrame) -> DataFrame:
     """Map everyday field and agency words to codes; unknown words keep null."""
-    known = terms.select(F.col("term").alias("known"), "kind", "code")
+    known = terms.select(F.lower("term").alias("known"), "kind", "code")
     return (
         asked.select("term").distinct()
         .join(known, F.lower(F.trim("term")) == F.col("known"), "left")

@@ -34,7 +34,7 @@ def sorted_runs(df: DataFrame, keys: Sequence[Column], purpose: str = "sorted")
     df.orderBy(*keys).write.parquet(path)
     name = F.col("_metadata.file_name")
     part = F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
-    more = F.regexp_extract(name, r"-c(\d+)", 1).cast("long")
+    more = F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long")
     return spark.read.schema(df.schema).parquet(path).select(
         *df.columns, (part * 1_000_000 + F.coalesce(more, F.lit(0))).alias("_run"),
         F.col("_metadata.row_index").alias("_row"),

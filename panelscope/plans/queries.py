@@ -392,9 +392,9 @@ def _(p):
 
 @_panel_query("P8_labels")
 def _(p):
-    codes = list(dims.TAXONOMY)[:3]
     labels = F.broadcast(p.fields.sparkSession.createDataFrame(
-        list(zip(["economy", "large", "promo"], codes)), "field_code string, label string"
+        [("economy", "Economy"), ("large", "Large Scale"), ("promo", "Promotion")],
+        "field_code string, label string",
     ))
     return portfolio.labelled(p.fields, labels).groupBy("label", "is_parent").agg(
         F.sum("total").cast("long").alias("total")
