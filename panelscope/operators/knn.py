@@ -84,7 +84,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Axis cuts of a complete binary tree, its leaf boxes and their blocks."""
+    """Axis cuts of a complete binary tree, its leaf boxes and their blocks.
+
+    Sent to tasks with the functions that use it; of bounded size, as the depth is.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth = depth
@@ -203,14 +206,11 @@ def _placed(vectors: DataFrame, tree: Tree, dims: int) -> DataFrame:
 
 
 def _in_blocks(vectors: DataFrame, tree: Tree, dims: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)
-
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for batch in batches:
-            leaf = known.leaf(_matrix(batch["z"], dims))
-            part = batch["spread"].to_numpy() % np.maximum(known.blocks[leaf], 1)
-            block = (known.first_block[leaf] + part).astype("int32")
+            leaf = tree.leaf(_matrix(batch["z"], dims))
+            part = batch["spread"].to_numpy() % np.maximum(tree.blocks[leaf], 1)
+            block = (tree.first_block[leaf] + part).astype("int32")
             yield batch.drop(columns="spread").assign(block=block)
 
     return vectors.select(
@@ -220,12 +220,10 @@ def _in_blocks(vectors: DataFrame, tree: Tree, dims: int) -> DataFrame:
 
 def _visits(blocks: DataFrame, tree: Tree, k: int, dims: int) -> DataFrame:
     """One row per vector and block it must be compared with."""
-    shared = blocks.sparkSession.sparkContext.broadcast(tree)
-
     def reach(block: pd.DataFrame) -> pd.DataFrame:
         z = _matrix(block["z"], dims)
         radius = _radius(z, block["ids"].map(len).to_numpy(), k)
-        row, dst = shared.value.visits(z, radius)
+        row, dst = tree.visits(z, radius)
         return pd.DataFrame({
             "block": dst.astype("int32"), "rep": block["rep"].to_numpy()[row],
             "z": block["z"].to_numpy()[row], "radius": radius[row],

@@ -667,11 +667,17 @@ def _streamed(spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFra
     files = spark.read.parquet(f"{sf}/events.parquet")
     source = spark.readStream.schema(files.schema).parquet(f"{sf}/events.parque[t]")
     events_in = derived.with_institution(source).withColumn("ts", F.col("ts").cast("timestamp"))
-    query = (
-        build(events_in).writeStream.format("parquet").option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    # adaptive execution does not merge state partitions, so ask for one per core
+    wanted = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        query = (
+            build(events_in).writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
     return spark.read.parquet(f"{out}/rows")
 
 
