@@ -5,17 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
-from . import sharding, toxicity
+from . import lines, neardup, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"),
+        F.col("first.line_no").alias("class_line_no"), "kept")
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
