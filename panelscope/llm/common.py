@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 WHITE = bytes([32, 9, 10, 11, 12, 13])
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 U = np.uint64
 
 
@@ -108,6 +109,13 @@ def separators(extra: bytes = b"") -> np.ndarray:
     return table
 
 
+def lowered() -> np.ndarray:
+    """Bytes with ASCII letters in lower case."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
+
+
 def word_spans(
     data: np.ndarray, offsets: np.ndarray, apart: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from . import lines, neardup, sharding, toxicity
+from . import contamination, lines, neardup, packing, quality_rules, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,34 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("first.line_no").alias("class_line_no"), "kept")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Packed by the 50 k byte-level vocabulary."""
+    import public_tokenizers
+
+    return packing.pack(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    ).drop("text_key")
+
+
+def op10_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import Hasher, Texts, U, separators, text_slices, whole_text, word_spans
+from .common import (
+    PUNCTUATION, Hasher, Texts, U, lowered, separators, text_slices, whole_text, word_spans,
+)
 
 BUCKETS = 1 << 17
 TRAIN_ROWS = 50_000
@@ -34,7 +36,6 @@ PRIOR_TOKENS = 2_000.0  # weight of the Dirichlet prior
 LEAST_Z = 3.0  # log-odds shrink to 0 at this many standard errors
 DRIFT = 0.15  # what every token costs
 BIN, BINS = 0.25, 1024
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEGMENTS = "struct<n:long,scores:array<double>,starts:array<int>,ends:array<int>>"
 
 
@@ -58,17 +59,11 @@ def training_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
 
 
-def _lowered() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table
-
-
 class Tokens:
     """Hash buckets of the words of a slice: ASCII letters lowered, ASCII punctuation apart."""
 
     def __init__(self) -> None:
-        self.hasher, self.lower, self.apart = Hasher(7), _lowered(), separators(PUNCTUATION)
+        self.hasher, self.lower, self.apart = Hasher(7), lowered(), separators(PUNCTUATION)
 
     def __call__(self, part: Texts):
         data = self.lower[part.data]
