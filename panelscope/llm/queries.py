@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from . import contamination, lines, neardup, packing, quality_rules, sharding, toxicity
+from . import contamination, lines, neardup, packing, pii, quality_rules, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a source's documents of one language are a repository
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secrets.secrets(read_table(spark, sf_dir, "documents"), F.col("source"), repository)
+
+
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"),
@@ -44,6 +50,10 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
