@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from . import contamination, lines, neardup, packing, pii, quality_rules, secrets, sharding, toxicity
+from . import contamination, lines, neardup, packing, pii, quality_rules, secret_scan, sharding, toxicity, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.weak_quality(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a source's documents of one language are a repository
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    return secrets.secrets(read_table(spark, sf_dir, "documents"), F.col("source"), repository)
+    return secret_scan.secrets(read_table(spark, sf_dir, "documents"), F.col("source"), repository)
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
