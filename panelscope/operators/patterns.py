@@ -52,7 +52,7 @@ def faster_than_each(inst: DataFrame, y0: int, y1: int) -> DataFrame:
     growth = cagr_window(inst, y0, y1).where(
         (F.col("start_value") > 0) & (F.col("end_value") > 0)
     ).join(home, "inst_id")
-    placed = ranked(growth.select("inst_id", "state", "cagr"), "cagr", ["state"], "r", bound=inst)
+    placed = ranked(growth.select("inst_id", "state", "cagr"), "cagr", ["state"], "r")
     return placed.select("inst_id", "state", "cagr", (F.col("r") - 1).alias("n_faster"))
 
 
@@ -65,7 +65,7 @@ def top_field(
         pct(F.col("total"), F.col("total_rd")).alias("pct_of_portfolio"),
     )
     if n is None:
-        return ranked(rows, "field_rd", [], "field_rank", bound=fields)
+        return ranked(rows, "field_rd", [], "field_rank")
     return _first_n(rows, "field_rd", n, "field_rank")
 
 
@@ -80,7 +80,7 @@ def field_in_states(inst: DataFrame, fields: DataFrame, year: int, field_code: s
         "inst_id", "state", F.col("total").alias("field_rd"),
         pct(F.col("total"), F.col("total_rd")).alias("pct_of_portfolio"),
     )
-    placed = ranked(rows, "field_rd", ["state"], "state_rank", bound=fields)
+    placed = ranked(rows, "field_rd", ["state"], "state_rank")
     return placed.join(latest_names(inst), "inst_id")
 
 
@@ -110,7 +110,7 @@ def agency_share_rank(inst: DataFrame, agencies: DataFrame, year: int) -> DataFr
     shares = rows.select(
         "inst_id", "agency_code", "amount", pct(F.col("amount"), F.col("federal")).alias("pct_of_federal")
     ).where(F.col("pct_of_federal").isNotNull())
-    return ranked(shares, "pct_of_federal", ["agency_code"], "share_rank", bound=agencies)
+    return ranked(shares, "pct_of_federal", ["agency_code"], "share_rank")
 
 
 def concentration_band(agencies: DataFrame, year: int, target: str, margin: float = 5.0) -> DataFrame:

@@ -2,13 +2,11 @@
 
 A panel has few years and few states, so ``rank() over (partition by year)``
 would sort all entities of a year in one task. Here the rows are sorted by
-Spark's range partitioning and written: every file is a run of the total order,
-and a row knows its run and its place in it. Sums within a run plus the sums of
+Spark's range partitioning and written with the number of their sorted partition
+(a run) and their place in the total order. Sums within a run plus the sums of
 the runs before it give ranks and positions. Sort keys are unique (equal values
-are counted first), so no group, tie or value range can end up in one run.
-
-All functions fall back to the plain window or aggregate when the optimizer's
-size estimate shows the whole input fits one task (``in_runs=None``).
+are counted first), so no group, tie or value range can end up in one run. This
+is the only form, at every size.
 """
 
 from __future__ import annotations
@@ -19,31 +17,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_small, scratch_dir
+from ..session import write_scratch
 
 
 def sorted_runs(df: DataFrame, keys: Sequence[Column], purpose: str = "sorted") -> DataFrame:
     """Store ``df`` in the order of ``keys``, which must be unique per row.
 
-    Adds ``_run``, the number of the file a row is in, and ``_row``, its place
-    there; (_run, _row) is the total order. Being stored, the runs stay the same
-    however often they are read.
+    Adds ``_run``, the number of the sorted partition a row is in, and ``_row``,
+    which rises by one from row to row of a run, and from run to run. Being stored,
+    both stay the same however often they are read.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark, purpose)
-    df.orderBy(*keys).write.parquet(path)
-    name = F.col("_metadata.file_name")
-    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
-    more = F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long")
-    return spark.read.schema(df.schema).parquet(path).select(
-        *df.columns, (part * 1_000_000 + F.coalesce(more, F.lit(0))).alias("_run"),
-        F.col("_metadata.row_index").alias("_row"),
-    )
-
-
-def _in_runs(df: DataFrame, in_runs: bool | None, bound: DataFrame | None = None) -> bool:
-    """``bound`` is a table with no fewer rows than ``df``, whose size is known better."""
-    return (not is_small(df if bound is None else bound)) if in_runs is None else in_runs
+    return write_scratch(df.orderBy(*keys).select(
+        *df.columns, F.spark_partition_id().cast("long").alias("_run"),
+        F.monotonically_increasing_id().alias("_row")), purpose)
 
 
 def _order(value: str, descending: bool) -> Column:
@@ -95,16 +81,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def ranked(
     df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank",
-    descending: bool = True, in_runs: bool | None = None, bound: DataFrame | None = None,
+    descending: bool = True,
 ) -> DataFrame:
-    """Append SQL ``rank()`` of ``value`` within ``by`` (nulls ranked as smallest).
-
-    After a join the optimizer cannot tell the size of ``df``; pass the joined
-    table that has at least as many rows as ``bound``.
-    """
-    if not _in_runs(df, in_runs, bound):
-        w = Window.partitionBy(*by).orderBy(_order(value, descending))
-        return df.withColumn(out, F.rank().over(w).cast("long"))
+    """Append SQL ``rank()`` of ``value`` within ``by`` (nulls ranked as smallest)."""
     table = _running_counts(df, value, by, descending).select(
         *by, value, (F.col("_before") + 1).alias(out)
     )
@@ -115,29 +94,22 @@ def ranked(
 
 def positions(
     df: DataFrame, value: str, key: str, by: Sequence[str] = (), out: str = "position",
-    in_runs: bool | None = None,
 ) -> DataFrame:
     """Append a gap-free position by ``value`` descending, ties by the unique ``key``."""
     by = list(by)
-    order = [F.desc_nulls_last(value), F.col(key)]
-    if not _in_runs(df, in_runs):
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    stored = sorted_runs(df, [*[F.col(c) for c in by], *order], "positions")
+    stored = sorted_runs(df, [*[F.col(c) for c in by], F.desc_nulls_last(value), F.col(key)], "positions")
     earlier = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored.groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
-    )
-    inside = Window.partitionBy(*by, "_run").orderBy("_row")
-    local = stored.withColumn("_i", F.row_number().over(inside))
-    return null_safe_join(local, offsets, [*by, "_run"], "inner").withColumn(
-        out, F.col("_off") + F.col("_i")
+    # rows of a group are neighbours in a run, so a place is an offset from the first
+    offsets = stored.groupBy(*by, "_run").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
+    ).select(*by, "_run", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    return null_safe_join(stored, offsets, [*by, "_run"], "inner").withColumn(
+        out, F.col("_off") + F.col("_row")
     ).select(*df.columns, out)
 
 
 def previous_values(
     df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], out: str = "previous",
-    in_runs: bool | None = None,
 ) -> DataFrame:
     """Append ``lag(value)`` within ``by``; ``order`` must be unique in a group.
 
@@ -145,9 +117,6 @@ def previous_values(
     before it.
     """
     by, order = list(by), list(order)
-    if not _in_runs(df, in_runs):
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(out, F.lag(value).over(w))
     stored = sorted_runs(df, [F.col(c) for c in (*by, *order)], "previous")
     inside = Window.partitionBy(*by, "_run").orderBy("_row")
     local = stored.withColumns({"_lag": F.lag(value).over(inside), "_i": F.row_number().over(inside)})
@@ -162,14 +131,31 @@ def previous_values(
     ).select(*df.columns, out)
 
 
-def medians(
-    df: DataFrame, value: str, by: Sequence[str], out: str = "median", in_runs: bool | None = None
+def following_values(
+    df: DataFrame, value: str, by: Sequence[str], order: Sequence[Column], out: str = "following",
 ) -> DataFrame:
+    """Append the last non-null ``value`` so far in ``order`` within ``by``.
+
+    ``order`` must be unique in a group. A run starts with the last value of the
+    group's runs before it.
+    """
+    by = list(by)
+    stored = sorted_runs(df, [*[F.col(c) for c in by], *order], "following")
+    inside = Window.partitionBy(*by, "_run").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    local = stored.withColumn("_seen", F.last(value, ignorenulls=True).over(inside))
+    # a group has at most one row per run here
+    ends = stored.groupBy(*by, "_run").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_row"))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_run", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    return null_safe_join(local, carried, [*by, "_run"], "inner").withColumn(
+        out, F.coalesce("_seen", "_carried")).select(*df.columns, out)
+
+
+def medians(df: DataFrame, value: str, by: Sequence[str], out: str = "median") -> DataFrame:
     """Exact interpolated median of the non-null values per group."""
     by = list(by)
     known = df.where(F.col(value).isNotNull())
-    if not _in_runs(df, in_runs):
-        return known.groupBy(*by).agg(F.median(value).alias(out))
     table = _running_counts(known, value, by, descending=False)
     low = F.floor((F.col("_group_n") - 1) / 2)
     high = F.ceil((F.col("_group_n") - 1) / 2)
@@ -183,13 +169,8 @@ def medians(
     )
 
 
-def dense_positions(
-    distinct: DataFrame, value: str, out: str = "position", in_runs: bool | None = None
-) -> DataFrame:
+def dense_positions(distinct: DataFrame, value: str, out: str = "position") -> DataFrame:
     """Number the rows of a table of distinct values 0, 1, 2, … upwards."""
-    if not _in_runs(distinct, in_runs):
-        w = Window.orderBy(F.asc_nulls_first(value))
-        return distinct.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     table = _running_counts(distinct, value, [], descending=False).select(
         value, F.col("_distinct_before").cast("long").alias(out)
     )

@@ -1,21 +1,22 @@
-"""Session helpers: scratch space, size checks and default settings.
+"""Session helpers: scratch space and default settings.
 
 Operators never create a session; they use the one their input belongs to.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this optimizer size estimate an operator leaves its plain form (one task
-# per group) for the form that cuts groups into runs. An inner join's estimate
-# is the product of its sides, so the check errs towards cutting.
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
+# Where a local-mode session without ``spark.checkpoint.dir`` keeps its tables;
+# set by the program that starts such a session, never by the package.
+_local_root: list[str] = []
 
-_local_scratch: dict[str, str] = {}
+
+def use_local_scratch(folder: str) -> None:
+    """Name the scratch folder of local sessions that have no ``spark.checkpoint.dir``."""
+    _local_root[:] = [folder]
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -36,21 +37,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir`` for one written table.
 
-    The cluster names the shared folder. Only a local-mode session without the
-    setting gets a temporary folder of its own.
+    The cluster names that folder, which all executors share. Only a local-mode
+    session without the setting uses the folder given to ``use_local_scratch``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise ValueError(
-                "set spark.checkpoint.dir to a folder all executors share; "
-                f"master {master} cannot use a machine-local folder"
-            )
-        app = spark.sparkContext.applicationId
-        if app not in _local_scratch:
-            _local_scratch[app] = tempfile.mkdtemp(prefix="panelscope-")
-        root = _local_scratch[app]
+        if not spark.sparkContext.master.startswith("local") or not _local_root:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{_local_root[0]}/{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -64,13 +58,3 @@ def write_scratch(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for ``df``; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def is_small(df: DataFrame) -> bool:
-    """True if every group of ``df`` surely fits one task."""
-    return plan_bytes(df) <= SMALL_PLAN_BYTES

@@ -8,11 +8,12 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from panelscope.session import local_session  # noqa: E402
+from panelscope.session import local_session, use_local_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    use_local_scratch(str(tmp_path_factory.mktemp("scratch")))
     session = local_session(8)
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelscope.plans import ordering
@@ -28,37 +29,47 @@ def table(df, *cols):
 @pytest.mark.parametrize("by", [[], ["year"]])
 @pytest.mark.parametrize("descending", [True, False])
 def test_rank(skewed, by, descending):
-    plain = ordering.ranked(skewed, "v", by, "r", descending, in_runs=False)
-    runs = ordering.ranked(skewed, "v", by, "r", descending, in_runs=True)
+    order = F.desc_nulls_last("v") if descending else F.asc_nulls_first("v")
+    plain = skewed.withColumn("r", F.rank().over(Window.partitionBy(*by).orderBy(order)))
+    runs = ordering.ranked(skewed, "v", by, "r", descending)
     assert table(plain, "inst_id", "r") == table(runs, "inst_id", "r")
 
 
 def test_rank_of_doubles(skewed):
     doubles = skewed.withColumn("v", F.col("v") / 7.0)
-    plain = ordering.ranked(doubles, "v", ["year"], "r", in_runs=False)
-    runs = ordering.ranked(doubles, "v", ["year"], "r", in_runs=True)
+    plain = doubles.withColumn("r", F.rank().over(Window.partitionBy("year").orderBy(F.desc_nulls_last("v"))))
+    runs = ordering.ranked(doubles, "v", ["year"], "r")
     assert table(plain, "inst_id", "r") == table(runs, "inst_id", "r")
 
 
 @pytest.mark.parametrize("by", [[], ["year"]])
 def test_positions(skewed, by):
-    plain = ordering.positions(skewed, "v", "inst_id", by, in_runs=False)
-    runs = ordering.positions(skewed, "v", "inst_id", by, in_runs=True)
+    plain = skewed.withColumn("position", F.row_number().over(
+        Window.partitionBy(*by).orderBy(F.desc_nulls_last("v"), "inst_id")))
+    runs = ordering.positions(skewed, "v", "inst_id", by)
     assert table(plain, "inst_id", "position") == table(runs, "inst_id", "position")
 
 
 def test_medians(skewed):
-    plain = ordering.medians(skewed, "v", ["year"], in_runs=False)
-    runs = ordering.medians(skewed, "v", ["year"], in_runs=True)
+    plain = skewed.groupBy("year").agg(F.median("v").alias("median"))
+    runs = ordering.medians(skewed, "v", ["year"])
     assert table(plain, "year", "median") == table(runs, "year", "median")
 
 
 def test_previous_values(skewed):
-    plain = ordering.previous_values(skewed, "v", ["year"], ["inst_id"], in_runs=False)
-    runs = ordering.previous_values(skewed, "v", ["year"], ["inst_id"], in_runs=True)
+    plain = skewed.withColumn("previous", F.lag("v").over(Window.partitionBy("year").orderBy("inst_id")))
+    runs = ordering.previous_values(skewed, "v", ["year"], ["inst_id"])
     assert table(plain, "inst_id", "previous") == table(runs, "inst_id", "previous")
 
 
+def test_following_values(skewed):
+    sparse = skewed.withColumn("v", F.when(F.col("inst_id").cast("int") % 400 == 0, F.col("v")))
+    order = Window.partitionBy("year").orderBy(F.desc("inst_id"))
+    plain = sparse.withColumn("following", F.last("v", ignorenulls=True).over(order))
+    runs = ordering.following_values(sparse, "v", ["year"], [F.desc("inst_id")])
+    assert table(plain, "inst_id", "following") == table(runs, "inst_id", "following")
+
+
 def test_runs_split_a_hot_group(skewed):
     """No run may hold a whole year, or all rows of the hot value's year."""
     keys = [F.col("year"), F.desc_nulls_last("v"), F.col("inst_id")]
@@ -70,13 +81,12 @@ def test_runs_split_a_hot_group(skewed):
 
 def test_dense_positions_and_neighbours(spark):
     values = spark.range(0, 500).select((F.col("id") * 3).alias("v"))
-    for in_runs in (False, True):
-        at = ordering.dense_positions(values, "v", "p", in_runs=in_runs)
-        around = ordering.neighbours(at, "p", 4, F.col("v"), block=16).orderBy("p").collect()
-        assert [r["p"] for r in around] == list(range(500))
-        for r in around:
-            lo, hi = max(0, r["p"] - 4), min(499, r["p"] + 4)
-            assert r["around"] == [3 * i for i in range(lo, hi + 1)]
+    at = ordering.dense_positions(values, "v", "p")
+    around = ordering.neighbours(at, "p", 4, F.col("v"), block=16).orderBy("p").collect()
+    assert [r["p"] for r in around] == list(range(500))
+    for r in around:
+        lo, hi = max(0, r["p"] - 4), min(499, r["p"] + 4)
+        assert r["around"] == [3 * i for i in range(lo, hi + 1)]
 
 
 def test_top_k_limits_before_the_shuffle(spark):
