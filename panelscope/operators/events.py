@@ -6,19 +6,15 @@ events of a user in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import dims
-from ..plans.ordering import previous_values, top_k
-from ..session import is_small, write_scratch
-
-HOT_ROWS = 1_000_000
+from ..plans.ordering import following_values, previous_values, top_k
+from ..session import write_scratch
 
 
 def micros(ts: str) -> Column:
@@ -31,14 +27,14 @@ def time_bucket(ts: str, seconds: int) -> Column:
 
 def dedup_consecutive(
     views: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    value: str = "institution", in_runs: bool | None = None,
+    value: str = "institution",
 ) -> DataFrame:
     """Keep a view only if the user's previous view was of something else.
 
     Views of nothing are ignored; views at the same time are ordered by ``key``.
     """
     real = views.where(F.col(value).isNotNull() & (F.col(value) != ""))
-    known = previous_values(real, value, [user], [ts, key], "_previous", in_runs)
+    known = previous_values(real, value, [user], [ts, key], "_previous")
     changed = F.col("_previous").isNull() | (F.col("_previous") != F.col(value))
     return known.where(changed).select(views.columns)
 
@@ -81,105 +77,65 @@ def quota_windows(
 
 def quota_flags(
     requests: DataFrame, limit: int = dims.QUOTA_LIMIT, window_seconds: int = dims.QUOTA_SECONDS,
-    user: str = "user_id", ts: str = "ts", key: str = "event_id", hot_rows: int = HOT_ROWS,
-    check_hot: bool | None = None,
+    user: str = "user_id", ts: str = "ts", key: str = "event_id",
 ) -> DataFrame:
     """Flag each request as accepted or rejected by a per-user quota.
 
-    Users are cut into runs (see ``_runs``), which are spread over tasks and
-    read there in order, a batch at a time. Runs of more than ``hot_rows``
-    events are swept bucket by bucket instead, see ``_sweep``; looking for them
-    is a job of its own, skipped when the input is small.
+    A window opens with the first request more than ``window_seconds`` after the
+    last opening; its first ``limit`` requests are accepted. Openings are found by
+    joins on (user, time), whose keys are distinct; a request's window is that of
+    its time bucket or one of the two before, and of each window only the first
+    ``limit`` requests are ranked. So users and buckets of any size are spread.
+    Requests without a user are left out.
     """
     width = window_seconds * 1_000_000
-    cut = requests.select(
-        user, key, ts, micros(ts).alias("_t"), time_bucket(ts, window_seconds).alias("_b")
-    )
-    runs = _runs(cut, user)
-    tagged = cut.join(runs.select(user, "_b", "_run"), [user, "_b"])
-    out = T.StructType([
-        *[requests.schema[c] for c in (key, user, ts)],
-        T.StructField("window_start_us", T.LongType()), T.StructField("accepted", T.BooleanType()),
-    ])
-
-    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, opened, used = None, None, 0  # the run the last batch ended in
-        for batch in batches:
-            if not len(batch):
-                continue
-            times = batch["_t"].to_numpy()
-            fresh = (batch[user].ne(batch[user].shift()) | batch["_run"].ne(batch["_run"].shift())).to_numpy()
-            cuts = np.append(np.flatnonzero(fresh), len(batch))
-            starts, flags = np.empty(len(batch), dtype=np.int64), np.empty(len(batch), dtype=bool)
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                this = (batch[user].iat[i], batch["_run"].iat[i])
-                state = (opened, used) if this == owner else (None, 0)
-                starts[i:j], flags[i:j] = quota_windows(times[i:j], limit, width, *state)
-                same = starts[i:j] == starts[j - 1]
-                used = int(same.sum()) + (state[1] if state[0] == starts[j - 1] else 0)
-                owner, opened = this, int(starts[j - 1])
-            yield batch.assign(window_start_us=starts, accepted=flags)[out.names]
-
-    def flagged(part: DataFrame) -> DataFrame:
-        ordered = part.repartition(user, "_run").sortWithinPartitions(user, "_run", "_t", key)
-        return ordered.mapInPandas(flag, out)
-
-    hot = None
-    if (not is_small(requests)) if check_hot is None else check_hot:
-        sizes = runs.groupBy(user, "_run").agg(F.sum("_n").alias("n"))
-        # fewer than (all events / hot_rows) rows
-        hot = [r[:2] for r in sizes.where(F.col("n") > hot_rows).collect()]
-    if not hot:
-        return flagged(tagged)
-    spark = requests.sparkSession
-    hot_keys = spark.createDataFrame(hot, T.StructType([requests.schema[user], T.StructField("_run", T.LongType())]))
-    calm = tagged.join(F.broadcast(hot_keys), [user, "_run"], "left_anti")
-    busy = tagged.join(F.broadcast(hot_keys), [user, "_run"], "left_semi")
-    return flagged(calm).unionByName(_sweep(busy, limit, width, user, key).select(out.names))
-
-
-def _sweep(busy: DataFrame, limit: int, width: int, user: str, key: str) -> DataFrame:
-    """Quota flags for a few users with very many requests each.
-
-    A bucket is as long as a window, so at most one window opens in it: at the
-    first request more than a width after the last opening. One small
-    aggregation per bucket finds that request; the openings, one per user and
-    bucket, are all the driver keeps.
-    """
-    spark = busy.sparkSession
-    stored = write_scratch(busy, "quota-busy")
-    user_type = busy.schema[user]
-    state_type = T.StructType([user_type, T.StructField("_after", T.LongType())])
-    owners: dict[int, list] = {}
-    for row in stored.select("_b", user).distinct().collect():
-        owners.setdefault(row["_b"], []).append(row[user])
-    opened: dict = {}
-    history = []
-    for bucket in sorted(owners):
-        known = [(u, opened.get(u, -(1 << 62)) + width) for u in owners[bucket]]
-        state = spark.createDataFrame(known, state_type)
-        first = (
-            stored.where(F.col("_b") == bucket).select(user, "_t").join(F.broadcast(state), user)
-            .where(F.col("_t") > F.col("_after")).groupBy(user).agg(F.min("_t").alias("t")).collect()
-        )
-        found = {r[user]: r["t"] for r in first}
-        for u in owners[bucket]:
-            history.append((u, bucket, opened.get(u), found.get(u)))
-            opened[u] = found.get(u, opened.get(u))
-    openings = spark.createDataFrame(history, T.StructType([
-        user_type, *[T.StructField(c, T.LongType()) for c in ("_b", "_carried", "_opened")],
-    ]))
-    placed = stored.join(F.broadcast(openings), [user, "_b"]).withColumn(
-        "window_start_us",
-        F.when(F.col("_t") >= F.col("_opened"), F.col("_opened")).otherwise(F.col("_carried")),
-    )
+    cut = write_scratch(requests.where(F.col(user).isNotNull()).select(
+        user, key, ts, micros(ts).alias("_t"), time_bucket(ts, window_seconds).alias("_b")), "quota")
+    opened = window_openings(cut, width, user)
+    home = F.floor(F.col("_o") / width).cast("long")
+    # a window ends in the bucket after the one it opens in; the next opens one later at most
+    reach = opened.select(user, "_o", F.explode(F.sequence(home, home + 2)).alias("_b")).groupBy(
+        user, "_b").agg(F.collect_list("_o").alias("_near"))  # three at most
+    placed = write_scratch(cut.join(reach, [user, "_b"]).withColumn(
+        "window_start_us", F.array_max(F.filter("_near", lambda o: o <= F.col("_t")))
+    ).drop("_near", "_b"), "quota-windows")
     kept = top_k(placed.select(user, "window_start_us", "_t", key), [user, "window_start_us"],
                  [F.col("_t"), F.col(key)], limit, "_i")
     last = kept.groupBy(user, "window_start_us").agg(F.max(F.struct("_t", key)).alias("_last"))
-    # one row per user and window
-    return placed.join(F.broadcast(last), [user, "window_start_us"]).withColumn(
-        "accepted", F.struct("_t", key) <= F.col("_last")
-    )
+    return placed.join(last, [user, "window_start_us"]).select(
+        key, user, ts, "window_start_us", (F.struct("_t", key) <= F.col("_last")).alias("accepted"))
+
+
+def window_openings(cut: DataFrame, width: int, user: str) -> DataFrame:
+    """(user, _o): the requests that open a window.
+
+    Every request points to the one that would open the next window after it. The
+    first request of a run (see ``_runs``) opens a window, and what can be reached
+    from it are the others. Pointers are doubled, so the number of rounds is the
+    logarithm of the longest run's number of buckets.
+    """
+    points = write_scratch(cut.select(user, "_t", "_b").distinct(), "quota-points")
+    runs = _runs(points, user)
+    starts = points.join(runs.where(F.col("_b") == F.col("_run")).select(user, "_b"), [user, "_b"]).groupBy(
+        user, "_b").agg(F.min("_t").alias("_o")).select(user, "_o")
+    longest = runs.groupBy(user, "_run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    rounds = ((longest or 1) - 1).bit_length()
+    # latest first, so that the point last seen is the next in time; at one time, askers come first
+    marks = points.select(user, F.col("_t").alias("_at"), F.lit(1).alias("_kind"), F.col("_t").alias("_point"))
+    asked = points.select(user, (F.col("_t") + width).alias("_at"), F.lit(0).alias("_kind"),
+                          F.lit(None).cast("long").alias("_point"))
+    found = following_values(marks.unionByName(asked), "_point", [user], [F.desc("_at"), F.asc("_kind")], "_next")
+    jump = write_scratch(found.where((F.col("_kind") == 0) & F.col("_next").isNotNull()).select(
+        user, (F.col("_at") - width).alias("_o"), "_next"), "quota-jumps")
+    reached = write_scratch(starts, "quota-openings")
+    for turn in range(rounds):
+        ahead = reached.join(jump, [user, "_o"]).select(user, F.col("_next").alias("_o"))
+        reached = write_scratch(reached.union(ahead).distinct(), "quota-openings")
+        if turn < rounds - 1:
+            on = jump.select(user, F.col("_o").alias("_next"), F.col("_next").alias("_far"))
+            jump = write_scratch(jump.join(on, [user, "_next"]).select(
+                user, "_o", F.col("_far").alias("_next")), "quota-jumps")
+    return reached
 
 
 def latest_preferences(
@@ -192,9 +148,11 @@ def latest_preferences(
     return newest.select(*keys, "v.*").select(changes.columns)
 
 
-def upsert_preferences(current: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_preferences(
+    current: DataFrame, changes: DataFrame, order: Sequence[str] = ("updated_at",)
+) -> DataFrame:
     """Stored preferences with changes applied; writing is a full refresh."""
-    return latest_preferences(current.unionByName(changes))
+    return latest_preferences(current.unionByName(changes), order=order)
 
 
 def usage_counts(events: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import dims, schema
 from ..operators import knn
-from ..session import write_scratch
+from ..session import scratch_dir, write_scratch
 from . import panel
 
 LINES_PER_ORDER = 7
+CHANGE_ORDER = ("updated_at", "change_id")
+SLICES, FILES_PER_SLICE = 6, 4
 SOURCE_LINES = [
     ("01.a", "Federal government", "federal"),
     ("01.b", "State and local government", "state_local"),
@@ -84,6 +86,76 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.inline(levels)).distinct()
 
 
+def survey_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The microdata as one Latin-1 CSV per year: padded header, tabs behind labels, accents."""
+    folder = scratch_dir(spark, "surveys")
+    rows = write_scratch(microdata(spark, sf_dir).withColumns({
+        "inst_name_long": F.concat(F.lit("Université "), "inst_name_long"),
+        "row": F.when(F.col("questionnaire_no").startswith("01."), F.concat("row", F.lit("\t"))).otherwise(F.col("row")),
+    }), "survey-rows")
+    years = sorted(r[0] for r in rows.select("year").distinct().collect())  # a few dozen at most
+    keep = {"header": True, "encoding": "ISO-8859-1", "escape": '"', "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False}
+    paths = []
+    for year in years:
+        paths.append(f"{folder}/survey_{year}_v2.csv")
+        one = rows.where(F.col("year") == year)
+        one.toDF(*[f" {c} " for c in one.columns]).write.options(**keep).csv(paths[-1])
+    return paths
+
+
+def with_orphans(p: panel.Panel) -> panel.Panel:
+    """The panel and, for every seventh entity, field and agency rows of one that has no totals."""
+    def copies(df: DataFrame) -> DataFrame:
+        some = df.where(F.col("inst_id").cast("long") % 7 == 0)
+        return df.unionByName(some.withColumn("inst_id", F.concat(F.lit("9"), F.substring("inst_id", 2, 99))))
+
+    return panel.Panel(p.inst, copies(p.fields), copies(p.agencies))
+
+
+def with_unknown_fields(micro: DataFrame) -> DataFrame:
+    """Each field line again under a label that no taxonomy has, for every fifth entity."""
+    unknown = micro.where((F.col("inst_id").cast("long") % 5 == 0) & F.col("row").contains(", Brand"))
+    return micro.unionByName(unknown.withColumn("row", F.concat(F.lit("Unlisted "), "row")))
+
+
+def with_childless_parents(fields: DataFrame) -> DataFrame:
+    """The fields and, of every parent, a copy without sub-fields."""
+    alone = fields.where("is_parent = 1").withColumns({
+        "field_code": F.concat(F.lit("alone_"), "field_code"), "parent_field": F.concat(F.lit("alone_"), "parent_field"),
+        "field_name": F.concat(F.lit("Alone "), "field_name")})
+    return fields.unionByName(alone)
+
+
+def asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every part name, and beside some of them a term that is known."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("word"), "p_size")
+    planted = F.when(F.col("p_size") % 3 == 0, F.lit(" Physics ")).when(F.col("p_size") % 7 == 0, F.lit("NIH"))
+    return words.select(F.explode(F.array_compact(F.array("word", planted))).alias("term"))
+
+
+def ordered_files(df: DataFrame, order: str) -> tuple[str, int]:
+    """Write time slices of ``df`` one after the other; the folder, and files per slice.
+
+    File streams take files by their time of writing, so each slice is a
+    micro-batch of its own and slices come in order.
+    """
+    spark = df.sparkSession
+    folder, stored = scratch_dir(spark, "slices"), write_scratch(df, "sliced")
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = stored.agg(F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)], 1000)).first()[0] or []
+    bounds = sorted(set(cuts))
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        inside = F.lit(True)
+        if low is not None:
+            inside &= at > low
+        if high is not None:
+            inside &= at <= high
+        stored.where(inside).repartition(FILES_PER_SLICE).write.mode("append").parquet(folder)
+    return folder, FILES_PER_SLICE
+
+
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a customer's peer list for the supplier of its first line.
 

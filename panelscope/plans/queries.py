@@ -13,9 +13,10 @@ from ..operators import (
     agency, audit, checks, etl, events, growth, knn, lookup, patterns, peers, portfolio, rank,
 )
 from ..session import scratch_dir
-from ..sources import logs, tables
+from ..sources import logs, microdata, tables
 from ..streaming import events as streams
 from . import adhoc, derived
+from .load import load_microdata
 from .panel import Panel, customer_panel, supplier_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,39 @@ def all_queries() -> dict[str, Query]:
 # --- sources, sinks and SQL ---------------------------------------------------
 
 
+_loaded: dict[tuple[str, str], tuple[Panel, list[str]]] = {}
+
+
+def _microdata_panel(spark: SparkSession, sf: str) -> tuple[Panel, list[str]]:
+    """The survey files loaded into tables, once per application, and the files."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _loaded:
+        files = derived.survey_files(spark, sf)
+        _loaded[key] = load_microdata(
+            spark, files, scratch_dir(spark, "survey-tables"), derived.taxonomy(spark, sf)), files
+    return _loaded[key]
+
+
+@_query("S1_microdata_institutions")
+def _(spark, sf):
+    return _microdata_panel(spark, sf)[0].inst
+
+
+@_query("S1_microdata_fields")
+def _(spark, sf):
+    return _microdata_panel(spark, sf)[0].fields
+
+
+@_query("S1_microdata_agencies")
+def _(spark, sf):
+    return _microdata_panel(spark, sf)[0].agencies
+
+
+@_query("S2_survey_years")
+def _(spark, sf):
+    return microdata.survey_years(spark, _microdata_panel(spark, sf)[1])
+
+
 @_panel_query("S4_institutions_table")
 def _(p):
     return p.inst
@@ -147,8 +181,7 @@ def _(spark, sf):
 
 @_query("T9_unmapped_fields")
 def _(spark, sf):
-    known = derived.taxonomy(spark, sf).where(F.col("parent_field") != "promo")
-    return etl.unmapped_fields(derived.microdata(spark, sf), known)
+    return etl.unmapped_fields(derived.with_unknown_fields(derived.microdata(spark, sf)), derived.taxonomy(spark, sf))
 
 
 @_query("T10_agency_funding")
@@ -195,6 +228,12 @@ def _(p):
     return checks.broken_invariants(b.inst, b.fields, b.agencies)
 
 
+@_panel_query("T14_invariants_orphans")
+def _(p):
+    b = derived.with_orphans(p)
+    return checks.broken_invariants(b.inst, b.fields, b.agencies)
+
+
 @_panel_query("T14_duplicate_keys")
 def _(p):
     return checks.duplicate_keys(p.fields.unionByName(p.fields.where(F.col("year") == Y1)), "field_expenditures")
@@ -205,11 +244,30 @@ def _(p):
     return checks.latest_snapshot(p.agencies)
 
 
+@_panel_query("T15_latest_institutions")
+def _(p):
+    return checks.latest_snapshot(p.inst)
+
+
+@_panel_query("T15_latest_fields")
+def _(p):
+    return checks.latest_snapshot(p.fields)
+
+
 @_customer_query("T16_time_windows")
 def _(c):
     return lookup.time_windows(c)
 
 
+@_query("T16_custom_windows")
+def _(spark, sf):
+    key = F.col("c_custkey")
+    asked = spark.read.parquet(f"{sf}/customer.parquet").select(
+        key.alias("user_id"), F.when(key % 11 > 0, 1988 + key % 17).cast("int").alias("y0"),
+        F.when(key % 13 > 0, 1990 + key * 7 % 19).cast("int").alias("y1"))
+    return lookup.custom_windows(asked, customer_panel(spark, sf), first_year=1993)
+
+
 # --- lookup -------------------------------------------------------------------
 
 
@@ -242,11 +300,7 @@ def _(spark, sf):
 
 @_query("N5_normalise_terms")
 def _(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    words = part.select(F.explode(F.split("p_name", " ")).alias("word"), "p_size")
-    asked = words.select(F.when(F.col("p_size") % 3 == 0, F.lit(" Physics "))
-                         .when(F.col("p_size") % 7 == 0, F.lit("NIH")).otherwise(F.col("word")).alias("term"))
-    return lookup.normalise_terms(asked, dims.terms(spark))
+    return lookup.normalise_terms(derived.asked_terms(spark, sf), dims.terms(spark))
 
 
 # --- rank ---------------------------------------------------------------------
@@ -403,8 +457,7 @@ def _(p):
 
 @_panel_query("P9_parents_with_subfields")
 def _(p):
-    childless = p.fields.where((F.col("is_parent") == 1) | (F.col("parent_field") != "promo"))
-    return portfolio.parents_with_subfields(childless, Y1)
+    return portfolio.parents_with_subfields(derived.with_childless_parents(p.fields), Y1)
 
 
 # --- agencies -----------------------------------------------------------------
@@ -515,7 +568,7 @@ def _(p, edges):
 
 
 def _latest_prefs(spark: SparkSession, sf: str) -> DataFrame:
-    return events.latest_preferences(derived.preferences(spark, sf), order=("updated_at", "change_id"))
+    return events.latest_preferences(derived.preferences(spark, sf), order=derived.CHANGE_ORDER)
 
 
 @_query("K13_effective_edges")
@@ -661,41 +714,87 @@ def _(spark, sf):
     return audit.unknown_codes(derived.logged_sql(spark, sf), "event_id", "sql")
 
 
-def _streamed(spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a stream over the event files until they are used up; read its output."""
+# later than any event; no state is dropped, so rows equal the batch form
+STREAM = {"late": "3650 days", "idle": None}
+
+
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own: state partitions are not merged, so one per core, for streams only."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return session
+
+
+def _opened(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
+    """``df`` as a stream of several time slices, one micro-batch each."""
+    folder, per_slice = derived.ordered_files(df, order)
+    return _stream_session(spark).readStream.schema(df.schema).option(
+        "maxFilesPerTrigger", per_slice).parquet(folder)
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream over all its files; read the rows it appended."""
     out = scratch_dir(spark, "stream")
-    files = spark.read.parquet(f"{sf}/events.parquet")
-    source = spark.readStream.schema(files.schema).parquet(f"{sf}/events.parque[t]")
-    events_in = derived.with_institution(source).withColumn("ts", F.col("ts").cast("timestamp"))
-    # adaptive execution does not merge state partitions, so ask for one per core
-    wanted = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    try:
-        query = (
-            build(events_in).writeStream.format("parquet").option("path", f"{out}/rows")
-            .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
+def _updated(spark: SparkSession, stream: DataFrame, keys: list[str], sink, mode: str) -> DataFrame:
+    """Run a stream into versioned rows; the newest version of every key."""
+    out = scratch_dir(spark, "stream")
+    stream.writeStream.outputMode(mode).foreachBatch(sink(f"{out}/rows")).option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.newest_versions(spark.read.parquet(f"{out}/rows"), keys)
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    timed = derived.usage_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _opened(spark, timed, "ts")
+
+
 @_query("E2_dedup_stream")
 def _(spark, sf):
-    kept = _streamed(spark, sf, streams.dedup_consecutive_stream)
+    kept = _drained(spark, streams.dedup_consecutive_stream(_event_stream(spark, sf), **STREAM))
     return kept.select("event_id", "user_id", "institution")
 
 
 @_query("E3_quota_stream")
 def _(spark, sf):
-    return _streamed(spark, sf, lambda e: streams.quota_stream(e, **QUOTA)).drop("ts")
+    return _drained(spark, streams.quota_stream(_event_stream(spark, sf), **QUOTA, **STREAM)).drop("ts")
+
+
+@_query("E3_quota_hot_user")
+def _(spark, sf):
+    busy = derived.usage_events(spark, sf).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 > 0, -1).otherwise(F.col("user_id")).cast("long"))
+    return events.quota_flags(busy, limit=3, window_seconds=3600).drop("ts")
+
+
+@_query("E4_preferences_upsert")
+def _(spark, sf):
+    changes = derived.preferences(spark, sf)
+    old = F.col("change_id") % 2 == 0
+    stored = events.latest_preferences(changes.where(old), order=derived.CHANGE_ORDER)
+    kept = events.upsert_preferences(stored, changes.where(~old), derived.CHANGE_ORDER)
+    return kept.withColumn("custom_peers", F.array_join("custom_peers", "|"))
+
+
+@_query("E4_preferences_stream")
+def _(spark, sf):
+    changes = derived.preferences(spark, sf)
+    stream = _opened(spark, changes, "updated_at")
+    kept = _updated(spark, stream, ["user_id", "institution"],
+                    lambda path: streams.latest_preferences_sink(path, derived.CHANGE_ORDER), "append")
+    return kept.select(changes.columns).withColumn("custom_peers", F.array_join("custom_peers", "|"))
 
 
 @_query("E5_usage_stream")
 def _(spark, sf):
-    counts = _streamed(spark, sf, streams.usage_counts_stream)
-    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    counts = streams.usage_counts_stream(_event_stream(spark, sf), late=STREAM["late"])
+    kept = _updated(spark, counts, ["window_start", "event_type"], streams.append_versions, "update")
+    return kept.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")
 
 
 # --- column helpers -----------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,38 +11,49 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import dims
-from ..operators.events import latest_preferences, micros
+from ..operators.events import latest_preferences, micros, quota_windows
 
 
 def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
-def _expire(state: GroupState, newest: pd.Timestamp, idle_ms: int) -> None:
+def _millis(idle: str | None) -> int | None:
+    return None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+
+
+def _timeout(idle: str | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+
+
+def _expire(state: GroupState, newest: pd.Timestamp, idle_ms: int | None) -> None:
     """Forget the user once the watermark is ``idle`` past its newest event."""
+    if idle_ms is None:
+        return
     due = int(newest.timestamp() * 1000) + idle_ms
     state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
 
 def dedup_consecutive_stream(
     views: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    value: str = "institution", late: str = "1 hour", idle: str = "30 days",
+    value: str = "institution", *, late: str, idle: str | None,
 ) -> DataFrame:
     """Keep changes of the viewed value per user; state is the last value.
 
-    A late view is ordered within its micro-batch only, and dropped once it is
-    behind the watermark. Users idle longer than ``idle`` in event time lose
-    their state, and their next view counts as a change.
+    A view more than ``late`` behind the newest one seen is dropped; other late views
+    are ordered within their micro-batch only. With ``idle``, users idle longer than
+    that in event time lose their state, and their next view counts as a change;
+    with None state is kept for ever and rows equal the batch form.
     """
     real = views.withWatermark(ts, late).where(F.col(value).isNotNull() & (F.col(value) != ""))
     out = T.StructType(_fields(views, key, user, ts, value))
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = _millis(idle)
 
     def changes(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values([ts, key])
+        rows = pd.concat(list(batches)).sort_values([ts, key])  # a user's rows of one micro-batch
         last = state.get[0] if state.exists else None
         previous = rows[value].shift(1)
         previous.iloc[0] = last
@@ -51,53 +62,50 @@ def dedup_consecutive_stream(
         yield rows[rows[value] != previous][out.names]
 
     return real.groupBy(user).applyInPandasWithState(
-        changes, out, "last string", "append", GroupStateTimeout.EventTimeTimeout
+        changes, out, "last string", "append", _timeout(idle)
     )
 
 
 def quota_stream(
     requests: DataFrame, limit: int = dims.QUOTA_LIMIT, window_seconds: int = dims.QUOTA_SECONDS,
     user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    late: str = "1 hour", idle: str = "30 days",
+    *, late: str, idle: str | None,
 ) -> DataFrame:
     """Quota flags on a stream; state per user is the open window and its count.
 
-    ``idle`` must be longer than the quota window, so that expired state never
-    differs from a window that has run out.
+    ``late`` and ``idle`` as in ``dedup_consecutive_stream``. ``idle`` must be longer
+    than the quota window, so that expired state never differs from a window that
+    has run out.
     """
     width = window_seconds * 1_000_000
     out = T.StructType([*_fields(requests, key, user, ts),
                         T.StructField("window_start_us", T.LongType()),
                         T.StructField("accepted", T.BooleanType())])
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = _millis(idle)
 
     def admit(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["_t", key])
-        start, used = state.get if state.exists else (None, 0)
-        starts, flags = [], []
-        for t in rows["_t"]:
-            if start is None or t - start > width:
-                start, used = int(t), 0
-            flags.append(used < limit)
-            used += flags[-1]
-            starts.append(start)
+        rows = pd.concat(list(batches)).sort_values(["_t", key])  # a user's rows of one micro-batch
+        known = state.get if state.exists else (None, 0)
+        starts, flags = quota_windows(rows["_t"].to_numpy(), limit, width, *known)
+        start = int(starts[-1])
+        used = int((starts == start).sum()) + (known[1] if known[0] == start else 0)
         state.update((start, int(used)))
         _expire(state, rows[ts].iloc[-1], idle_ms)
         yield rows.assign(window_start_us=starts, accepted=flags)[out.names]
 
     timed = requests.withWatermark(ts, late).select(key, user, ts, micros(ts).alias("_t"))
     return timed.groupBy(user).applyInPandasWithState(
-        admit, out, "start long, used long", "append", GroupStateTimeout.EventTimeTimeout
+        admit, out, "start long, used long", "append", _timeout(idle)
     )
 
 
 def usage_counts_stream(
-    events: DataFrame, ts: str = "ts", every: str = "1 day", late: str = "1 hour"
+    events: DataFrame, ts: str = "ts", every: str = "1 day", *, late: str
 ) -> DataFrame:
-    """Events per time window and type, emitted once the watermark passes."""
+    """Events per time window and type, for update mode: a row each time a count grows."""
     return (
         events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n_events"))
@@ -105,9 +113,27 @@ def usage_counts_stream(
     )
 
 
-def latest_preferences_sink(apply_changes):
-    """A ``foreachBatch`` function: reduce each micro-batch to its newest rows."""
+def append_versions(path: str):
+    """A ``foreachBatch`` function that appends the updated rows with their batch number.
+
+    A batch that is run again writes its own folder again, so it counts once.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return run
+
+
+def newest_versions(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of every key of what ``append_versions`` wrote: all windows, open ones too."""
+    return latest_preferences(table, keys, ["batch"]).drop("batch")
+
+
+def latest_preferences_sink(path: str, order: Sequence[str] = ("updated_at",)):
+    """A ``foreachBatch`` function that keeps the newest row per key of every micro-batch."""
+    write = append_versions(path)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(latest_preferences(batch), batch_id)
+        write(latest_preferences(batch, order=order), batch_id)
 
     return run

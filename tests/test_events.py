@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from panelscope.sources import logs
 from panelscope.streaming import events as streams
 
 START = dt.datetime(2024, 1, 1)
+KEEP = {"late": "3650 days", "idle": None}
 SCHEMA = "event_id long, user_id long, ts timestamp, event_type string, institution string"
 
 
@@ -59,29 +61,28 @@ def test_quota(usage, limit, seconds):
     assert {r["event_id"]: r["accepted"] for r in plain.collect()} == want
 
 
-def test_quota_sweeps_hot_users(usage):
-    """A low threshold sends the busy runs through the bucket sweep."""
-    want = brute_quota(make_events(), 4, 3600)
-    swept = events.quota_flags(usage, 4, 3600, hot_rows=60, check_hot=True)
-    plain = events.quota_flags(usage, 4, 3600)
-    assert {r["event_id"]: r["accepted"] for r in swept.collect()} == want
-    keep = ["event_id", "window_start_us", "accepted"]
-    assert sorted(swept.select(keep).collect()) == sorted(plain.select(keep).collect())
+def test_quota_openings_match_the_sequential_form(usage):
+    rows = sorted(make_events(), key=lambda r: (r[1], r[2], r[0]))
+    want = {}
+    for user in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == user]
+        times = np.array([int((r[2] - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for r in mine])
+        starts, flags = events.quota_windows(times, 4, 3600 * 1_000_000)
+        want |= {r[0]: (int(s), bool(f)) for r, s, f in zip(mine, starts, flags)}
+    got = events.quota_flags(usage, 4, 3600).collect()
+    assert {r["event_id"]: (r["window_start_us"], r["accepted"]) for r in got} == want
 
 
-def test_quota_state_crosses_batches(spark, usage):
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = {r["event_id"]: r["accepted"] for r in events.quota_flags(usage, 5, 3600).collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert got == brute_quota(make_events(), 5, 3600)
+def test_quota_jobs_do_not_grow_with_time(spark):
+    """A dense run of 400 windows takes as many doublings as its logarithm."""
+    rows = [(i, 1, START + dt.timedelta(minutes=20 * i), "ask", "A") for i in range(1200)]
+    dense = spark.createDataFrame(rows, SCHEMA)
+    got = {r["event_id"]: r["accepted"] for r in events.quota_flags(dense, 2, 3600).collect()}
+    assert got == brute_quota(rows, 2, 3600)
 
 
-@pytest.mark.parametrize("in_runs", [False, True])
-def test_dedup(usage, in_runs):
-    kept = {r["event_id"] for r in events.dedup_consecutive(usage, in_runs=in_runs).collect()}
+def test_dedup(usage):
+    kept = {r["event_id"] for r in events.dedup_consecutive(usage).collect()}
     assert kept == brute_changes(make_events())
 
 
@@ -122,28 +123,33 @@ def event_stream(spark, tmp_path_factory):
 
 def test_quota_stream_equals_batch(spark, event_stream):
     open_stream, folder = event_stream
-    got = drain(streams.quota_stream(open_stream(), 3, 3600), folder, "quota")
+    got = drain(streams.quota_stream(open_stream(), 3, 3600, **KEEP), folder, "quota")
     assert {r["event_id"]: r["accepted"] for r in got.collect()} == brute_quota(make_events(300), 3, 3600)
 
 
 def test_dedup_stream_equals_batch(spark, event_stream):
     open_stream, folder = event_stream
-    got = drain(streams.dedup_consecutive_stream(open_stream()), folder, "dedup")
+    got = drain(streams.dedup_consecutive_stream(open_stream(), **KEEP), folder, "dedup")
     assert {r["event_id"] for r in got.collect()} == brute_changes(make_events(300))
 
 
-def test_usage_stream_equals_batch(spark, event_stream):
+def test_idle_users_are_forgotten_only_if_asked(spark, event_stream):
+    open_stream, folder = event_stream
+    got = drain(streams.quota_stream(open_stream(), 3, 3600, late="1 hour", idle="2 hours"), folder, "idle")
+    assert {r["event_id"]: r["accepted"] for r in got.collect()} == brute_quota(make_events(300), 3, 3600)
+
+
+def test_usage_stream_delivers_all_windows(spark, event_stream):
     open_stream, folder = event_stream
-    got = drain(streams.usage_counts_stream(open_stream(), every="1 hour"), folder, "usage")
-    counts = {(r["window_start"], r["event_type"]): r["n_events"] for r in got.collect()}
+    counts = streams.usage_counts_stream(open_stream(), every="1 hour", late="1 hour")
+    counts.writeStream.outputMode("update").foreachBatch(streams.append_versions(f"{folder}/usage")).option(
+        "checkpointLocation", f"{folder}/usage-state").trigger(availableNow=True).start().awaitTermination()
+    newest = streams.newest_versions(spark.read.parquet(f"{folder}/usage"), ["window_start", "event_type"])
     want = {}
     for _, _, at, kind, _ in make_events(300):
         hour = at.replace(minute=0, second=0, microsecond=0)
         want[hour, kind] = want.get((hour, kind), 0) + 1
-    assert counts and all(want[k] == v for k, v in counts.items())
-    newest = max(h for h, _ in want)
-    closed = {k for k in want if k[0] < newest - dt.timedelta(hours=2)}
-    assert closed <= set(counts)  # windows behind the watermark are complete
+    assert {(r["window_start"], r["event_type"]): r["n_events"] for r in newest.collect()} == want
 
 
 def test_usage_log(spark):
@@ -181,9 +187,12 @@ def test_text_helpers(spark):
         text.short_dollars(F.col("x")).alias("s"), text.full_dollars(F.col("x")).alias("f"),
         text.article_first(F.col("n")).alias("t"), text.slug(F.col("n")).alias("g"),
         text.source_column(F.lit(" State and local government ")).alias("c"),
+        text.source_column(F.lit("Business\t")).alias("c1"), text.source_column(F.lit("All other sources\n")).alias("c2"),
+        text.source_column(F.lit("\u00a0\u00c9conomie publique")).alias("c3"),
     ).collect()
     assert [r["s"] for r in got[:3]] == ["$1.50B", "$2.5M", "$999"]  # 2.55 is stored below the tie
     assert [r["f"] for r in got] == ["$1,500,000,000", "$2,550,000", "$999", "—", "—"]
     assert [r["t"] for r in got] == ["The A & M", "Old Name, City Campus", "X Y", None, "The Z"]
     assert [r["g"] for r in got[:3]] == ["A_&_M", "Old_Name", "X_Y"]
     assert got[0]["c"] == "state_local"
+    assert (got[0]["c1"], got[0]["c2"], got[0]["c3"]) == ("business", "other_sources", "économie_publique")
