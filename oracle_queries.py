@@ -67,17 +67,17 @@ INST = f"""
 ship AS (SELECT l_suppkey, l_partkey, l_linenumber, CAST(year(l_shipdate) AS INTEGER) AS year,
                 l_returnflag || l_linestatus AS src,
                 CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
-inst AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS inst_id, min(s_name) AS name,
+inst AS MATERIALIZED (SELECT lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS inst_id, min(s_name) AS name,
                 min(city) AS city, min(state) AS state, year, {big('sum(cents)')} AS total_rd,
                 {', '.join(f"{_sum(f"src = '{code}'")} AS {m}" for m, code in SOURCE_OF.items())}
          FROM ship JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey
          GROUP BY l_suppkey, year)"""
 
 FIELDS = f"""
-cells AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS inst_id, year, p_type, p_brand,
+cells AS MATERIALIZED (SELECT lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS inst_id, year, p_type, p_brand,
                  {big('sum(cents)')} AS total, {_sum("src = 'AF'")} AS federal
           FROM ship JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, year, p_type, p_brand),
-fields AS (
+fields AS MATERIALIZED (
     SELECT inst_id, year, lower(p_type) || '_' || replace(p_brand, 'Brand#', 'b') AS field_code,
            lower(p_type) AS parent_field, 0 AS is_parent, p_type || ', ' || p_brand AS field_name,
            federal, total - federal AS nonfederal, total FROM cells
@@ -88,7 +88,7 @@ fields AS (
 
 AGENCY = f"""
 agency_dim(line, agency_code, agency_name) AS (VALUES {', '.join(f"({i + 1}, '{c}', '{n}')" for i, (c, n) in enumerate(AGENCIES))}),
-agencies AS (SELECT i.inst_id, i.year, d.agency_code, d.agency_name, {big('coalesce(sum(s.cents), 0)')} AS amount
+agencies AS MATERIALIZED (SELECT i.inst_id, i.year, d.agency_code, d.agency_name, {big('coalesce(sum(s.cents), 0)')} AS amount
              FROM inst i CROSS JOIN agency_dim d
              LEFT JOIN ship s ON lpad(CAST(s.l_suppkey AS VARCHAR), 12, '0') = i.inst_id AND s.year = i.year
                              AND s.src = 'AF' AND s.l_linenumber = d.line
@@ -97,7 +97,7 @@ agencies AS (SELECT i.inst_id, i.year, d.agency_code, d.agency_name, {big('coale
 CUSTOMERS = f"""
 bought AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority,
                   CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
-inst AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS inst_id,
+inst AS MATERIALIZED (SELECT lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS inst_id,
                 CASE WHEN o_custkey % 3 = 0 AND year >= 1999 THEN min(c_name) || ', ' || min(c_mktsegment)
                      ELSE min(c_name) END AS name,
                 min(city) AS city, min(state) AS state, year, {big('sum(cents)')} AS total_rd,
@@ -268,21 +268,22 @@ FROM shares s FULL JOIN peer p ON s.inst_id = p.target_id AND s.{code} = p.{code
 
 def _mismatch(check: str, metric: str, table: str, where: str, value: str) -> str:
     return f"""
-    SELECT '{check}' AS check_name, i.inst_id, i.year, CAST(NULL AS VARCHAR) AS code, i.{metric} AS expected, s.found
-    FROM bi i LEFT JOIN (SELECT inst_id, year, {big(f'sum({value})')} AS found FROM {table} WHERE {where} GROUP BY inst_id, year) s
-      ON s.inst_id = i.inst_id AND s.year = i.year WHERE i.{metric} IS DISTINCT FROM s.found"""
+    SELECT '{check}' AS check_name, inst_id, year, CAST(NULL AS VARCHAR) AS code, i.{metric} AS expected, s.found
+    FROM bi i FULL JOIN (SELECT inst_id, year, {big(f'sum({value})')} AS found FROM {table} WHERE {where} GROUP BY inst_id, year) s
+      USING (inst_id, year) WHERE i.{metric} IS DISTINCT FROM s.found"""
 
 
-def invariants(inst: str, fields: str) -> str:
+def invariants(inst: str, fields: str, agencies: str = "SELECT * FROM agencies") -> str:
     return supplier(f"""
     {_mismatch('parents_sum_to_total', 'total_rd', 'bf', 'is_parent = 1', 'total')} UNION ALL
     {_mismatch('parents_sum_to_federal', 'federal', 'bf', 'is_parent = 1', 'federal')} UNION ALL
-    {_mismatch('agencies_sum_to_federal', 'federal', 'agencies', 'true', 'amount')} UNION ALL
+    {_mismatch('agencies_sum_to_federal', 'federal', 'ba', 'true', 'amount')} UNION ALL
     SELECT 'parent_is_sum_of_subfields', inst_id, year, parent_field, max(total) FILTER (WHERE is_parent = 1),
            {big('sum(total) FILTER (WHERE is_parent = 0)')}
     FROM bf GROUP BY inst_id, year, parent_field
     HAVING sum(total) FILTER (WHERE is_parent = 0) IS DISTINCT FROM max(total) FILTER (WHERE is_parent = 1)
-       AND sum(total) FILTER (WHERE is_parent = 0) IS NOT NULL""", f"bi AS ({inst})", f"bf AS ({fields})")
+       AND sum(total) FILTER (WHERE is_parent = 0) IS NOT NULL""", f"bi AS ({inst})", f"bf AS ({fields})",
+        f"ba AS ({agencies})")
 
 
 BREAK = "CASE WHEN CAST(inst_id AS BIGINT) % 10 = 0 THEN 1 ELSE 0 END"
@@ -323,6 +324,15 @@ def _source_rows() -> str:
 
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
+    accent = "CASE WHEN CAST(inst_id AS BIGINT) % 5 = 0 THEN 'The Université ' || name ELSE 'Université ' || name END AS name"
+    sql["S2_survey_years"] = supplier("SELECT DISTINCT 'survey_' || CAST(year AS VARCHAR) || '_v2.csv' AS file, year FROM inst")
+    sql["T15_latest_institutions"] = supplier(f"SELECT {INST_COLUMNS} FROM inst WHERE year = (SELECT y FROM newest)")
+    sql["T15_latest_fields"] = supplier("SELECT * FROM fields WHERE year = (SELECT y FROM newest)")
+    sql["T16_custom_windows"] = customer("""
+        SELECT user_id, y0, y1, CAST(least(s, e - 1) AS INTEGER) AS start_year, CAST(e AS INTEGER) AS end_year FROM (
+            SELECT *, least(greatest(coalesce(y1, y), 1994), y) AS e, least(greatest(coalesce(y0, 1993), 1993), y - 1) AS s
+            FROM (SELECT c_custkey AS user_id, CAST(CASE WHEN c_custkey % 11 > 0 THEN 1988 + c_custkey % 17 END AS INTEGER) AS y0,
+                         CAST(CASE WHEN c_custkey % 13 > 0 THEN 1990 + c_custkey * 7 % 19 END AS INTEGER) AS y1 FROM customer), newest)""")
     sql["S4_institutions_table"] = supplier(f"SELECT {INST_COLUMNS} FROM inst")
     sql["S4_field_table"] = supplier("SELECT * FROM fields")
     sql["S4_agency_table"] = supplier("SELECT * FROM agencies")
@@ -340,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
         else "CASE WHEN nonprofit % 7 = 0 THEN 0 ELSE nonprofit * 1000 END AS nonprofit" for m in METRICS)
     moved = "CASE WHEN CAST(inst_id AS BIGINT) % 5 = 0 THEN 'The ' || name ELSE name END AS name"
     sql["T1_T4_T5_institutions"] = supplier(f"SELECT inst_id, {moved}, city, state, year, {money} FROM inst")
+    sql["S1_microdata_institutions"] = sql["T1_T4_T5_institutions"].replace(moved, accent)
     sql["T2_source_labels"] = supplier(f"""
         SELECT row, regexp_replace(regexp_replace(lower(row), '[^\\w\\s]', '', 'g'), '\\s+', '_', 'g') AS column_name, n_cells
         FROM (SELECT row, {big('count(*)')} AS n_cells FROM (
@@ -358,10 +369,10 @@ def oracle_sql() -> dict[str, str]:
     sql["T7_T8_field_expenditures"] = supplier("""
         SELECT inst_id, year, field_code, parent_field, is_parent, field_name, federal * 1000 AS federal,
                nonfederal * 1000 AS nonfederal, total * 1000 AS total FROM fields WHERE total > 0""")
+    unlisted = "SELECT 'Unlisted ' || field_name AS field_name, year FROM fields WHERE is_parent = 0 AND CAST(inst_id AS BIGINT) % 5 = 0"
     sql["T9_unmapped_fields"] = supplier(f"""
         SELECT field_name, min(year) AS first_year, max(year) AS last_year, {big('count(*)')} AS n_rows FROM (
-            SELECT field_name, year FROM fields WHERE parent_field = 'promo' AND federal > 0 UNION ALL
-            SELECT field_name, year FROM fields WHERE parent_field = 'promo' AND nonfederal > 0) GROUP BY field_name""")
+            {unlisted} AND federal > 0 UNION ALL {unlisted} AND nonfederal > 0) GROUP BY field_name""")
     sql["T10_agency_funding"] = supplier(
         "SELECT inst_id, year, agency_code, agency_name, amount * 1000 AS amount FROM agencies")
     sql["T11_load_summary"] = supplier(f"""
@@ -382,6 +393,9 @@ def oracle_sql() -> dict[str, str]:
           ON a.inst_id = i.inst_id AND a.year = i.year""", f"bi AS ({BROKEN_INST})")
     sql["T14_invariants"] = invariants("SELECT * FROM inst", "SELECT * FROM fields")
     sql["T14_invariants_planted"] = invariants(BROKEN_INST, BROKEN_FIELDS)
+    orphans = "SELECT * FROM {t} UNION ALL SELECT * REPLACE ('9' || substr(inst_id, 2) AS inst_id) FROM {t} WHERE CAST(inst_id AS BIGINT) % 7 = 0"
+    sql["T14_invariants_orphans"] = invariants(
+        "SELECT * FROM inst", orphans.format(t="fields"), orphans.format(t="agencies"))
     sql["T14_duplicate_keys"] = supplier(f"""
         SELECT inst_id, year, field_code, CAST(2 AS BIGINT) AS n_rows FROM fields WHERE year = {Y1}""")
     sql["T15_latest_snapshot"] = supplier("SELECT * FROM agencies WHERE year = (SELECT max(year) FROM agencies)")
@@ -410,28 +424,28 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN supplier ON upper(query) = 'S' || CAST(s_suppkey AS VARCHAR))""")
     sql["N5_normalise_terms"] = f"""
         WITH words AS (SELECT unnest(string_split(p_name, ' ')) AS word, p_size FROM part),
-        asked AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN ' Physics ' WHEN p_size % 7 = 0 THEN 'NIH' ELSE word END AS term FROM words)
+        asked AS (SELECT word AS term FROM words UNION SELECT ' Physics ' FROM words WHERE p_size % 3 = 0
+                  UNION SELECT 'NIH' FROM words WHERE p_size % 3 <> 0 AND p_size % 7 = 0)
         SELECT term, kind, code FROM asked
         LEFT JOIN (VALUES {', '.join(f"('{t}', '{k}', '{c}')" for t, k, c in TERMS)}) d(known, kind, code) ON lower(trim(term)) = known"""
 
     sql["R1_rank_trend"] = supplier("SELECT * FROM trend", TREND)
     sql["R1_rank_trend_customers"] = customer("SELECT * FROM trend", TREND)
     sql["R2_anchor_view"] = supplier("""
-        SELECT target_id, target_rank, total_institutions, s.national_rank,
-               CASE WHEN s.national_rank = target_rank THEN target_id ELSE h.inst_id END AS inst_id,
-               h.total_rd, h.n_at_rank, s.national_rank = target_rank AS is_target
-        FROM shown s JOIN holders h ON s.national_rank = h.national_rank""",
+        SELECT s.lo AS from_rank, s.hi AS to_rank, r.n AS total_institutions, r.national_rank, r.inst_id, r.total_rd, FALSE AS is_target
+        FROM shown s JOIN ranked r ON r.national_rank = s.mark WHERE NOT (s.lo = s.mark AND s.hi = s.mark)
+        UNION ALL SELECT national_rank, national_rank, n, national_rank, inst_id, total_rd, TRUE FROM ranked""",
         f"""ranked AS (SELECT inst_id, total_rd, {big('rank() OVER (ORDER BY total_rd DESC)')} AS national_rank,
                    {big('count(*) OVER ()')} AS n FROM inst WHERE year = {Y1})""",
-        f"""holders AS (SELECT national_rank, min(inst_id) AS inst_id, max(total_rd) AS total_rd, {big('count(*)')} AS n_at_rank
-                    FROM ranked GROUP BY national_rank)""",
+        "size AS (SELECT max(n) AS n FROM ranked)",
         "marks(mark) AS (VALUES (1), (10), (25), (50), (100), (250), (500), (750))",
-        """near AS (SELECT inst_id, national_rank, n, mark,
-              row_number() OVER (PARTITION BY inst_id, mark < national_rank ORDER BY abs(mark - national_rank)) AS i
-              FROM ranked JOIN marks ON abs(mark - national_rank) > 2)""",
-        """shown AS (SELECT inst_id AS target_id, national_rank AS target_rank, n AS total_institutions, mark AS national_rank FROM near WHERE i <= 2
-             UNION SELECT inst_id, national_rank, n, 1 FROM ranked UNION SELECT inst_id, national_rank, n, n FROM ranked
-             UNION SELECT inst_id, national_rank, n, national_rank FROM ranked)""")
+        f"""lows AS (SELECT DISTINCT {big('mark + d')} AS lo FROM (SELECT mark FROM marks UNION SELECT n FROM size), range(-2, 4) t(d), size
+                  WHERE mark + d BETWEEN 1 AND n)""",
+        f"segments AS (SELECT lo, {big('coalesce(lead(lo) OVER (ORDER BY lo) - 1, n)')} AS hi FROM lows, size)",
+        """near AS (SELECT lo, hi, mark, row_number() OVER (PARTITION BY lo, mark < lo ORDER BY abs(mark - lo)) AS i
+              FROM segments JOIN marks ON abs(mark - lo) > 2)""",
+        """shown AS (SELECT lo, hi, mark FROM near WHERE i <= 2 UNION SELECT lo, hi, 1 FROM segments
+             UNION SELECT lo, hi, n FROM segments, size)""")
     sql["R3_rank_movement"] = customer("SELECT * FROM movement", TREND, MOVEMENT)
     sql["R4_R5_state_ranking"] = customer("SELECT * FROM ranking", STATE_RANKING)
     sql["R6_state_band"] = supplier("""
@@ -521,7 +535,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT CASE field_code WHEN 'economy' THEN 'Economy' WHEN 'large' THEN 'Large Scale' WHEN 'promo' THEN 'Promotion'
                ELSE field_name END AS label, is_parent, {big('sum(total)')} AS total FROM fields GROUP BY 1, 2""")
     sql["P9_parents_with_subfields"] = supplier(f"""
-        SELECT inst_id, field_code, field_name, total FROM fields p WHERE year = {Y1} AND is_parent = 1 AND field_code <> 'promo'
+        SELECT inst_id, field_code, field_name, total FROM fields p WHERE year = {Y1} AND is_parent = 1
           AND EXISTS (SELECT 1 FROM fields s WHERE s.inst_id = p.inst_id AND s.year = p.year AND s.is_parent = 0
                       AND s.parent_field = p.field_code)""")
 
@@ -665,9 +679,8 @@ def oracle_sql() -> dict[str, str]:
         """win AS (SELECT user_id, min(t) AS s FROM req GROUP BY user_id UNION ALL
              SELECT w.user_id, min(r.t) FROM win w JOIN req r ON r.user_id = w.user_id AND r.t > w.s + 86400000000 GROUP BY w.user_id)""")
     sql["E2_dedup_stream"], sql["E3_quota_stream"] = sql["E2_dedup_consecutive"], sql["E3_quota_flags"]
-    sql["E5_usage_stream"] = events(f"""
-        SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, {big('count(*)')} AS n_events FROM us
-        WHERE date_trunc('day', ts) + INTERVAL 25 HOUR <= (SELECT max(ts) FROM us) GROUP BY 1, 2""")
+    sql["E3_quota_hot_user"] = sql["E3_quota_flags"].replace("86400000000", "3600000000").replace("<= 2 AS", "<= 3 AS").replace(
+        "SELECT event_id, user_id, epoch_us(ts)", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN -1 ELSE user_id END AS user_id, epoch_us(ts)")
     sql["E4_latest_preferences"] = supplier("""
         SELECT user_id, institution, array_to_string(custom_peers, '|') AS custom_peers, updated_at, change_id FROM prefs""",
         ELIGIBLE, PREFERENCES)
@@ -676,6 +689,9 @@ def oracle_sql() -> dict[str, str]:
         FROM us GROUP BY event_type, institution""")
     sql["E5_adoption"] = events(f"""
         SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, {big('count(*)')} AS n_events FROM us GROUP BY 1, 2""")
+    sql["E5_usage_stream"] = sql["E5_adoption"]
+    sql["E4_preferences_upsert"] = sql["E4_preferences_stream"] = sql["E4_latest_preferences"]
+    sql["S1_microdata_fields"], sql["S1_microdata_agencies"] = sql["T7_T8_field_expenditures"], sql["T10_agency_funding"]
     fields_list = ", ".join(f"({i}, '{c}', '{_suggest(c)}')" for i, c in enumerate(LOGGED_FIELDS) if c not in FIELD_CODES)
     all_agencies = ", ".join(sorted(a for a, _ in AGENCIES))
     sql["E6_unknown_codes"] = events(f"""

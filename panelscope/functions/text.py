@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def source_column(label: Column) -> Column:
-    """Standardise a printed funding-source label to a column name."""
-    words = F.regexp_replace(F.trim(F.lower(label)), r"[^\w\s]", "")
-    name = F.regexp_replace(words, r"\s+", "_")
+    """Standardise a printed funding-source label to a column name; letters of any alphabet stay."""
+    words = F.regexp_replace(stripped(F.lower(label)), r"(?U)[^\w\s]", "")
+    name = F.regexp_replace(words, r"(?U)\s+", "_")
     return F.coalesce(dims.lookup(dims.SOURCE_RENAMES, name), name)
 
 
 def article_first(name: Column) -> Column:
     """'Ohio State University, The' -> 'The Ohio State University'."""
-    tail = r"(?i),\s*The\s*$"  # fixed pattern
-    moved = F.concat(F.lit("The "), F.trim(F.regexp_replace(name, tail, "")))
+    tail = r"(?iU),\s*The\s*$"  # fixed pattern
+    moved = F.concat(F.lit("The "), stripped(F.regexp_replace(name, tail, "")))
     return F.when(name.rlike(tail), moved).otherwise(name)
 
 
 def slug(name: Column) -> Column:
     """Text before the first comma, blanks as underscores."""
-    return F.replace(F.trim(F.split_part(name, F.lit(","), F.lit(1))), F.lit(" "), F.lit("_"))
+    return F.replace(stripped(F.split_part(name, F.lit(","), F.lit(1))), F.lit(" "), F.lit("_"))
 
 
 def short_dollars(amount: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -42,16 +42,6 @@ def duplicate_keys(df: DataFrame, table: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
 
 
-def _mismatches(inst: DataFrame, sums: DataFrame, metric: str, check: str) -> DataFrame:
-    joined = inst.select("inst_id", "year", F.col(metric).alias("expected")).join(
-        sums, ["inst_id", "year"], "left"
-    )
-    return joined.where(~F.col("expected").eqNullSafe(F.col("found"))).select(
-        F.lit(check).alias("check_name"), "inst_id", "year", F.lit(None).cast("string").alias("code"),
-        "expected", "found",
-    )
-
-
 def agency_reconciliation(inst: DataFrame, agencies: DataFrame) -> DataFrame:
     """Federal total against the sum over agencies, every entity and year."""
     sums = agencies.groupBy("inst_id", "year").agg(F.sum("amount").cast("long").alias("agency_total"))
@@ -61,27 +51,41 @@ def agency_reconciliation(inst: DataFrame, agencies: DataFrame) -> DataFrame:
 
 
 def broken_invariants(inst: DataFrame, fields: DataFrame, agencies: DataFrame) -> DataFrame:
-    """All rows that violate one of the four accounting rules."""
-    parents = fields.where(F.col("is_parent") == 1).groupBy("inst_id", "year").agg(
-        F.sum("total").cast("long").alias("total"), F.sum("federal").cast("long").alias("federal")
-    )
-    by_agency = agencies.groupBy("inst_id", "year").agg(F.sum("amount").cast("long").alias("found"))
-    branch = fields.groupBy("inst_id", "year", "parent_field").agg(
-        F.max(F.when(F.col("is_parent") == 1, F.col("total"))).alias("expected"),
-        F.sum(F.when(F.col("is_parent") == 0, F.col("total"))).cast("long").alias("found"),
+    """All rows that violate one of the four accounting rules.
+
+    Field and agency rows of an entity and year that ``inst`` lacks are violations
+    too: their sums stand against nothing. Each table is read once.
+    """
+    key = ["inst_id", "year"]
+    by_branch = fields.groupBy(*key, "parent_field").agg(
+        F.max(F.when(F.col("is_parent") == 1, F.col("total"))).alias("parent_total"),
+        F.sum(F.when(F.col("is_parent") == 0, F.col("total"))).cast("long").alias("sub_total"),
+        F.sum(F.when(F.col("is_parent") == 1, F.col("total"))).cast("long").alias("total"),
+        F.sum(F.when(F.col("is_parent") == 1, F.col("federal"))).cast("long").alias("federal"),
     )
-    uneven = branch.where(
-        F.col("found").isNotNull() & ~F.col("expected").eqNullSafe(F.col("found"))
-    ).select(F.lit("parent_is_sum_of_subfields").alias("check_name"), "inst_id", "year",
-             F.col("parent_field").alias("code"), "expected", "found")
-    return (
-        _mismatches(inst, parents.select("inst_id", "year", F.col("total").alias("found")),
-                    "total_rd", "parents_sum_to_total")
-        .unionByName(_mismatches(inst, parents.select("inst_id", "year", F.col("federal").alias("found")),
-                                 "federal", "parents_sum_to_federal"))
-        .unionByName(_mismatches(inst, by_agency, "federal", "agencies_sum_to_federal"))
-        .unionByName(uneven)
+    uneven = F.col("sub_total").isNotNull() & ~F.col("parent_total").eqNullSafe(F.col("sub_total"))
+    sums = by_branch.groupBy(*key).agg(
+        F.sum("total").cast("long").alias("field_total"), F.sum("federal").cast("long").alias("field_federal"),
+        F.collect_list(F.when(uneven, F.struct(  # as many as parents, of which the taxonomy has few
+            F.col("parent_field").alias("code"), F.col("parent_total").alias("expected"),
+            F.col("sub_total").alias("found")))).alias("uneven"),
     )
+    by_agency = agencies.groupBy(*key).agg(F.sum("amount").cast("long").alias("agency_total"))
+    joined = inst.select(*key, "total_rd", "federal").join(sums, key, "full").join(by_agency, key, "full")
+
+    def told(name: str, expected: str, found: str) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), F.lit(None).cast("string").alias("code"),
+                        F.col(expected).alias("expected"), F.col(found).alias("found"))
+
+    whole = F.array(told("parents_sum_to_total", "total_rd", "field_total"),
+                    told("parents_sum_to_federal", "federal", "field_federal"),
+                    told("agencies_sum_to_federal", "federal", "agency_total"))
+    parts = F.transform(F.coalesce("uneven", F.array()), lambda u: F.struct(
+        F.lit("parent_is_sum_of_subfields").alias("check_name"), u["code"].alias("code"),
+        u["expected"].alias("expected"), u["found"].alias("found")))
+    broken = F.filter(whole, lambda c: ~c["expected"].eqNullSafe(c["found"]))
+    return joined.select(*key, F.inline(F.concat(broken, parts))).select(
+        "check_name", *key, "code", "expected", "found")
 
 
 def latest_snapshot(df: DataFrame, ids: Ids = None) -> DataFrame:

@@ -31,7 +31,7 @@ from .common import latest
 LEAF_SIZE = 1024
 VISITORS = 65_536
 SLICE_ROWS = 512
-MAX_DEPTH = 16
+MIN_DEPTH, MAX_DEPTH = 3, 16
 SAMPLE_ROWS = 100_000
 
 
@@ -182,8 +182,8 @@ def _nearest(targets: pd.DataFrame, block: pd.DataFrame, k: int, dims: int) -> p
 
 
 def _plant(vectors: DataFrame, n: int, depth: int, dims: int, leaf_size: int) -> Tree:
-    """Cut by a hash sample of at most an eighth; then measure the leaves."""
-    every = max(8, n // SAMPLE_ROWS)
+    """Cut by a hash sample of a bounded number of rows; then measure the leaves."""
+    every = max(1, n // SAMPLE_ROWS)
     picked = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("z").toPandas()
     tree = Tree(_matrix(picked["z"], dims), depth)
     placed = _placed(vectors, tree, dims)
@@ -235,13 +235,9 @@ def _visits(blocks: DataFrame, tree: Tree, k: int, dims: int) -> DataFrame:
 
 
 def _parts(visits: DataFrame, most: int) -> DataFrame:
-    """Into how many parts the visitors of a crowded block are split.
-
-    At most one row per ``most`` visits; other blocks are absent.
-    """
+    """Into how many parts the visitors of a crowded block are split; other blocks are absent."""
     crowded = visits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    rows = crowded.select("block", F.ceil(F.col("n") / most).cast("int").alias("parts")).collect()
-    return F.broadcast(visits.sparkSession.createDataFrame(rows, "block int, parts int"))
+    return crowded.select("block", F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
 def nearest_vectors(
@@ -252,19 +248,13 @@ def nearest_vectors(
     ``vectors`` must be a stored table: it is read several times.
     """
     n = vectors.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / leaf_size)))))
-    if depth == 0:
-        blocks = vectors.select("rep", "ids", "z", F.lit(0).alias("block"))
-        visits = vectors.select(
-            F.lit(0).alias("block"), "rep", "z", F.lit(float("inf")).alias("radius")
-        )
-    else:
-        tree = _plant(vectors, n, depth, dims, leaf_size)
-        blocks = write_scratch(_in_blocks(vectors, tree, dims), "knn-blocks")
-        visits = write_scratch(_visits(blocks, tree, k, dims), "knn-visits")
+    depth = min(MAX_DEPTH, max(MIN_DEPTH, int(np.ceil(np.log2(max(n, 1) / leaf_size)))))
+    tree = _plant(vectors, n, depth, dims, leaf_size)
+    blocks = write_scratch(_in_blocks(vectors, tree, dims), "knn-blocks")
+    visits = write_scratch(_visits(blocks, tree, k, dims), "knn-visits")
     # a block's visitors and a copy of the block meet in one task; a crowded
     # block is copied to several, so both sides stay bounded
-    parts = _parts(visits, visitors)
+    parts = write_scratch(_parts(visits, visitors), "knn-parts")
     n_parts = F.coalesce("parts", F.lit(1))
     asking = visits.join(parts, "block", "left").select(
         "block", F.pmod(F.xxhash64("rep"), n_parts).cast("int").alias("part"), "rep", "z", "radius"
@@ -293,8 +283,8 @@ def knn_edges(
 ) -> DataFrame:
     """Edge table ``(target_id, peer_id, rank, distance)``, nearest first.
 
-    Runs jobs when called: the distinct vectors, and for larger panels the
-    blocks and visits, are written to the scratch folder.
+    Runs jobs when called: the distinct vectors, the blocks and the visits are
+    written to the scratch folder.
     """
     cols = list(metrics)
     vectors = write_scratch(_vectors(features, cols, k), "knn-vectors")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.text import stripped
 from .common import latest, max_year
 
 
@@ -23,11 +24,16 @@ def time_windows(inst: DataFrame, first_year: int = dims.FIRST_YEAR) -> DataFram
     return year_bounds(inst, first_year).select(F.inline(spans), F.col("max_year").alias("end_year"))
 
 
-def custom_window(y0: int, y1: int, max_year_: int, first_year: int = dims.FIRST_YEAR) -> tuple[int, int]:
-    """Clamp a requested window to the survey and make it start before it ends."""
-    end = min(max(y1, first_year + 1), max_year_)
-    start = min(max(y0, first_year), max_year_ - 1)
-    return (start, end) if start < end else (end - 1, end)
+def custom_windows(asked: DataFrame, inst: DataFrame, first_year: int = dims.FIRST_YEAR) -> DataFrame:
+    """Append ``start_year`` and ``end_year`` to requested years ``y0`` and ``y1``.
+
+    Both are moved into the survey's years, and the start before the end. A missing
+    year is the survey's first or newest one.
+    """
+    newest = max_year(inst)
+    end = F.least(F.greatest(F.coalesce("y1", newest), F.lit(first_year + 1)), newest)
+    start = F.least(F.greatest(F.coalesce("y0", F.lit(first_year)), F.lit(first_year)), newest - 1)
+    return asked.withColumn("end_year", end).withColumn("start_year", F.least(start, F.col("end_year") - 1))
 
 
 def latest_names(inst: DataFrame) -> DataFrame:
@@ -58,29 +64,39 @@ def _largest() -> Column:
     return F.min_by(F.struct("inst_id", "name"), order)
 
 
+def _grams(text: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))))
+
+
 def _best_containing(patterns: DataFrame, current: DataFrame) -> DataFrame:
     """Largest current entity whose name contains each (lower-case) pattern.
 
-    Every part of a name that is as long as some pattern meets the patterns in
-    an equi-join, so only true hits come out and a common word costs one row
-    per name, not one per name and pattern. Few patterns are broadcast by
-    Spark's size threshold, which makes the join a filter.
+    A pattern is looked up by the rarest of its trigrams, so a name has at most as
+    many rows as letters and a common part costs only those patterns that have
+    nothing rarer. Patterns of one or two letters are grams themselves: the largest
+    holder of each is found without pairing names and patterns.
     """
     names = current.select("inst_id", "name", "total_rd", F.lower("name").alias("low"))
-    longest = names.agg(F.max(F.length("low"))).scalar()
-    n_chars = F.length("pattern")
-    wanted = patterns.where((n_chars > 0) & (n_chars <= longest)).distinct()
-    # no more lengths than the longest name has letters
-    lengths = wanted.agg(F.collect_set(n_chars)).scalar()
-    low, n = F.col("low"), F.col("n")
-    cut = names.withColumn("n", F.explode(lengths)).where(n <= F.length(low))
-    starts = F.sequence(F.lit(1), F.length(low) - n + 1)
-    parts = F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, n)))
-    return (
-        cut.select("inst_id", "name", "total_rd", F.explode(parts).alias("pattern"))
-        .join(wanted, "pattern", "left_semi")
+    wanted = patterns.where(F.length("pattern") > 0).distinct()
+    short = []
+    for n in (1, 2):
+        holders = names.select("inst_id", "name", "total_rd", F.explode(_grams(F.col("low"), n)).alias("pattern"))
+        asked = wanted.where(F.length("pattern") == n)
+        short.append(holders.join(asked, "pattern", "left_semi").groupBy("pattern").agg(_largest().alias("hit")))
+    grams = names.select("*", F.explode(_grams(F.col("low"), 3)).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no name has is rarest of all, and rightly finds nothing
+    keyed = (
+        wanted.where(F.length("pattern") >= 3).select("pattern", F.explode(_grams(F.col("pattern"), 3)).alias("gram"))
+        .join(counts, "gram", "left").groupBy("pattern")
+        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    )
+    long = (
+        grams.join(keyed, "gram").where(F.col("low").contains(F.col("pattern")))
         .groupBy("pattern").agg(_largest().alias("hit"))
     )
+    return long.unionByName(short[0]).unionByName(short[1])
 
 
 def resolve_entities(queries: DataFrame, inst: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -135,6 +151,6 @@ def normalise_terms(asked: DataFrame, terms: DataFrame) -> DataFrame:
     known = terms.select(F.lower("term").alias("known"), "kind", "code")
     return (
         asked.select("term").distinct()
-        .join(known, F.lower(F.trim("term")) == F.col("known"), "left")
+        .join(known, F.lower(stripped(F.col("term"))) == F.col("known"), "left")
         .select("term", "kind", "code")
     )

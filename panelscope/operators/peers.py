@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.ratios import mean_2, mean_of_tenths
 from ..plans.ordering import dense_positions, neighbours, top_k
+from ..session import write_scratch
 from .common import in_window
 from .growth import cagr_available, cagr_window
 from .lookup import eligible_entities, latest_names
@@ -85,7 +86,8 @@ def custom_edges(preferences: DataFrame, inst: DataFrame) -> DataFrame:
 
 def effective_edges(preferences: DataFrame, inst: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Own list where it names anyone, the benchmark peers otherwise."""
-    own = custom_edges(preferences, inst)
+    preferences = write_scratch(preferences, "preferences")  # read twice
+    own = write_scratch(custom_edges(preferences, inst), "own-peers")
     asked = preferences.join(latest_names(inst), F.col("institution") == F.col("name")).select(
         "user_id", F.col("inst_id").alias("target_id")
     ).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.ratios import cagr, pct
 from ..plans.ordering import positions, ranked, top_k
+from ..session import write_scratch
 from .common import Ids, in_window, latest, only
 
 
@@ -35,54 +36,46 @@ def rank_movement(inst: DataFrame, y0: int, y1: int, ids: Ids = None) -> DataFra
     )
 
 
+def anchor_segments(n: int, anchors: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(from_rank, to_rank, shown rank): which ranks a target sees beside its own.
+
+    First, last and the two nearest landmarks on either side, if more than two
+    places away. Between two landmarks all targets see the same, so the list is as
+    long as the landmarks say, whatever ``n``.
+    """
+    marks = sorted(set(anchors))
+    cuts = sorted({1, *[m + d for m in (1, n, *marks) for d in range(-2, 4)]})
+    starts = [c for c in cuts if 1 <= c <= n]
+    out = []
+    for low, high in zip(starts, [*[c - 1 for c in starts[1:]], n]):
+        above = [m for m in marks if low - m > 2][-2:]
+        below = [m for m in marks if m - low > 2][:2]
+        out += [(low, high, m) for m in sorted({1, n, *above, *below}) if (low, high) != (m, m)]
+    return out
+
+
 def anchor_view(
     inst: DataFrame, year: int, ids: Ids = None, anchors: Sequence[int] = tuple(dims.ANCHOR_RANKS)
 ) -> DataFrame:
     """Each target among first, last and its nearest landmark ranks.
 
-    The two nearest landmarks on either side count, if more than two places
-    away. Entities tied at a landmark are one row: the first id, with their
-    number in ``n_at_rank``; ``rank_trend`` lists them all. Landmarks no entity
-    holds, because a tie skips them, are left out.
+    A landmark row holds for all targets ranked ``from_rank`` to ``to_rank``: one
+    row per segment and entity at the landmark, so all entities tied there are
+    listed and ties never turn into pairs. Every target's own row (``is_target``)
+    has its rank in both; entities tied with it are the own rows of that rank.
+    Landmarks that nobody holds, because a tie skips them, are left out.
     """
     rows = inst.where(F.col("year") == year).select("inst_id", "total_rd")
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    table = ranked(rows, "total_rd", [], "national_rank")
-    holders = table.groupBy("national_rank").agg(
-        F.min("inst_id").alias("inst_id"), F.max("total_rd").alias("total_rd"),
-        F.count(F.lit(1)).alias("n_at_rank"),
-    )
-    # at most one row per landmark and one for the last place
-    landmarks = holders.where(F.col("national_rank").isin([1, *anchors]) | (F.col("national_rank") == total))
-
-    own = table.select(
-        F.col("inst_id").alias("target_id"), F.col("national_rank").alias("target_rank"),
-        F.col("total_rd").alias("own_rd"),
-    )
-    own = only(own, ids, "target_id").withColumn("total_institutions", total)
-    marks = F.array(*[F.lit(a).cast("long") for a in sorted(anchors)])
-    above = F.filter(marks, lambda r: F.col("target_rank") - r > 2)
-    below = F.filter(marks, lambda r: r - F.col("target_rank") > 2)
-    nearest_above = F.when(F.size(above) > 2, F.slice(above, -2, 2)).otherwise(above)
-    shown = F.array_distinct(F.concat(
-        F.array(F.lit(1).cast("long"), F.col("total_institutions")), nearest_above, F.slice(below, 1, 2)
-    ))
-    others = (
-        own.withColumn("national_rank", F.explode(shown))
-        .where(F.col("national_rank") != F.col("target_rank"))
-        .join(F.broadcast(landmarks), "national_rank")
-        .withColumn("is_target", F.lit(False))
-    )
-    itself = (
-        own.join(holders.select(F.col("national_rank").alias("target_rank"), "n_at_rank"), "target_rank")
-        .withColumn("national_rank", F.col("target_rank"))
-        .withColumn("inst_id", F.col("target_id"))
-        .withColumn("total_rd", F.col("own_rd"))
-        .withColumn("is_target", F.lit(True))
-    )
-    columns = ["target_id", "target_rank", "total_institutions", "national_rank", "inst_id",
-               "total_rd", "n_at_rank", "is_target"]
-    return others.select(columns).unionByName(itself.select(columns))
+    table = write_scratch(ranked(rows, "total_rd", [], "national_rank"), "anchor-ranks")
+    n = table.count()
+    shown = inst.sparkSession.createDataFrame(
+        anchor_segments(n, anchors) if n else [], "from_rank long, to_rank long, national_rank long")
+    others = table.join(F.broadcast(shown), "national_rank").withColumn("is_target", F.lit(False))
+    own = only(table, ids).select("*", F.col("national_rank").alias("from_rank"),
+                                  F.col("national_rank").alias("to_rank"), F.lit(True).alias("is_target"))
+    return others.unionByName(own).select(
+        "from_rank", "to_rank", F.lit(n).cast("long").alias("total_institutions"), "national_rank",
+        "inst_id", "total_rd", "is_target")
 
 
 def state_ranking(inst: DataFrame, y0: int, y1: int) -> DataFrame:
@@ -157,7 +150,7 @@ def metric_band(
     """
     by = list(by)
     known = df.where(F.col(metric) > 0)
-    table = ranked(known, metric, by, "metric_rank")
+    table = write_scratch(ranked(known, metric, by, "metric_rank"), "metric-ranks")
     band = rank_band(table, "metric_rank", by, above, below)
     if by:
         size = known.groupBy(*by).agg(F.count(F.lit(1)).alias("total_institutions"))

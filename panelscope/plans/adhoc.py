@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .panel import Panel
 
 
+VIEWS = ("institutions", "field_expenditures", "agency_funding")
+# functions that call into the JVM
+REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+# what a statement may read besides views and names bound by WITH
+PLAIN_LEAVES = {"OneRowRelation", "UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation"}
+
+
 class NotReadOnly(ValueError):
-    """The text is not a single reading statement."""
+    """The text is not a single statement that only reads the panel's views."""
 
 
 def register(panel: Panel) -> None:
@@ -27,26 +34,55 @@ def query(spark: SparkSession, sql: str, args: dict[str, Any] | None = None) ->
 
 
 def guarded_query(spark: SparkSession, sql: str, args: dict[str, Any] | None = None) -> DataFrame:
-    """Run SQL that only reads; anything else is refused before it runs.
+    """Run SQL that only reads the panel's views; anything else is refused before it runs.
 
-    Spark executes commands as soon as ``spark.sql`` is called, and a WITH
-    clause can introduce an INSERT, so the statement as Spark parses it is
-    checked, not only its first word.
+    Spark executes commands as soon as ``spark.sql`` is called, reads files named
+    like tables, and can call Java, so the statement as Spark parses it is checked,
+    subqueries included, not only its first word.
     """
     if not re.match(r"\s*(SELECT|WITH)\b", sql, re.IGNORECASE):
         raise NotReadOnly("only SELECT and WITH statements are allowed")
-    session = spark._jsparkSession
-    plan = session.sessionState().sqlParser().parsePlan(sql)
-    if _writes(spark, plan):
-        raise NotReadOnly("the statement changes data")
+    _Guard(spark).plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(VIEWS))
     return query(spark, sql, args)
 
 
-def _writes(spark: SparkSession, node) -> bool:
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    loader = spark._jvm.Thread.currentThread().getContextClassLoader()
-    kinds = [loader.loadClass(logical + name) for name in ("Command", "ParsedStatement", "InsertIntoDir")]
-    if any(kind.isInstance(node) for kind in kinds):
-        return True
-    children = node.children()
-    return any(_writes(spark, children.apply(i)) for i in range(children.size()))
+class _Guard:
+    """Walks a parsed statement; the names a scope may read are passed down."""
+
+    def __init__(self, spark: SparkSession):
+        logical = "org.apache.spark.sql.catalyst.plans.logical."
+        loader = spark._jvm.Thread.currentThread().getContextClassLoader()
+        self.writers = [loader.loadClass(logical + n) for n in ("Command", "ParsedStatement", "InsertIntoDir")]
+        self.nested = loader.loadClass("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+
+    def plan(self, node, names: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if any(writer.isInstance(node) for writer in self.writers):
+            raise NotReadOnly("the statement changes data")
+        if kind == "UnresolvedWith":
+            bound = node.cteRelations()
+            for i in range(bound.size()):
+                self.plan(bound.apply(i)._2(), names)
+                names = names | {bound.apply(i)._1().lower()}
+        elif kind == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            if parts.size() != 1 or parts.apply(0).lower() not in names:
+                raise NotReadOnly(f"{node.multipartIdentifier().mkString('.')} is not a view of the panel")
+        elif not node.children().size() and kind not in PLAIN_LEAVES:
+            raise NotReadOnly(f"{kind} is not allowed")
+        self._each(node.expressions(), lambda e: self.expression(e, names))
+        self._each(node.children(), lambda child: self.plan(child, names))
+
+    def expression(self, node, names: frozenset[str]) -> None:
+        if node.getClass().getSimpleName() == "UnresolvedFunction":
+            parts = node.nameParts()
+            if parts.size() != 1 or parts.apply(0).lower() in REFUSED_FUNCTIONS:
+                raise NotReadOnly(f"the function {parts.mkString('.')} is not allowed")
+        if self.nested.isInstance(node):
+            self.plan(node.plan(), names)
+        self._each(node.children(), lambda child: self.expression(child, names))
+
+    @staticmethod
+    def _each(items, visit) -> None:
+        for i in range(items.size()):
+            visit(items.apply(i))

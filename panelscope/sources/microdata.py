@@ -11,6 +11,13 @@ from pyspark.sql import types as T
 from .. import schema
 
 
+SURVEY_FILE = r"([^/]+\.csv)(/|$)"  # a file, or a folder of one survey's parts
+
+
+def survey_file(path: Column) -> Column:
+    return F.regexp_extract(path, SURVEY_FILE, 1)
+
+
 def file_year(name: Column) -> Column:
     """First run of four digits in a file name."""
     return F.regexp_extract(name, r"(\d{4})", 1)
@@ -18,12 +25,13 @@ def file_year(name: Column) -> Column:
 
 def survey_years(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files found and the year each is for; only names are listed."""
-    listed = spark.read.format("binaryFile").load(paths).select("path")
-    name = F.element_at(F.split("path", "/"), -1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.csv").load(paths).select("path")
+    name = survey_file(F.col("path"))
     digits = file_year(name)
     return listed.select(name.alias("file"), digits.alias("digits")).where(F.col("digits") != "").select(
         "file", F.col("digits").cast("int").alias("year")
-    )
+    ).distinct()
 
 
 def years_with_several_files(files: DataFrame) -> DataFrame:
@@ -31,29 +39,39 @@ def years_with_several_files(files: DataFrame) -> DataFrame:
     return files.groupBy("year").agg(F.count(F.lit(1)).alias("n_files")).where(F.col("n_files") > 1)
 
 
+def by_header(spark: SparkSession, paths: Sequence[str], **options) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header line, of which there are few; only first lines are read."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        found.setdefault(tuple(spark.read.options(header=True, **options).csv(path).columns), []).append(path)
+    return found
+
+
 def read_microdata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read Latin-1 CSV files; ids stay text, column names are trimmed.
 
-    Columns are found by their trimmed name, so only each header line is read
-    to plan; ``file_year`` is the year in the file's name.
+    Columns are found by their trimmed name, and files of one header are one scan;
+    ``file_year`` is the year in the file's name.
     """
     years = survey_years(spark, list(paths))
     twice = [r["year"] for r in years_with_several_files(years).collect()]
     if twice:
         raise ValueError(f"several files for the years {sorted(twice)}")
-    parts = [_read_file(spark, path) for path in paths]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+    options = {"encoding": "ISO-8859-1", "quote": '"', "escape": '"'}
+    stacked = None
+    for header, files in by_header(spark, paths, **options).items():
+        part = _read_files(spark, header, files, options)
+        stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 
 
-def _read_file(spark: SparkSession, path: str) -> DataFrame:
-    options = {"header": True, "encoding": "ISO-8859-1", "quote": '"', "escape": '"'}
-    header = spark.read.options(**options).csv(path).columns
+def _read_files(
+    spark: SparkSession, header: Sequence[str], paths: list[str], options: dict[str, str]
+) -> DataFrame:
     as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.options(**options).schema(as_text).csv(path)
-    raw = raw.select("*", file_year(F.col("_metadata.file_name")).cast("int").alias("file_year"))
+    raw = spark.read.options(header=True, **options).schema(as_text).csv(paths)
+    year = file_year(survey_file(F.col("_metadata.file_path"))).cast("int")
+    raw = raw.select("*", year.alias("file_year"))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     typed = [
         F.col(f.name) if isinstance(f.dataType, T.StringType)

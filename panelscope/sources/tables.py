@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .microdata import by_header
+
 
 def write_table(df: DataFrame, path: str, partition: str = "year", sort: str = "inst_id") -> None:
     """Full refresh of a table: replace it, one folder per year.
@@ -33,16 +35,15 @@ def read_csv_table(spark: SparkSession, paths: str | list[str], table_schema: T.
     """Read per-year CSV files of one table with a fixed schema.
 
     Columns are matched by name file by file: a year whose file lacks a column
-    gets nulls there, as stacking frames by name does. Only the first line of
-    each file is read to plan this.
+    gets nulls there, as stacking frames by name does. Files of one header are one
+    scan.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     parts = []
-    for path in paths:
-        header = spark.read.option("header", True).csv(path).columns
+    for header, files in by_header(spark, paths).items():
         raw = spark.read.option("header", True).schema(
             T.StructType([T.StructField(c, T.StringType()) for c in header])
-        ).csv(path)
+        ).csv(files)
         parts.append(raw.toDF(*[c.strip() for c in header]))
     stacked = parts[0]
     for part in parts[1:]:

@@ -125,6 +125,9 @@ def test_checks(spark):
     assert broken == {
         ("agencies_sum_to_federal", "b"): (1, None), ("parent_is_sum_of_subfields", "a"): (10, 9),
     }
+    lost = checks.broken_invariants(inst.where("inst_id = 'b'"), fields, agencies).collect()
+    assert {r["check_name"]: r["found"] for r in lost if r["inst_id"] == "a"} == {
+        "parents_sum_to_total": 10, "parents_sum_to_federal": 6, "agencies_sum_to_federal": 6, "parent_is_sum_of_subfields": 9}
     matches = {r["inst_id"]: r["matches"] for r in checks.agency_reconciliation(inst, agencies).collect()}
     assert matches == {"a": True, "b": False}
     assert checks.duplicate_keys(inst.union(inst.limit(1)), "institutions").count() == 1

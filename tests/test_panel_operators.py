@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 from panelscope import dims, schema
 from panelscope.functions import ratios
 from panelscope.operators import agency, growth, lookup, patterns, portfolio, rank
-from panelscope.plans import adhoc, ordering
+from panelscope.plans import adhoc
 from panelscope.plans.panel import Panel
 
 COLUMNS = "inst_id string, name string, state string, year int, total_rd long, federal long"
 
 
-@pytest.fixture(params=[False, True], ids=["plain", "runs"])
-def both_forms(request, monkeypatch):
-    """Run a test once with plain windows and once with sorted runs."""
-    monkeypatch.setattr(ordering, "is_small", lambda df: not request.param)
-
-
 @pytest.fixture(scope="module")
 def inst(spark):
     rows = [
@@ -48,7 +42,7 @@ def test_guards(spark):
     assert spark.range(1).select(ratios.pct(F.lit(-25), F.lit(2000), 1)).first()[0] == -1.3  # half away from zero
 
 
-def test_rank_ties_and_nulls(inst, both_forms):
+def test_rank_ties_and_nulls(inst):
     rows = by_id(rank.rank_trend(inst, 2015, 2020), "inst_id", "year")
     places = {k: r["national_rank"] for k, r in rows.items() if k[1] == 2020}
     assert places == {("c", 2020): 1, ("a", 2020): 2, ("b", 2020): 2, ("d", 2020): 4, ("f", 2020): 5}
@@ -62,7 +56,7 @@ def test_rank_movement(inst):
     assert rows["c"]["rank_change"] == 0 and rows["c"]["rd_change"] == 0
 
 
-def test_state_ranking_and_band(inst, both_forms):
+def test_state_ranking_and_band(inst):
     ranking = rank.state_ranking(inst, 2015, 2020)
     rows = by_id(ranking)
     assert set(rows) == {"a", "b", "c", "d"}  # e has no newest year, f no money
@@ -73,7 +67,7 @@ def test_state_ranking_and_band(inst, both_forms):
     assert set(band) == {("TX", 1, "c"), ("TX", 2, "a"), ("TX", 2, "b"), ("OH", 1, "d")}
 
 
-def test_band_stays_linear_under_ties(spark, both_forms):
+def test_band_stays_linear_under_ties(spark):
     """1,000 entities tied at one rank: their band has 1,000 rows, not a million."""
     rows = [(f"t{i:04d}", 5) for i in range(1000)] + [("top", 9), ("low", 1)]
     band = rank.metric_band(spark.createDataFrame(rows, "inst_id string, v long"), "v", 1, 1)
@@ -81,16 +75,39 @@ def test_band_stays_linear_under_ties(spark, both_forms):
     assert counts == {1: 1001, 2: 1001, 1002: 1}
 
 
-def test_anchor_view(spark, both_forms):
+def test_anchor_view(spark):
     inst = spark.createDataFrame([(f"{i:03d}", 2020, 1000 - i) for i in range(1, 121)], "inst_id string, year int, total_rd long")
-    view = rank.anchor_view(inst, 2020, ids=["030"]).collect()
-    assert sorted(r["national_rank"] for r in view) == [1, 10, 25, 30, 50, 100, 120]
-    assert [r["inst_id"] for r in view if r["is_target"]] == ["030"]
-    near = rank.anchor_view(inst, 2020, ids=["011"]).collect()  # 10 is too close
-    assert sorted(r["national_rank"] for r in near) == [1, 11, 25, 50, 120]
+    view = rank.anchor_view(inst, 2020, ids=["030", "011"]).collect()
+
+    def seen(target):
+        return sorted(r["national_rank"] for r in view if r["from_rank"] <= target <= r["to_rank"])
+
+    assert seen(30) == [1, 10, 25, 30, 50, 100, 120]
+    assert seen(11) == [1, 11, 25, 50, 120]  # 10 is too close
+    assert sorted(r["inst_id"] for r in view if r["is_target"]) == ["011", "030"]
+
+
+def test_anchor_view_lists_all_tied(spark):
+    """A third of all entities share a landmark rank; each is listed once per segment."""
+    rows = [(f"{i:04d}", 2020, 5000 if 9 <= i < 109 else 9000 - i if i < 9 else 4000 - i) for i in range(300)]
+    view = rank.anchor_view(spark.createDataFrame(rows, "inst_id string, year int, total_rd long"), 2020).collect()
+    tied = [r for r in view if r["national_rank"] == 10 and not r["is_target"]]
+    segments = {(r["from_rank"], r["to_rank"]) for r in tied}
+    assert len(tied) == 100 * len(segments) and len(segments) <= 48
+    assert sum(r["is_target"] for r in view) == 300
+
+
+def test_resolution_by_rare_parts(spark):
+    inst = spark.createDataFrame([(str(i), f"University of {n}", "TX", 2020, i, 0) for i, n in enumerate(
+        ["Alpha", "Beta", "Aa", "Zürich", "the Alpha Coast"])], COLUMNS)
+    asked = spark.createDataFrame([(q,) for q in ("alpha", "OF B", "a", "zü", "x", "", "University of Alpha", "versity", "coastal")], "query string")
+    none = spark.createDataFrame([], "alias string, full_name string")
+    got = {r["query"]: r["inst_id"] for r in lookup.resolve_entities(asked, inst, none).collect()}
+    assert got == {"alpha": "4", "OF B": "1", "a": "4", "zü": "3", "x": None, "": None,
+                   "University of Alpha": "0", "versity": "4", "coastal": None}
 
 
-def test_positions_have_no_gaps(inst, both_forms):
+def test_positions_have_no_gaps(inst):
     rows = by_id(rank.state_positions(inst))
     assert [rows[i]["state_position"] for i in "cab"] == [1, 2, 3]
     assert rows["f"]["total_rd"] == 0 and rows["f"]["state_total"] == 2
@@ -104,7 +121,7 @@ def test_growth_variants(inst):
     assert all(r["previous"] is None for r in yoy.values()) and len(yoy) == 9
 
 
-def test_median_share(inst, both_forms):
+def test_median_share(inst):
     rows = by_id(growth.national_median_share(inst, 2015, 2020), "year")
     assert rows[2015]["median_pct"] == 10.0  # 50, 0, 10; the zero total does not count
     assert rows[2020]["median_pct"] == 22.5  # 25, 50, 20, 10
@@ -191,10 +208,12 @@ def test_eligible(spark):
     assert set(got) == {"full", "five"}  # "gone" has five years but no current name
 
 
-def test_windows():
-    assert lookup.custom_window(2012, 2020, 2024) == (2012, 2020)
-    assert lookup.custom_window(2005, 2030, 2024) == (2010, 2024)
-    assert lookup.custom_window(2020, 2015, 2024) == (2014, 2015)
+def test_windows(spark):
+    inst = spark.createDataFrame([("a", "A", "TX", 2024, 1, 1)], COLUMNS)
+    asked = spark.createDataFrame(
+        [(1, 2012, 2020), (2, 2005, 2030), (3, 2020, 2015), (4, None, None), (5, 2024, 2024)], "k int, y0 int, y1 int")
+    got = {r["k"]: (r["start_year"], r["end_year"]) for r in lookup.custom_windows(asked, inst).collect()}
+    assert got == {1: (2012, 2020), 2: (2010, 2024), 3: (2014, 2015), 4: (2010, 2024), 5: (2023, 2024)}
 
 
 def test_resolution(spark):
@@ -232,6 +251,19 @@ def test_guarded_sql(spark, inst, fields, tmp_path):
         f"INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT 1", "DELETE FROM institutions", "SET a=b",
         f"WITH t AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT * FROM t",
     ]
+    java = "reflect('java.lang.System', 'getProperty', 'user.home')"
+    (tmp_path / "f.txt").write_text("secret")
+    spark.range(3).createOrReplaceTempView("other_view")
+    leak = f"text.`{tmp_path}/f.txt`"
+    bad += [f"SELECT {java}", f"SELECT * FROM {leak}", "SELECT * FROM other_view", "SELECT * FROM range(5)"]
+    bad += [f"SELECT * FROM institutions WHERE name = (SELECT {java})", f"SELECT (SELECT max(value) FROM {leak}) x",
+            f"WITH t AS (SELECT * FROM {leak}) SELECT * FROM t", f"WITH t AS (SELECT {java} AS x) SELECT * FROM t",
+            f"SELECT * FROM institutions WHERE EXISTS (SELECT 1 FROM {leak})", "SELECT * FROM t, (WITH t AS (SELECT 1) SELECT * FROM t)",
+            f"SELECT * FROM institutions i JOIN (SELECT * FROM {leak}) USING (name)", f"SELECT transform(array(1), x -> {java})"]
+    good = ["SELECT * FROM (VALUES (1), (2)) v(x)", "SELECT inst_id FROM Institutions WHERE year IN (SELECT max(year) FROM institutions)",
+            "WITH a AS (SELECT 1 AS x), b AS (SELECT x + 1 AS y FROM a) SELECT * FROM b UNION ALL SELECT * FROM a"]
+    for sql in good:
+        adhoc.guarded_query(spark, sql).collect()
     for sql in bad:
         with pytest.raises(adhoc.NotReadOnly):
             adhoc.guarded_query(spark, sql)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from panelscope import schema
 from panelscope.operators import knn, peers
-from panelscope.plans import ordering
 
 COLUMNS = "inst_id string, name string, city string, state string, year int, " + ", ".join(
     f"{m} long" for m in schema.METRICS
@@ -96,11 +95,9 @@ def brute_parity(rows, k, tolerance=0.2):
     return out
 
 
-@pytest.mark.parametrize("in_runs", [False, True])
-def test_parity(spark, monkeypatch, in_runs):
+def test_parity(spark):
     rng = random.Random(5)
     totals = [(f"{i:04d}", 5000 if i % 3 == 0 else rng.randint(0, 20000)) for i in range(400)]
-    monkeypatch.setattr(ordering, "is_small", lambda df: not in_runs)
     inst = spark.createDataFrame([inst_row(i, 2019, t) for i, t in totals], COLUMNS)
     assert as_lists(peers.parity_edges(inst, 2019)) == brute_parity(totals, 8)
 

@@ -6,8 +6,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+import oracle_queries
+from panelscope.plans.queries import all_queries
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = all_queries(), oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,7 @@ def tables(sf):
 
 def test_every_query_has_reference_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
