@@ -34,6 +34,19 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(whole_text(text))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text, and the whole row as ``_row``: no column can clash then."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), whole_text().alias("_text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``_row``, some of them changed."""
+    return rows.select(*[
+        changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def words_pattern() -> str:
     return r"[^\x20\x09-\x0D]+"
 
@@ -180,6 +193,26 @@ def distinct_per(
     return values[at], doc[at], n
 
 
+OWNER_BITS = 20
+
+
+def sorted_sets(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, value) pairs and their counts, by text; values keep 44 of their bits.
+
+    For comparing the sets of a few texts: 44 bits tell apart the items of any two.
+    Sorting one number for each pair is several times faster than ``distinct_per``.
+    """
+    if len(doc) and int(doc.max()) >> OWNER_BITS:
+        raise ValueError(f"a slice holds at most {1 << OWNER_BITS} texts")
+    keyed = np.sort(doc.astype(U) << U(64 - OWNER_BITS) | values >> U(OWNER_BITS))
+    new = np.ones(len(keyed), bool)
+    new[1:] = keyed[1:] != keyed[:-1]
+    at = np.flatnonzero(new)
+    keyed = keyed[at]
+    n = np.diff(at, append=len(new))
+    return keyed & U((1 << 64 - OWNER_BITS) - 1), (keyed >> U(64 - OWNER_BITS)).astype(np.int64), n
+
+
 def list_column(values: np.ndarray, doc: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
     """One list per text from values ordered by text."""
     ends = np.concatenate([[0], np.cumsum(counts_per(doc, n))]).astype(np.int32)

@@ -21,8 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = write_scratch(
         known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "links")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.where(F.col("b") > F.col("a")).join(least, "a")
@@ -34,10 +33,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 .union(down.select("a", F.col("m").alias("b")))
                 .where(F.col("a") != F.col("b")).distinct())
         edges = write_scratch(step, "links")
-        n, total = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        # stars only: one link per node, and the state repeats
-        if (n, total) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = (n, total)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Has every node one link down, to a node that has none?"""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where("down > 1 or (down = 1 and up = 1)").isEmpty()

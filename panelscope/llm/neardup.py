@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    Hasher, Texts, U, counts_per, distinct_per, list_column, mix, separators, shingles, text_key,
-    text_slices, whole_text, word_spans,
+    OWNER_BITS, Hasher, Texts, U, boxed, counts_per, mix, separators, shingles, sorted_sets, text_key,
+    text_slices, unboxed, whole_text, word_spans,
 )
-from .similar import KEYED, bucket_pairs, keyed_batch, similar_classes, small_join
+from .similar import KEYED, Items, bucket_pairs, keyed_batch, similar_classes, small_join
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -176,7 +176,7 @@ def document_keys(docs: DataFrame) -> DataFrame:
                 once &= per > 0
                 chosen = once[doc]
                 items, owner = shingles(hashes[chosen], doc[chosen], len(per), WORDS)
-                items, owner, n = distinct_per(items, owner)
+                items, owner, n = sorted_sets(items, owner)
                 at, key = band_entries(darts(items, np.ones(len(items)), owner, len(per)), BANDS, ROWS)
                 found.append((key, node[at]))
                 repeats = np.bincount(owner, n > 1, len(per)) > 0
@@ -193,31 +193,33 @@ def document_keys(docs: DataFrame) -> DataFrame:
     return docs.select(whole_text().alias("text")).mapInArrow(keys, KEYED)
 
 
-def document_sets(docs: DataFrame, table: DataFrame):
-    """A function from a table of nodes to their shingle sets and repeated shingles."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingled = Shingled()
-        for part in text_slices(batches):
-            hashes, doc, per, node, _ = shingled.nodes(part)
-            items, owner = shingles(hashes, doc, len(per), WORDS)
-            items, owner, n = distinct_per(items, owner)
-            more = np.repeat(np.arange(len(items)), n - 1)
-            turn = np.arange(len(more)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)
-            extra = mix(items[more] + (turn + 1).astype(U) * U(0xD1B54A32D192ED03))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node), list_column(items.astype(np.int64), owner, len(per), pa.int64()),
-                 list_column(extra.astype(np.int64), owner[more], len(per), pa.int64())],
-                ["node", "items", "extra"])
-
+def document_items(texts: pa.Array) -> Items:
+    """The distinct shingles of texts, and one more entry per repetition."""
+    shingled, n_texts = Shingled(), len(texts)
+    found, base = [], 0
+    for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        _, _, doc, hashes = shingled.words(part)
+        items, owner = shingles(hashes, doc, part.rows.num_rows, WORDS)
+        items, owner, n = sorted_sets(items, owner)
+        more = np.repeat(np.arange(len(items)), n - 1)
+        turn = np.arange(len(more)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)
+        extra = mix(items[more] + (turn + 1).astype(U) * U(0xD1B54A32D192ED03)) >> U(OWNER_BITS)
+        found.append((items, owner + base, extra, owner[more] + base))
+        base += part.rows.num_rows
+    return Items(*(np.concatenate(x) for x in zip(*found)))
+
+
+def document_texts(docs: DataFrame, table: DataFrame):
+    """A function from a table of nodes to their texts."""
     def of(nodes: DataFrame) -> DataFrame:
         first = table.join(nodes, "node", "left_semi").groupBy("node").agg(
             F.min(F.struct("doc_id", "text_key")).alias("at"))
-        wanted = write_scratch(first.select("at.*").distinct(), "wanted")
+        wanted = write_scratch(first.select("node", "at.*"), "wanted")
         keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"),
                             whole_text().alias("text"))
         on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
-        held = small_join(keyed, wanted, on, "inner").select("text")
-        return held.mapInArrow(sets, "node long, items array<long>, extra array<long>").dropDuplicates(["node"])
+        # a repeated row gives its text again
+        return small_join(keyed, wanted, on, "inner").select("node", "text").dropDuplicates(["node"])
 
     return of
 
@@ -231,7 +233,7 @@ def document_classes(docs: DataFrame) -> DataFrame:
     """
     table = document_table(docs)
     pairs = bucket_pairs(document_keys(docs))
-    roots = similar_classes(pairs, document_sets(docs, table), THRESHOLD)
+    roots = similar_classes(pairs, document_texts(docs, table), document_items, THRESHOLD)
     nodes = table.groupBy("node").agg(
         F.min("check").alias("_check"), F.min(F.struct("doc_id", "text_key")).alias("_at"))
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -265,15 +267,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     classes = document_classes(docs)
     own = F.struct("doc_id", "text_key")
-    marked = classes.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
-                            own.eqNullSafe(F.col("first")).alias("_stays"))
-    told = marked.groupBy("_id", "_key").agg(F.min("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    told = classes.groupBy(F.col("doc_id").alias("_told_id"), F.col("text_key").alias("_told_key")).agg(
+        F.min(own.eqNullSafe(F.col("first"))).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
     told = write_scratch(told.where(~F.col("_stays") | (F.col("_rows") > 1)), "near-duplicates")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    left = small_join(docs, told, on, "left").where(F.coalesce("_stays", F.lit(True)))
+    on = F.col("_id").eqNullSafe(F.col("_told_id")) & (F.col("_key") == F.col("_told_key"))
+    left = small_join(boxed(docs), told, on, "left").where(F.coalesce("_stays", F.lit(True)))
     if not told.where("_stays").isEmpty():  # repeated rows: few, so only they are dealt by key
         turn = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
-        plain = left.where(F.col("_rows").isNull())
-        left = plain.unionByName(
-            left.where(F.col("_rows").isNotNull()).withColumn("_turn", turn).where("_turn = 1").drop("_turn"))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+        again = left.where(F.col("_rows").isNotNull()).withColumn("_turn", turn).where("_turn = 1")
+        left = left.where(F.col("_rows").isNull()).unionByName(again.drop("_turn"))
+    return unboxed(left, docs)

@@ -11,10 +11,11 @@ step writes all pairs of a bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
@@ -38,15 +39,17 @@ def keyed_batch(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     A key sends one row to its bucket; the other nodes of the batch with that key
     are paired with that row's node here, however many they are.
     """
-    if len(keys):
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        fresh = new | np.concatenate([[True], nodes[1:] != nodes[:-1]])
-        first = nodes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-        keys, nodes, first, new = keys[fresh], nodes[fresh], first[fresh], new[fresh]
-    else:
-        first, new = nodes, np.zeros(0, bool)
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = nodes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))] if len(keys) else nodes
+    told = new | (nodes != first)
+    local = np.flatnonzero(told & ~new)
+    again = local[np.lexsort((nodes[local], keys[local]))]
+    same = (keys[again[1:]] == keys[again[:-1]]) & (nodes[again[1:]] == nodes[again[:-1]])
+    told[again[1:][same]] = False
+    keys, nodes, first, new = keys[told], nodes[told], first[told], new[told]
     part = np.where(new, keys, mix(keys.astype(U) ^ mix(nodes.astype(U))).astype(np.int64))
     return pa.RecordBatch.from_arrays(
         [pa.array(part), pa.array(keys, mask=new), pa.array(first, mask=new), pa.array(nodes)],
@@ -81,104 +84,182 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
     return write_scratch(dealt.mapInArrow(_pair_up, PAIRS), "pairs")
 
 
-def jaccard(a: Column, b: Column, extra_a: Column, extra_b: Column) -> Column:
-    """The larger of the similarities as sets and as sets with counts."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    more = F.size(F.array_intersect(extra_a, extra_b))
-    total = either + F.size(extra_a) + F.size(extra_b) - more
-    return F.greatest(both / either, (both + more) / total)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose sets reach the threshold."""
-    of = {s: sets.select(F.col("node").alias(s), F.col("items").alias(f"_{s}"),
-                         F.col("extra").alias(f"_{s}x")) for s in "ab"}
-    return pairs.join(of["a"], "a").join(of["b"], "b").where(
-        jaccard(F.col("_a"), F.col("_b"), F.col("_ax"), F.col("_bx")) >= threshold
-    ).select("a", "b")
-
-
-def _search_block(threshold: float):
-    def similar(x, y, ex, ey) -> bool:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        either = len(x) + len(y) - both
-        if both >= threshold * either:
-            return True
-        more = len(np.intersect1d(ex, ey, assume_unique=True))
-        return both + more >= threshold * (either + len(ex) + len(ey) - more)
-
-    def search(key, table):
-        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-        items = [np.array(x) for x in table.column("items").to_numpy(zero_copy_only=False)]
-        extra = [np.array(x, np.int64) for x in table.column("extra").to_numpy(zero_copy_only=False)]
-        low, high = key[1].as_py(), key[2].as_py()
-        names = {r: i for i, r in enumerate(np.unique(root).tolist())}
-        parent = list(range(len(names)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+class Items(NamedTuple):
+    """Distinct items of texts, and one more entry per repetition of an item."""
 
+    items: np.ndarray
+    owner: np.ndarray
+    extra: np.ndarray
+    extra_owner: np.ndarray
+
+
+ItemsOf = Callable[[pa.Array], Items]
+
+
+def overlap(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of items that the n sets of ``a`` share with those of ``b``; items have 44 bits."""
+    keys = np.sort(np.concatenate([of.astype(U) << U(44) | x for x, of in ((a, of_a), (b, of_b))]))
+    return np.bincount((keys[1:][keys[1:] == keys[:-1]] >> U(44)).astype(np.int64), minlength=n)
+
+
+def agree(a: Items, b: Items, n: int, threshold: float) -> np.ndarray:
+    """Which of n pairs reach the threshold as sets or as sets with counts."""
+    both = overlap(a.items, a.owner, b.items, b.owner, n)
+    either = np.bincount(a.owner, minlength=n) + np.bincount(b.owner, minlength=n) - both
+    more = overlap(a.extra, a.extra_owner, b.extra, b.extra_owner, n)
+    beside = np.bincount(a.extra_owner, minlength=n) + np.bincount(b.extra_owner, minlength=n) - more
+    return (both >= threshold * either) | (both + more >= threshold * (either + beside))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, items_of: ItemsOf, threshold: float) -> DataFrame:
+    """The (a, b) whose texts reach the threshold."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                a, b = (items_of(part.column(c)) for c in ("_a", "_b"))
+                chosen = pa.array(agree(a, b, part.num_rows, threshold))
+                yield part.select(["a", "b"]).filter(chosen)
+
+    of = {s: texts.select(F.col("node").alias(s), F.col("text").alias(f"_{s}")) for s in "ab"}
+    return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "_a", "_b").mapInArrow(
+        check, "a long, b long")
+
+
+def _take(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray):
+    """The items of the chosen sets, one set after the other, and which of them each is of."""
+    n = sizes[chosen]
+    owner = np.repeat(np.arange(len(chosen)), n)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[chosen][owner]
+    return values[at], owner
+
+
+COLUMNS = 4096  # shared items handled at once
+
+
+def _shared(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x n numbers of items that the sets have in common."""
+    out = np.zeros((n, n), np.float32)
+    _, item, held = np.unique(values, return_inverse=True, return_counts=True)
+    met = held > 1
+    number = np.cumsum(met) - 1
+    chosen = met[item]
+    item, owner = number[item[chosen]], owner[chosen]
+    for low in range(0, int(met.sum()), COLUMNS):
+        part = (item >= low) & (item < low + COLUMNS)
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[owner[part], item[part] - low] = 1
+        out += table @ table.T
+    return out
+
+
+def _search(items_of: ItemsOf, threshold: float):
+    """Compares the members of each (key, low, high) group of sorted rows across components."""
+    names = ["key", "low", "high", "node", "root", "block"]
+
+    def links(members, root, crossed, found, places):
+        """Pairs of places in ``members`` that are alike and of two components."""
+        (size, first), (more, first_more) = places
+        n = len(members)
+        both = _shared(*_take(found.items, first, size, members), n)
+        either = size[members][:, None] + size[members][None] - both
+        alike = both >= threshold * either
+        if more[members].any():
+            beside = _shared(*_take(found.extra, first_more, more, members), n)
+            total = either + more[members][:, None] + more[members][None] - beside
+            alike |= both + beside >= threshold * total
+        return np.nonzero(alike & crossed)
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        key, low, high, node, root, block = (table.column(c).to_numpy() for c in names)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        cuts = np.append(np.flatnonzero(new), len(key))
+        _, first, number = np.unique(node, return_index=True, return_inverse=True)
+        found = items_of(table.column("text").take(pa.array(first)).combine_chunks())
+        places = []
+        for owner in (found.owner, found.extra_owner):
+            size = np.bincount(owner, minlength=len(first))
+            places.append((size, np.cumsum(size) - size))
         a, b = [], []
-        for i in np.flatnonzero(block == low):
-            for j in np.flatnonzero(block == high):
-                if low == high and j <= i:
-                    continue
-                p, q = find(names[root[i]]), find(names[root[j]])
-                if p != q and similar(items[i], items[j], extra[i], extra[j]):
-                    parent[p] = q
-                    a.append(node[i])
-                    b.append(node[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            crossed = (root[s:e, None] != root[s:e]) & (block[s:e, None] == low[s]) & (block[s:e] == high[s])
+            if crossed.any():
+                i, j = links(number[s:e], root[s:e], crossed, found, places)
+                a.append(i + s)
+                b.append(j + s)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        # one link joins two components
+        roots = np.sort(np.stack([root[i], root[j]]), axis=0)
+        _, once = np.unique(roots, axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(node[i][once]), pa.array(node[j][once])], ["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            key, low, high = (table.column(c).to_numpy() for c in names[:3])
+            last = (key != key[-1]) | (low != low[-1]) | (high != high[-1])
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            if cut:
+                yield compare(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield compare(held)
 
     return search
 
 
 def open_links(
-    pairs: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float
+    pairs: DataFrame, roots: DataFrame, texts: DataFrame, items_of: ItemsOf, threshold: float
 ) -> DataFrame:
     """Links between members of one bucket that are not in one component yet."""
-    def with_root(table: DataFrame, column: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(column), F.col("root").alias(f"_{column}"))
-        return table.join(named, column, "left").withColumn(
-            f"_{column}", F.coalesce(f"_{column}", column))
-
-    both = with_root(with_root(pairs, "a"), "b")
-    # whole buckets: their least member and all others, if any two are apart
-    open_keys = both.where("_a != _b").select("key").distinct()
-    members = (both.join(open_keys, "key", "left_semi")
-               .select("key", F.explode(F.array(
-                   F.struct(F.col("a").alias("node"), F.col("_a").alias("root")),
-                   F.struct(F.col("b").alias("node"), F.col("_b").alias("root")))).alias("m"))
-               .select("key", "m.*").distinct())
+    # the least member has been compared with all others of its bucket; they with each other not
+    rest = pairs.select("key", F.col("b").alias("node")).distinct().join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    told = rest.groupBy("key").agg(
+        F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_sum")).where("_low != _high")
+    # buckets with the same members are searched once
+    open_keys = told.groupBy("_n", "_sum").agg(F.min("key").alias("key")).select("key")
+    members = rest.join(open_keys, "key", "left_semi")
     members = write_scratch(members, "members")
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
     blocks = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "_n").cast("int"))
     spread = blocks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
         "key", F.least("block", "_j").alias("low"), F.greatest("block", "_j").alias("high"),
         "node", "root", "block")
-    return spread.join(sets, "node").groupBy("key", "low", "high").applyInArrow(
-        _search_block(threshold), "a long, b long")
+    group = ["key", "low", "high"]  # of two blocks at most
+    dealt = spread.join(texts, "node").repartition(*group).sortWithinPartitions(*group)
+    return dealt.select(*group, "node", "root", "block", "text").mapInArrow(
+        _search(items_of, threshold), "a long, b long")
 
 
 def similar_classes(
-    pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float
+    pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], items_of: ItemsOf, threshold: float
 ) -> DataFrame:
     """(node, root) of every node that is linked; ``pairs`` is what ``bucket_pairs`` stored.
 
-    ``sets_of`` gives (node, items, extra) for a table of nodes: the distinct
-    items, and for items that occur repeatedly one more entry per repetition.
+    ``texts_of`` gives (node, text) for a table of nodes.
     """
     distinct = write_scratch(pairs.select("a", "b").distinct(), "candidates")
     nodes = write_scratch(
         distinct.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = write_scratch(sets_of(nodes), "sets")
-    links = write_scratch(verified(distinct, sets, threshold), "verified")
+    texts = write_scratch(texts_of(nodes), "texts")
+    links = write_scratch(verified(distinct, texts, items_of, threshold), "verified")
     roots = write_scratch(components(links), "roots")
-    more = write_scratch(open_links(pairs, roots, sets, threshold), "more-links")
+    more = write_scratch(open_links(pairs, roots, texts, items_of, threshold), "more-links")
     if more.isEmpty():
         return roots
-    return write_scratch(components(links.union(more)), "roots")
+    # join the components, not the nodes
+    ends = more
+    for end in "ab":
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    met = components(ends).select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    alone = met.join(roots, "root", "left_anti").select(F.col("root").alias("node"), "root")
+    every = roots.union(alone).join(met, "root", "left")
+    return write_scratch(every.select("node", F.coalesce("_root", "root").alias("root")), "roots")
