@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from panelscope.llm import toxicity  # noqa: E402
+from panelscope.llm import contamination, lines, neardup, queries, toxicity  # noqa: E402
 from panelscope.llm.common import read_table  # noqa: E402
 from panelscope.session import write_scratch  # noqa: E402
 
@@ -23,14 +23,39 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each class stays; documents left without words go."""
+    return lines.dedup_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return contamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents left, packed along the curve."""
+    return queries.packed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # MinHash classes, segments and tokens are not SQL; see tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

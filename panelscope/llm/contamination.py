@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    PUNCTUATION, Hasher, Texts, distinct_per, list_column, lowered, separators, shingles, text_key,
-    text_slices, whole_text, word_spans,
+    PUNCTUATION, Hasher, Texts, boxed, distinct_per, list_column, lowered, separators, shingles,
+    text_key, text_slices, unboxed, whole_text, word_spans,
 )
 from .similar import small_join
 
@@ -150,6 +150,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; columns as they are."""
     leaks = write_scratch(contaminated(docs, benchmark).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "leaks")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    return small_join(docs, leaks, on, "left_anti")
+        F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct(), "leaks")
+    on = F.col("_id").eqNullSafe(F.col("_leak_id")) & (F.col("_key") == F.col("_leak_key"))
+    return unboxed(small_join(boxed(docs), leaks, on, "left_anti"), docs)

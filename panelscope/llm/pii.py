@@ -103,10 +103,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spread = rows.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
     within = F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
     told = spread.select("row", "t", F.size(within).alias("_covers"), F.exists(
-        within, lambda s: s["start"] >= F.col("t.start")).alias("_first"))
-    # the first token of a base span is a seed; its other tokens are not looked at
+        within, lambda s: s["start"] >= F.col("t.start")).alias("_first"),
+        F.coalesce(F.get(within, F.lit(0))["value"], F.col("t.value")).alias("value"))
+    # the first token of a base span stands for it as a seed; its other tokens are not looked at
     seen = write_scratch(told.where((F.col("_covers") == 0) | F.col("_first")).select(
-        "row", "t.*", (F.col("_covers") > 0).alias("seed")), "pii-tokens")
+        "row", "t.start", "t.end", "t.left", "t.shape", "value", (F.col("_covers") > 0).alias("seed")),
+        "pii-tokens")
     edges = write_scratch(seen.groupBy("left", "shape", "value").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("seed"), 1)).alias("seeds")), "pii-edges")
     trusted = pattern_scores(edges)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    PUNCTUATION, Hasher, Texts, U, lowered, separators, text_slices, whole_text, word_spans,
+    PUNCTUATION, Hasher, Texts, U, boxed, lowered, separators, text_slices, unboxed, whole_text,
+    word_spans,
 )
 
 BUCKETS = 1 << 17
@@ -258,7 +259,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they are."""
-    columns = [f"`{c}`" for c in docs.columns]
-    row = F.struct(*columns).alias("_row")
-    scored = score_documents(docs.select(row, F.col("text")), train(docs, labels))
-    return scored.where("predicted = 0").select("_row.*")
+    scored = score_documents(boxed(docs).select("_row", F.col("_text").alias("text")), train(docs, labels))
+    return unboxed(scored.where("predicted = 0"), docs)
