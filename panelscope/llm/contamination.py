@@ -144,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = pairs.join(sets, on).select(
         "doc_id", "text_key", "item_id", shared.alias("shared"), F.size("items").alias("item_shingles"))
     return found.withColumn("containment", F.col("shared") / F.col("item_shingles")).where(
-        F.col("shared") >= THRESHOLD * F.col("item_shingles")).distinct()
+        F.col("shared") >= THRESHOLD * F.col("item_shingles") - 1e-9).distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -209,12 +209,10 @@ def document_items(texts: pa.Array) -> Items:
     return Items(*(np.concatenate(x) for x in zip(*found)))
 
 
-def document_texts(docs: DataFrame, table: DataFrame):
-    """A function from a table of nodes to their texts."""
+def document_texts(docs: DataFrame, firsts: DataFrame):
+    """A function from a table of nodes to their texts; ``firsts`` tells where each is found."""
     def of(nodes: DataFrame) -> DataFrame:
-        first = table.join(nodes, "node", "left_semi").groupBy("node").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("at"))
-        wanted = write_scratch(first.select("node", "at.*"), "wanted")
+        wanted = write_scratch(firsts.join(nodes, "node", "left_semi").select("node", "_at.*"), "wanted")
         keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"),
                             whole_text().alias("text"))
         on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
@@ -232,10 +230,10 @@ def document_classes(docs: DataFrame) -> DataFrame:
     although they differ (told by a second fingerprint) are classes of their own.
     """
     table = document_table(docs)
+    nodes = write_scratch(table.groupBy("node").agg(
+        F.min("check").alias("_check"), F.min(F.struct("doc_id", "text_key")).alias("_at")), "nodes-of")
     pairs = bucket_pairs(document_keys(docs))
-    roots = similar_classes(pairs, document_texts(docs, table), document_items, THRESHOLD)
-    nodes = table.groupBy("node").agg(
-        F.min("check").alias("_check"), F.min(F.struct("doc_id", "text_key")).alias("_at"))
+    roots = similar_classes(pairs, document_texts(docs, nodes), document_items, THRESHOLD)
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classed.groupBy("root").agg(F.min("_at").alias("first"))
     stored = write_scratch(classed.join(firsts, "root").select("node", "_check", "first"), "classes")

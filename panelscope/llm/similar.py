@@ -15,22 +15,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import U, mix
 from .graph import components
 
+EXACT = 1e-9  # counts are whole; a similarity of just the threshold counts
 BLOCK = 256  # members of a bucket compared with as many others in one group
 BROADCAST_ROWS = 1_000_000  # rows of two or three numbers, under 32 MB
 KEYED = "part long, key long, center long, node long"
 PAIRS = "key long, a long, b long"
 
 
-def small_join(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """Join a narrow stored ``right``: broadcast if counted small, else as Spark decides."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+def small_join(left: DataFrame, right: DataFrame, on, how: str, entries: Column | None = None) -> DataFrame:
+    """Join a narrow stored ``right``: broadcast if counted small, else as Spark decides.
+
+    ``entries`` is what a row of ``right`` counts for, if it holds a list.
+    """
+    held = right.agg(F.sum(F.lit(1) if entries is None else entries)).first()[0] or 0
+    return left.join(F.broadcast(right) if held <= BROADCAST_ROWS else right, on, how)
 
 
 def keyed_batch(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -108,7 +113,7 @@ def agree(a: Items, b: Items, n: int, threshold: float) -> np.ndarray:
     either = np.bincount(a.owner, minlength=n) + np.bincount(b.owner, minlength=n) - both
     more = overlap(a.extra, a.extra_owner, b.extra, b.extra_owner, n)
     beside = np.bincount(a.extra_owner, minlength=n) + np.bincount(b.extra_owner, minlength=n) - more
-    return (both >= threshold * either) | (both + more >= threshold * (either + beside))
+    return (both >= threshold * either - EXACT) | (both + more >= threshold * (either + beside) - EXACT)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, items_of: ItemsOf, threshold: float) -> DataFrame:
@@ -163,11 +168,11 @@ def _search(items_of: ItemsOf, threshold: float):
         n = len(members)
         both = _shared(*_take(found.items, first, size, members), n)
         either = size[members][:, None] + size[members][None] - both
-        alike = both >= threshold * either
+        alike = both >= threshold * either - EXACT
         if more[members].any():
             beside = _shared(*_take(found.extra, first_more, more, members), n)
             total = either + more[members][:, None] + more[members][None] - beside
-            alike |= both + beside >= threshold * total
+            alike |= both + beside >= threshold * total - EXACT
         return np.nonzero(alike & crossed)
 
     def compare(table: pa.Table) -> pa.RecordBatch:

@@ -7,6 +7,8 @@ import subprocess
 import sys
 
 import brute
+import compare
+import pytest
 
 import corpus_pipeline
 from panelscope.llm import lines, queries, toxicity
@@ -103,3 +105,9 @@ def test_entry_without_the_corpus_modules(tmp_path):
     assert int(n) >= 105 and (ops, pipeline) == ("False", "False")
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_here\n")
     assert "no_such_module_here" in run().stderr
+
+
+@pytest.mark.parametrize("name", sorted(queries.llm_oracle_sql()))
+def test_whole_tables_match_reference_sql(spark, sf, name):
+    sql = queries.llm_oracle_sql()[name]
+    assert compare.differences(queries.llm_queries()[name](spark, sf), compare.connect(sf), sql) is None
