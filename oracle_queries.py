@@ -698,6 +698,11 @@ def oracle_sql() -> dict[str, str]:
         SELECT event_id, 'field_code' AS kind, code, suggestions FROM us JOIN (VALUES {fields_list}) f(i, code, suggestions) ON k % 5 = i
         UNION ALL SELECT event_id, 'agency_code', 'NIH', '{all_agencies}' FROM us WHERE k % 3 = 1""")
 
+    sql["E6_first_statement"] = events("""
+        SELECT event_id, CASE k % 4 WHEN 0 THEN 'SELECT a FROM t WHERE k = ' || k || ';'
+            WHEN 1 THEN 'select a' || chr(10) || 'FROM t WHERE k = ' || k || ';'
+            WHEN 2 THEN 'WITH x AS (SELECT ' || k || ') SELECT * FROM x;' ELSE '' END AS sql FROM us""")
+
     sql["F1_F2_dollars"] = supplier("""
         SELECT inst_id, year, field_code, CASE
             WHEN total >= 1000000000 THEN '$' || printf('%.2f', CAST(total AS DOUBLE) / 1000000000) || 'B'

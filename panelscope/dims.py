@@ -223,23 +223,12 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(taxonomy_rows(), schema.TAXONOMY))
 
 
-def agencies(spark: SparkSession) -> DataFrame:
-    return F.broadcast(
-        spark.createDataFrame(list(AGENCY_NAMES.items()), "agency_code string, agency_name string")
-    )
-
-
 def aliases(spark: SparkSession) -> DataFrame:
     return F.broadcast(
         spark.createDataFrame(list(INSTITUTION_ALIASES.items()), "alias string, full_name string")
     )
 
 
-def short_labels(spark: SparkSession) -> DataFrame:
-    rows = list(FIELD_SHORT_LABELS.items())
-    return F.broadcast(spark.createDataFrame(rows, "field_code string, label string"))
-
-
 def terms(spark: SparkSession) -> DataFrame:
     rows = [(t, "field", c) for t, c in FIELD_TERMS.items()]
     rows += [(t, "agency", c) for t, c in AGENCY_TERMS.items()]

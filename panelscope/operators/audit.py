@@ -45,3 +45,22 @@ def unknown_codes(
     alike = F.filter(all_fields, lambda c: c.startswith(F.concat(family, F.lit("_"))) | (c == family))
     suggestions = F.when(is_field, F.when(F.size(alike) > 0, alike).otherwise(all_fields)).otherwise(all_agencies)
     return unknown.select(id_column, "kind", "code", F.array_join(suggestions, ", ").alias("suggestions"))
+
+
+VERBS = r"(?i)^(SELECT|WITH|INSERT|UPDATE|DELETE)\b"
+REMARKS = r"^(```|--|Note:|This |The )"
+
+
+def first_statement(answer: Column) -> Column:
+    """The first SQL statement in a text that may hold fences and prose; empty if none.
+
+    The statement starts at the first line that begins with a verb and ends at the
+    first semicolon, or at the end; remarks between its lines are left out.
+    """
+    lines = F.transform(F.split(answer, "\n"), lambda x: F.trim(x))
+    marked = F.transform(lines, lambda x: F.struct(x.alias("x"), x.rlike(VERBS).alias("v")))
+    start = F.array_position(F.transform(marked, lambda m: m["v"]), True).cast("int")
+    rest = F.when(start > 0, F.slice(lines, start, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    kept = F.filter(rest, lambda x: (x != "") & ~x.rlike(REMARKS))
+    text = F.trim(F.split_part(F.array_join(kept, "\n"), F.lit(";"), F.lit(1)))
+    return F.when(text == "", text).otherwise(F.concat(text, F.lit(";")))

@@ -167,6 +167,3 @@ def fastest(inst: DataFrame, y0: int, y1: int, n: int = 10) -> DataFrame:
     """Fastest growing entities with at least the floor amount at the start."""
     return _first_n(guarded_growth(inst, y0, y1), "cagr", n, "growth_rank")
 
-
-def is_selected(target: str) -> Column:
-    return F.when(F.col("inst_id") == target, 1).otherwise(0)

@@ -221,6 +221,18 @@ def logged_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("sql"))
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated answer per event: fenced, with prose, with a second statement, without any."""
+    k, number = F.col("k"), F.col("k").cast("string")
+    answer = (
+        F.when(k % 4 == 0, F.concat(F.lit("```sql\nSELECT a FROM t WHERE k = "), number, F.lit(";\n```\nThis counts.")))
+        .when(k % 4 == 1, F.concat(F.lit("Here it is:\n\n  select a\n-- only these\n  FROM t WHERE k = "), number))
+        .when(k % 4 == 2, F.concat(F.lit("WITH x AS (SELECT "), number, F.lit(") SELECT * FROM x; DROP TABLE t;")))
+        .otherwise(F.lit("Selecting is not needed.\nThe answer is 4."))
+    )
+    return usage_events(spark, sf_dir).select("event_id", answer.alias("answer"))
+
+
 def asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to resolve, one per customer: full names, parts, numbers, nicknames."""
     c = F.col("c_custkey")

@@ -714,6 +714,12 @@ def _(spark, sf):
     return audit.unknown_codes(derived.logged_sql(spark, sf), "event_id", "sql")
 
 
+@_query("E6_first_statement")
+def _(spark, sf):
+    told = derived.answers(spark, sf)
+    return told.select("event_id", audit.first_statement(F.col("answer")).alias("sql"))
+
+
 # later than any event; no state is dropped, so rows equal the batch form
 STREAM = {"late": "3650 days", "idle": None}
 
