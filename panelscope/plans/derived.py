@@ -253,12 +253,12 @@ def nicknames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_edges: dict[tuple[str, str, str, int], DataFrame] = {}
+_edges: dict[tuple, DataFrame] = {}
 
 
 def benchmark_edges(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Suppliers' nearest neighbours, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, "suppliers", k)
+    key = (*panel.source_state(spark, sf_dir), k)
     if key not in _edges:
         features = knn.feature_rows(panel.supplier_panel(spark, sf_dir).inst)
         _edges[key] = write_scratch(knn.knn_edges(features, k), "edges")

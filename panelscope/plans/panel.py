@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims, schema
-from ..session import scratch_dir
+from ..session import last_change, scratch_dir
 from ..sources import tables
 
 # return flag + line status -> source
@@ -168,11 +168,19 @@ def build_customer_panel(spark: SparkSession, sf_dir: str, out_dir: str) -> None
     tables.write_table(_customer_years(spark, sf_dir), f"{out_dir}/institutions")
 
 
-_built: dict[tuple[str, str, str], str] = {}
+RAW_TABLES = ("lineitem", "orders", "supplier", "customer", "part", "nation", "region")
+
+_built: dict[tuple, str] = {}
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> tuple[str, str, int]:
+    """Application, folder, and when its tables last changed: the key of what is built from them."""
+    changed = last_change(spark, [f"{sf_dir}/{t}.parquet" for t in RAW_TABLES])
+    return spark.sparkContext.applicationId, sf_dir, changed
 
 
 def _once(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (*source_state(spark, sf_dir), kind)
     if key not in _built:
         out = scratch_dir(spark, f"panel-{kind}")
         build(spark, sf_dir, out)

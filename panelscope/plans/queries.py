@@ -17,7 +17,7 @@ from ..sources import logs, microdata, tables
 from ..streaming import events as streams
 from . import adhoc, derived
 from .load import load_microdata
-from .panel import Panel, customer_panel, supplier_panel
+from .panel import Panel, customer_panel, source_state, supplier_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 Y0, Y1 = 1996, 2001
@@ -65,12 +65,12 @@ def all_queries() -> dict[str, Query]:
 # --- sources, sinks and SQL ---------------------------------------------------
 
 
-_loaded: dict[tuple[str, str], tuple[Panel, list[str]]] = {}
+_loaded: dict[tuple, tuple[Panel, list[str]]] = {}
 
 
 def _microdata_panel(spark: SparkSession, sf: str) -> tuple[Panel, list[str]]:
     """The survey files loaded into tables, once per application, and the files."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = source_state(spark, sf)
     if key not in _loaded:
         files = derived.survey_files(spark, sf)
         _loaded[key] = load_microdata(

@@ -6,6 +6,7 @@ Operators never create a session; they use the one their input belongs to.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,15 @@ def write_scratch(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def last_change(spark: SparkSession, paths: Sequence[str]) -> int:
+    """When the newest of some files or folders was written; one file-system call each."""
+    conf = spark._jsc.hadoopConfiguration()
+    newest = 0
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(conf)
+        if system.exists(at):
+            newest = max(newest, system.getFileStatus(at).getModificationTime())
+    return newest
