@@ -32,6 +32,7 @@ DIMENSIONS, GRID_BITS, TIE_BITS = 4, 12, 15
 VECTOR = 256  # buckets of the hashed word counts
 SPAN = 2.5  # deviations either side of the mean that the grid covers
 LONG_TEXT = 1 << 20
+WEIGHT = 4096
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -85,17 +86,18 @@ def curve_order(points: np.ndarray, ids: np.ndarray, mean: np.ndarray, deviation
 
 
 def project(docs: DataFrame) -> DataFrame:
-    """(doc_id, point): where every document lies, stored."""
+    """(doc_id, point, size): where every document lies and its bytes, stored."""
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection = Projection()
         for part in text_slices(batches):
             flat = pa.array(projection(part).ravel())
             ends = pa.array(np.arange(part.rows.num_rows + 1, dtype=np.int32) * DIMENSIONS)
             yield pa.RecordBatch.from_arrays(
-                [part.rows.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "point"])
+                [part.rows.column("doc_id"), pa.ListArray.from_arrays(ends, flat), pa.array(np.diff(part.offsets))],
+                ["doc_id", "point", "size"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return write_scratch(chosen.mapInArrow(points, "doc_id long, point array<double>"), "points")
+    return write_scratch(chosen.mapInArrow(points, "doc_id long, point array<double>, size long"), "points")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -103,12 +105,17 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def run_bounds(points: DataFrame, mean: np.ndarray, deviation: np.ndarray, runs: int) -> np.ndarray:
-    """Curve places that cut the documents into ``runs`` parts of about equal number."""
+    """Curve places that cut the documents into ``runs`` parts of about equal size.
+
+    A document counts once for each ``WEIGHT`` bytes begun: long documents lie close
+    together on the curve.
+    """
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("point").flatten().to_numpy().reshape(-1, DIMENSIONS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(curve_order(at, _ids(batch.column("doc_id")), mean, deviation))], ["place"])
+            place = curve_order(at, _ids(batch.column("doc_id")), mean, deviation)
+            times = 1 + batch.column("size").to_numpy() // WEIGHT
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(place, times))], ["place"])
 
     shares = [i / runs for i in range(1, runs)]
     if not shares:

@@ -139,6 +139,7 @@ def _take(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.
     return values[at], owner
 
 
+AT_ONCE = 2048  # rows of sorted groups handled at once
 COLUMNS = 4096  # shared items handled at once
 
 
@@ -207,11 +208,12 @@ def _search(items_of: ItemsOf, threshold: float):
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             key, low, high = (table.column(c).to_numpy() for c in names[:3])
-            last = (key != key[-1]) | (low != low[-1]) | (high != high[-1])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            if cut:
-                yield compare(table.slice(0, cut))
-            held = table.slice(cut)
+            starts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            done = 0
+            for cut in starts[np.diff(starts // AT_ONCE, append=-1) != 0]:  # the last start of each stretch
+                yield compare(table.slice(done, cut - done))
+                done = int(cut)
+            held = table.slice(done)
         if held is not None:
             yield compare(held)
 

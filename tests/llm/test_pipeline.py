@@ -111,3 +111,15 @@ def test_entry_without_the_corpus_modules(tmp_path):
 def test_whole_tables_match_reference_sql(spark, sf, name):
     sql = queries.llm_oracle_sql()[name]
     assert compare.differences(queries.llm_queries()[name](spark, sf), compare.connect(sf), sql) is None
+
+
+def test_pipeline_over_awkward_and_empty_documents(spark, docs, empty, labels, items, tmp_path):
+    for name, table in (("some", docs), ("none", empty)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    ids = {r.doc_id for r in packed.collect()}
+    assert {300, 301, 402} <= ids and not {201, 239} & ids
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

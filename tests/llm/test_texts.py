@@ -253,3 +253,32 @@ def test_weak_quality(spark, docs, empty, rows):
     got = weak_labels.weak_quality(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and len(r.votes) == 8 for r in got)
     assert weak_labels.weak_quality(empty).count() == 0
+
+
+def test_empty_tables(empty):
+    assert sharding.shard_documents(empty).count() == 0
+    assert queries.packed(empty).count() == 0
+
+
+def test_open_buckets_are_cut_at_groups(monkeypatch):
+    """Groups of sorted rows are whole however the batches fall."""
+    from panelscope.llm import neardup, similar
+
+    monkeypatch.setattr(similar, "AT_ONCE", 3)
+    rng = random.Random(2)
+    base = [str(rng.random()) for _ in range(60)]
+    rows = []
+    for key in range(9):
+        for i in range(4):
+            text = " ".join([*base[:i], "edit", *base[i + 1:]]) if i < 3 else f"alone {key}"
+            rows.append({"key": key, "low": 0, "high": 0, "node": 10 * key + i, "root": 10 * key + i,
+                         "block": 0, "text": text + f" {key}" * 3})
+    table = pa.Table.from_pylist(rows)
+    search = similar._search(neardup.document_items, 0.8)
+    for size in (1, 5, 100):
+        found = [r for b in search(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        union = brute.Union(100)
+        for r in found:
+            union.join(r["a"], r["b"])
+        assert all(len({union.find(10 * k + i) for i in range(3)}) == 1 for k in range(9))
+        assert all(r["a"] // 10 == r["b"] // 10 and 3 not in (r["a"] % 10, r["b"] % 10) for r in found)
