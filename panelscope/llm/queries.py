@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from . import contamination, lines, neardup, packing, pii, quality_rules, secret_scan, sharding, toxicity, weak_labels
+from . import (
+    contamination, lines, neardup, packing, pii, quality_rules, reference_sql, secret_scan, sharding, toxicity,
+    weak_labels,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,41 +76,10 @@ def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
-# shingles of five words with their counts, links, and everything that links reach
-NEAR_DUPLICATES_SQL = r"""
-WITH RECURSIVE words AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-shingles AS (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS x FROM words),
-counts AS (SELECT doc_id, x, count(*) AS n FROM shingles GROUP BY doc_id, x),
-sizes AS (SELECT doc_id, count(*) AS items, sum(n) AS total FROM counts GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS items, sum(least(a.n, b.n)) AS total
-           FROM counts a JOIN counts b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-links AS (SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-          WHERE 5 * s.items >= 4 * (p.items + q.items - s.items) OR 5 * s.total >= 4 * (p.total + q.total - s.total)),
-ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reached AS (SELECT doc_id AS node, doc_id AS seen FROM documents
-            UNION SELECT r.node, l.b FROM reached r JOIN ways l ON l.a = r.seen)
-SELECT node AS doc_id, min(seen) AS class_id, min(seen) = node AS is_first FROM reached GROUP BY node"""
-
-# ASCII letters in lower case; white space and ASCII punctuation part words
-CONTAINMENT_SQL = r"""
-WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
-words AS (
-    SELECT kind, id, list_filter(string_split_regex(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+'), lambda x: x <> '') AS w FROM texts),
-shingles AS (
-    SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS x FROM words),
-sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
-SELECT d.id AS doc_id, i.id AS item_id, CAST(count(*) AS INTEGER) AS shared, CAST(any_value(n) AS INTEGER) AS item_shingles,
-       CAST(count(*) AS DOUBLE) / any_value(n) AS containment
-FROM shingles d JOIN shingles i ON d.x = i.x AND d.kind = 'd' AND i.kind = 'i' JOIN sizes s ON s.id = i.id
-GROUP BY d.id, i.id HAVING 5 * count(*) >= 4 * any_value(n)"""
-
-
 def llm_oracle_sql() -> dict[str, str]:
     """Only what plain SQL can say; the other operators are tested by brute force."""
-    return {"op1_dart_minhash": NEAR_DUPLICATES_SQL, "op9_containment": CONTAINMENT_SQL}
+    return {
+        "op1_dart_minhash": reference_sql.NEAR_DUPLICATES, "op4_owned_secrets": reference_sql.SECRETS,
+        "op5_fuzzy_lines": reference_sql.LINE_CLASSES,
+        "op8_contextual_pii": reference_sql.PERSONAL_DATA, "op9_containment": reference_sql.CONTAINMENT,
+    }
