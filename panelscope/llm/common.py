@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 8 << 20
 WHITE = bytes([32, 9, 10, 11, 12, 13])
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 U = np.uint64
@@ -25,6 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower Spark's bound on the bytes of an Arrow batch, if it allows more.
+
+    JVM and Python hold a batch or two of every running task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -60,7 +71,11 @@ class Texts(NamedTuple):
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[Texts]:
-    """Slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
+    """Slices of about ``limit`` bytes of text; a longer text is a slice of its own.
+
+    Memory that is free at the end goes back to the system: workers are kept, and one
+    that grew would stay as large.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,6 +94,15 @@ def text_slices(
             i = j
 
 
+def _give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U(32))

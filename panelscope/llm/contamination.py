@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    PUNCTUATION, Hasher, Texts, boxed, distinct_per, list_column, lowered, separators, shingles,
+    PUNCTUATION, Hasher, Texts, bound_batches, boxed, distinct_per, list_column, lowered, separators, shingles,
     text_key, text_slices, unboxed, whole_text, word_spans,
 )
 from .similar import small_join
@@ -124,6 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words is found only as a whole text. Rows repeated whole are found once; a null
     id is a value like any other. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     items = item_sets(benchmark)
     sketches = item_sketches(items)
     hits = sketch_hits(docs, bit_tables(sketches)).distinct()

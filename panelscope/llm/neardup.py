@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    OWNER_BITS, Hasher, Texts, U, boxed, counts_per, mix, separators, shingles, sorted_sets, text_key,
+    OWNER_BITS, Hasher, Texts, U, bound_batches, boxed, counts_per, mix, separators, shingles, sorted_sets, text_key,
     text_slices, unboxed, whole_text, word_spans,
 )
 from .similar import KEYED, Items, bucket_pairs, keyed_batch, similar_classes, small_join
@@ -158,6 +158,7 @@ def document_table(docs: DataFrame) -> DataFrame:
                  pa.array(node[some]), pa.array(check[some])],
                 ["doc_id", "text_key", "node", "check"])
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"),
                          text_key().alias("text_key"))
     return write_scratch(chosen.mapInArrow(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import Hasher, U, mix, separators, text_slices, whole_text, word_spans
+from .common import Hasher, U, bound_batches, mix, separators, text_slices, whole_text, word_spans
 
 LENGTH = 2048
 END_ID = 1
@@ -216,6 +216,7 @@ def pack(
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = project(docs)

@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    PUNCTUATION, Hasher, Texts, U, boxed, lowered, separators, text_slices, unboxed, whole_text,
+    PUNCTUATION, Hasher, Texts, U, bound_batches, boxed, lowered, separators, text_slices, unboxed, whole_text,
     word_spans,
 )
+from .similar import small_join
 
 BUCKETS = 1 << 17
 TRAIN_ROWS = 50_000
@@ -216,6 +217,7 @@ def logistic(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    bound_batches(docs.sparkSession)
     chosen = training_labels(labels, rows)
     counted = token_counts(docs, chosen).collect()  # one row per bucket at most
     weights, chance = log_odds(np.array([tuple(r) for r in counted], np.int64).reshape(-1, 4))
@@ -259,5 +261,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they are."""
-    scored = score_documents(boxed(docs).select("_row", F.col("_text").alias("text")), train(docs, labels))
-    return unboxed(scored.where("predicted = 0"), docs)
+    scored = score_documents(boxed(docs).select("_id", "_key", F.col("_text").alias("text")), train(docs, labels))
+    gone = write_scratch(scored.where("predicted = 1").select(
+        F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key")).distinct(), "toxic")
+    on = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key"))
+    return unboxed(small_join(boxed(docs), gone, on, "left_anti"), docs)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import Hasher, Texts, U, mix, separators, text_key, text_slices, whole_text, word_spans
+from .common import Hasher, Texts, U, bound_batches, mix, separators, text_key, text_slices, whole_text, word_spans
 
 FEATURES = 1 << 16
 TRAIN_ROWS = 8_000
@@ -254,6 +254,7 @@ def weak_quality(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     their length alone. Repeated rows are judged alike. An empty table gives an
     empty table.
     """
+    bound_batches(docs.sparkSession)
     codes, counted = count_patterns(docs)
     share, table = label_model(codes, counted)
     weights, bias = train(docs, share, table, rows)
