@@ -636,11 +636,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT inst_id, field_code, field_name, parent_field, {at(Y0, 'total')} AS rd_start, {at(Y1, 'total')} AS rd_end
             FROM fields WHERE is_parent = 0 AND year IN ({Y0}, {Y1}) GROUP BY inst_id, field_code, field_name, parent_field)
         WHERE rd_start > 0 AND rd_end > 0""")
-    places = f"inst_id, top_agency_pct, total_federal, num_agencies, {rank_of.format(v='top_agency_pct', out='concentration_rank')}"
+    places = f"tops.inst_id, name, top_agency_pct, total_federal, num_agencies, {rank_of.format(v='top_agency_pct', out='concentration_rank')}"
     own = f"(SELECT top_agency_pct FROM tops WHERE inst_id = '{TARGET}')"
     sql["Q9_concentration_band"] = supplier(f"""
-        SELECT {places} FROM tops WHERE inst_id = '{TARGET}' OR top_agency_pct >= {own} - 5 AND top_agency_pct <= {own} + 5""", TOP_SHARES)
-    sql["Q9_concentration_ranks"] = supplier(f"SELECT {places} FROM tops", TOP_SHARES)
+        SELECT {places} FROM tops LEFT JOIN names ON names.inst_id = tops.inst_id WHERE tops.inst_id = '{TARGET}' OR top_agency_pct >= {own} - 5 AND top_agency_pct <= {own} + 5""", TOP_SHARES)
+    sql["Q9_concentration_ranks"] = supplier(f"SELECT {places} FROM tops LEFT JOIN names ON names.inst_id = tops.inst_id", TOP_SHARES)
     sql["Q10_state_totals"] = customer(f"""
         SELECT state, {big('sum(total_rd)')} AS total_state_rd, {big('count(DISTINCT inst_id)')} AS num_institutions,
                round(CAST(sum(total_rd) AS DOUBLE) / count(DISTINCT inst_id), 0) AS avg_per_institution

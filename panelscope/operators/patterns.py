@@ -113,7 +113,9 @@ def agency_share_rank(inst: DataFrame, agencies: DataFrame, year: int) -> DataFr
     return ranked(shares, "pct_of_federal", ["agency_code"], "share_rank")
 
 
-def concentration_band(agencies: DataFrame, year: int, target: str, margin: float = 5.0) -> DataFrame:
+def concentration_band(
+    inst: DataFrame, agencies: DataFrame, year: int, target: str, margin: float = 5.0
+) -> DataFrame:
     """The target and all entities within the margin of its top-agency share.
 
     The rank is among the band's rows, and no row limit can cut the target.
@@ -123,18 +125,23 @@ def concentration_band(agencies: DataFrame, year: int, target: str, margin: floa
     near = shares.withColumn("own_pct", own).where(
         (F.col("inst_id") == target) | F.col("top_agency_pct").between(F.col("own_pct") - margin, F.col("own_pct") + margin)
     )
-    return ranked(
+    return _with_names(inst, ranked(
         near.select("inst_id", "top_agency_pct", "total_federal", "num_agencies"),
         "top_agency_pct", [], "concentration_rank",
-    )
+    ))
 
 
-def concentration_ranks(agencies: DataFrame, year: int) -> DataFrame:
+def concentration_ranks(inst: DataFrame, agencies: DataFrame, year: int) -> DataFrame:
     """Every entity's concentration and its national place."""
-    return ranked(
+    return _with_names(inst, ranked(
         top_shares(agencies, year).select("inst_id", "top_agency_pct", "total_federal", "num_agencies"),
         "top_agency_pct", [], "concentration_rank",
-    )
+    ))
+
+
+def _with_names(inst: DataFrame, rows: DataFrame) -> DataFrame:
+    """Append the current name, null where the entity has left the panel."""
+    return rows.join(latest_names(inst), "inst_id", "left")
 
 
 def state_totals(inst: DataFrame, year: int, n: int | None = None) -> DataFrame:

@@ -636,12 +636,12 @@ def _(p):
 
 @_panel_query("Q9_concentration_band")
 def _(p):
-    return patterns.concentration_band(p.agencies, Y1, TARGET)
+    return patterns.concentration_band(p.inst, p.agencies, Y1, TARGET)
 
 
 @_panel_query("Q9_concentration_ranks")
 def _(p):
-    return patterns.concentration_ranks(p.agencies, Y1)
+    return patterns.concentration_ranks(p.inst, p.agencies, Y1)
 
 
 @_customer_query("Q10_state_totals")

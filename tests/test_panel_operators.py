@@ -189,9 +189,9 @@ def test_agencies(spark, inst):
     assert {i: r["national_percentile"] for i, r in place.items()} == {"c": 0, "b": 25, "a": 50, "d": 50}
     change = by_id(growth.agency_change(agencies, 2015, 2020), "inst_id", "agency_code")
     assert change["a", "DOD"]["funding_start"] == 0 and change["a", "DOD"]["pct_change"] is None
-    ranks = by_id(patterns.concentration_ranks(agencies, 2020))
+    ranks = by_id(patterns.concentration_ranks(inst, agencies, 2020))
     assert ranks["a"]["concentration_rank"] == ranks["d"]["concentration_rank"] == 1
-    band = by_id(patterns.concentration_band(agencies, 2020, "b"))
+    band = by_id(patterns.concentration_band(inst, agencies, 2020, "b"))
     assert set(band) == {"b"}
 
 
