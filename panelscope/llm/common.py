@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 WHITE = bytes([32, 9, 10, 11, 12, 13])
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 U = np.uint64
@@ -69,12 +69,12 @@ class Texts(NamedTuple):
 
 
 def text_slices(
-    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, last: bool = True
 ) -> Iterator[Texts]:
     """Slices of about ``limit`` bytes of text; a longer text is a slice of its own.
 
-    Memory that is free at the end goes back to the system: workers are kept, and one
-    that grew would stay as large.
+    Memory that is free at the end goes back to the system, if this is the ``last`` text
+    of a task: workers are kept, and one that grew would stay as large.
     """
     for batch in batches:
         if not batch.num_rows:

@@ -170,7 +170,7 @@ def document_keys(docs: DataFrame) -> DataFrame:
         shingled = Shingled()
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for part in text_slices(iter([batch])):
+            for part in text_slices(iter([batch]), last=False):
                 hashes, doc, per, node, _ = shingled.nodes(part)
                 once = np.zeros(len(per), bool)
                 once[np.unique(node, return_index=True)[1]] = True

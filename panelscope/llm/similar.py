@@ -74,7 +74,9 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held_part is not None and part[0] == held_part:
             first[:np.flatnonzero(new[1:])[0] + 1 if new[1:].any() else None] = held_node
         held_part, held_node = part[-1], first[-1]
-        met = ~local & (first != node)
+        again = np.zeros(len(part), bool)  # a node that several batches sent
+        again[1:] = ~new[1:] & (node[1:] == node[:-1])
+        met = ~local & ~again & (first != node)
         key = np.concatenate([part[met], batch.column("key").drop_null().to_numpy()])
         a = np.concatenate([first[met], batch.column("center").drop_null().to_numpy()])
         b = np.concatenate([node[met], node[local]])
