@@ -3,9 +3,9 @@
 A node is the 64-bit fingerprint of a text; texts with one fingerprint are one
 node. Nodes meet in buckets (equal band keys). Every bucket links its members to
 its least one; links are verified on the whole sets, and components are formed.
-Buckets that still hold several components are searched block by block, so that
-no link between members that both differ from the least one is lost. Neither
-step writes all pairs of a bucket.
+Buckets that still hold several components are searched block by block, the
+least member with the others, as members that one Arrow batch held have been
+compared with that batch's center only. Neither step writes all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -226,15 +226,26 @@ def open_links(
     pairs: DataFrame, roots: DataFrame, texts: DataFrame, items_of: ItemsOf, threshold: float
 ) -> DataFrame:
     """Links between members of one bucket that are not in one component yet."""
-    # the least member has been compared with all others of its bucket; they with each other not
-    rest = pairs.select("key", F.col("b").alias("node")).distinct().join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
+    # if all pairs of a bucket have one center, that one has been compared with all others, they with
+    # each other not; members that Arrow batches paired with several centers have met only their own
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("center")),
+                   F.struct(F.col("b").alias("node"), F.lit(False).alias("center")))
+    rest = pairs.select("key", F.explode(ends).alias("e")).groupBy("key", "e.node").agg(
+        F.bool_or("e.center").alias("center")).join(roots, "node", "left").select(
+        "key", "node", "center", F.coalesce("root", "node").alias("root"))
+
+    def span(of: Column, suffix: str) -> list[Column]:
+        return [f(F.when(of, F.col("root"))).alias(f"_{n}{suffix}") for f, n in ((F.min, "low"), (F.max, "high"))]
+
     told = rest.groupBy("key").agg(
-        F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_sum")).where("_low != _high")
+        *span(F.lit(True), ""), *span(~F.col("center"), "_met"),
+        F.count_if("center").alias("_centers"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_sum")).where(
+        F.when(F.col("_centers") > 1, F.col("_low") != F.col("_high")).otherwise(
+            F.col("_low_met") != F.col("_high_met")))
     # buckets with the same members are searched once
     open_keys = told.groupBy("_n", "_sum").agg(F.min("key").alias("key")).select("key")
-    members = rest.join(open_keys, "key", "left_semi")
+    members = rest.drop("center").join(open_keys, "key", "left_semi")
     members = write_scratch(members, "members")
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
     blocks = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "_n").cast("int"))

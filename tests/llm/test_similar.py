@@ -120,6 +120,49 @@ def test_links_between_members_that_differ_from_the_least(spark):
     assert len({union.find(i) for i in range(6)}) == 3
 
 
+def test_least_member_is_searched_if_batches_had_centers(spark):
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(100)]
+    near = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in (20, 70)]
+    center = "another text that is like none of them"
+    for other in (center, near[1].replace(" x ", " y ")):  # the other two are apart, or alike
+        texts = [near[0], center, near[1], other]
+        pairs = spark.createDataFrame([(7, 0, 1), (7, 1, 2), (7, 1, 3)], "key long, a long, b long")
+        roots = similar.similar_classes(
+            pairs, lambda nodes: _members(spark, texts).join(nodes, "node", "left_semi"),
+            neardup.document_items, 0.8).collect()
+        class_of = {r.node: r.root for r in roots}
+        assert class_of[0] == class_of[2]
+
+
+@pytest.mark.parametrize("at_once", [2, 3, 1000])
+def test_batches_of_one_bucket_against_brute_force(spark, at_once):
+    """One key holds all members, in Arrow batches of a few."""
+    def keys(batches):
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            yield similar.keyed_batch(np.full(len(nodes), 7), nodes)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for seed in range(3):
+        rng = random.Random(seed)
+        words = [[str(rng.random()) for _ in range(60)] for _ in range(4)]
+        listed = [w[:i] + ["x"] + w[i + 1:] for w in words for i in rng.sample(range(60), 3)]
+        listed = [" ".join(x) for x in rng.sample(listed, len(listed))]
+        texts = _members(spark, listed).coalesce(1)
+        try:
+            spark.conf.set(name, str(at_once))
+            pairs = similar.bucket_pairs(texts.select("node").mapInArrow(keys, similar.KEYED))
+        finally:
+            spark.conf.set(name, before)
+        found = similar.similar_classes(
+            pairs, lambda nodes: texts.join(nodes, "node", "left_semi"), neardup.document_items, 0.8).collect()
+        root = {i: i for i in range(len(listed))} | {r.node: r.root for r in found}
+        class_of = brute.classes([brute.word_shingles(x) for x in listed])
+        assert [[root[i] == root[j] for j in root] for i in root] == [[a == b for b in class_of] for a in class_of]
+
+
 def test_blocks_find_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 2)
     test_links_between_members_that_differ_from_the_least(spark)
