@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -137,16 +138,32 @@ def text_parts(text: str, size: int = LONG_TEXT) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
-def encoder(ranks_path: str, pattern: str):
-    """Text to ids by a byte-level vocabulary of (token, id) lines."""
+def added_tokens(vocabulary_path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which it finds inside text."""
+    with open(vocabulary_path, encoding="utf-8") as held:
+        listed = json.load(held)["added_tokens"]
+    for token in listed:
+        if "\n" in token["content"] or any(token[x] for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"no plain added token: {token}")  # a text is cut at line breaks
+    return {token["content"]: token["id"] for token in listed}
+
+
+def encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
+    """Text to ids by a byte-level vocabulary of (token, id) lines; ``special`` tokens are found inside text."""
     import tiktoken
 
+    special = special or {}
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(number) for token, number in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(part: str) -> list[int]:
+        if any(token in part for token in special):
+            return encoding.encode(part, allowed_special="all")
+        return encoding.encode_ordinary(part)
 
     def encode(text: str) -> np.ndarray:
-        parts = [encoding.encode_ordinary(part) for part in text_parts(text)]
+        parts = [ids(part) for part in text_parts(text)]
         parts.append([END_ID])
         return np.concatenate([np.array(part, np.uint32) for part in parts])
 
@@ -207,12 +224,13 @@ class Packer:
 
 def pack(
     docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, runs: int | None = None,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of all documents along the curve.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as
     they occur; a null id is carried. Other columns are not. An empty table gives an
-    empty table. ``length`` is a power of two.
+    empty table. ``length`` is a power of two. ``special`` tokens are found inside text.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -225,7 +243,7 @@ def pack(
     bounds = run_bounds(points, mean, deviation, runs)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projection, encode = Projection(), encoder(ranks_path, pattern)
+        projection, encode = Projection(), encoder(ranks_path, pattern, special)
         for part in text_slices(batches):
             place = curve_order(projection(part), _ids(part.rows.column("doc_id")), mean, deviation)
             held = [encode(t or "").astype("<u2" if small_ids else "<u4").tobytes()
@@ -251,7 +269,7 @@ def pack(
             packer.finish()
             yield packer.rows()
 
-    small_ids = vocabulary_size(ranks_path) <= 1 << 16
+    small_ids = max([vocabulary_size(ranks_path), *(1 + i for i in (special or {}).values())]) <= 1 << 16
     chosen = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     tokens = chosen.mapInArrow(tokenise, "run int, place long, doc_id long, ids binary")
     dealt = tokens.repartitionById(runs, "run").sortWithinPartitions("run", "place", "doc_id")

@@ -45,7 +45,8 @@ def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        special=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,28 @@ def test_long_texts_are_tokenised_in_parts():
     assert [i for x in _tokens(parts) for i in x[:-1]] == list(_tokens([text])[0][:-1])
 
 
+def test_added_tokens_inside_text(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}{end} a", f"a  {end}\n\n{end}b", "<|endoftext| >", f"x\n{end}\ny",
+             "\n".join([f"some words {end}", f"{end} and more", "<|endof", "text|>"] * 50)]
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(x, add_special_tokens=False).ids, packing.END_ID] for x in texts]
+    assert want[0][:-1] == [31373, 220, 50256, 995]
+    parts = packing.text_parts
+    monkeypatch.setattr(packing, "text_parts", lambda x: parts(x, 40))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                             packing.added_tokens(path))
+    assert [encode(x).tolist() for x in texts] == want
+    got = queries.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) for i, x in enumerate(want)}
+    for r in got:
+        ids = np.array(want[r.doc_id][r.start:r.start + r.length], "<u4")
+        assert zlib.crc32(ids.tobytes()) == r.ids_crc32
+
+
 def test_tail_lengths():
     assert packing.tail_lengths(1234) == [1024, 128, 64, 16, 2] and packing.tail_lengths(0) == []
 
