@@ -34,8 +34,11 @@ def op4_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(read_table(spark, sf_dir, "documents"), F.col("source"), repository)
 
 
+SQL_MIN_WORDS = 5  # the reference SQL of op5 lists no shorter lines; the operator and the pipeline do
+
+
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_classes(read_table(spark, sf_dir, "documents")).select(
+    return lines.line_classes(read_table(spark, sf_dir, "documents"), SQL_MIN_WORDS).select(
         "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"),
         F.col("first.line_no").alias("class_line_no"), "kept")
 

@@ -101,6 +101,31 @@ def test_documents_without_repeated_lines(docs, rows):
     assert 3 in by_id and 201 not in by_id  # copies lose all their words and go
 
 
+def test_short_lines_have_rows_and_classes(spark):
+    texts = ["All rights reserved.\nx\n \na line of its own", "All rights reserved.\n一二三四五六七八九十甲乙丙丁",
+             "X\nx\n\n一二三四五六七八九十甲乙丙丁", "All rights reserved!\nAll rights  reserved."]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r["first"][::2] for r in lines.line_classes(table).collect()}
+    listed = [(d, n, x) for d, t in enumerate(texts) for n, x in brute.lines(t, 1)]
+    class_of = brute.classes([brute.char_shingles(x, lines.SHINGLE) for *_, x in listed])
+    first = {}
+    for (d, n, _), c in zip(listed, class_of):
+        first.setdefault(c, (d, n))
+    assert got == {(d, n): first[c] for (d, n, _), c in zip(listed, class_of)}
+    assert got[1, 0] == (0, 0) and got[2, 1] == (0, 1) and got[2, 3] == (1, 1)
+    cut = {r.doc_id: r.text for r in lines.dedup_lines(table).collect()}
+    assert cut[1] == "一二三四五六七八九十甲乙丙丁" and cut[2] == "X\n"
+
+
+def test_minhash_of_short_lines_is_what_borrowing_gives():
+    rng = np.random.default_rng(2)
+    hashes, owner = rng.integers(0, 2**63, 4).astype(U), np.array([0, 1, 1, 2])
+    got = lines.minhash(hashes, owner, 3, 16)
+    assert (got[0] == hashes[0].astype(np.uint32) & 0x7FFFFFFF).all()
+    assert (got[2] == hashes[3].astype(np.uint32) & 0x7FFFFFFF).all()
+    assert set(got[1]) == set(hashes[1:3].astype(np.uint32) & 0x7FFFFFFF)
+
+
 def _members(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
 
