@@ -117,6 +117,10 @@ def test_short_lines_have_rows_and_classes(spark):
     assert cut[1] == "一二三四五六七八九十甲乙丙丁" and cut[2] == "X\n"
 
 
+def test_bands_of_lines_find_pairs_at_the_threshold():
+    assert 1 - (1 - lines.THRESHOLD ** lines.ROWS) ** lines.BANDS >= 0.9996
+
+
 def test_minhash_of_short_lines_is_what_borrowing_gives():
     rng = np.random.default_rng(2)
     hashes, owner = rng.integers(0, 2**63, 4).astype(U), np.array([0, 1, 1, 2])
