@@ -92,6 +92,9 @@ def text_slices(
             yield Texts(batch.slice(i, j - i), held[offsets[i]:offsets[j]],
                         offsets[i:j + 1] - offsets[i])
             i = j
+        del batch, texts, ends, data, offsets, held
+    if last:
+        _give_back()
 
 
 def _give_back() -> None:

@@ -198,7 +198,7 @@ def document_items(texts: pa.Array) -> Items:
     """The distinct shingles of texts, and one more entry per repetition."""
     shingled, n_texts = Shingled(), len(texts)
     found, base = [], 0
-    for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+    for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), last=False):
         _, _, doc, hashes = shingled.words(part)
         items, owner = shingles(hashes, doc, part.rows.num_rows, WORDS)
         items, owner, n = sorted_sets(items, owner)

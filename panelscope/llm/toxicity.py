@@ -171,7 +171,7 @@ def scan(weights: np.ndarray):
     @F.arrow_udf(SEGMENTS)
     def segments(texts: pa.Array) -> pa.Array:
         tokens, out = Tokens(), []
-        for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), last=False):
             n, found = segments_of(part, tokens, weights)
             rows = [(int(k), [], [], []) for k in n]
             if found:

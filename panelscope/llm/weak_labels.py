@@ -263,7 +263,7 @@ def weak_quality(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     @F.arrow_udf("struct<votes:string,posterior:double,score:double>")
     def judge(texts: pa.Array) -> pa.Array:
         words, out = Words(), []
-        for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), last=False):
             spans = words(part)
             voted = votes(statistics(part, words, spans))
             owner, bucket, value = features(part, spans)
