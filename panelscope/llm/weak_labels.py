@@ -239,7 +239,9 @@ def train(docs: DataFrame, share: np.ndarray, table: np.ndarray, rows: int = TRA
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], ["weights", "bias"])
 
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    sample = docs.join(F.broadcast(chosen), on, "left_semi").select(whole_text().alias("text"))
+    # a repeated row is one row of the sample, so the limit cuts none
+    keyed = docs.select("doc_id", whole_text().alias("text"))
+    sample = keyed.join(F.broadcast(chosen), on, "left_semi").distinct().select("text")
     rows_of = sample.mapInArrow(featurise, "label double, bucket array<int>, value array<float>")
     learned = rows_of.limit(rows).coalesce(1).mapInArrow(learn, "weights binary, bias double").collect()
     if not learned:

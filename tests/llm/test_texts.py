@@ -263,6 +263,18 @@ def test_items_in_documents(docs, items, rows, empty, no_items):
 
 # weak labels
 
+def test_repeated_rows_count_once_in_the_training_sample(spark, docs):
+    once = docs.select("doc_id", "text").distinct()
+    n = once.count()
+    codes, counted = weak_labels.count_patterns(once)
+    share, table = weak_labels.label_model(codes, counted)
+    copies = once.where("doc_id = 1").crossJoin(spark.range(3 * n)).select("doc_id", "text")
+    want, bias = weak_labels.train(once, share, table, n)
+    got, other = weak_labels.train(copies.union(once), share, table, n)
+    assert np.abs(want).max() > 0.01
+    assert np.allclose(got, want, atol=1e-6) and abs(bias - other) < 1e-6
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     n, kind = 50_000, rng.choice(4, 50_000, p=[0.8, 0.08, 0.07, 0.05])
