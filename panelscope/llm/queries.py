@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from . import (
-    contamination, lines, neardup, packing, pii, quality_rules, reference_sql, secret_scan, sharding, toxicity,
-    weak_labels,
+    contamination, lines, neardup, packing, periodic, pii, quality_rules, reference_sql, repeats, secret_scan,
+    sharding, toxicity, vector_codes, weak_labels,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def op10_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op12_value_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read_table(spark, sf_dir, "documents"), periodic.planted)
+
+
 def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -86,4 +98,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op1_dart_minhash": reference_sql.NEAR_DUPLICATES, "op4_owned_secrets": reference_sql.SECRETS,
         "op5_fuzzy_lines": reference_sql.LINE_CLASSES,
         "op8_contextual_pii": reference_sql.PERSONAL_DATA, "op9_containment": reference_sql.CONTAINMENT,
+        "op11_interval_tree_repeats": reference_sql.REPEATS, "op12_value_dictionary_codes": reference_sql.vector_codes(),
     }

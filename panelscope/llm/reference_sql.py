@@ -146,3 +146,51 @@ per AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER
                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind_no, s) AS spans FROM held GROUP BY rid)
 SELECT doc_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n_email', 'n_ip', 'n_card', 'n_phone', 'n_found'))},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN per USING (rid)"""
+
+
+# texts as hexadecimal digits, two a byte: all strings of 400 bytes, and the runs of those that start twice
+REPEATS = """
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS MATERIALIZED (SELECT rid, i, md5(substr(x, CAST(2 * i + 1 AS BIGINT), 800)) AS h
+      FROM (SELECT rid, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM t WHERE length(x) >= 800)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+marked AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM hit),
+numbered AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked),
+runs AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY rid, run),
+gaps AS (SELECT rid, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY rid ORDER BY a)
+         UNION ALL SELECT rid, max(b), NULL FROM runs GROUP BY rid),
+kept AS (SELECT rid, string_agg(CASE WHEN b IS NULL THEN substr(x, CAST(2 * a + 1 AS BIGINT))
+                                     ELSE substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)) END, '' ORDER BY a) AS x
+         FROM gaps JOIN t USING (rid) GROUP BY rid),
+per AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, CAST(length(t.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, t.x))) AS kept_sha256
+FROM t LEFT JOIN per USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment and integer means, one table each."""
+    floor = "(total - ((total % n) + n) % n) // n"
+    held = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label,
+      list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (SELECT rid, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+      FROM (SELECT rid, v, unnest(range({parts})) AS p FROM kept)),
+seeds AS (SELECT rid, e FROM (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) WHERE e < {entries}),
+book_0 AS MATERIALIZED (SELECT p, e, x FROM seeds JOIN pieces USING (rid))"""
+    for k in range(rounds + 1):
+        held += f""",
+near_{k} AS MATERIALIZED (SELECT rid, a.p, min([list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.e]) AS m
+      FROM pieces a JOIN book_{k} b ON a.p = b.p GROUP BY rid, a.p)"""
+        if k < rounds:
+            held += f""",
+means_{k} AS (SELECT p, e, list({floor} ORDER BY j) AS x FROM (
+      SELECT p, e, j, count(*) AS n, CAST(sum(y) AS BIGINT) AS total FROM (
+          SELECT p, m[2] AS e, unnest(x) AS y, unnest(range(len(x))) AS j FROM near_{k} JOIN pieces USING (rid, p))
+      GROUP BY p, e, j) GROUP BY p, e),
+book_{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(c.x, b.x) AS x FROM book_{k} b LEFT JOIN means_{k} c ON c.p = b.p AND c.e = b.e)"""
+    return held + f""",
+coded AS (SELECT rid, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM near_{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book_{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)"""
