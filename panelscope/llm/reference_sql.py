@@ -62,10 +62,10 @@ SELECT doc_id, line_no, first_value(doc_id) OVER w AS class_doc_id, first_value(
 FROM classed WINDOW w AS (PARTITION BY root ORDER BY doc_id, line_no)"""
 
 
-def _found(kind: str, number: int, pattern: str, group: int = 0, keep: str = "true", more: str = "") -> str:
+def _found(kind: str, number: int, pattern: str, group: int = 0, keep: str = "true", around: bool = False) -> str:
     """Tables of all matches from left to right: rid, kind_no, kind, s, e (code points) and v, a group."""
-    held = f"p[i] AS {more}, " if more else ""
-    listed = f"{more}, " if more else ""
+    held = "p[i] AS before, p[i + 1] AS after, " if around else ""
+    listed = "before, after, " if around else ""
     return f"""{kind}_m AS (
     SELECT rid, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS f,
            regexp_extract_all(text, '{pattern}', {group}) AS g FROM t WHERE regexp_matches(text, '{pattern}')),
@@ -109,36 +109,48 @@ OCTETS = """len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')
 WHITE = r"\x20\x09-\x0D"
 
 
+# what lies between whitespace, without its punctuation, in lower case
+CLEAN = r"regexp_replace(lower(regexp_extract({}, '{}', 1)), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
 def _rounds(n: int) -> str:
+    """Patterns are worth the mean of what they hold, values the best of their patterns."""
     out = []
     for k in range(1, n + 1):
-        worth = "CASE WHEN seeds > 0 THEN 1.0 ELSE 0.0 END" if k == 1 else "worth"
-        source = "edges" if k == 1 else f"edges JOIN values_{k-1} USING (v)"
-        out.append(f"""patterns_{k} AS (SELECT l, shape, count(*) FILTER (seeds > 0) AS support, sum({worth} * n) / sum(n) AS trust
-    FROM {source} GROUP BY l, shape HAVING count(*) FILTER (seeds > 0) >= 5)""")
+        source = "(SELECT *, CASE WHEN seeds > 0 THEN 1.0 ELSE 0.0 END AS worth FROM edges)" if k == 1 else f"""(
+        SELECT edges.*, coalesce(worth, CASE WHEN seeds > 0 THEN 1.0 ELSE 0.0 END) AS worth FROM edges LEFT JOIN values_{k - 1} USING (v))"""
+        out.append(f"""patterns_{k} AS (SELECT pattern, sum(worth * n) / sum(n) AS trust FROM {source}
+    GROUP BY pattern HAVING count(*) FILTER (seeds > 0) >= 5)""")
         if k < n:
-            out.append(f"""values_{k} AS (SELECT v, CASE WHEN max(seeds) > 0 THEN 1.0
-    ELSE 1 - exp(sum(ln(greatest(1 - coalesce(trust, 0.0), 0.000001)))) END AS worth
-    FROM edges LEFT JOIN patterns_{k} USING (l, shape) GROUP BY v)""")
+            out.append(f"""values_{k} AS (SELECT v, CASE WHEN max(seeds) > 0 THEN 1.0 WHEN bool_or(likely) THEN max(trust) ELSE 0.0 END AS worth
+    FROM edges JOIN patterns_{k} USING (pattern) GROUP BY v)""")
     return ",\n".join(out)
 
 
-PERSONAL_DATA = f"""
+TOKEN = rf"[^{WHITE}]*[0-9@][^{WHITE}]*"
+PERSONAL_DATA = rf"""
 WITH {TEXTS},
 {_found('email', 0, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')},
 {_found('ip', 1, r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', 0, OCTETS)},
 {_found('card', 2, r'[0-9]([\x20-]?[0-9])+', 0, f'length({DIGITS}) BETWEEN 13 AND 19 AND {LUHN}')},
 {_found('phone', 3, r'\+[0-9][\x20().0-9-]+[0-9]', 0, f'length({DIGITS}) BETWEEN 9 AND 15')},
-{_found('token', 4, rf'[^{WHITE}]*[0-9@][^{WHITE}]*', more='before')},
+{_found('run', 4, rf'{TOKEN}(\x20+{TOKEN})*', around=True)},
 base AS (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone),
-seen AS (SELECT k.rid, k.s, k.e, any_value(lower(regexp_extract(right(k.before, 64), '([^{WHITE}]+)[{WHITE}]*$', 1))) AS l,
-            any_value(left(regexp_replace(regexp_replace(k.v, '[0-9]', '9', 'g'), '\\p{{L}}+', 'a', 'g'), 48)) AS shape,
-            coalesce(arg_min(b.v, [b.kind_no, b.s]), any_value(k.v)) AS v, count(b.rid) > 0 AS seed
-         FROM token k LEFT JOIN base b ON b.rid = k.rid AND b.s < k.e AND b.e > k.s
-         GROUP BY k.rid, k.s, k.e HAVING count(b.rid) = 0 OR max(b.s) >= k.s),
-edges AS (SELECT l, shape, v, count(*) AS n, count(*) FILTER (seed) AS seeds FROM seen GROUP BY l, shape, v),
+words AS (SELECT rid, s, e, regexp_replace(v, '^[^\p{{L}}\p{{N}}+(]+', '') AS tail, v,
+             {CLEAN.format('right(before, 64)', f'([^{WHITE}]+)[{WHITE}]*$')} AS w1,
+             {CLEAN.format('right(before, 64)', f'([^{WHITE}]+)[{WHITE}]+[^{WHITE}]+[{WHITE}]*$')} AS w2,
+             {CLEAN.format('left(after, 64)', f'^[{WHITE}]*([^{WHITE}]+)')} AS w3 FROM run),
+cores AS (SELECT rid, s + length(words.v) - length(tail) AS s0, w1, w2, w3, regexp_replace(tail, '[^\p{{L}}\p{{N}})]+$', '') AS v,
+             EXISTS (SELECT 1 FROM base b WHERE b.rid = words.rid AND b.s < words.e AND b.e > words.s) AS seed FROM words),
+slots AS (SELECT rid, s0 AS s, s0 + length(v) AS e, v, w1, w2, w3, seed, CASE WHEN contains(v, '@') THEN '@' ELSE '9' END AS kind,
+             length(regexp_replace(v, '[^0-9]', '', 'g')) >= 5 OR regexp_matches(v, '[^@]@[^@]') AS likely,
+             left(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]+', '9', 'g'), '\p{{L}}+', 'a', 'g'), '\x20+', ' ', 'g'), 48) AS shape FROM cores),
+told AS (SELECT *, '1 ' || w1 || ' ' || shape AS pattern FROM slots WHERE w1 <> ''
+         UNION ALL SELECT *, '2 ' || w2 || ' ' || w1 || ' ' || kind FROM slots WHERE w1 <> '' AND w2 <> ''
+         UNION ALL SELECT *, '3 ' || w1 || ' ' || w3 || ' ' || kind FROM slots WHERE w1 <> '' AND w3 <> ''),
+edges AS (SELECT pattern, v, count(*) AS n, count(*) FILTER (seed) AS seeds, bool_or(likely) AS likely FROM told GROUP BY pattern, v),
 {_rounds(3)},
-added AS (SELECT rid, 4 AS kind_no, 'found' AS kind, s, e FROM seen JOIN patterns_3 USING (l, shape) WHERE NOT seed AND trust >= 0.9),
+added AS (SELECT DISTINCT rid, 4 AS kind_no, 'found' AS kind, s, e FROM told JOIN patterns_3 USING (pattern) WHERE NOT seed AND likely AND trust >= 0.9),
 held AS (SELECT rid, kind_no, kind, s, e FROM base UNION ALL SELECT * FROM added),
 per AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
                count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'found') AS n_found,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import whole_text
-from .spans import SPAN, all_in, as_spans, matches, overlaps, written
+from .spans import SPAN, all_in, as_spans, matches, met, written
 
 KINDS = ("assign", "access", "hex", "bare")
 # fixed patterns: letters of the names in either case
@@ -52,7 +52,7 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         "doc_id", owner.alias("owner"), repository.alias("repository"), whole_text().alias("text"))
     placed = rows.select(
         "doc_id", "owner", "repository", found_spans(text).alias("base"), bare_spans(text).alias("more"))
-    apart = F.filter("more", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]))
+    apart = F.transform(F.filter(met(F.col("base"), F.col("more")), lambda x: ~x["met"]), lambda x: x["item"])
     return write_scratch(placed.withColumn("more", apart).withColumn(
         "row", F.monotonically_increasing_id()), "secrets")
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import time
 
 import brute
+import compare
+import duckdb
 import pytest
 from corpus import SCHEMA
 from pyspark.sql import functions as F
 
-from panelscope.llm import pii, quality_rules, secret_scan
+from panelscope.llm import pii, quality_rules, reference_sql, secret_scan, spans
 
 AWKWARD = [
     'password="abcdef" token=short secret: token: abcdefgh9', "SECRET = 'x=y=z/+._-' api-key: no api_key:k2345678",
@@ -66,18 +69,100 @@ def test_ownership_tells_copies_from_live_values(spark):
     assert [k for k in ("assign", "hex") if k in got[5].spans] == ["assign", "hex"]
 
 
-def test_contexts_discover_identifiers(spark):
+def planted_identifiers() -> tuple[list[str], list[tuple[int, int, int]], set[int]]:
+    """Texts, the places of identifiers that no base rule covers, and the texts that hold none."""
     rng = random.Random(8)
 
     def word():
         return "".join(rng.choice("abcdefghij") for _ in range(6))
 
-    texts = [(f"{word()} Mobile: +1 (25{i}) 555-01{i}{i} {word()} 7 {word()} 8", "s") for i in range(9)]
-    texts += [("call Mobile: +1 then", "s"), ("see 12 of 30", "s"), (None, "s")]
-    got = {r.doc_id: r for r in pii.personal_data(_docs(spark, texts)).collect()}
-    assert all(got[i].n_phone == 1 and got[i].n_found == 0 for i in range(9))
-    assert got[9].n_found == 1 and got[9].spans == "found:13:15"  # same word before, same shape
-    assert got[10].n_found == 0 and got[11].spans == ""
+    def number(shape):
+        return "".join(rng.choice("0123456789") if c == "9" else c for c in shape)
+
+    def card():
+        first = "4" + number("99999999999999")
+        return next(x for x in (first + str(d) for d in range(10)) if brute.luhn(x))
+
+    # context before and after, what the base rules cover, what they do not
+    kinds = [("Mobile: ", " or home", "+1 (999) 555-9999", ["(999) 555-9999", "999-555-9999", "00 1 999 555 9999"]),
+             ("mail me at ", ", please", "user99@mail.example.com", ["user99@localhost", "user.9999@intern"]),
+             ("seen from host ", " today", "10.9.99.99", ["10.9.99.999.9", "fe80:99:99::99"]),
+             ("paid with card ", " in full", None, ["4999 9999 9999 9991 0000 9999 9"])]
+    texts, places, clean = [], [], set()
+    for before, after, known, unseen in kinds:
+        for i in range(60):
+            text = "ünd " + " ".join(word() for _ in range(rng.randint(2, 9))) + " " + before
+            if i % 5:
+                text += number(known) if known else card()
+            else:
+                value = number(unseen[i // 5 % len(unseen)])
+                places.append((len(texts), len(text), len(text) + len(value)))
+                text += value
+            texts.append(text + after + f" {word()} {rng.randrange(9)} {word()}")
+    for i in range(150):  # numbers elsewhere, and small ones in the same slots
+        clean.add(len(texts))
+        texts.append(f"{word()} order {number('99999999')} of {word()} in {rng.randrange(99)} {word()}")
+    for before, after, *_ in kinds:
+        clean.add(len(texts))
+        texts.append(f"{before}12{after}")
+    return texts, places, clean
+
+
+def _found(spans: str) -> set[tuple[int, int]]:
+    return {tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s.startswith("found")}
+
+
+def test_contexts_discover_identifiers(spark, tmp_path):
+    texts, places, clean = planted_identifiers()
+    table = _docs(spark, [(t, "s") for t in texts])
+    got = {r.doc_id: r for r in pii.personal_data(table).collect()}
+    base = {(i, a, b) for i, t in enumerate(texts) for _, a, b in brute.personal_spans(t)}
+    unseen = {(i, a, b) for i, a, b in places if not any(i == j and x < b and y > a for j, x, y in base)}
+    found = {(i, a, b) for i, r in got.items() for a, b in _found(r.spans)}
+    assert len(unseen) >= 40
+    assert len(found & unseen) >= 0.9 * len(unseen)  # recall of what was planted, with exact borders
+    assert len(found & unseen) >= 0.95 * len(found)  # and precision
+    assert not {i for i, _, _ in found} & clean
+    assert all(r.n_found == len(_found(r.spans)) for r in got.values())
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare.differences(pii.personal_data(table), con, reference_sql.PERSONAL_DATA) is None
+
+
+def test_runs_of_tokens_are_whole(spark):
+    """The slot is the whole run, without punctuation around it; contexts are words on both sides."""
+    seeds = [f"call now +1 (25{i % 10}) 555-{1000 + i}, thanks" for i in range(20)]
+    texts = [*seeds, "call now [250 555 0100]; thanks", "call now 250 555\n0100 thanks", "call now 12 thanks", None, ""]
+    got = [r.spans for r in pii.personal_data(_docs(spark, [(t, "s") for t in texts])).orderBy("doc_id").collect()]
+    assert got[20] == "found:10:22" and got[21] == "found:9:16" and got[22:] == ["", "", ""]
+
+
+def test_spans_take_linear_time(spark):
+    def seconds(n):
+        text = " ".join(f"{i % 200}.{i % 199}.{i % 198}.{i % 7}" for i in range(n)) + " token=abcdef" * (n // 4)
+        table = _docs(spark, [(text, "s")])
+        start = time.perf_counter()
+        assert pii.personal_data(table).first().n_ip == n
+        assert secret_scan.secrets(table, F.col("source"), F.col("lang")).first().n_assign == n // 4
+        return time.perf_counter() - start
+
+    seconds(1000)
+    few, many = seconds(20_000), seconds(80_000)
+    assert many < 4 * few + 4  # quadratic work would take sixteen times as long
+
+
+def test_spans_that_meet_others(spark):
+    rng = random.Random(1)
+
+    def some(most):
+        return [(a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randint(0, most)))]
+
+    kind = "array<struct<start:int,end:int>>"
+    table = spark.createDataFrame([(some(6), some(9)) for _ in range(200)], f"base {kind}, more {kind}")
+    for r in table.select("*", spans.met(F.col("base"), F.col("more")).alias("m")).collect():
+        want = sorted((m.start, m.end, any(b.start < m.end and b.end > m.start for b in r.base)) for m in r.more)
+        assert [(x.item.start, x.item.end, x.met) for x in r.m] == want
 
 
 def test_base_rules(odd, labels):
