@@ -10,8 +10,8 @@
    neighbours have in common. A stack scan of these lengths gives the common-prefix
    intervals; an interval whose occurrences are preceded by different bytes, or by the
    border of a window, is a maximal repeat of the windows, with all its occurrences.
-4. ``maximal_repeats`` joins repeats that go on from window to window: their
-   occurrences are the same, moved by one distance.
+4. ``maximal_repeats`` joins repeats that go on from window to window with the same
+   occurrences, moved by one distance.
 
 Windows overlap by ``LEAST`` - 1 bytes, so every repeated string lies whole in one.
 """
@@ -35,7 +35,7 @@ LEAST = 400  # bytes of a repeat
 GRAM = 100  # bytes of an anchor
 BLOCK_BITS = 20  # a text is searched for anchors in blocks of half so many bytes
 CHUNK = 4 << 20  # bytes of windows whose suffixes are sorted together; an anchor's windows are never parted
-HOT = 8192  # an anchor with more different windows is searched start by start, by counting
+HOT = 1024  # an anchor with more different windows is searched start by start, by counting
 SUFFIXES = 1 << 15  # suffixes whose bytes beyond LEAST are sorted at once
 ANCHORS = "key long, check long, gram long, window long, first int, n int"
 TEXT = ["key", "check"]
@@ -256,9 +256,12 @@ def _classes(data, at, end, before, weight, size, least, every, base):
     rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(most, np.uint8)]), most)
     tail = rows[at + least].astype(">u2") + np.uint16(1)
     tail[np.arange(most) >= left[:, None]] = 0
+    # by class, then by bytes: big-endian numbers compare as their bytes do
     number = np.repeat(np.arange(len(size)), size)
-    keys = np.concatenate([number[:, None].astype(">u4").view(">u2"), tail], axis=1)
-    order = np.argsort(np.ascontiguousarray(keys).view(f"V{2 * keys.shape[1]}").ravel(), kind="stable")
+    keys = np.empty((len(at), most + 2), ">u2")
+    keys[:, :2] = number[:, None].astype(">u4").view(">u2")
+    keys[:, 2:] = tail
+    order = np.argsort(keys.view(f"V{2 * keys.shape[1]}").ravel(), kind="stable")
     tail, left, before, weight = tail[order], left[order], before[order], weight[order]
     differs = tail[1:] != tail[:-1]
     shared = np.where(differs.any(axis=1), differs.argmax(axis=1), most)
@@ -478,8 +481,10 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot:
 
     Texts are told by ``key`` and ``check`` and count once, however many rows hold them.
     Repeats of windows whose occurrences are the same but for one distance are joined
-    where they meet. In windows of crowded anchors only repeats with the same occurrences
-    as one of their strings of ``least`` bytes are told.
+    where they meet, so a repeat is as long as its strings of ``least`` bytes keep the same
+    occurrences; one with a part that occurs more often is told as the stretches on either
+    side, which reach into the part, and the part. In windows of crowded anchors no longer
+    repeats inside such a stretch are told.
     """
     bound_batches(docs.sparkSession)
     rows = keyed(docs).where(F.col("n_bytes") >= least)

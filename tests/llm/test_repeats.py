@@ -104,6 +104,23 @@ def test_windows_and_intervals_against_all_substrings(seed, monkeypatch):
             assert len(group) > 1 and {g[1:] for g in group} <= occurrences(texts, x)
 
 
+def test_many_classes_at_once():
+    """More classes than one byte can number."""
+    rng, rolling = random.Random(6), repeats.Rolling()
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(20)) for _ in range(600)]
+    held = [bytes([left]) + w + bytes([rng.choice(b"xyz")]) * rng.randint(1, 3) for w in words for left in b"pq"]
+    ends = np.cumsum([len(x) for x in held]).astype(np.int64)
+    windows = repeats.Windows(
+        np.frombuffer(b"".join(held), np.uint8), np.append(0, ends[:-1]), ends,
+        np.array([len(x) - 19 for x in held], np.int64), np.ones(len(held), np.int64))
+    got = repeats.repeats_of(windows, rolling, 20)
+    want = covered(held, 20)
+    marks = [np.zeros(len(x), bool) for x in held]
+    for w, s, n in zip(got.window.tolist(), got.start.tolist(), got.length.tolist()):
+        marks[w][s:s + n] = True
+    assert all((a == b).all() for a, b in zip(marks, want)) and sum(m.sum() for m in marks) >= 20 * 1200
+
+
 def test_sliding_least():
     values = np.random.default_rng(1).integers(0, 99, 50)
     for width in (1, 2, 3, 7, 16, 50):
@@ -145,9 +162,9 @@ def test_occurrences_of_planted_repeats(spark):
     def noise(n):
         return "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
 
-    long, short = noise(400), noise(50)
+    long, short, part = noise(400), noise(50), noise(200)
     texts = [noise(60) + long + noise(50), noise(20) + long + noise(70) + short, short + noise(90) + short + noise(10),
-             noise(200) + long[100:300] + noise(40), noise(100)]
+             noise(200) + part + noise(40), part + noise(100)]
     table = spark.createDataFrame([*enumerate(texts), (9, texts[4]), (9, None)], "doc_id long, text string")
     place = {(r.key, r.check): texts.index(r.text) for r in repeats.keyed(table).where("text <> ''").collect()}
     got = defaultdict(set)
@@ -158,6 +175,24 @@ def test_occurrences_of_planted_repeats(spark):
     assert len(want) == 3 and {x: at for (_, x), at in got.items()} == want and len(got) == 3
 
 
+def test_a_part_that_occurs_more_often(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnop"
+    long, *rest = ("".join(rng.choice(letters) for _ in range(n)) for n in (400, 60, 50, 70, 40))
+    texts = [rest[0] + long, rest[1] + long + rest[2], rest[3] + long[100:300]]
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    place = {(r.key, r.check): texts.index(r.text) for r in repeats.keyed(table).collect()}
+    got = defaultdict(set)
+    for r in repeats.maximal_repeats(table, 30, 8).collect():
+        t = place[r.key, r.check]
+        got[texts[t][r.start:r.start + r.length].encode()].add((t, r.start))
+    whole = [t.encode() for t in texts]
+    assert all(at == occurrences(whole, x) for x, at in got.items())  # all occurrences
+    left, part, right = sorted(got, key=long.encode().index)
+    assert part == long[100:300].encode() and len(left) >= 129 and len(right) >= 129
+    assert long.encode().startswith(left) and long.encode().endswith(right)
+
+
 def test_one_very_long_text(spark):
     rng = random.Random(2)
     part = "".join(rng.choice("abcdefgh \n") for _ in range(1 << 20))
