@@ -21,7 +21,7 @@ from ..session import write_scratch
 from .common import (
     U, bound_batches, boxed, mix, sorted_sets, text_key, text_slices, unboxed, whole_text, words_pattern,
 )
-from .similar import KEYED, Items, bucket_pairs, keyed_batch, similar_classes, small_join
+from .similar import PACKED, Items, bucket_pairs, bucket_parts, keyed_batch, similar_classes, small_join
 
 SHINGLE = 7  # characters
 BANDS, ROWS = 20, 4  # a pair of similarity 0.8 shares a band with probability 0.99997
@@ -176,7 +176,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         table, "doc_id long, text_key long, line_no int, node long, check long"), "lines")
 
 
-def line_keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_keys(docs: DataFrame, parts: int, min_words: int = MIN_WORDS) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = LineHasher()
         for batch in batches:
@@ -191,9 +191,9 @@ def line_keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 signature = minhash(hashes, line, len(once), BANDS * ROWS)
                 found.append((band_keys(signature, BANDS, ROWS).ravel(), np.repeat(node[once], BANDS)))
             if found:
-                yield keyed_batch(*(np.concatenate(x) for x in zip(*found)))
+                yield keyed_batch(*(np.concatenate(x) for x in zip(*found)), parts)
 
-    return docs.select(whole_text().alias("text")).mapInArrow(keys, KEYED)
+    return docs.select(whole_text().alias("text")).mapInArrow(keys, PACKED)
 
 
 def line_items(texts: pa.Array) -> Items:
@@ -243,7 +243,8 @@ def line_classes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # combined before it is moved: a line with a third of all rows is no hot spot
     nodes = write_scratch(lines.groupBy("node").agg(
         F.min("check").alias("_check"), F.min(F.struct("doc_id", "text_key", "line_no")).alias("_at")), "line-nodes")
-    pairs = bucket_pairs(line_keys(docs, min_words))
+    parts = bucket_parts(docs.sparkSession, lines.count() * BANDS)
+    pairs = bucket_pairs(line_keys(docs, parts, min_words), parts)
     roots = similar_classes(pairs, line_texts(docs, nodes), line_items, THRESHOLD)
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classed.groupBy("root").agg(F.min("_at").alias("first"))

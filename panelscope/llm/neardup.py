@@ -27,7 +27,7 @@ from .common import (
     OWNER_BITS, Hasher, Texts, U, bound_batches, boxed, counts_per, mix, separators, shingles, sorted_sets, text_key,
     text_slices, unboxed, whole_text, word_spans,
 )
-from .similar import KEYED, Items, bucket_pairs, keyed_batch, similar_classes, small_join
+from .similar import PACKED, Items, bucket_pairs, bucket_parts, keyed_batch, similar_classes, small_join
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -165,7 +165,7 @@ def document_table(docs: DataFrame) -> DataFrame:
         rows, "doc_id long, text_key long, node long, check long"), "documents")
 
 
-def document_keys(docs: DataFrame) -> DataFrame:
+def document_keys(docs: DataFrame, parts: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingled()
         for batch in batches:
@@ -189,9 +189,9 @@ def document_keys(docs: DataFrame) -> DataFrame:
                         int(repeats.sum())), BANDS, ROWS)
                     found.append((key, node[np.flatnonzero(repeats)[at]]))
             if found:
-                yield keyed_batch(*(np.concatenate(x) for x in zip(*found)))
+                yield keyed_batch(*(np.concatenate(x) for x in zip(*found)), parts)
 
-    return docs.select(whole_text().alias("text")).mapInArrow(keys, KEYED)
+    return docs.select(whole_text().alias("text")).mapInArrow(keys, PACKED)
 
 
 def document_items(texts: pa.Array) -> Items:
@@ -233,7 +233,8 @@ def document_classes(docs: DataFrame) -> DataFrame:
     table = document_table(docs)
     nodes = write_scratch(table.groupBy("node").agg(
         F.min("check").alias("_check"), F.min(F.struct("doc_id", "text_key")).alias("_at")), "nodes-of")
-    pairs = bucket_pairs(document_keys(docs))
+    parts = bucket_parts(docs.sparkSession, table.count() * 2 * BANDS)  # as sets and with counts
+    pairs = bucket_pairs(document_keys(docs, parts), parts)
     roots = similar_classes(pairs, document_texts(docs, nodes), document_items, THRESHOLD)
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classed.groupBy("root").agg(F.min("_at").alias("first"))

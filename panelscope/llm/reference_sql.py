@@ -41,12 +41,12 @@ FROM shingles d JOIN shingles i ON d.x = i.x AND d.kind = 'd' AND i.kind = 'i' J
 GROUP BY d.id, i.id HAVING 5 * count(*) >= 4 * any_value(n)"""
 
 
-# lines of five or more words, their distinct runs of seven characters, links, and what they reach
+# lines that have a word, their distinct runs of seven characters, links, and what they reach
 LINE_CLASSES = r"""
 WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 numbered AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split),
 lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM numbered
-          WHERE len(list_filter(string_split_regex(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 5),
+          WHERE len(list_filter(string_split_regex(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 1),
 texts AS (SELECT line, row_number() OVER () AS k FROM (SELECT DISTINCT line FROM lines)),
 grams AS (SELECT DISTINCT k, unnest(CASE WHEN length(line) <= 7 THEN [line]
               ELSE list_transform(range(1, length(line) - 5), lambda i: substr(line, i, 7)) END) AS x FROM texts),

@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
@@ -25,7 +25,8 @@ from .graph import components
 EXACT = 1e-9  # counts are whole; a similarity of just the threshold counts
 BLOCK = 256  # members of a bucket compared with as many others in one group
 BROADCAST_ROWS = 1_000_000  # rows of two or three numbers, under 32 MB
-KEYED = "part long, key long, center long, node long"
+PACKED = "part int, keys binary, nodes binary, local binary"
+ENTRIES = 1 << 21  # of a part, which one task holds: 16 bytes each, and as much again while it sorts
 PAIRS = "key long, a long, b long"
 
 
@@ -38,57 +39,83 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str, entries: Column
     return left.join(F.broadcast(right) if held <= BROADCAST_ROWS else right, on, how)
 
 
-def keyed_batch(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``KEYED`` for the (key, node) entries of one Arrow batch.
+def bucket_parts(spark: SparkSession, entries: int) -> int:
+    """Parts that the keys are dealt to, for about so many (key, node) entries."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES))
 
-    A key sends one row to its bucket; the other nodes of the batch with that key
-    are paired with that row's node here, however many they are.
+
+def _packed(values: np.ndarray, part: np.ndarray, parts: int) -> pa.Array:
+    """The bytes of each part's rows of 64-bit numbers, which are in the order of parts."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    ends = np.searchsorted(part, np.arange(parts + 1)).astype(np.int32) * np.int32(width)
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), parts, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def keyed_batch(keys: np.ndarray, nodes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of ``PACKED`` for the (key, node) entries of one Arrow batch, one a part.
+
+    A key sends one entry to its bucket's part; the other nodes of the batch with that
+    key are paired with that entry's node here, however many they are, and these pairs
+    go to any part.
     """
+    keys = keys.astype(U)
     order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = nodes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))] if len(keys) else nodes
-    told = new | (nodes != first)
-    local = np.flatnonzero(told & ~new)
+    local = np.flatnonzero(~new & (nodes != first))
     again = local[np.lexsort((nodes[local], keys[local]))]
     same = (keys[again[1:]] == keys[again[:-1]]) & (nodes[again[1:]] == nodes[again[:-1]])
-    told[again[1:][same]] = False
-    keys, nodes, first, new = keys[told], nodes[told], first[told], new[told]
-    part = np.where(new, keys, mix(keys.astype(U) ^ mix(nodes.astype(U))).astype(np.int64))
+    local = np.setdiff1d(local, again[1:][same], assume_unique=True)
+    high = U(32)
+    # the upper half of a key tells its part, so sorted keys are in the order of parts
+    part = (keys[new] >> high) * U(parts) >> high
+    held = np.stack([keys[local].view(np.int64), first[local], nodes[local]], axis=1)
+    to = (mix(keys[local] ^ mix(nodes[local].astype(U))) >> high) * U(parts) >> high
+    order = np.argsort(to, kind="stable")
     return pa.RecordBatch.from_arrays(
-        [pa.array(part), pa.array(keys, mask=new), pa.array(first, mask=new), pa.array(nodes)],
-        ["part", "key", "center", "node"])
+        [pa.array(np.arange(parts, dtype=np.int32)), _packed(keys[new], part, parts), _packed(nodes[new], part, parts),
+         _packed(held[order], to[order], parts)], [c.split()[0] for c in PACKED.split(", ")])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1]
+    held = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(held.tobytes(), np.int64)
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within runs of equal ``part``; the last run is carried to the next batch."""
-    held_part = held_node = None
+    """Pairs of the buckets of one part: each member with the least, and what batches have paired."""
+    keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def rows(key, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], ["key", "a", "b"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, node = (batch.column(c).to_numpy() for c in ("part", "node"))
-        local = batch.column("center").is_valid().to_numpy(zero_copy_only=False)
-        new = np.concatenate([[True], part[1:] != part[:-1]])
-        first = node[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]
-        if held_part is not None and part[0] == held_part:
-            first[:np.flatnonzero(new[1:])[0] + 1 if new[1:].any() else None] = held_node
-        held_part, held_node = part[-1], first[-1]
-        again = np.zeros(len(part), bool)  # a node that several batches sent
-        again[1:] = ~new[1:] & (node[1:] == node[:-1])
-        met = ~local & ~again & (first != node)
-        key = np.concatenate([part[met], batch.column("key").drop_null().to_numpy()])
-        a = np.concatenate([first[met], batch.column("center").drop_null().to_numpy()])
-        b = np.concatenate([node[met], node[local]])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)],
-                                         ["key", "a", "b"])
-
-
-def bucket_pairs(keyed: DataFrame) -> DataFrame:
-    """(key, a, b): each member of a bucket with the least member, stored."""
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(n, "part").sortWithinPartitions("part", "node")
-    return write_scratch(dealt.mapInArrow(_pair_up, PAIRS), "pairs")
+        keys.append(_numbers(batch.column("keys")))
+        nodes.append(_numbers(batch.column("nodes")))
+        local = _numbers(batch.column("local")).reshape(-1, 3)
+        if len(local):
+            yield rows(*local.T)
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    del keys, nodes
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else node
+    other = ~new & (node != first)
+    other[1:] &= new[1:] | (node[1:] != node[:-1])  # a node that several batches sent
+    yield rows(key[other], first[other], node[other])
+
+
+def bucket_pairs(keyed: DataFrame, parts: int) -> DataFrame:
+    """(key, a, b): each member of a bucket with the least member, or with its batch's, stored."""
+    held = keyed.where((F.length("keys") > 0) | (F.length("local") > 0))
+    return write_scratch(held.repartitionById(parts, "part").mapInArrow(_pair_up, PAIRS), "pairs")
 
 
 class Items(NamedTuple):

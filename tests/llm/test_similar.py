@@ -170,7 +170,7 @@ def test_batches_of_one_bucket_against_brute_force(spark, at_once):
     def keys(batches):
         for batch in batches:
             nodes = batch.column("node").to_numpy()
-            yield similar.keyed_batch(np.full(len(nodes), 7), nodes)
+            yield similar.keyed_batch(np.full(len(nodes), 7), nodes, 3)
 
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -182,7 +182,7 @@ def test_batches_of_one_bucket_against_brute_force(spark, at_once):
         texts = _members(spark, listed).coalesce(1)
         try:
             spark.conf.set(name, str(at_once))
-            pairs = similar.bucket_pairs(texts.select("node").mapInArrow(keys, similar.KEYED))
+            pairs = similar.bucket_pairs(texts.select("node").mapInArrow(keys, similar.PACKED), 3)
         finally:
             spark.conf.set(name, before)
         found = similar.similar_classes(
@@ -197,20 +197,29 @@ def test_blocks_find_the_same_links(spark, monkeypatch):
     test_links_between_members_that_differ_from_the_least(spark)
 
 
-def test_pairs_cross_batches_and_hot_keys():
-    keys, nodes = np.array([5] * 900 + [6, 7, 7]), np.concatenate([np.arange(900) % 450, [1, 2, 2]])
-    batch = similar.keyed_batch(keys, nodes)
-    centers = np.array([c is None for c in batch.column("center").to_pylist()])
-    assert centers.sum() == 3 and len(batch) == 3 + 449
-    sent = pa.table(batch.to_pydict()).sort_by([("part", "ascending"), ("node", "ascending")])
-    twice = pa.concat_tables([sent, sent]).sort_by([("part", "ascending"), ("node", "ascending")])
-    for size in (1, 7, 5000):
-        found = [r for b in similar._pair_up(iter(twice.to_batches(max_chunksize=size))) for r in b.to_pylist()]
-        union = brute.Union(450)
-        for r in found:
-            assert r["key"] in (5, 6, 7)
-            union.join(r["a"], r["b"])
-        assert len({union.find(i) for i in range(450)}) == 1
+@pytest.mark.parametrize("parts", [1, 4])
+def test_pairs_cross_batches_and_hot_keys(parts):
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([np.full(900, 5), [-6, 1 << 62, 1 << 62], rng.integers(-1 << 62, 1 << 62, 50)])
+    nodes = np.concatenate([np.arange(900) % 450, [1, 2, 2], np.arange(1000, 1050)])
+    sent = similar.keyed_batch(keys, nodes, parts)
+    assert sent.num_rows == parts and sum(len(x) for x in sent.column("keys").to_pylist()) == 8 * 53  # one a key
+    assert sum(len(x) for x in sent.column("local").to_pylist()) == 24 * 449
+    twice = pa.Table.from_batches([sent, sent])
+    seen = {}
+    for p in range(parts):
+        rows = twice.filter(pa.array([x == p for x in twice.column("part").to_pylist()]))
+        for size in (1, 5000):
+            found = [r for b in similar._pair_up(iter(rows.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+            seen.setdefault(size, []).extend((r["key"], r["a"], r["b"]) for r in found)
+    assert sorted(seen[1]) == sorted(seen[5000])
+    union = brute.Union(450)
+    for key, a, b in seen[1]:
+        assert key == 5
+        union.join(a, b)
+    assert len({union.find(i) for i in range(450)}) == 1
+    with_nothing = similar.keyed_batch(keys[:0], nodes[:0], parts)
+    assert [b.num_rows for b in similar._pair_up(iter([with_nothing]))] == [0]
 
 
 def test_broadcast_and_shuffled_joins_agree(docs, monkeypatch):
