@@ -94,10 +94,11 @@ def text_slices(
             i = j
         del batch, texts, ends, data, offsets, held
     if last:
-        _give_back()
+        give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Free memory goes back to the system; what a worker keeps counts as long as it lives."""
     import ctypes
 
     pa.default_memory_pool().release_unused()

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import U, bound_batches, byte_values, mix, text_slices, whole_text
+from .common import U, bound_batches, byte_values, give_back, mix, text_slices, whole_text
 from .similar import small_join
 
 LEAST = 400  # bytes of a repeat
 GRAM = 100  # bytes of an anchor
 BLOCK_BITS = 20  # a text is searched for anchors in blocks of half so many bytes
-CHUNK = 4 << 20  # bytes of windows whose suffixes are sorted together; an anchor's windows are never parted
+CHUNK = 1 << 20  # bytes of windows whose suffixes are sorted together; an anchor's windows are never parted
 HOT = 1024  # an anchor with more different windows is searched start by start, by counting
-SUFFIXES = 1 << 15  # suffixes whose bytes beyond LEAST are sorted at once
+SUFFIXES = 1 << 13  # suffixes whose bytes beyond LEAST are sorted at once
 ANCHORS = "key long, check long, gram long, window long, first int, n int"
 TEXT = ["key", "check"]
 
@@ -378,6 +378,8 @@ def _search(least: int, every: bool):
                 [table.column("gram").combine_chunks().take(at), table.column("window").combine_chunks().take(at),
                  pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(node)],
                 [c.split()[0] for c in RANGES.split(", ")])
+            del table, found
+        give_back()
 
     return search
 
@@ -397,6 +399,7 @@ def _start_hashes(least: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("gram").take(to), part.column("window").take(to), pa.array(start.astype(np.int32)),
                      pa.array(node), part.column("weight").take(to)], ["gram", "window", "low", "node", "weight"])
+        give_back()
 
     return hashes
 

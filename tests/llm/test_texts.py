@@ -20,14 +20,14 @@ def _slices(texts, limit=64):
 
 def test_memory_is_given_back_once_at_the_end(monkeypatch):
     told = []
-    monkeypatch.setattr(common, "_give_back", lambda: told.append(len(told)))
+    monkeypatch.setattr(common, "give_back", lambda: told.append(len(told)))
     batch = pa.RecordBatch.from_arrays([pa.array(["a", None, "b" * 99])], ["text"])
     for last, want in ((False, 0), (True, 1)):
         for part in common.text_slices(iter([batch, batch]), limit=2, last=last):
             assert part.rows.num_rows and not told
         assert len(told) == want
     monkeypatch.undo()
-    common._give_back()
+    common.give_back()
 
 
 def test_words_of_slices_match_the_expression(rows):
