@@ -121,6 +121,15 @@ def byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
+def groups(starts: np.ndarray, ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of spans in order that lie within ``limit`` places; a longer span is alone."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
+        yield i, j
+        i = j
+
+
 class Hasher:
     """64-bit hashes of substrings through prefix sums of a polynomial."""
 
@@ -138,6 +147,15 @@ class Hasher:
             self.back = np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, inverse))])
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans in order, apart from each other; those of a long text some at a time."""
+        if len(data) <= 2 * SLICE_BYTES:
+            return self._spans(data, starts, ends)
+        out = np.empty(len(starts), U)
+        for i, j in groups(starts, ends, SLICE_BYTES):
+            out[i:j] = self._spans(data[starts[i]:ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+        return out
+
+    def _spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._reach(len(data) + 1)
         sums = np.zeros(len(data) + 1, U)
         np.cumsum(self.values[data] * self.powers[:len(data)], out=sums[1:])
@@ -210,6 +228,18 @@ def shingles(
     return out, owner
 
 
+def word_runs(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and text numbers of all runs of ``size`` words, which are those of texts of so few words."""
+    m = len(hashes) - size + 1
+    if m <= 0:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    total = np.full(m, size, U)
+    for k in range(size):
+        total += hashes[k:m + k] * U(pow(Hasher.BASE | 1, 3 * k + 1, 1 << 64))
+    whole = doc[:m] == doc[size - 1:]
+    return mix(total[whole]), doc[:m][whole]
+
+
 def distinct_per(
     values: np.ndarray, doc: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 from .common import (
-    U, bound_batches, boxed, mix, sorted_sets, text_key, text_slices, unboxed, whole_text, words_pattern,
+    U, bound_batches, boxed, groups, mix, sorted_sets, text_key, text_slices, unboxed, whole_text, words_pattern,
 )
 from .similar import PACKED, Items, bucket_pairs, bucket_parts, keyed_batch, similar_classes, small_join
 
@@ -82,6 +82,13 @@ class LineHasher:
 
     def prints(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
         """Fingerprints of lines; ``points`` may be 64-bit numbers already."""
+        out = np.empty(len(starts), np.int64)
+        for i, j in groups(starts, ends, SLICE):
+            low = starts[i]
+            out[i:j] = self._prints(points[low:ends[j - 1]], starts[i:j] - low, ends[i:j] - low, which)
+        return out
+
+    def _prints(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
         if len(self.powers[which]) <= len(points):
             for table, base in ((self.powers, self.ODD[which]), (self.back, pow(self.ODD[which], -1, 1 << 64))):
                 table[which] = np.concatenate([np.ones(1, U), np.cumprod(np.full(len(points), U(base)))])
@@ -161,8 +168,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for part in text_slices(batches, limit=SLICE):
             letters = letters_of(part.rows.column("text"))
             starts, ends, doc, number = lines_of(letters, min_words)
-            wide = letters.points.astype(U)
-            node, check = (hasher.prints(wide, starts, ends, k) for k in (0, 1))
+            node, check = (hasher.prints(letters.points, starts, ends, k) for k in (0, 1))
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [part.rows.column("doc_id").take(at), part.rows.column("text_key").take(at),
@@ -187,9 +193,12 @@ def line_keys(docs: DataFrame, parts: int, min_words: int = MIN_WORDS) -> DataFr
                 node = hasher.prints(letters.points, starts, ends, 0)
                 _, once = np.unique(node, return_index=True)
                 once.sort()
-                hashes, line = hasher.runs(letters.points, starts[once], ends[once])
-                signature = minhash(hashes, line, len(once), BANDS * ROWS)
-                found.append((band_keys(signature, BANDS, ROWS).ravel(), np.repeat(node[once], BANDS)))
+                starts, ends, node = starts[once], ends[once], node[once]
+                for i, j in groups(starts, ends, SLICE):
+                    low = starts[i]
+                    hashes, line = hasher.runs(letters.points[low:ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+                    signature = minhash(hashes, line, j - i, BANDS * ROWS)
+                    found.append((band_keys(signature, BANDS, ROWS).ravel(), np.repeat(node[i:j], BANDS)))
             if found:
                 yield keyed_batch(*(np.concatenate(x) for x in zip(*found)), parts)
 

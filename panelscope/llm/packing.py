@@ -126,16 +126,22 @@ def run_bounds(points: DataFrame, mean: np.ndarray, deviation: np.ndarray, runs:
     return np.array(found or [], np.int64)
 
 
+# where no token reaches across: after a line break between words, before a blank between words
+CUT = re.compile(r"(?<=[^\s]\n)(?=[^\s])|(?<=[^\s])(?= [^\s])")
+# white space as the vocabulary's pattern knows it; longer runs are beyond what its matcher holds
+WHITE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
 def text_parts(text: str, size: int = LONG_TEXT) -> list[str]:
-    """A long text cut after line breaks between words, where no token reaches across."""
-    if len(text) <= size:
-        return [text]
-    cuts, last = [0], 0
-    for found in re.finditer(r"(?<=[^\s]\n)(?=[^\s])", text):
-        if found.start() - last >= size:
-            last = found.start()
-            cuts.append(last)
-    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+    """A long text cut where no token reaches across."""
+    out, at = [], 0
+    while len(text) - at > size:
+        found = CUT.search(text, at + size)
+        if found is None:
+            break
+        out.append(text[at:found.start()])
+        at = found.start()
+    return [*out, text[at:]]
 
 
 def added_tokens(vocabulary_path: str) -> dict[str, int]:
@@ -143,8 +149,8 @@ def added_tokens(vocabulary_path: str) -> dict[str, int]:
     with open(vocabulary_path, encoding="utf-8") as held:
         listed = json.load(held)["added_tokens"]
     for token in listed:
-        if "\n" in token["content"] or any(token[x] for x in ("single_word", "lstrip", "rstrip", "normalized")):
-            raise ValueError(f"no plain added token: {token}")  # a text is cut at line breaks
+        if token["content"].split() != [token["content"]] or any(token[x] for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"no plain added token: {token}")  # a text is cut at white space
     return {token["content"]: token["id"] for token in listed}
 
 
@@ -162,10 +168,20 @@ def encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None
             return encoding.encode(part, allowed_special="all")
         return encoding.encode_ordinary(part)
 
+    def pieces(text: str) -> Iterator[list[int]]:
+        at = 0
+        for run in WHITE_RUN.finditer(text):
+            start, end = run.span()
+            # the pattern leaves the last blank to what follows, but for an added token
+            if end < len(text) and not any(text.startswith(token, end) for token in special):
+                end -= 1
+            yield from (ids(part) for part in text_parts(text[at:start]))
+            yield encoding._encode_single_piece(text[start:end])
+            at = end
+        yield from (ids(part) for part in text_parts(text[at:]))
+
     def encode(text: str) -> np.ndarray:
-        parts = [ids(part) for part in text_parts(text)]
-        parts.append([END_ID])
-        return np.concatenate([np.array(part, np.uint32) for part in parts])
+        return np.concatenate([*[np.array(part, np.uint32) for part in pieces(text)], np.array([END_ID], np.uint32)])
 
     return encode
 

@@ -24,20 +24,21 @@ reached AS (SELECT doc_id AS node, doc_id AS seen FROM documents
             UNION SELECT r.node, l.b FROM reached r JOIN ways l ON l.a = r.seen)
 SELECT node AS doc_id, min(seen) AS class_id, min(seen) = node AS is_first FROM reached GROUP BY node"""
 
-# ASCII letters in lower case; white space and ASCII punctuation part words
+# ASCII letters in lower case; white space and ASCII punctuation part words; a run of five words, or of as many as a short item has
 CONTAINMENT = r"""
 WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
 words AS (
     SELECT kind, id, list_filter(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+'), lambda x: x <> '') AS w FROM texts),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE kind = 'i' AND len(w) > 0),
 shingles AS (
-    SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS x FROM words),
-sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
+    SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS x
+    FROM words JOIN lengths ON len(w) >= k AND (kind = 'd' OR k = least(len(w), 5))),
+sizes AS (SELECT id, k, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id, k)
 SELECT d.id AS doc_id, i.id AS item_id, CAST(count(*) AS INTEGER) AS shared, CAST(any_value(n) AS INTEGER) AS item_shingles,
        CAST(count(*) AS DOUBLE) / any_value(n) AS containment
-FROM shingles d JOIN shingles i ON d.x = i.x AND d.kind = 'd' AND i.kind = 'i' JOIN sizes s ON s.id = i.id
+FROM shingles d JOIN shingles i ON d.x = i.x AND d.k = i.k AND d.kind = 'd' AND i.kind = 'i' JOIN sizes s ON s.id = i.id AND s.k = i.k
 GROUP BY d.id, i.id HAVING 5 * count(*) >= 4 * any_value(n)"""
 
 

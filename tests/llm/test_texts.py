@@ -181,6 +181,73 @@ def test_added_tokens_inside_text(spark, monkeypatch):
         assert zlib.crc32(ids.tobytes()) == r.ids_crc32
 
 
+def test_long_runs_of_blanks(spark, monkeypatch):
+    """As the tokenizers library has them, whatever follows the run."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                             packing.added_tokens(path))
+    for blank in (" ", "\n", "\xa0", "\t", "\u3000", " \n"):
+        for n in (4095, 4096, 5000):
+            for tail in ("", "x", " x", "<|endoftext|>", "é", "\x1cq", "\n1"):
+                text = "word" + blank * n + tail
+                assert encode(text)[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids
+    rng = random.Random(4)
+    monkeypatch.setattr(packing, "LONG_TEXT", 50)
+    parts = packing.text_parts
+    monkeypatch.setattr(packing, "text_parts", lambda x: parts(x, 50))
+    pieces = ["a", "foo", " ", "  ", "\n", "\n\n", "'s", " 12", "é", "\x1c", "\x85", "!", "<|endoftext|>", "\t"]
+    for _ in range(500):
+        text = "".join(rng.choice([*pieces, " " * 5000 if rng.random() < 0.05 else " "]) for _ in range(rng.randint(0, 200)))
+        assert encode(text)[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts = ["word" + blank * 2_000_000 + "x" for blank in (" ", "\n", "\xa0")] + [" " * 2_000_000]
+    want = [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    got = queries.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) + 1 for i, x in enumerate(want)}
+    for r in got:
+        ids = np.array([*want[r.doc_id], packing.END_ID][r.start:r.start + r.length], "<u4")
+        assert zlib.crc32(ids.tobytes()) == r.ids_crc32
+
+
+def test_hashes_of_long_texts_in_groups(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(32, 40, 20_000).astype(np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]), common.separators())
+    hasher = common.Hasher()
+    want = hasher.spans(data, starts, ends)
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    assert (hasher.spans(data, starts, ends) == want).all()
+
+
+def test_one_text_of_fifty_megabytes(spark):
+    """Every operator that reads texts in tasks takes it whole."""
+    from panelscope.llm import lines, neardup
+
+    rng = random.Random(3)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(99999)}" for _ in range(20_000)]
+    page = " ".join(words)
+    text = "\n".join(f"{i} {page}" for i in range(430))
+    assert len(text) > 50_000_000
+    docs = spark.createDataFrame([(1, text), (2, page), (4, "short one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(7, " ".join(words[-30:])), (8, "never there")], "item_id long, text string")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        near = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        assert near[1] == near[2] == 1 and near[4] == 4
+        assert lines.line_classes(docs).count() == 430 + 2
+        assert {r.doc_id for r in contamination.contaminated(docs, items).collect()} == {1, 2}
+        assert toxicity.toxicity(docs, labels).count() == 3
+        assert weak_labels.weak_quality(docs, 4).count() == 3
+        packed = queries.packed(docs).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+        assert len(packed) == 3 and all(r["sum(length)"] == r["max(doc_tokens)"] for r in packed)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tail_lengths():
     assert packing.tail_lengths(1234) == [1024, 128, 64, 16, 2] and packing.tail_lengths(0) == []
 
@@ -240,15 +307,26 @@ def test_toxicity_of_odd_rows(docs, empty, labels, no_labels, rows):
 
 # containment
 
-def _plain(text):
+def _words(text):
     table = {c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
     lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
-    return set(brute.word_shingles(lowered.translate(str.maketrans(table))))
+    return brute.WORD.findall(lowered.translate(str.maketrans(table)))
+
+
+def _plain(text, size=5):
+    words = _words(text)
+    return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
+
+
+def _leaks(text, item):
+    size = min(len(_words(item)), 5)
+    wanted = _plain(item, size) if size else set()
+    return wanted and len(_plain(text, size) & wanted) >= 0.8 * len(wanted)
 
 
 def test_items_in_documents(docs, items, rows, empty, no_items):
     want = {(r[0], r[1], i.item_id) for r in rows for i in items.collect()
-            if _plain(i.text) and len(_plain(r[1]) & _plain(i.text)) >= 0.8 * len(_plain(i.text))}
+            if _leaks(r[1], i.text)}
     got = contamination.contaminated(docs, items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got if r.item_id) == sorted((a, i) for a, _, i in want if i)
     assert len(got) == len(want) and any(i is None for _, _, i in want) and (305, "two words", 5) in want
@@ -261,6 +339,26 @@ def test_items_in_documents(docs, items, rows, empty, no_items):
     assert contamination.contaminated(docs, no_items).count() == 0
 
 
+def test_short_items_inside_long_documents(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(400)}" for _ in range(3000)]
+    texts = ["One; two, three FOUR five six. " + " ".join(words), "two three", "two", "Two. Three!", "four three two",
+             " ".join(words) + " alpha-beta gamma\ndelta", "", None, " ".join(words[5:9])]
+    listed = ["two three", "TWO", "alpha beta gamma delta", "three four two", "nothing here", "", None, "six w w",
+              " ".join(words[:4]), " ".join(words[5:9]), " ".join(words[10:30])]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "say two three")], "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(listed), (1, "TWO")], "item_id long, text string")
+    want = {(d, i) for d, t in [*enumerate(texts), (None, "say two three")] for i, x in enumerate(listed) if _leaks(t, x)}
+    assert {(5, 2), (0, 0), (None, 0), (0, 9)} <= want
+    for size in (22, 3):  # the bit table holds back hashes only, whatever its size
+        monkeypatch.setattr(contamination, "BITS", max(size, 6))
+        got = contamination.contaminated(docs, items).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == sorted(want, key=repr)
+        assert all(r.containment == 1 for r in got if r.item_id < 10)
+    left = {r.doc_id for r in contamination.drop_contaminated(docs, items).collect()}
+    assert left == set(range(len(texts))) - {d for d, _ in want}
+
+
 # weak labels
 
 def test_repeated_rows_count_once_in_the_training_sample(spark, docs):
