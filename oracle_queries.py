@@ -500,13 +500,13 @@ def oracle_sql() -> dict[str, str]:
         WHERE first_amount > 0 AND last_year > first_year""")
 
     sql["P1_field_portfolio"] = supplier("SELECT * FROM portfolio", PORTFOLIO)
+    # a parent field is its own parent, so its total is found among the rows of one group
     sql["P2_P8_field_drilldown"] = supplier(f"""
-        SELECT f.inst_id, f.parent_field, f.field_code, f.field_name,
-               upper(substr(split_part(f.field_name, ', ', 2), 1, 1)) || lower(substr(split_part(f.field_name, ', ', 2), 2)) AS discipline,
-               f.federal, f.nonfederal, f.total, {pct('f.federal', 'f.total')} AS federal_pct,
-               {pct('f.total', 'p.total')} AS share_of_parent
-        FROM fields f LEFT JOIN fields p ON p.inst_id = f.inst_id AND p.year = f.year AND p.field_code = f.parent_field
-             AND p.is_parent = 1 WHERE f.year = {Y1} AND f.is_parent = 0""")
+        SELECT inst_id, parent_field, field_code, field_name,
+               upper(substr(split_part(field_name, ', ', 2), 1, 1)) || lower(substr(split_part(field_name, ', ', 2), 2)) AS discipline,
+               federal, nonfederal, total, {pct('federal', 'total')} AS federal_pct, {pct('total', 'parent_total')} AS share_of_parent
+        FROM (SELECT *, max(CASE WHEN is_parent = 1 THEN total END) OVER (PARTITION BY inst_id, parent_field) AS parent_total
+              FROM fields WHERE year = {Y1}) WHERE is_parent = 0""")
     sql["P3_field_momentum"] = supplier("SELECT * FROM momentum", MOMENTUM)
     sql["P4_momentum_quadrants"] = supplier("""
         SELECT m.inst_id, field_code, portfolio_share, cagr, mid_share, mid_cagr,

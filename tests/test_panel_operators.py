@@ -260,7 +260,22 @@ def test_guarded_sql(spark, inst, fields, tmp_path):
             f"WITH t AS (SELECT * FROM {leak}) SELECT * FROM t", f"WITH t AS (SELECT {java} AS x) SELECT * FROM t",
             f"SELECT * FROM institutions WHERE EXISTS (SELECT 1 FROM {leak})", "SELECT * FROM t, (WITH t AS (SELECT 1) SELECT * FROM t)",
             f"SELECT * FROM institutions i JOIN (SELECT * FROM {leak}) USING (name)", f"SELECT transform(array(1), x -> {java})"]
-    good = ["SELECT * FROM (VALUES (1), (2)) v(x)", "SELECT inst_id FROM Institutions WHERE year IN (SELECT max(year) FROM institutions)",
+    dynamic = ["IDENTIFIER('reflect')", "IDENTIFIER('re' || 'flect')", "IDENTIFIER('java_method')", "identifier('try_' || 'reflect')"]
+    bad += [f"SELECT {name}('java.lang.System', 'getProperty', 'user.home') AS x FROM institutions" for name in dynamic]
+    bad += ["SELECT * FROM IDENTIFIER('other_view')", f"SELECT * FROM IDENTIFIER('text.`{tmp_path}/f.txt`')",
+            "SELECT IDENTIFIER('na' || 'me') FROM institutions", f"SELECT * FROM VALUES ({java}) t(x)",
+            "SELECT input_file_name() FROM institutions", "SELECT current_user()", "SELECT plus_one(1)", "SELECT rand()",
+            "SELECT * FROM institutions ORDER BY IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')",
+            "SELECT * FROM institutions WHERE EXISTS (SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home'))"]
+    spark.udf.register("plus_one", lambda x: x + 1, "int")
+    good = ["SELECT name, round(avg(total_rd), 1) a, rank() OVER (ORDER BY max(year) DESC) r FROM institutions GROUP BY name HAVING count(*) > 0",
+            "SELECT state, nullif(coalesce(sum(federal), 0), 0) * 1.0 / sum(total_rd) s, upper(state) u, nvl(state, '') v,"
+            " CASE WHEN state LIKE 'T%' THEN 1 ELSE 0 END t FROM institutions WHERE state IN ('TX', 'OH') GROUP BY state ORDER BY 2 LIMIT 5",
+            "SELECT i.name, f.field_code FROM institutions i LEFT JOIN field_expenditures f ON i.inst_id = f.inst_id AND i.year = f.year"
+            " WHERE i.total_rd > (SELECT avg(total_rd) FROM institutions) AND NOT EXISTS (SELECT 1 FROM agency_funding a WHERE a.inst_id = i.inst_id)",
+            "SELECT year, lag(total_rd) OVER (PARTITION BY inst_id ORDER BY year) l FROM institutions",
+            "SELECT explode(transform(array(1, 2), x -> x + 1)) e", "SELECT DISTINCT substr(name, 1, 2) s, CAST(year AS STRING) y FROM institutions",
+            "SELECT * FROM (VALUES (1), (2)) v(x)", "SELECT inst_id FROM Institutions WHERE year IN (SELECT max(year) FROM institutions)",
             "WITH a AS (SELECT 1 AS x), b AS (SELECT x + 1 AS y FROM a) SELECT * FROM b UNION ALL SELECT * FROM a"]
     for sql in good:
         adhoc.guarded_query(spark, sql).collect()
