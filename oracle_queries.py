@@ -559,6 +559,14 @@ def oracle_sql() -> dict[str, str]:
     knn_rows = f"SELECT target_id, peer_id, {as_int('rank')} AS rank, round(distance, 6) AS distance FROM edges"
     sql["K3_knn_edges"] = supplier(knn_rows, *KNN)
     sql["K3_knn_edges_customers"] = customer(knn_rows, *KNN)
+    asked = ", ".join(f"(ln(1 + CAST(coalesce({m}, 0) AS DOUBLE)) - a_{m}) / CASE WHEN s_{m} > 0 THEN s_{m} ELSE 1 END AS {m}" for m in METRICS)
+    square = " + ".join(f"(t.{m} - p.{m}) * (t.{m} - p.{m})" for m in METRICS)
+    sql["K3_served_peers"] = supplier(f"""
+        SELECT target_id, peer_id, {as_int('rank')} AS rank, round(distance, 6) AS distance FROM (
+            SELECT t.inst_id AS target_id, p.inst_id AS peer_id, sqrt({square}) AS distance,
+                   row_number() OVER (PARTITION BY t.inst_id ORDER BY sqrt({square}), p.inst_id) AS rank
+            FROM (SELECT inst_id, {asked} FROM inst, stat WHERE year = {Y1 - 1} AND coalesce({', '.join(METRICS)}) IS NOT NULL) t
+            JOIN z p ON t.inst_id <> p.inst_id) WHERE rank <= 10""", FEATURES, Z)
     sql["K4_peer_gap"] = supplier(gap("edges"), *KNN)
     custom = [ELIGIBLE, PREFERENCES, "edges AS (SELECT DISTINCT target_id, peer_id FROM own)"]
     sql["K5_custom_peer_gap"] = supplier(gap("edges"), FEATURES, *custom)
@@ -690,6 +698,10 @@ def oracle_sql() -> dict[str, str]:
     sql["E5_adoption"] = events(f"""
         SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, {big('count(*)')} AS n_events FROM us GROUP BY 1, 2""")
     sql["E5_usage_stream"] = sql["E5_adoption"]
+    sql["E5_users_stream"] = events(f"""
+        SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, {big('count(*)')} AS n_events,
+               {big('count(DISTINCT user_id)')} AS n_users FROM us GROUP BY 1, 2""")
+    sql["E4_preferences_merged"] = sql["E4_latest_preferences"]
     sql["E4_preferences_upsert"] = sql["E4_preferences_stream"] = sql["E4_latest_preferences"]
     sql["S1_microdata_fields"], sql["S1_microdata_agencies"] = sql["T7_T8_field_expenditures"], sql["T10_agency_funding"]
     fields_list = ", ".join(f"({i}, '{c}', '{_suggest(c)}')" for i, c in enumerate(LOGGED_FIELDS) if c not in FIELD_CODES)

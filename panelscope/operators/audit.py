@@ -26,8 +26,15 @@ def unknown_codes(
     """
     fields = sorted(dims.field_codes() if field_codes is None else field_codes)
     agencies = sorted(dims.AGENCY_NAMES if agency_codes is None else agency_codes)
-    all_fields = F.array(*[F.lit(c) for c in fields])
-    all_agencies = F.array(*[F.lit(c) for c in agencies])
+    spark = queries.sparkSession
+    # as long as the lists of codes
+    known = spark.createDataFrame(
+        [("field_code", c) for c in fields] + [("agency_code", c) for c in agencies], "kind string, code string")
+    families = {}
+    for c in fields:
+        families.setdefault(c.split("_")[0], []).append(c)
+    prefixes = spark.createDataFrame(
+        [("field_code", f, ", ".join(held)) for f, held in families.items()], "kind string, family string, alike string")
     sql = F.col(sql_column)
     uses = F.concat(
         F.transform(_used(sql, "field_code"), lambda c: F.struct(F.lit("field_code").alias("kind"), c.alias("code"))),
@@ -36,15 +43,13 @@ def unknown_codes(
     used = queries.select(F.col(id_column), F.explode(F.array_distinct(uses)).alias("u")).select(
         id_column, "u.kind", "u.code"
     )
-    is_field = F.col("kind") == "field_code"
-    unknown = used.where(
-        F.when(is_field, ~F.array_contains(all_fields, F.col("code")))
-        .otherwise(~F.array_contains(all_agencies, F.col("code")))
-    )
+    unknown = used.join(F.broadcast(known), ["kind", "code"], "left_anti")
+    # a family's suggestions are put together once, not for each use
     family = F.split_part("code", F.lit("_"), F.lit(1))
-    alike = F.filter(all_fields, lambda c: c.startswith(F.concat(family, F.lit("_"))) | (c == family))
-    suggestions = F.when(is_field, F.when(F.size(alike) > 0, alike).otherwise(all_fields)).otherwise(all_agencies)
-    return unknown.select(id_column, "kind", "code", F.array_join(suggestions, ", ").alias("suggestions"))
+    every = F.when(F.col("kind") == "field_code", ", ".join(fields)).otherwise(", ".join(agencies))
+    return unknown.withColumn("family", family).join(
+        F.broadcast(prefixes), ["kind", "family"], "left").select(
+        id_column, "kind", "code", F.coalesce("alike", every).alias("suggestions"))
 
 
 VERBS = r"(?i)^(SELECT|WITH|INSERT|UPDATE|DELETE)\b"

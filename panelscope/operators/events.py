@@ -6,9 +6,11 @@ events of a user in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +85,9 @@ def quota_flags(
 
     A window opens with the first request more than ``window_seconds`` after the
     last opening; its first ``limit`` requests are accepted. Openings are found by
-    joins on (user, time), whose keys are distinct; a request's window is that of
-    its time bucket or one of the two before, and of each window only the first
-    ``limit`` requests are ranked. So users and buckets of any size are spread.
+    time chunks (see ``window_openings``); a request's window is that of its time
+    bucket or one of the two before, and of each window only the first ``limit``
+    requests are ranked. So users and buckets of any size are spread.
     Requests without a user are left out.
     """
     width = window_seconds * 1_000_000
@@ -106,15 +108,154 @@ def quota_flags(
         key, user, ts, "window_start_us", (F.struct("_t", key) <= F.col("_last")).alias("accepted"))
 
 
-def window_openings(cut: DataFrame, width: int, user: str) -> DataFrame:
-    """(user, _o): the requests that open a window.
+CHUNK_WINDOWS = 32  # widths of a time chunk
+CHUNK_POINTS = 1 << 20  # different times of a chunk that a task holds, and entries of a user that one task reads
 
-    Every request points to the one that would open the next window after it. The
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, from rows sorted by group, with the number of each row's group."""
+    held: list[pa.RecordBatch] = []
+
+    def marked(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for name in by:
+            column = table.column(name).combine_chunks()
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        group = marked(table)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield table.slice(0, cut).combine_chunks(), group[:cut]
+        held = table.slice(cut).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.zeros(len(table), np.int64)
+
+
+def _chain(group: np.ndarray, times: np.ndarray, width: int, span: int) -> np.ndarray:
+    """For each time the place of the first one of its group more than ``width`` later, or the number of times."""
+    key = group * (2 * span) + times  # times lie within a chunk of ``span``
+    after = np.searchsorted(key, key + width, side="right")
+    held = after < len(key)
+    held[held] = group[after[held]] == group[held]
+    return np.where(held, after, len(key))
+
+
+def chunk_entries(group: np.ndarray, times: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk maps: places of entries, and of the last window that opens if the entry's time is the first to.
+
+    A window from before the chunk ends within a width of its start, so only the times
+    up to then, and the next one, can be the first to open a window. Of neighbours that
+    lead to the same last window the latest is kept.
+    """
+    last = _chain(group, times, width, span)
+    last = np.where(last < len(times), last, np.arange(len(times)))
+    while True:  # as often as the logarithm of the windows in a chunk
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    entry = np.ones(len(times), bool)
+    entry[1:] = (group[1:] != group[:-1]) | (times[:-1] < width)
+    at = np.flatnonzero(entry)
+    kept = np.ones(len(at), bool)
+    kept[:-1] = (last[at[1:]] != last[at[:-1]]) | (group[at[1:]] != group[at[:-1]])
+    return at[kept], last[at[kept]]
+
+
+def window_openings(
+    cut: DataFrame, width: int, user: str, chunk_points: int = CHUNK_POINTS
+) -> DataFrame:
+    """(user, _o): the times that open a window.
+
+    A user's times are cut into chunks of ``CHUNK_WINDOWS`` widths. A chunk is summed up
+    as a map from the end of the window that is open at its start to the end of the one
+    open at its end; different starts soon lead to the same windows, so maps are short.
+    They are read in order of time, and then every chunk finds its openings by itself.
+    Users with more than ``chunk_points`` times in a chunk, or entries in all their maps,
+    are left to ``doubled_openings``.
+    """
+    span = CHUNK_WINDOWS * width
+    chunk = F.floor(F.col("_t") / span).cast("long")
+    points = write_scratch(cut.select(user, "_t", "_b").distinct(), "quota-points")
+    chunked = points.select(user, chunk.alias("_c"), (F.col("_t") - chunk * span).alias("_r"))
+    sizes = chunked.groupBy(user, "_c").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_r") < width).alias("_e"))
+    crowded = write_scratch(sizes.groupBy(user).agg(F.max("_n").alias("_n"), F.sum("_e").alias("_e")).where(
+        (F.col("_n") > chunk_points) | (F.col("_e") > chunk_points)).select(user), "quota-crowded")
+    some = not crowded.isEmpty()
+    calm = chunked.join(crowded, user, "left_anti") if some else chunked
+    kind = next(f for f in cut.schema.fields if f.name == user).dataType.simpleString()
+
+    def per_chunk(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+        return rows.repartition(user, "_c").sortWithinPartitions(user, "_c", "_r").mapInArrow(run, schema)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, [user, "_c"]):
+            times, chunks = (table.column(c).to_numpy() for c in ("_r", "_c"))
+            at, last = chunk_entries(group, times, width, span)
+            yield pa.RecordBatch.from_arrays(
+                [table.column(user).combine_chunks().take(pa.array(at)), pa.array(chunks[at]),
+                 pa.array(chunks[at] * span + times[at]), pa.array(chunks[at] * span + times[last] + width)],
+                [user, "_c", "_first", "_end"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = where = end = None
+        told = False  # has the chunk's entry been found?
+        for batch in batches:
+            out: list[tuple] = []
+            for name, c, first, ends in zip(*(batch.column(k).to_pylist() for k in (user, "_c", "_first", "_end"))):
+                if name != who:
+                    who, where, end = name, None, None
+                if c != where:
+                    where, told = c, False
+                    out.append((name, c, end))
+                if not told and (end is None or first > end):
+                    told, end = True, ends
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], batch.column(user).type), pa.array(columns[1], pa.int64()),
+                 pa.array(columns[2], pa.int64())], [user, "_c", "_end"])
+
+    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, [user, "_c"]):
+            times, chunks = (table.column(c).to_numpy() for c in ("_r", "_c"))
+            end = table.column("_end").combine_chunks()
+            waits = pc.fill_null(end, -(1 << 62)).to_numpy() - chunks * span  # until then a window is open
+            after = _chain(group, times, width, span)
+            places = np.flatnonzero(times > waits)
+            now = places[np.unique(group[places], return_index=True)[1]]
+            found = []
+            while len(now):
+                found.append(now)
+                now = after[now]
+                now = now[now < len(times)]
+            at = np.concatenate([np.zeros(0, np.int64), *found])
+            yield pa.RecordBatch.from_arrays(
+                [table.column(user).combine_chunks().take(pa.array(at)), pa.array(chunks[at] * span + times[at])],
+                [user, "_o"])
+
+    told = per_chunk(calm, maps, f"{user} {kind}, _c long, _first long, _end long").repartition(
+        user).sortWithinPartitions(user, "_c", "_first").mapInArrow(follow, f"{user} {kind}, _c long, _end long")
+    found = write_scratch(per_chunk(calm.join(told, [user, "_c"]), openings, f"{user} {kind}, _o long"), "quota-openings")
+    if some:
+        found = found.union(doubled_openings(
+            write_scratch(points.join(crowded, user, "left_semi"), "quota-points"), width, user).select(user, "_o"))
+    return found
+
+
+def doubled_openings(points: DataFrame, width: int, user: str) -> DataFrame:
+    """(user, _o): the times that open a window, by joins whose keys are distinct.
+
+    ``points`` are distinct (user, _t, _b), stored. Every request points to the one that would open the next window after it. The
     first request of a run (see ``_runs``) opens a window, and what can be reached
     from it are the others. Pointers are doubled, so the number of rounds is the
     logarithm of the longest run's number of buckets.
     """
-    points = write_scratch(cut.select(user, "_t", "_b").distinct(), "quota-points")
     runs = _runs(points, user)
     starts = points.join(runs.where(F.col("_b") == F.col("_run")).select(user, "_b"), [user, "_b"]).groupBy(
         user, "_b").agg(F.min("_t").alias("_o")).select(user, "_o")

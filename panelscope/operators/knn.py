@@ -16,11 +16,12 @@ of vectors to another, both of bounded size.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -44,21 +45,25 @@ def feature_rows(inst: DataFrame, metrics: Sequence[str] = tuple(schema.METRICS)
     )
 
 
-def standardised(features: DataFrame, metrics: Sequence[str]) -> Column:
-    """log1p of each metric, zero mean and unit population variance, as an array.
+def scales(features: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One row: mean and population deviation of each metric's log1p."""
+    logs = features.select(*[F.log1p(F.col(m)).alias(m) for m in metrics])
+    return logs.agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"sd_{m}") for m in metrics])
 
-    A metric without variance is only centred.
-    """
-    logs = [F.log1p(F.col(m)) for m in metrics]
-    stats = features.select(*[x.alias(m) for x, m in zip(logs, metrics)]).agg(
-        F.struct(*[F.avg(m).alias(f"mean_{m}") for m in metrics],
-                 *[F.stddev_pop(m).alias(f"sd_{m}") for m in metrics])
-    ).scalar()
-    scaled = []
-    for x, m in zip(logs, metrics):
+
+def scaled(metrics: Sequence[str], stats) -> Column:
+    """log1p of each metric by the given scales, as an array. A metric without variance is only centred."""
+    out = []
+    for m in metrics:
         sd = stats[f"sd_{m}"]
-        scaled.append((x - stats[f"mean_{m}"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0)))
-    return F.array(*scaled)
+        out.append((F.log1p(F.col(m)) - stats[f"mean_{m}"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0)))
+    return F.array(*out)
+
+
+def standardised(features: DataFrame, metrics: Sequence[str]) -> Column:
+    """log1p of each metric, zero mean and unit population variance, as an array."""
+    stats = scales(features, metrics)
+    return scaled(metrics, stats.select(F.struct(*stats.columns)).scalar())
 
 
 def _vectors(features: DataFrame, metrics: Sequence[str], k: int) -> DataFrame:
@@ -164,7 +169,8 @@ def _radius(z: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
 def _nearest(targets: pd.DataFrame, block: pd.DataFrame, k: int, dims: int) -> pd.DataFrame:
     """For each target row the k + 1 nearest ids of one block, ties by id."""
     if not len(targets) or not len(block):
-        return pd.DataFrame({"rep": [], "peer_id": [], "distance": []})
+        none = np.array([], dtype=object)
+        return pd.DataFrame({"rep": none, "peer_id": none, "distance": np.array([], dtype=float)})
     candidates, ids = _matrix(block["at"], dims), block["ids"].to_numpy()
     keep = min(k + 1, len(block))
     found = []
@@ -197,7 +203,7 @@ def _plant(vectors: DataFrame, n: int, depth: int, dims: int, leaf_size: int) ->
 
 def _placed(vectors: DataFrame, tree: Tree, dims: int) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             yield batch.assign(leaf=tree.leaf(_matrix(batch["z"], dims)).astype("int32"))
 
     return vectors.select("rep", "ids", "z").mapInPandas(
@@ -207,7 +213,7 @@ def _placed(vectors: DataFrame, tree: Tree, dims: int) -> DataFrame:
 
 def _in_blocks(vectors: DataFrame, tree: Tree, dims: int) -> DataFrame:
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             leaf = tree.leaf(_matrix(batch["z"], dims))
             part = batch["spread"].to_numpy() % np.maximum(tree.blocks[leaf], 1)
             block = (tree.first_block[leaf] + part).astype("int32")
@@ -247,11 +253,19 @@ def nearest_vectors(
 
     ``vectors`` must be a stored table: it is read several times.
     """
+    tree, blocks = _planted(vectors, dims, leaf_size)
+    return _merged(write_scratch(_visits(blocks, tree, k, dims), "knn-visits"), blocks, k, dims, visitors)
+
+
+def _planted(vectors: DataFrame, dims: int, leaf_size: int) -> tuple[Tree, DataFrame]:
     n = vectors.count()
     depth = min(MAX_DEPTH, max(MIN_DEPTH, int(np.ceil(np.log2(max(n, 1) / leaf_size)))))
     tree = _plant(vectors, n, depth, dims, leaf_size)
-    blocks = write_scratch(_in_blocks(vectors, tree, dims), "knn-blocks")
-    visits = write_scratch(_visits(blocks, tree, k, dims), "knn-visits")
+    return tree, write_scratch(_in_blocks(vectors, tree, dims), "knn-blocks")
+
+
+def _merged(visits: DataFrame, blocks: DataFrame, k: int, dims: int, visitors: int) -> DataFrame:
+    """(rep, near) of all visitors from the blocks they visit; ``visits`` is stored."""
     # a block's visitors and a copy of the block meet in one task; a crowded
     # block is copied to several, so both sides stay bounded
     parts = write_scratch(_parts(visits, visitors), "knn-parts")
@@ -298,3 +312,102 @@ def knn_edges(
         .select("target_id", F.col("e.peer_id").alias("peer_id"),
                 (F.col("i") + 1).alias("rank"), F.col("e.distance").alias("distance"))
     )
+
+
+class PeerModel:
+    """Fitted once and stored: scales, tree and blocks answer for any vectors later.
+
+    ``folder`` holds the blocks (``blocks``) and one row with the rest (``model``), whose
+    size is bounded by the tree's depth.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.blocks = spark.read.parquet(f"{folder}/blocks")
+        row = spark.read.parquet(f"{folder}/model").first()
+        self.metrics, self.k, self.stats = list(row["metrics"]), row["k"], row["stats"]
+        held = np.load(io.BytesIO(bytes(row["tree"])))
+        self.tree = Tree.__new__(Tree)
+        self.tree.depth = int(held["depth"])
+        for name in TREE_ARRAYS:
+            setattr(self.tree, name, held[name])
+
+    @staticmethod
+    def fit(
+        features: DataFrame, folder: str, k: int = 10, metrics: Sequence[str] = tuple(schema.METRICS),
+        leaf_size: int = LEAF_SIZE,
+    ) -> PeerModel:
+        """Fit on ``features`` for up to ``k`` peers and store the model below ``folder``."""
+        spark, cols = features.sparkSession, list(metrics)
+        vectors = write_scratch(_vectors(features, cols, k), "knn-vectors")
+        tree, blocks = _planted(vectors, len(cols), leaf_size)
+        blocks.hint("rebalance").sortWithinPartitions("block").write.mode("overwrite").parquet(f"{folder}/blocks")
+        held = io.BytesIO()
+        np.savez(held, depth=tree.depth, **{name: getattr(tree, name) for name in TREE_ARRAYS})
+        stats = scales(features, cols)
+        stats.select(F.lit(bytearray(held.getvalue())).alias("tree"), F.array(*[F.lit(m) for m in cols]).alias("metrics"),
+                     F.lit(k).alias("k"), F.struct(*stats.columns).alias("stats")
+                     ).write.mode("overwrite").parquet(f"{folder}/model")
+        return PeerModel(spark, folder)
+
+    def peers(self, targets: DataFrame, k: int | None = None, visitors: int = VISITORS) -> DataFrame:
+        """``knn_edges`` rows for the vectors of ``targets`` (inst_id and metrics), nearest first.
+
+        Targets need not be among the fitted entities; one that is, is no peer of itself.
+        Null metrics count as 0. Only ``targets`` are compared, with the blocks near them.
+        ``target_id`` must be unique.
+        """
+        k = self.k if k is None else k
+        if k > self.k:
+            raise ValueError(f"the model was fitted for {self.k} peers")
+        dims, tree = len(self.metrics), self.tree
+        told = {f: self.stats[f] for f in self.stats.__fields__}
+        stats = {f: F.lit(v) for f, v in told.items()}
+        asked = write_scratch(targets.na.fill(0, subset=self.metrics).select(
+            F.col("inst_id").alias("rep"), scaled(self.metrics, stats).alias("z")), "knn-asked")
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in filter(len, batches):
+                leaf = tree.leaf(_matrix(batch["z"], dims))
+                # a leaf that no fitted vector is in has no block
+                block = np.where(tree.blocks[leaf] > 0, tree.first_block[leaf], -1)
+                yield batch.assign(block=block.astype("int32"))
+
+        def reach(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            z = _matrix(some["z"], dims)
+            radius = _radius_to(z, _matrix(block["at"], dims), block["ids"].map(len).to_numpy(), k)
+            row, to = tree.visits(z, radius)
+            return pd.DataFrame({"block": to.astype("int32"), "rep": some["rep"].to_numpy(object)[row],
+                                 "z": some["z"].to_numpy(object)[row], "radius": radius[row]})
+
+        placed = asked.mapInPandas(place, "rep string, z array<double>, block int")
+        # asked in parts of bounded size, each with its block
+        part = F.pmod(F.xxhash64("rep"), F.lit(max(1, asked.count() // visitors + 1))).cast("int")
+        parts = placed.withColumn("part", part)
+        needed = parts.select("block", "part").distinct()
+        offered = self.blocks.join(needed, "block").select(
+            F.col("block").alias("to_block"), F.col("part").alias("to_part"), "ids", F.col("z").alias("at"))
+        visits = write_scratch(parts.groupBy("block", "part").cogroup(offered.groupBy("to_block", "to_part")).applyInPandas(
+            reach, "block int, rep string, z array<double>, radius double"), "knn-visits")
+        visited = self.blocks.join(visits.select("block").distinct(), "block", "left_semi")
+        near = _merged(visits, visited, k, dims, visitors)
+        others = F.slice(F.filter("near", lambda e: e["peer_id"] != F.col("rep")), 1, k)
+        return near.select(F.col("rep").alias("target_id"), F.posexplode(others).alias("i", "e")).select(
+            "target_id", F.col("e.peer_id").alias("peer_id"), (F.col("i") + 1).alias("rank"),
+            F.col("e.distance").alias("distance"))
+
+
+TREE_ARRAYS = ("axis", "cut", "low", "high", "blocks", "first_block")
+
+
+def _radius_to(z: np.ndarray, block: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Distance within which each row has k + 1 ids of a block; inf if the block has fewer."""
+    radius = np.full(len(z), np.inf)
+    if not len(block):
+        return radius
+    for start in range(0, len(z), SLICE_ROWS):
+        d = _distances(z[start:start + SLICE_ROWS], block)
+        order = np.argsort(d, axis=1)
+        enough = np.cumsum(copies[order], axis=1) > k
+        reached = np.take_along_axis(d, order, axis=1)[np.arange(len(d)), enough.argmax(axis=1)]
+        radius[start:start + SLICE_ROWS] = np.where(enough.any(axis=1), reached, np.inf)
+    return radius

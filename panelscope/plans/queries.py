@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..operators import (
     agency, audit, checks, etl, events, growth, knn, lookup, patterns, peers, portfolio, rank,
 )
 from ..session import scratch_dir
-from ..sources import logs, microdata, tables
+from ..sources import keyed, logs, microdata, tables
 from ..streaming import events as streams
 from . import adhoc, derived
 from .load import load_microdata
@@ -512,6 +512,15 @@ def _(c):
     return _rounded(knn.knn_edges(knn.feature_rows(c), 10, leaf_size=512))
 
 
+@_panel_query("K3_served_peers")
+def _(p):
+    """A model fitted on the newest year answers for every entity's vector of the year before."""
+    spark = p.inst.sparkSession
+    model = knn.PeerModel.fit(knn.feature_rows(p.inst), scratch_dir(spark, "peer-model"), 10)
+    before = p.inst.where(F.col("year") == Y1 - 1).na.drop(how="all", subset=model.metrics)
+    return _rounded(model.peers(before))
+
+
 @_edge_query("K4_peer_gap")
 def _(p, edges):
     return peers.peer_gap(knn.feature_rows(p.inst), edges)
@@ -747,12 +756,12 @@ def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
-def _updated(spark: SparkSession, stream: DataFrame, keys: list[str], sink, mode: str) -> DataFrame:
-    """Run a stream into versioned rows; the newest version of every key."""
+def _kept_by_key(spark: SparkSession, stream: DataFrame, keys: list[str], order: Sequence[str], mode: str) -> DataFrame:
+    """Run a stream into a table kept by key; its rows."""
     out = scratch_dir(spark, "stream")
-    stream.writeStream.outputMode(mode).foreachBatch(sink(f"{out}/rows")).option(
+    stream.writeStream.outputMode(mode).foreachBatch(keyed.merge_sink(f"{out}/rows", keys, order)).option(
         "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return streams.newest_versions(spark.read.parquet(f"{out}/rows"), keys)
+    return keyed.read_keyed(spark, f"{out}/rows", stream)
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -787,22 +796,40 @@ def _(spark, sf):
     return kept.withColumn("custom_peers", F.array_join("custom_peers", "|"))
 
 
+@_query("E4_preferences_merged")
+def _(spark, sf):
+    """Two halves of the changes, the later one merged into the stored table by key."""
+    changes = derived.preferences(spark, sf)
+    path, keys = scratch_dir(spark, "preferences"), ["user_id", "institution"]
+    old = F.col("change_id") % 2 == 0
+    for half in (changes.where(old), changes.where(~old)):
+        keyed.merge_keyed(spark, path, half, keys, derived.CHANGE_ORDER)
+    return keyed.read_keyed(spark, path, changes).withColumn("custom_peers", F.array_join("custom_peers", "|"))
+
+
 @_query("E4_preferences_stream")
 def _(spark, sf):
     changes = derived.preferences(spark, sf)
     stream = _opened(spark, changes, "updated_at")
-    kept = _updated(spark, stream, ["user_id", "institution"],
-                    lambda path: streams.latest_preferences_sink(path, derived.CHANGE_ORDER), "append")
+    kept = _kept_by_key(spark, stream, ["user_id", "institution"], derived.CHANGE_ORDER, "append")
     return kept.select(changes.columns).withColumn("custom_peers", F.array_join("custom_peers", "|"))
 
 
 @_query("E5_usage_stream")
 def _(spark, sf):
     counts = streams.usage_counts_stream(_event_stream(spark, sf), late=STREAM["late"])
-    kept = _updated(spark, counts, ["window_start", "event_type"], streams.append_versions, "update")
+    kept = _kept_by_key(spark, counts, ["window_start", "event_type"], ["batch"], "update")
     return kept.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")
 
 
+@_query("E5_users_stream")
+def _(spark, sf):
+    counts = streams.usage_users_stream(_event_stream(spark, sf), late=STREAM["late"])
+    kept = streams.distinct_users(
+        _kept_by_key(spark, counts, ["window_start", "event_type", "user_id"], ["batch"], "update"))
+    return kept.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events", "n_users")
+
+
 # --- column helpers -----------------------------------------------------------
 
 

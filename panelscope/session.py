@@ -61,6 +61,11 @@ def write_scratch(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def last_change(spark: SparkSession, paths: Sequence[str]) -> int:
     """When the newest of some files or folders was written; one file-system call each."""
     conf = spark._jsc.hadoopConfiguration()

@@ -113,6 +113,27 @@ def usage_counts_stream(
     )
 
 
+def usage_users_stream(
+    events: DataFrame, ts: str = "ts", every: str = "1 day", user: str = "user_id", *, late: str
+) -> DataFrame:
+    """Events per time window, type and user, for update mode; ``distinct_users`` counts them.
+
+    State is one number a user and window, dropped ``late`` after the window's end, so
+    counts of users are exact and no user or window is one task's.
+    """
+    return (
+        events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), "event_type", user)
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .select(F.col("w.start").alias("window_start"), "event_type", user, "n_events")
+    )
+
+
+def distinct_users(per_user: DataFrame, user: str = "user_id") -> DataFrame:
+    """Events and distinct users per window and type from the newest rows of ``usage_users_stream``."""
+    return per_user.groupBy("window_start", "event_type").agg(
+        F.sum("n_events").alias("n_events"), F.count(user).alias("n_users"))
+
+
 def append_versions(path: str):
     """A ``foreachBatch`` function that appends the updated rows with their batch number.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions import text
 from panelscope.operators import audit, events
-from panelscope.sources import logs
+from panelscope.sources import keyed, logs
 from panelscope.streaming import events as streams
 
 START = dt.datetime(2024, 1, 1)
@@ -73,8 +73,42 @@ def test_quota_openings_match_the_sequential_form(usage):
     assert {r["event_id"]: (r["window_start_us"], r["accepted"]) for r in got} == want
 
 
+@pytest.mark.parametrize("chunk_points", [0, 100, 1 << 20])
+def test_quota_openings_by_chunks_and_by_doubling(spark, chunk_points):
+    """Sparse users, a dense one, windows across chunks, and times on the borders."""
+    rng, width = random.Random(5), 1000
+    span = events.CHUNK_WINDOWS * width
+    times = {"sparse": [rng.randrange(20 * span) for _ in range(60)], "dense": [rng.randrange(3 * span) for _ in range(3000)],
+             "even": list(range(0, 6 * span, 250)), "borders": [k * span + d for k in range(5) for d in (-width, -1, 0, 1, width, width + 1)],
+             "gaps": [k * 7 * span + d for k in range(4) for d in range(0, 3 * width, 333)], "one": [5], "before": [-5, -1, 0, 3]}
+    rows = [(u, t, t // width) for u, held in times.items() for t in held * 2]
+    cut = spark.createDataFrame(rows, "user_id string, _t long, _b long").repartition(5)
+    want = set()
+    for u, held in times.items():
+        starts, _ = events.quota_windows(np.array(sorted(held)), 1, width)
+        want |= {(u, int(s)) for s in starts}
+    got = [tuple(r) for r in events.window_openings(cut, width, "user_id", chunk_points).select("user_id", "_o").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_chunk_maps_are_short():
+    """Different entries soon lead to the same windows."""
+    rng = np.random.default_rng(1)
+    width, span = 1000, 32_000
+    times = np.sort(rng.choice(span, 300, replace=False))
+    group = np.zeros(300, np.int64)
+    at, last = events.chunk_entries(group, times, width, span)
+    assert len(at) < 12
+    for start in range(0, width, 50):  # the end of the window open at the start
+        now = int(np.searchsorted(times, start, "right"))
+        entry = at[np.searchsorted(times[at], start, "right")]
+        while (after := int(np.searchsorted(times, times[now] + width, "right"))) < 300:
+            now = after
+        assert times[last[np.flatnonzero(at == entry)[0]]] == times[now]
+
+
 def test_quota_jobs_do_not_grow_with_time(spark):
-    """A dense run of 400 windows takes as many doublings as its logarithm."""
+    """A dense run of 400 windows."""
     rows = [(i, 1, START + dt.timedelta(minutes=20 * i), "ask", "A") for i in range(1200)]
     dense = spark.createDataFrame(rows, SCHEMA)
     got = {r["event_id"]: r["accepted"] for r in events.quota_flags(dense, 2, 3600).collect()}
@@ -94,6 +128,30 @@ def test_preferences_upsert(spark):
     assert got == {"A": ["z"], "B": ["y"]}
 
 
+def test_merges_leave_other_buckets_alone(spark, tmp_path):
+    cols = "user_id string, institution string, custom_peers array<string>, updated_at timestamp"
+    path, keys = str(tmp_path / "kept"), ["user_id", "institution"]
+    rows = [(f"u{i}" if i else None, "A", [str(i)], START) for i in range(300)]
+    first = spark.createDataFrame(rows, cols)
+    assert len(keyed.merge_keyed(spark, path, first, keys, ["updated_at"], 16)) == 16
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "kept").rglob("*.parquet")}
+
+    before = files()
+    later = START + dt.timedelta(days=1)
+    changes = [("u5", "A", ["new"], later), ("u7", "A", ["older"], START - dt.timedelta(days=1)), (None, "A", ["none"], later),
+               ("u5", "A", ["newer"], later + dt.timedelta(hours=1)), ("fresh", "B", [], START)]
+    for _ in range(2):  # merged again, nothing changes
+        touched = keyed.merge_keyed(spark, path, spark.createDataFrame(changes, cols), keys, ["updated_at"], 16)
+        got = {(r.user_id, r.institution): r.custom_peers for r in keyed.read_keyed(spark, path, first).collect()}
+        want = {(u, i): p for u, i, p, _ in rows} | {("u5", "A"): ["newer"], (None, "A"): ["none"], ("fresh", "B"): []}
+        assert got == want and 1 <= len(touched) <= 4
+    changed = {p.parent.name for p in set(files().items()) ^ set(before.items()) for p in [p[0]]}
+    assert changed == {f"bucket={b}" for b in touched}
+    assert keyed.merge_keyed(spark, path, first.where("false"), keys, ["updated_at"], 16) == []
+
+
 def ordered_files(spark, rows, folder, n=4):
     """The events as files in time order."""
     rows = sorted(rows, key=lambda r: (r[2], r[0]))
@@ -152,6 +210,20 @@ def test_usage_stream_delivers_all_windows(spark, event_stream):
     assert {(r["window_start"], r["event_type"]): r["n_events"] for r in newest.collect()} == want
 
 
+def test_distinct_users_of_a_stream(spark, event_stream):
+    open_stream, folder = event_stream
+    counts = streams.usage_users_stream(open_stream(), every="1 hour", late="1 hour")
+    counts.writeStream.outputMode("update").foreachBatch(keyed.merge_sink(
+        f"{folder}/users", ["window_start", "event_type", "user_id"], ["batch"], 4)).option(
+        "checkpointLocation", f"{folder}/users-state").trigger(availableNow=True).start().awaitTermination()
+    want = {}
+    for _, user, at, kind, _ in make_events(300):
+        want.setdefault((at.replace(minute=0, second=0, microsecond=0), kind), []).append(user)
+    got = streams.distinct_users(keyed.read_keyed(spark, f"{folder}/users", counts)).collect()
+    assert {(r["window_start"], r["event_type"]): (r["n_events"], r["n_users"]) for r in got} == {
+        k: (len(v), len(set(v))) for k, v in want.items()}
+
+
 def test_usage_log(spark):
     lines = [
         "2026-01-13 22:57:18,223 - User: ann | Question: top 5 | by size", "",

@@ -56,6 +56,30 @@ def test_medians(skewed):
     assert table(plain, "year", "median") == table(runs, "year", "median")
 
 
+@pytest.mark.parametrize("kind", ["ties", "tails", "near", "wide", "few"])
+def test_medians_of_odd_values(spark, kind, monkeypatch):
+    """Ties, values over many powers of ten, values next to each other, and ranges that cannot be parted."""
+    rng = random.Random(3)
+    make = {"ties": lambda: float(rng.choice([1, 1, 1, 2, 3])), "tails": lambda: rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300),
+            "near": lambda: 1.0 + rng.randint(0, 9) * 2.0**-52, "wide": lambda: rng.choice([-1.7e308, 1.7e308, 0.0]),
+            "few": lambda: rng.random()}[kind]
+    rows = [(g if g else None, make() if rng.random() < 0.9 else None) for g in range(7) for _ in range(1 + g * g if kind == "few" else 150)]
+    table_of = spark.createDataFrame(rows, "g int, v double")
+    plain = table_of.where("v is not null").groupBy("g").agg(F.median("v").alias("median"))
+    for ranges in (4, 4096):
+        monkeypatch.setattr(ordering, "RANGES", ranges)
+        assert table(ordering.medians(table_of, "v", ["g"]), "g", "median") == table(plain, "g", "median")
+    whole = ordering.medians(table_of, "v", [])
+    assert table(whole, "median") == table(table_of.agg(F.median("v").alias("median")), "median")
+    assert ordering.medians(table_of.where("false"), "v", ["g"]).count() == 0
+
+
+def test_ranks_in_one_plan(skewed):
+    """Nothing is sorted whole or by group alone; a hot value is one row of its bucket."""
+    plan = ordering.ranked(skewed, "v", ["year"], "r")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "_bucket" in plan
+
+
 def test_previous_values(skewed):
     plain = skewed.withColumn("previous", F.lag("v").over(Window.partitionBy("year").orderBy("inst_id")))
     runs = ordering.previous_values(skewed, "v", ["year"], ["inst_id"])

@@ -63,6 +63,33 @@ def test_knn_with_copies(crowd, leaf_size, visitors):
     assert got == brute_knn(features, 6)
 
 
+@pytest.mark.parametrize("leaf_size", [1024, 16])
+def test_served_peers_equal_the_edge_table(spark, crowd, tmp_path, leaf_size):
+    features = knn.feature_rows(crowd)
+    every = as_lists(knn.knn_edges(features, 6, leaf_size=leaf_size))
+    knn.PeerModel.fit(features, str(tmp_path), 6, leaf_size=leaf_size)
+    model = knn.PeerModel(spark, str(tmp_path))  # from the stored files alone
+    some = features.where("inst_id < '0090'")
+    assert as_lists(model.peers(some, visitors=20)) == {i: v for i, v in every.items() if i < "0090"}
+    assert {len(v) for v in as_lists(model.peers(some, 2)).values()} == {2}
+    # vectors that were not fitted, far from all and equal to some
+    new = [inst_row("n1", 2021, 12, [1, 1, 1, 1, 1, 7]), inst_row("n2", 2021, 507, [100, 100, 100, 100, 100, 7]),
+           inst_row("n3", 2021, 10**12, [10**12, None, 0, 0, 0, 7])]
+    asked = spark.createDataFrame(new, COLUMNS)
+    got = as_lists(model.peers(asked))
+    rows = sorted(features.select("inst_id", *schema.METRICS).collect())
+    logs = np.log1p(np.array([r[1:] for r in rows], dtype=float))
+    sd = np.where(logs.std(axis=0) > 0, logs.std(axis=0), 1)
+    for r in new:
+        v = (np.log1p(np.array([x or 0 for x in r[5:]], dtype=float)) - logs.mean(axis=0)) / sd
+        d = np.sqrt((((logs - logs.mean(axis=0)) / sd - v) ** 2).sum(axis=1))
+        order = sorted(range(len(rows)), key=lambda j: (round(d[j], 9), rows[j][0]))[:6]
+        assert got[r[0]] == [rows[j][0] for j in order]
+    with pytest.raises(ValueError):
+        model.peers(some, 7)
+    assert model.peers(asked.where("false")).count() == 0
+
+
 def test_knn_tied_leaf_is_cut_into_blocks(spark):
     """Vectors that no cut can separate still give bounded blocks and right results."""
     rows = [inst_row(f"{i:04d}", 2020, 1000 + i // 100, [1000 + i // 100, 0, 0, 0, 0, i % 2]) for i in range(400)]
