@@ -157,9 +157,11 @@ def features(part: Texts, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, value): words, word endings and repetitions, at unit length per text."""
     starts, ends, doc, hashes = spans
     data = part.data
-    ending = data[ends - 1].astype(U) << U(8) | data[np.maximum(ends - 2, 0)].astype(U)
+    # nothing beyond a word, where another text may be
+    more = ends - starts > 1
+    ending = data[ends - 1].astype(U) << U(8) | np.where(more, data[np.maximum(ends - 2, 0)], 0).astype(U)
     head = ((data[starts] - np.uint8(65)) < 26).astype(U) + U(2) * (
-        (data[np.minimum(starts + 1, len(data) - 1)] - np.uint8(65)) < 26).astype(U)
+        more & ((data[np.minimum(starts + 1, len(data) - 1)] - np.uint8(65)) < 26)).astype(U)
     again = np.zeros(len(doc), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     seen = [hashes, mix(ending + U(1 << 32)), mix(head + U(1 << 40)), mix(again.astype(U) + U(1 << 48))]
