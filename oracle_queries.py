@@ -689,6 +689,11 @@ def oracle_sql() -> dict[str, str]:
     sql["E2_dedup_stream"], sql["E3_quota_stream"] = sql["E2_dedup_consecutive"], sql["E3_quota_flags"]
     sql["E3_quota_hot_user"] = sql["E3_quota_flags"].replace("86400000000", "3600000000").replace("<= 2 AS", "<= 3 AS").replace(
         "SELECT event_id, user_id, epoch_us(ts)", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN -1 ELSE user_id END AS user_id, epoch_us(ts)")
+    sql["E3_quota_hot_stream"] = sql["E3_quota_hot_user"]
+    sql["E2_dedup_hot_stream"] = events("""
+        SELECT event_id, user_id, institution FROM hot WHERE institution IS NOT NULL
+        QUALIFY lag(institution) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM institution""",
+        "hot AS (SELECT event_id, ts, institution, CASE WHEN event_id % 3 > 0 THEN -1 ELSE user_id END AS user_id FROM us)")
     sql["E4_latest_preferences"] = supplier("""
         SELECT user_id, institution, array_to_string(custom_peers, '|') AS custom_peers, updated_at, change_id FROM prefs""",
         ELIGIBLE, PREFERENCES)

@@ -79,7 +79,7 @@ def quota_windows(
 
 def quota_flags(
     requests: DataFrame, limit: int = dims.QUOTA_LIMIT, window_seconds: int = dims.QUOTA_SECONDS,
-    user: str = "user_id", ts: str = "ts", key: str = "event_id",
+    user: str = "user_id", ts: str = "ts", key: str = "event_id", opened: DataFrame | None = None,
 ) -> DataFrame:
     """Flag each request as accepted or rejected by a per-user quota.
 
@@ -88,24 +88,39 @@ def quota_flags(
     time chunks (see ``window_openings``); a request's window is that of its time
     bucket or one of the two before, and of each window only the first ``limit``
     requests are ranked. So users and buckets of any size are spread.
-    Requests without a user are left out.
+    Requests without a user are left out. ``opened`` (user, opened, used) are windows
+    open before the first request, one a user at most, and the requests they have had;
+    requests from before such a window count as made at its opening.
     """
     width = window_seconds * 1_000_000
-    cut = write_scratch(requests.where(F.col(user).isNotNull()).select(
-        user, key, ts, micros(ts).alias("_t"), time_bucket(ts, window_seconds).alias("_b")), "quota")
-    opened = window_openings(cut, width, user)
+    real = requests.where(F.col(user).isNotNull()).select(user, key, ts, micros(ts).alias("_t"))
+    if opened is not None:
+        real = real.join(opened.select(user, F.col("opened").alias("_was")), user, "left").withColumn(
+            "_t", F.greatest("_t", "_was"))
+    cut = write_scratch(real.withColumn("_b", F.floor(F.col("_t") / width).cast("long")), "quota")
+    if opened is None:
+        openings = window_openings(cut, width, user)
+    else:
+        later = cut.where(F.col("_was").isNull() | (F.col("_t") > F.col("_was") + width))
+        openings = window_openings(later, width, user).select(user, "_o").union(
+            opened.select(user, F.col("opened").alias("_o")))
     home = F.floor(F.col("_o") / width).cast("long")
     # a window ends in the bucket after the one it opens in; the next opens one later at most
-    reach = opened.select(user, "_o", F.explode(F.sequence(home, home + 2)).alias("_b")).groupBy(
+    reach = openings.select(user, "_o", F.explode(F.sequence(home, home + 2)).alias("_b")).groupBy(
         user, "_b").agg(F.collect_list("_o").alias("_near"))  # three at most
     placed = write_scratch(cut.join(reach, [user, "_b"]).withColumn(
         "window_start_us", F.array_max(F.filter("_near", lambda o: o <= F.col("_t")))
-    ).drop("_near", "_b"), "quota-windows")
+    ).select(user, key, ts, "_t", "window_start_us"), "quota-windows")
     kept = top_k(placed.select(user, "window_start_us", "_t", key), [user, "window_start_us"],
                  [F.col("_t"), F.col(key)], limit, "_i")
+    if opened is not None:
+        had = opened.select(user, F.col("opened").alias("window_start_us"), "used")
+        kept = kept.join(had, [user, "window_start_us"], "left").where(
+            F.col("_i") <= limit - F.coalesce("used", F.lit(0)))
     last = kept.groupBy(user, "window_start_us").agg(F.max(F.struct("_t", key)).alias("_last"))
-    return placed.join(last, [user, "window_start_us"]).select(
-        key, user, ts, "window_start_us", (F.struct("_t", key) <= F.col("_last")).alias("accepted"))
+    return placed.join(last, [user, "window_start_us"], "left").select(
+        key, user, ts, "window_start_us",
+        F.coalesce(F.struct("_t", key) <= F.col("_last"), F.lit(False)).alias("accepted"))
 
 
 CHUNK_WINDOWS = 32  # widths of a time chunk

@@ -787,6 +787,33 @@ def _(spark, sf):
     return events.quota_flags(busy, limit=3, window_seconds=3600).drop("ts")
 
 
+def _busy(spark: SparkSession, sf: str) -> DataFrame:
+    """All events; one user has two thirds of them."""
+    return derived.usage_events(spark, sf).withColumns({
+        "ts": F.col("ts").cast("timestamp"),
+        "user_id": F.when(F.col("event_id") % 3 > 0, -1).otherwise(F.col("user_id")).cast("long")})
+
+
+def _sunk(spark: SparkSession, stream: DataFrame, sink) -> DataFrame:
+    """Run a stream into a sink that writes a folder for each micro-batch; read what it wrote."""
+    out = scratch_dir(spark, "stream")
+    stream.writeStream.foreachBatch(sink(f"{out}/rows", f"{out}/kept")).option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+@_query("E2_dedup_hot_stream")
+def _(spark, sf):
+    kept = _sunk(spark, _opened(spark, _busy(spark, sf), "ts"), streams.dedup_sink)
+    return kept.select("event_id", "user_id", "institution")
+
+
+@_query("E3_quota_hot_stream")
+def _(spark, sf):
+    return _sunk(spark, _opened(spark, _busy(spark, sf), "ts"),
+                 lambda out, state: streams.quota_sink(out, state, limit=3, window_seconds=3600)).drop("ts")
+
+
 @_query("E4_preferences_upsert")
 def _(spark, sf):
     changes = derived.preferences(spark, sf)

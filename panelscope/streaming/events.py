@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import dims
-from ..operators.events import latest_preferences, micros, quota_windows
+from ..operators.events import dedup_consecutive, latest_preferences, micros, quota_flags, quota_windows
+from ..session import exists, write_scratch
+from ..sources.keyed import merge_keyed
 
 
 def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
@@ -102,6 +104,99 @@ def quota_stream(
     )
 
 
+STATE_BUCKETS = 16  # folders of a state table; constant while a stream lives
+
+
+def _state_before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The state of every key as it was before a micro-batch, which may be run again.
+
+    A row holds its key, what a micro-batch left (``now``), that batch's number and what
+    was there before it (``before``).
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    key, *fields = schema.names
+    now = T.StructType(schema.fields[1:])
+    stored = spark.read.schema(T.StructType([
+        schema.fields[0], T.StructField("now", now), T.StructField("batch", T.LongType()),
+        T.StructField("before", now)])).parquet(path)
+    held = F.when(F.col("batch") < batch_id, F.col("now")).otherwise(F.col("before"))
+    return stored.select(key, held.alias("h")).where(F.col("h").isNotNull()).select(key, "h.*")
+
+
+def _keep_state(spark: SparkSession, path: str, new: DataFrame, known: DataFrame, batch_id: int) -> None:
+    """Store ``new``, of the keys a micro-batch touched, beside what was ``known`` of them."""
+    key, *fields = new.columns
+    before = known.select(key, F.struct(*fields).alias("before"))
+    rows = new.select(key, F.struct(*fields).alias("now"), F.lit(batch_id).cast("long").alias("batch")).join(
+        before, key, "left")
+    merge_keyed(spark, path, rows, [key], ["batch"], STATE_BUCKETS)
+
+
+def dedup_sink(
+    out: str, state: str, user: str = "user_id", ts: str = "ts", key: str = "event_id",
+    value: str = "institution", idle: str | None = None,
+):
+    """A ``foreachBatch`` function: changes of the viewed value per user, appended below ``out``.
+
+    Each micro-batch runs the batch operator, whose tasks are bounded whatever share of
+    the views one user has; the last view of every user is kept by key in ``state``. A
+    micro-batch that is run again starts from the state before it and writes its own
+    folder again. Late views are ordered within their micro-batch. With ``idle``, a
+    first view longer than that after the user's last one counts as a change.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        real = write_scratch(batch.where(F.col(value).isNotNull() & (F.col(value) != "")).select(
+            key, user, ts, value), "views")
+        fields = {f.name: f for f in real.schema.fields}
+        known = write_scratch(_state_before(
+            spark, state, T.StructType([fields[user], fields[value], fields[ts]]), batch_id), "known-views")
+        last = known
+        if idle is not None:
+            first = real.groupBy(user).agg(F.min(ts).alias("_first"))
+            gap = F.expr(f"INTERVAL {int(pd.Timedelta(idle).total_seconds())} SECONDS")
+            last = known.join(first, user).where(F.col("_first") <= F.col(ts) + gap).drop("_first")
+        # what was seen last comes before everything
+        seen = last.select(F.lit(None).cast(fields[key].dataType).alias(key), user,
+                           F.lit("0001-01-01").cast("timestamp").cast(fields[ts].dataType).alias(ts), value)
+        changed = dedup_consecutive(real.unionByName(seen), user, ts, key, value).where(F.col(key).isNotNull())
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        newest = real.groupBy(user).agg(F.max_by(F.struct(value, ts), F.struct(ts, key)).alias("v"))
+        _keep_state(spark, state, newest.select(user, "v.*"), known, batch_id)
+
+    return run
+
+
+def quota_sink(
+    out: str, state: str, limit: int = dims.QUOTA_LIMIT, window_seconds: int = dims.QUOTA_SECONDS,
+    user: str = "user_id", ts: str = "ts", key: str = "event_id",
+):
+    """A ``foreachBatch`` function: quota flags, appended below ``out``.
+
+    As ``dedup_sink``; state per user is the open window and its requests so far.
+    Requests from before the open window count as made at its opening.
+    """
+    kinds = [T.StructField("opened", T.LongType()), T.StructField("used", T.LongType())]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        asked = write_scratch(batch.where(F.col(user).isNotNull()).select(key, user, ts), "requests")
+        known = write_scratch(_state_before(
+            spark, state, T.StructType([asked.schema[user], *kinds]), batch_id), "known-windows")
+        quota_flags(asked, limit, window_seconds, user, ts, key, known).write.mode("overwrite").parquet(
+            f"{out}/batch={batch_id}")
+        flags = spark.read.parquet(f"{out}/batch={batch_id}")
+        counts = flags.groupBy(user, F.col("window_start_us").alias("opened")).agg(F.count(F.lit(1)).alias("_n"))
+        newest = counts.groupBy(user).agg(F.max(F.struct("opened", "_n")).alias("v")).select(user, "v.*")
+        was = known.select(user, F.col("opened").alias("_was"), F.col("used").alias("_used"))
+        more = F.when(F.col("opened") == F.col("_was"), F.col("_used")).otherwise(F.lit(0))
+        _keep_state(spark, state, newest.join(was, user, "left").select(
+            user, "opened", (F.col("_n") + F.coalesce(more, F.lit(0))).alias("used")), known, batch_id)
+
+    return run
+
+
 def usage_counts_stream(
     events: DataFrame, ts: str = "ts", every: str = "1 day", *, late: str
 ) -> DataFrame:

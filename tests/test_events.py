@@ -197,6 +197,51 @@ def test_idle_users_are_forgotten_only_if_asked(spark, event_stream):
     assert {r["event_id"]: r["accepted"] for r in got.collect()} == brute_quota(make_events(300), 3, 3600)
 
 
+def hot_rows(n=600):
+    """One user has two thirds of all events; some are later than those of the next file."""
+    return [(i, -1 if i % 3 else user, at, kind, value) for i, user, at, kind, value in make_events(n, 9)]
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_hot_user_in_a_stream_equals_batch(spark, tmp_path, again):
+    rows = hot_rows()
+    folder = str(tmp_path)
+    ordered_files(spark, rows, f"{folder}/in", 5)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for name, make in (("quota", lambda o, s: streams.quota_sink(o, s, 3, 3600)), ("dedup", streams.dedup_sink)):
+        sink = make(f"{folder}/{name}", f"{folder}/{name}-kept")
+
+        def run(batch, batch_id, sink=sink):
+            sink(batch, batch_id)
+            if again:  # as after a failure behind the last write
+                sink(batch, batch_id)
+
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/{name}-state").trigger(
+            availableNow=True).start().awaitTermination()
+    quota = spark.read.parquet(f"{folder}/quota").collect()
+    assert len(quota) == len(rows) and {r["event_id"]: r["accepted"] for r in quota} == brute_quota(rows, 3, 3600)
+    dedup = [r["event_id"] for r in spark.read.parquet(f"{folder}/dedup").collect()]
+    assert len(dedup) == len(set(dedup)) and set(dedup) == brute_changes(rows)
+
+
+def test_idle_users_and_late_views_of_keyed_streams(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame([(i, 1, START + dt.timedelta(hours=h), "view", v) for i, h, v in rows], SCHEMA)
+
+    out, state = f"{tmp_path}/out", f"{tmp_path}/state"
+    sink = streams.dedup_sink(out, state, idle="5 hours")
+    for n, rows in enumerate([[(1, 0, "A"), (2, 1, "A")], [(3, 6, "A"), (4, 7, "B")], [(5, 13, "B"), (6, 12.5, "B")], []]):
+        sink(batch(*rows), n)
+    assert {r["event_id"] for r in spark.read.parquet(out).collect()} == {1, 4, 6}
+    out, state = f"{tmp_path}/quota", f"{tmp_path}/windows"
+    sink = streams.quota_sink(out, state, 2, 3600)
+    sink(batch((1, 5.0, "A")), 0)
+    sink(batch((2, 4.5, "A"), (3, 5.2, "A"), (4, 6.1, "A")), 1)  # the first is late
+    got = {r["event_id"]: (r["accepted"], r["window_start_us"]) for r in spark.read.parquet(out).collect()}
+    first = got[1][1]
+    assert got[2] == (True, first) and got[3] == (False, first) and got[4][0] and got[4][1] > first
+
+
 def test_usage_stream_delivers_all_windows(spark, event_stream):
     open_stream, folder = event_stream
     counts = streams.usage_counts_stream(open_stream(), every="1 hour", late="1 hour")
