@@ -709,6 +709,10 @@ def oracle_sql() -> dict[str, str]:
     sql["E4_preferences_merged"] = sql["E4_latest_preferences"]
     sql["E4_preferences_upsert"] = sql["E4_preferences_stream"] = sql["E4_latest_preferences"]
     sql["S1_microdata_fields"], sql["S1_microdata_agencies"] = sql["T7_T8_field_expenditures"], sql["T10_agency_funding"]
+    sql["S1_refused_lines"] = supplier(f"""
+        SELECT year, reason, {big('count(*)')} AS n_lines FROM (SELECT DISTINCT year FROM inst), supplier
+            JOIN (VALUES (0, 'columns'), (1, 'columns'), (2, 'data: not a double'), (3, 'inst_id: missing'), (3, 'year: not an int')) r(k, reason)
+              ON s_suppkey % 4 = k GROUP BY year, reason""")
     fields_list = ", ".join(f"({i}, '{c}', '{_suggest(c)}')" for i, c in enumerate(LOGGED_FIELDS) if c not in FIELD_CODES)
     all_agencies = ", ".join(sorted(a for a, _ in AGENCIES))
     sql["E6_unknown_codes"] = events(f"""

@@ -104,6 +104,26 @@ def survey_files(spark: SparkSession, sf_dir: str) -> list[str]:
     return paths
 
 
+def malformed_survey_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The survey files and, in each, a bad line for every supplier: short, long, no number, or no id and year."""
+    paths = survey_files(spark, sf_dir)
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    number, names = F.col("s_suppkey").cast("string"), schema.MICRODATA.names
+    for path in paths:
+        def cells(inst=number, year=path.split("survey_")[1][:4], data="1.5"):
+            given = {"inst_id": inst, "year": F.lit(year), "data": F.lit(data)}
+            return F.concat_ws(",", *[given.get(c, F.lit("x")) for c in names])
+
+        line = (F.when(F.col("s_suppkey") % 4 == 0, F.concat(number, F.lit(",only")))
+                .when(F.col("s_suppkey") % 4 == 1, F.concat(cells(), F.lit(",one,more")))
+                .when(F.col("s_suppkey") % 4 == 2, cells(data="n/a"))
+                .otherwise(cells(inst=F.lit(""), year="MMXX")))
+        # the lines as they are: nothing is quoted, as nothing holds the separator
+        suppliers.select(line.alias(",".join(f" {c} " for c in names))).write.mode("append").options(
+            header=True, encoding="ISO-8859-1", sep="\x01", quote="").csv(path)
+    return paths
+
+
 def with_orphans(p: panel.Panel) -> panel.Panel:
     """The panel and, for every seventh entity, field and agency rows of one that has no totals."""
     def copies(df: DataFrame) -> DataFrame:

@@ -21,9 +21,12 @@ def load_microdata(
     """Read the yearly files, write the three panel tables and return them.
 
     The text is parsed once; the three tables then read the columns and
-    questions they need from a columnar copy. Existing tables are replaced.
+    questions they need from a columnar copy. Existing tables are replaced. Lines that
+    are not as they should be are also written, with reasons, to ``refused_lines``.
     """
-    raw = write_scratch(microdata.read_microdata(spark, paths), "microdata")
+    checked = write_scratch(microdata.read_checked(spark, paths), "microdata")
+    microdata.refused_lines(checked).write.mode("overwrite").parquet(f"{out_dir}/refused_lines")
+    raw = checked.drop("line", "refused")
     known = dims.taxonomy(spark) if taxonomy is None else taxonomy
     built = {
         "institutions": etl.institutions(raw),

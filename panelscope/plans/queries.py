@@ -93,6 +93,14 @@ def _(spark, sf):
     return _microdata_panel(spark, sf)[0].agencies
 
 
+@_query("S1_refused_lines")
+def _(spark, sf):
+    """How many lines of each file are refused, by reason."""
+    checked = microdata.read_checked(spark, derived.malformed_survey_files(spark, sf))
+    return microdata.refused_lines(checked).groupBy(F.col("file_year").alias("year"), "reason").agg(
+        F.count(F.lit(1)).alias("n_lines"))
+
+
 @_query("S2_survey_years")
 def _(spark, sf):
     return microdata.survey_years(spark, _microdata_panel(spark, sf)[1])

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .. import schema
 
 
+CORRUPT = "_corrupt_line"
+NEEDED = ("inst_id", "year")
 SURVEY_FILE = r"([^/]+\.csv)(/|$)"  # a file, or a folder of one survey's parts
 
 
@@ -51,7 +53,17 @@ def read_microdata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read Latin-1 CSV files; ids stay text, column names are trimmed.
 
     Columns are found by their trimmed name, and files of one header are one scan;
-    ``file_year`` is the year in the file's name.
+    ``file_year`` is the year in the file's name. Values that are no numbers and missing
+    cells are null; ``read_checked`` tells them.
+    """
+    return read_checked(spark, paths).drop("line", "refused")
+
+
+def read_checked(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``read_microdata`` with ``refused``, why a line is not as it should be, and its text in ``line``.
+
+    Reasons are ``columns`` (too few or too many), ``<column>: missing`` for the id and the
+    year, and ``<column>: not a <type>``. Good lines have no reasons and a null ``line``.
     """
     years = survey_years(spark, list(paths))
     twice = [r["year"] for r in years_with_several_files(years).collect()]
@@ -68,14 +80,31 @@ def read_microdata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def _read_files(
     spark: SparkSession, header: Sequence[str], paths: list[str], options: dict[str, str]
 ) -> DataFrame:
-    as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.options(header=True, **options).schema(as_text).csv(paths)
+    as_text = T.StructType([T.StructField(c, T.StringType()) for c in (*header, CORRUPT)])
+    raw = spark.read.options(header=True, columnNameOfCorruptRecord=CORRUPT, **options).schema(as_text).csv(paths)
     year = file_year(survey_file(F.col("_metadata.file_path"))).cast("int")
     raw = raw.select("*", year.alias("file_year"))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
+    whole = F.col(CORRUPT).isNull()
+    reasons = [F.when(~whole, F.lit("columns"))]
+    for f in schema.MICRODATA:
+        text, kind = F.trim(F.col(f"`{f.name}`")), f.dataType.simpleString()
+        if f.name in NEEDED:
+            reasons.append(F.when(whole & (F.coalesce(text, F.lit("")) == ""), F.lit(f"{f.name}: missing")))
+        if not isinstance(f.dataType, T.StringType):
+            bad = (text != "") & F.expr(f"try_cast(`{f.name}` AS {kind})").isNull()
+            reasons.append(F.when(whole & bad, F.lit(f"{f.name}: not a{'n' if kind[0] in 'aeiou' else ''} {kind}")))
+    refused = F.array_compact(F.array(*reasons))
+    cells = [F.coalesce(F.col(f"`{c.strip()}`"), F.lit("")) for c in header]
+    line = F.when(F.size(refused) > 0, F.coalesce(F.col(CORRUPT), F.concat_ws(",", *cells)))
     typed = [
         F.col(f.name) if isinstance(f.dataType, T.StringType)
         else F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
         for f in schema.MICRODATA
     ]
-    return raw.select(*typed, "file_year")
+    return raw.select(*typed, "file_year", line.alias("line"), refused.alias("refused"))
+
+
+def refused_lines(checked: DataFrame) -> DataFrame:
+    """One row per refused line and reason of what ``read_checked`` read."""
+    return checked.where(F.size("refused") > 0).select("file_year", "line", F.explode("refused").alias("reason"))

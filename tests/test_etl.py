@@ -133,6 +133,23 @@ def test_checks(spark):
     assert checks.duplicate_keys(inst.union(inst.limit(1)), "institutions").count() == 1
 
 
+def test_refused_lines(spark, tmp_path):
+    names = [f.name for f in schema.MICRODATA]
+    good = "1,Ann,c,TX,2015,01.a,q,r,Total,1.5"
+    lines = [good, "2,short", good + ",more", good.replace("1.5", "n/a"), good.replace("2015", "MMXV").replace("1.5", "x"),
+             ",Ann,c,TX,,01.a,q,r,Total,", '"3","a, b",c,TX,2015,01.a,q,r,Total,']
+    (tmp_path / "s_2015.csv").write_text("\n".join([" , ".join(names), *lines]) + "\n", encoding="latin-1")
+    checked = microdata.read_checked(spark, [str(tmp_path / "s_2015.csv")])
+    got = sorted((r["line"], r["reason"], r["file_year"]) for r in microdata.refused_lines(checked).collect())
+    assert got == sorted([
+        ("2,short", "columns", 2015), (good + ",more", "columns", 2015), (lines[3], "data: not a double", 2015),
+        (lines[4], "data: not a double", 2015), (lines[4], "year: not an int", 2015),
+        (lines[5], "inst_id: missing", 2015), (lines[5], "year: missing", 2015)])
+    assert checked.where("line is null").count() == 2 and checked.count() == 7
+    plain = microdata.read_microdata(spark, [str(tmp_path / "s_2015.csv")])
+    assert plain.columns == [*names, "file_year"] and plain.count() == 7
+
+
 def test_load_microdata(spark, tmp_path):
     """Files in, three stored tables out; the rules of the panel hold."""
     total = [line("000007", 2015, "01.a", "S", "Federal government", "Total", "7", name="Plain College"),
