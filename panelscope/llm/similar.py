@@ -3,9 +3,10 @@
 A node is the 64-bit fingerprint of a text; texts with one fingerprint are one
 node. Nodes meet in buckets (equal band keys). Every bucket links its members to
 its least one; links are verified on the whole sets, and components are formed.
-Buckets that still hold several components are searched block by block, the
-least member with the others, as members that one Arrow batch held have been
-compared with that batch's center only. Neither step writes all pairs of a bucket.
+Buckets that still hold several components are searched block by block, blocks of
+one component not with each other. The least member is searched with the others, as
+members that one Arrow batch held have been compared with that batch's center only.
+Neither step writes all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
@@ -274,9 +275,21 @@ def open_links(
     open_keys = told.groupBy("_n", "_sum").agg(F.min("key").alias("key")).select("key")
     members = rest.drop("center").join(open_keys, "key", "left_semi")
     members = write_scratch(members, "members")
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
-    blocks = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "_n").cast("int"))
-    spread = blocks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
+    # a component with more members than a block has blocks of its own, which need not meet each other;
+    # the small ones of a bucket share blocks. So a large group of copies with a few others costs a row each
+    sizes = members.groupBy("key", "root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_own"),
+                                               F.count(F.lit(1)).alias("_n"))
+    large = F.col("_own") > 1
+    shared = F.sum(F.when(~large, F.col("_n"))).over(Window.partitionBy("key"))
+    placed = sizes.withColumn("_shared", F.ceil(F.coalesce(shared, F.lit(0)) / BLOCK).cast("int"))
+    own = F.when(large, F.transform(F.sequence(F.lit(0), F.col("_own") - 1), lambda i: F.xxhash64("root", i))).otherwise(
+        F.array(F.pmod(F.xxhash64("root"), F.greatest("_shared", F.lit(1))).cast("long")))
+    placed = write_scratch(placed.select("key", "root", large.alias("_large"), own.alias("_blocks")), "blocks")
+    every = placed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_blocks"))).alias("_every"))
+    blocks = members.join(placed, ["key", "root"]).join(every, "key")
+    home = F.get("_blocks", F.pmod(F.xxhash64("node"), F.size("_blocks")).cast("int"))
+    others = F.when(F.col("_large"), F.array_except("_every", "_blocks")).otherwise(F.col("_every"))
+    spread = blocks.select("key", "node", "root", home.alias("block"), F.explode(others).alias("_j")).select(
         "key", F.least("block", "_j").alias("low"), F.greatest("block", "_j").alias("high"),
         "node", "root", "block")
     group = ["key", "low", "high"]  # of two blocks at most

@@ -192,6 +192,32 @@ def test_batches_of_one_bucket_against_brute_force(spark, at_once):
         assert [[root[i] == root[j] for j in root] for i in root] == [[a == b for b in class_of] for a in class_of]
 
 
+@pytest.mark.parametrize("block", [2, 5, 256])
+def test_open_buckets_with_large_and_small_components(spark, monkeypatch, block):
+    """Blocks of one component do not meet; all links across components are found, and rows stay few."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(4)
+    base = [[str(rng.random()) for _ in range(150)] for _ in range(5)]
+    listed = [w[:i] + ["x"] + w[i + 1:] for w, n in zip(base, (20, 9, 4, 2, 1)) for i in rng.sample(range(150), n)]
+    texts = _members(spark, ["center of them"] + [" ".join(x) for x in listed])
+    n = len(listed) + 1
+    pairs = spark.createDataFrame([(7, 0, i) for i in range(1, n)], "key long, a long, b long")
+    # half of the first group is one component already
+    roots = spark.createDataFrame([(i, 1) for i in range(1, 11)], "node long, root long")
+    counted = []
+    deal = type(texts).repartition
+    monkeypatch.setattr(type(texts), "repartition", lambda self, *a: counted.append(self.count()) or deal(self, *a))
+    more = similar.open_links(pairs, roots, texts, neardup.document_items, 0.8).collect()
+    union = brute.Union(n)
+    for i in range(2, 11):
+        union.join(1, i)
+    for r in more:
+        union.join(r.a, r.b)
+    want = brute.classes([brute.word_shingles("center of them")] + [brute.word_shingles(" ".join(x)) for x in listed])
+    assert [[union.find(i) == union.find(j) for j in range(n)] for i in range(n)] == [[a == b for b in want] for a in want]
+    assert counted[-1] <= n * (2 + n // block)
+
+
 def test_blocks_find_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 2)
     test_links_between_members_that_differ_from_the_least(spark)
