@@ -81,7 +81,9 @@ def _read_files(
     spark: SparkSession, header: Sequence[str], paths: list[str], options: dict[str, str]
 ) -> DataFrame:
     as_text = T.StructType([T.StructField(c, T.StringType()) for c in (*header, CORRUPT)])
-    raw = spark.read.options(header=True, columnNameOfCorruptRecord=CORRUPT, **options).schema(as_text).csv(paths)
+    # lines are judged whole, whatever columns are read of them
+    raw = spark.read.options(header=True, columnNameOfCorruptRecord=CORRUPT, columnPruning=False, **options).schema(
+        as_text).csv(paths)
     year = file_year(survey_file(F.col("_metadata.file_path"))).cast("int")
     raw = raw.select("*", year.alias("file_year"))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
