@@ -250,6 +250,31 @@ def _search(items_of: ItemsOf, threshold: float):
     return search
 
 
+def _spread(members: DataFrame) -> DataFrame:
+    """Members of buckets of several blocks, once for each pair of blocks that must meet.
+
+    A component with more members than a block has blocks of its own, which need not
+    meet each other; the small ones of a bucket share blocks. So a large component
+    beside a few others costs a row or two a member.
+    """
+    members = write_scratch(members, "crowded-members")
+    sizes = members.groupBy("key", "root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_own"),
+                                               F.count(F.lit(1)).alias("_n"))
+    large = F.col("_own") > 1
+    shared = F.sum(F.when(~large, F.col("_n"))).over(Window.partitionBy("key"))
+    placed = sizes.withColumn("_shared", F.ceil(F.coalesce(shared, F.lit(0)) / BLOCK).cast("int"))
+    own = F.when(large, F.transform(F.sequence(F.lit(0), F.col("_own") - 1), lambda i: F.xxhash64("root", i))).otherwise(
+        F.array(F.pmod(F.xxhash64("root"), F.greatest("_shared", F.lit(1))).cast("long")))
+    placed = write_scratch(placed.select("key", "root", large.alias("_large"), own.alias("_blocks")), "blocks")
+    every = placed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_blocks"))).alias("_every"))
+    blocks = members.join(placed, ["key", "root"]).join(every, "key")
+    home = F.get("_blocks", F.pmod(F.xxhash64("node"), F.size("_blocks")).cast("int"))
+    others = F.when(F.col("_large"), F.array_except("_every", "_blocks")).otherwise(F.col("_every"))
+    return blocks.select("key", "node", "root", home.alias("block"), F.explode(others).alias("_j")).select(
+        "key", F.least("block", "_j").alias("low"), F.greatest("block", "_j").alias("high"),
+        "node", "root", "block")
+
+
 def open_links(
     pairs: DataFrame, roots: DataFrame, texts: DataFrame, items_of: ItemsOf, threshold: float
 ) -> DataFrame:
@@ -275,23 +300,13 @@ def open_links(
     open_keys = told.groupBy("_n", "_sum").agg(F.min("key").alias("key")).select("key")
     members = rest.drop("center").join(open_keys, "key", "left_semi")
     members = write_scratch(members, "members")
-    # a component with more members than a block has blocks of its own, which need not meet each other;
-    # the small ones of a bucket share blocks. So a large group of copies with a few others costs a row each
-    sizes = members.groupBy("key", "root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_own"),
-                                               F.count(F.lit(1)).alias("_n"))
-    large = F.col("_own") > 1
-    shared = F.sum(F.when(~large, F.col("_n"))).over(Window.partitionBy("key"))
-    placed = sizes.withColumn("_shared", F.ceil(F.coalesce(shared, F.lit(0)) / BLOCK).cast("int"))
-    own = F.when(large, F.transform(F.sequence(F.lit(0), F.col("_own") - 1), lambda i: F.xxhash64("root", i))).otherwise(
-        F.array(F.pmod(F.xxhash64("root"), F.greatest("_shared", F.lit(1))).cast("long")))
-    placed = write_scratch(placed.select("key", "root", large.alias("_large"), own.alias("_blocks")), "blocks")
-    every = placed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_blocks"))).alias("_every"))
-    blocks = members.join(placed, ["key", "root"]).join(every, "key")
-    home = F.get("_blocks", F.pmod(F.xxhash64("node"), F.size("_blocks")).cast("int"))
-    others = F.when(F.col("_large"), F.array_except("_every", "_blocks")).otherwise(F.col("_every"))
-    spread = blocks.select("key", "node", "root", home.alias("block"), F.explode(others).alias("_j")).select(
-        "key", F.least("block", "_j").alias("low"), F.greatest("block", "_j").alias("high"),
-        "node", "root", "block")
+    crowded = write_scratch(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > BLOCK).select("key"), "crowded")
+    zero = F.lit(0).cast("long")
+    spread = small_join(members, crowded, "key", "left_anti").select(
+        "key", zero.alias("low"), zero.alias("high"), "node", "root", zero.alias("block"))
+    if not crowded.isEmpty():
+        spread = spread.union(_spread(small_join(members, crowded, "key", "left_semi")))
     group = ["key", "low", "high"]  # of two blocks at most
     dealt = spread.join(texts, "node").repartition(*group).sortWithinPartitions(*group)
     return dealt.select(*group, "node", "root", "block", "text").mapInArrow(
