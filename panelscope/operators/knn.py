@@ -31,6 +31,7 @@ from .common import latest
 
 LEAF_SIZE = 1024
 VISITORS = 65_536
+PAIRS = 1 << 19  # of visitors and neighbours that one task holds of a block
 SLICE_ROWS = 512
 MIN_DEPTH, MAX_DEPTH = 3, 16
 SAMPLE_ROWS = 100_000
@@ -267,8 +268,9 @@ def _planted(vectors: DataFrame, dims: int, leaf_size: int) -> tuple[Tree, DataF
 def _merged(visits: DataFrame, blocks: DataFrame, k: int, dims: int, visitors: int) -> DataFrame:
     """(rep, near) of all visitors from the blocks they visit; ``visits`` is stored."""
     # a block's visitors and a copy of the block meet in one task; a crowded
-    # block is copied to several, so both sides stay bounded
-    parts = write_scratch(_parts(visits, visitors), "knn-parts")
+    # block is copied to several, so both sides and what is found stay bounded
+    most = max(1, min(visitors, PAIRS // (k + 1)))
+    parts = write_scratch(_parts(visits, most), "knn-parts")
     n_parts = F.coalesce("parts", F.lit(1))
     asking = visits.join(parts, "block", "left").select(
         "block", F.pmod(F.xxhash64("rep"), n_parts).cast("int").alias("part"), "rep", "z", "radius"

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelscope import schema
 from panelscope.operators import knn, peers
@@ -208,3 +209,16 @@ def test_effective_edges(spark):
     got = sorted(tuple(r) for r in peers.effective_edges(prefs, inst, benchmark).collect())
     # n is new, so not on the picker's list; u2 named only the target itself
     assert got == [("u1", "a", "b", "custom"), ("u2", "a", "c", "benchmark"), ("u4", "b", "a", "benchmark")]
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """More neighbours make smaller parts of a crowded block, with the same edges."""
+    rows = spark.range(600).select(
+        F.format_string("%05d", "id").alias("inst_id"),
+        *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).alias(m) for i, m in enumerate(schema.METRICS)])
+    whole = sorted(map(tuple, knn.knn_edges(rows, 50).collect()))
+    seen, parts = [], knn._parts
+    monkeypatch.setattr(knn, "PAIRS", 5100)
+    monkeypatch.setattr(knn, "_parts", lambda visits, most: seen.append(most) or parts(visits, most))
+    assert sorted(map(tuple, knn.knn_edges(rows, 50).collect())) == whole
+    assert seen == [100]
