@@ -105,14 +105,18 @@ def _agency_rows(wide: DataFrame) -> DataFrame:
 
 
 def _field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-field rows and, as their roll-up, parent rows."""
+    """Sub-field rows and, as their roll-up, parent rows.
+
+    One shuffle by supplier, year and type serves both levels and the writing.
+    """
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    sub = (
+    placed = (
         shipments(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_suppkey", "year", "p_type", "p_brand")
-        .agg(F.sum("cents").cast("long").alias("total"), _sum_where(F.col("src") == "AF", "federal"))
+        .select("l_suppkey", "year", "p_type", "p_brand", "src", "cents")
+        .repartition("l_suppkey", "year", "p_type")
     )
-    # both levels read the shuffle of ``sub``, which Spark runs once
+    sub = placed.groupBy("l_suppkey", "year", "p_type", "p_brand").agg(
+        F.sum("cents").cast("long").alias("total"), _sum_where(F.col("src") == "AF", "federal"))
     parent = sub.groupBy("l_suppkey", "year", "p_type").agg(
         F.sum("total").alias("total"), F.sum("federal").alias("federal")
     )
@@ -161,7 +165,7 @@ def _customer_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_supplier_panel(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Write the supplier panel; one scan feeds two tables, a second the fields."""
     tables.write_table(_supplier_years(spark, sf_dir), f"{out_dir}/supplier_years")
-    tables.write_table(_field_rows(spark, sf_dir), f"{out_dir}/field_expenditures")
+    tables.write_table(_field_rows(spark, sf_dir), f"{out_dir}/field_expenditures", even=True)
 
 
 def build_customer_panel(spark: SparkSession, sf_dir: str, out_dir: str) -> None:

@@ -9,16 +9,15 @@ from pyspark.sql import types as T
 from .microdata import by_header
 
 
-def write_table(df: DataFrame, path: str, partition: str = "year", sort: str = "inst_id") -> None:
+def write_table(df: DataFrame, path: str, partition: str = "year", sort: str = "inst_id", even: bool = False) -> None:
     """Full refresh of a table: replace it, one folder per year.
 
     Rebalancing lets adaptive execution merge small and split large outputs;
-    rows sorted by entity make point lookups skip row groups.
+    rows sorted by entity make point lookups skip row groups. ``even`` rows come from a
+    shuffle by keys that has done so, and are written without another one.
     """
-    (
-        df.hint("rebalance", F.col(partition)).sortWithinPartitions(partition, sort)
-        .write.mode("overwrite").partitionBy(partition).parquet(path)
-    )
+    placed = df if even else df.hint("rebalance", F.col(partition))
+    placed.sortWithinPartitions(partition, sort).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, table_schema: T.StructType | None = None) -> DataFrame:

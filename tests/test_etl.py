@@ -63,6 +63,17 @@ def test_two_files_for_a_year_are_refused(spark, tmp_path):
         microdata.read_microdata(spark, [str(tmp_path / n) for n in ("a_2015.csv", "b_2015.csv")])
 
 
+def test_one_shuffle_for_both_levels(spark, sf_small, tmp_path):
+    """Sub-fields, parents and the written table read one shuffle by supplier, year and type."""
+    plan = panel._field_rows(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    by = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines()
+          if "Exchange hashpartitioning(" in line]
+    assert by and all("p_brand" not in b for b in by)
+    assert {b.count(",") for b in by if "l_suppkey" in b} == {3}  # three keys and the number of partitions
+    stored = tables.read_table(spark, panel._once(spark, sf_small, "suppliers", panel.build_supplier_panel) + "/field_expenditures")
+    assert stored.select(schema.FIELDS.names).exceptAll(panel._field_rows(spark, sf_small).select(schema.FIELDS.names)).isEmpty()
+
+
 def test_institutions(micro):
     rows = {r["inst_id"]: r.asDict() for r in etl.institutions(micro).collect()}
     assert rows["003594"]["name"] == "The Ohio Université"
