@@ -61,14 +61,15 @@ def field_expenditures(micro: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Federal and nonfederal money per field.
 
     One aggregation over both questions gives the same rows as a full outer
-    join of the two: a field in only one of them has 0 in the other.
+    join of the two: a field in only one of them has 0 in the other. Labels are
+    summed up first, so only the sums carry what the taxonomy says of them.
     """
-    sums = _field_cells(micro).join(taxonomy, "field_name").groupBy(
-        "inst_id", "year", "field_code", "parent_field", "is_parent", "field_name"
-    ).agg(
+    sums = _field_cells(micro).groupBy("inst_id", "year", "field_name").agg(
         dollars(F.max("federal")).alias("federal"), dollars(F.max("nonfederal")).alias("nonfederal")
     )
-    return sums.withColumn("total", F.col("federal") + F.col("nonfederal")).select(schema.FIELDS.names)
+    known = taxonomy.select("field_name", "field_code", "parent_field", "is_parent").distinct()
+    return sums.join(known, "field_name").withColumn("total", F.col("federal") + F.col("nonfederal")).select(
+        schema.FIELDS.names)
 
 
 def unmapped_fields(micro: DataFrame, taxonomy: DataFrame) -> DataFrame:

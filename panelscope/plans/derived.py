@@ -73,7 +73,7 @@ def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label, code and parent of every part type and type-and-brand."""
+    """Label, code and parent of every part type and type-and-brand; stored, so that its size is known to joins."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_type", "p_brand").distinct()
     code = F.lower("p_type")
     levels = F.array(
@@ -83,19 +83,21 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.concat(code, F.lit("_"), F.lower(F.replace("p_brand", F.lit("Brand#"), F.lit("b")))).alias("field_code"),
                  code.alias("parent_field"), F.lit(0).alias("is_parent")),
     )
-    return part.select(F.inline(levels)).distinct()
+    return write_scratch(part.select(F.inline(levels)).distinct(), "taxonomy")
 
 
 def survey_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The microdata as one Latin-1 CSV per year: padded header, tabs behind labels, accents."""
+    """The microdata as one packed Latin-1 CSV per year: padded header, tabs behind labels, accents."""
     folder = scratch_dir(spark, "surveys")
-    rows = write_scratch(microdata(spark, sf_dir).withColumns({
+    rows = microdata(spark, sf_dir).withColumns({
         "inst_name_long": F.concat(F.lit("Université "), "inst_name_long"),
         "row": F.when(F.col("questionnaire_no").startswith("01."), F.concat("row", F.lit("\t"))).otherwise(F.col("row")),
-    }), "survey-rows")
-    years = sorted(r[0] for r in rows.select("year").distinct().collect())  # a few dozen at most
+    })
+    p = panel.supplier_panel(spark, sf_dir)
+    # a few dozen at most; the panel is stored by year, so each survey reads only its own rows
+    years = sorted(r[0] for r in p.inst.select("year").union(p.fields.select("year")).distinct().collect())
     keep = {"header": True, "encoding": "ISO-8859-1", "escape": '"', "ignoreLeadingWhiteSpace": False,
-            "ignoreTrailingWhiteSpace": False}
+            "ignoreTrailingWhiteSpace": False, "compression": "gzip"}
     paths = []
     for year in years:
         paths.append(f"{folder}/survey_{year}_v2.csv")

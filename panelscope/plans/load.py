@@ -34,7 +34,7 @@ def load_microdata(
         "agency_funding": etl.agency_funding(raw),
     }
     for name, df in built.items():
-        tables.write_table(df, f"{out_dir}/{name}")
+        tables.write_table(df, f"{out_dir}/{name}", even=True)
     return read_panel(spark, out_dir)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from .. import schema
 
 CORRUPT = "_corrupt_line"
 NEEDED = ("inst_id", "year")
-SURVEY_FILE = r"([^/]+\.csv)(/|$)"  # a file, or a folder of one survey's parts
+# a file, or a folder of one survey's parts; names are tried from their first letter only, as lines are read with it
+SURVEY_FILE = r"(?<![^/])([^/]+\.csv)(\.gz)?(/|$)"
 
 
 def survey_file(path: Column) -> Column:
@@ -28,7 +30,7 @@ def file_year(name: Column) -> Column:
 def survey_years(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files found and the year each is for; only names are listed."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv").load(paths).select("path")
+        "pathGlobFilter", "*.csv{,.gz}").load(paths).select("path")
     name = survey_file(F.col("path"))
     digits = file_year(name)
     return listed.select(name.alias("file"), digits.alias("digits")).where(F.col("digits") != "").select(
@@ -50,7 +52,7 @@ def by_header(spark: SparkSession, paths: Sequence[str], **options) -> dict[tupl
 
 
 def read_microdata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Read Latin-1 CSV files; ids stay text, column names are trimmed.
+    """Read Latin-1 CSV files, packed or not; ids stay text, column names are trimmed.
 
     Columns are found by their trimmed name, and files of one header are one scan;
     ``file_year`` is the year in the file's name. Values that are no numbers and missing
@@ -88,17 +90,20 @@ def _read_files(
     raw = raw.select("*", year.alias("file_year"))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     whole = F.col(CORRUPT).isNull()
-    reasons = [F.when(~whole, F.lit("columns"))]
+    reasons = [("columns", ~whole)]
     for f in schema.MICRODATA:
         text, kind = F.trim(F.col(f"`{f.name}`")), f.dataType.simpleString()
         if f.name in NEEDED:
-            reasons.append(F.when(whole & (F.coalesce(text, F.lit("")) == ""), F.lit(f"{f.name}: missing")))
+            reasons.append((f"{f.name}: missing", whole & (F.coalesce(text, F.lit("")) == "")))
         if not isinstance(f.dataType, T.StringType):
             bad = (text != "") & F.expr(f"try_cast(`{f.name}` AS {kind})").isNull()
-            reasons.append(F.when(whole & bad, F.lit(f"{f.name}: not a{'n' if kind[0] in 'aeiou' else ''} {kind}")))
-    refused = F.array_compact(F.array(*reasons))
+            reasons.append((f"{f.name}: not a{'n' if kind[0] in 'aeiou' else ''} {kind}", whole & bad))
+    # lists are made for refused lines only
+    any_bad = reduce(lambda x, y: x | y, [F.coalesce(bad, F.lit(False)) for _, bad in reasons])
+    told = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in reasons]))
+    refused = F.when(any_bad, told).otherwise(F.array().cast("array<string>"))
     cells = [F.coalesce(F.col(f"`{c.strip()}`"), F.lit("")) for c in header]
-    line = F.when(F.size(refused) > 0, F.coalesce(F.col(CORRUPT), F.concat_ws(",", *cells)))
+    line = F.when(any_bad, F.coalesce(F.col(CORRUPT), F.concat_ws(",", *cells)))
     typed = [
         F.col(f.name) if isinstance(f.dataType, T.StringType)
         else F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)

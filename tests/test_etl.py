@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelscope import dims, schema
 from panelscope.operators import checks, etl
-from panelscope.plans import load, panel
+from panelscope.plans import derived, load, panel
 from panelscope.sources import microdata, tables
 
 HEADER = " inst_id ,inst_name_long,inst_city,inst_state_code,year,questionnaire_no,question,row,column, data"
@@ -63,6 +65,33 @@ def test_two_files_for_a_year_are_refused(spark, tmp_path):
         microdata.read_microdata(spark, [str(tmp_path / n) for n in ("a_2015.csv", "b_2015.csv")])
 
 
+def test_packed_files(spark, tmp_path):
+    """A packed file is read and listed as the plain one; names in folders above count only if they are surveys."""
+    folder = tmp_path / "kept_1999.csvs"
+    folder.mkdir()
+    packed = gzip.compress("\n".join([HEADER, *LINES_2015]).encode("latin-1"))
+    (folder / "survey_2015_v2.csv.gz").write_bytes(packed)
+    path = str(folder / "survey_2015_v2.csv.gz")
+    assert [tuple(r) for r in microdata.survey_years(spark, [path]).collect()] == [("survey_2015_v2.csv", 2015)]
+    read = microdata.read_checked(spark, [path])
+    assert read.count() == len(LINES_2015) and {r[0] for r in read.select("file_year").distinct().collect()} == {2015}
+    assert read.where(F.size("refused") > 0).isEmpty()
+
+
+def test_fields_summed_before_labels(spark, micro):
+    """No shuffle carries more of a field than its label; a label listed twice counts once."""
+    twice = dims.taxonomy(spark).union(dims.taxonomy(spark))
+    got = etl.field_expenditures(micro, twice)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [inst_id#" in plan and "parent_field" not in plan.split("Aggregate [inst_id#")[1].split("]")[0]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, etl.field_expenditures(micro, dims.taxonomy(spark)).collect()))
+
+
+def test_stored_taxonomy(spark, sf_small):
+    """Joins know the size of the taxonomy: it is a stored table, not a plan over the parts."""
+    assert "Aggregate" not in derived.taxonomy(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_shuffle_for_both_levels(spark, sf_small, tmp_path):
     """Sub-fields, parents and the written table read one shuffle by supplier, year and type."""
     plan = panel._field_rows(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
