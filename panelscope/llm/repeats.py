@@ -34,9 +34,9 @@ from .similar import small_join
 LEAST = 400  # bytes of a repeat
 GRAM = 100  # bytes of an anchor
 BLOCK_BITS = 20  # a text is searched for anchors in blocks of half so many bytes
-CHUNK = 1 << 20  # bytes of windows whose suffixes are sorted together; an anchor's windows are never parted
+CHUNK = 1 << 18  # bytes of windows whose suffixes are sorted together; an anchor's windows are never parted
 HOT = 1024  # an anchor with more different windows is searched start by start, by counting
-SUFFIXES = 1 << 13  # suffixes whose bytes beyond LEAST are sorted at once
+SUFFIXES = 1 << 11  # suffixes whose bytes beyond LEAST are sorted at once
 ANCHORS = "key long, check long, gram long, window long, first int, n int"
 TEXT = ["key", "check"]
 
@@ -379,7 +379,7 @@ def _search(least: int, every: bool):
                  pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(node)],
                 [c.split()[0] for c in RANGES.split(", ")])
             del table, found
-        give_back()
+            give_back()
 
     return search
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelscope.llm import repeats, similar
@@ -206,3 +208,22 @@ def test_one_very_long_text(spark):
 def test_empty(empty):
     assert repeats.without_repeats(empty).count() == 0
     assert repeats.maximal_repeats(empty).count() == 0
+
+
+def test_search_memory():
+    """A task holds the suffixes of some anchors at a time: memory follows the chunk, not the partition."""
+    rng = np.random.default_rng(5)
+    shared = [rng.integers(97, 123, 700, dtype=np.uint8).tobytes() for _ in range(40)]
+    rows = [(g, w, bytes([97 + w]) + shared[g][1:650] + bytes([97 + w]) * 50) for g in range(40) for w in range(24)] * 2
+    rows.sort(key=lambda r: r[:2])
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()),
+         pa.array([len(r[2]) - 399 for r in part], pa.int32()), pa.array([1] * len(part), pa.int32()),
+         pa.array([r[2] for r in part], pa.binary())], ["gram", "window", "n", "weight", "bytes"])
+        for part in (rows[i:i + 64] for i in range(0, len(rows), 64))]
+    tracemalloc.start()
+    found = pa.Table.from_batches(repeats._search(400, False)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert found.num_rows == 40 * 24 and set(found.column("low").to_pylist()) == {1}
+    assert peak < 15, peak
