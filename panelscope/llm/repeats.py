@@ -407,7 +407,11 @@ def _start_hashes(least: int):
 def window_repeats(
     texts: DataFrame, repeated: DataFrame, least: int, every: bool = False, hot: int | None = None
 ) -> DataFrame:
-    """Rows of ``RANGES``: the repeats of the windows of mixed anchors, stored."""
+    """Rows of ``RANGES``: the repeats of the windows of mixed anchors, stored.
+
+    One range a window, unless ``every`` repeat is asked for: a window that occurs often
+    is joined with all its places, and its ranges must not multiply them.
+    """
     mixed = mixed_windows(repeated)
     crowded = write_scratch(mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") > (HOT if hot is None else hot)).select("gram"), "crowded")
@@ -419,8 +423,13 @@ def window_repeats(
         starts = write_scratch(window_bytes(texts, small_join(mixed, crowded, "gram", "left_semi"), least).mapInArrow(
             _start_hashes(least), "gram long, window long, low int, node long, weight int").distinct(), "starts")
         often = starts.groupBy("gram", "node").agg(F.sum("weight").alias("_n")).where("_n > 1").drop("_n")
-        found = found.union(starts.join(often, ["gram", "node"]).select(
-            "gram", "window", "low", (F.col("low") + least).alias("high"), "node"))
+        told = starts.join(often, ["gram", "node"]).select(
+            "gram", "window", "low", (F.col("low") + least).alias("high"), "node")
+        if not every:
+            # starts of a window are less than ``least`` apart, so their strings make one range
+            told = told.groupBy("gram", "window").agg(
+                F.min("low").alias("low"), F.max("high").alias("high"), F.lit(0).cast("long").alias("node"))
+        found = found.union(told)
     return write_scratch(found, "window-repeats")
 
 

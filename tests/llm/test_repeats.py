@@ -145,6 +145,17 @@ def test_crowded_anchors_give_the_same(docs, rows):
     check(docs, rows, hot=1)
 
 
+@pytest.mark.parametrize("hot", [1, None])
+def test_a_window_has_one_range(spark, hot):
+    # a passage in many texts, its first and last bytes with others before and after them
+    texts = [f"{i:03d}" * (i % 7) + "the very same passage of more than thirty bytes"[i % 5:44 + i % 4] + f"{i * i:05d}"
+             for i in range(60)]
+    rows = repeats.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    repeated = repeats.repeated_anchors(repeats.anchor_table(rows, 30, 8))
+    found = repeats.window_repeats(rows, repeated, 30, hot=hot).select("gram", "window").collect()
+    assert found and len(found) == len(set(found))
+
+
 def test_joins_without_broadcast_give_the_same(docs, rows, monkeypatch):
     monkeypatch.setattr(similar, "BROADCAST_ROWS", -1)
     check(docs, rows)
