@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,80 +29,119 @@ def _timeout(idle: str | None) -> str:
     return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
 
 
-def _expire(state: GroupState, newest: pd.Timestamp, idle_ms: int | None) -> None:
-    """Forget the user once the watermark is ``idle`` past its newest event."""
-    if idle_ms is None:
-        return
-    due = int(newest.timestamp() * 1000) + idle_ms
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+USER_BUCKETS = 512  # groups that users are dealt to; constant while a stream lives
+
+
+def _by_user(
+    rows: DataFrame, user: str, ts: str, key: str, order: str, out: T.StructType, kept: list[T.StructField],
+    step: Callable, idle: str | None, buckets: int,
+) -> DataFrame:
+    """Run ``step`` on the rows of each micro-batch with what is ``kept`` of their users.
+
+    Users are dealt to ``buckets``, and a bucket is a group of its own with the states of
+    its users, as a call for every user takes longer than its few rows. ``step`` gets a
+    bucket's rows in the order of users, ``order`` and ``key``, the places of each user's
+    first and last row, and what is kept of each (None: nothing); it returns the rows that
+    go out and what to keep. With ``idle``, a user's state is forgotten once the watermark
+    is that far past the user's newest row.
+    """
+    idle_ms, kind = _millis(idle), rows.schema[key].dataType
+    whole = isinstance(kind, T.IntegralType)
+    lists = [T.StructField("user", rows.schema[user].dataType), *kept, T.StructField("due", T.LongType())]
+    held = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in lists])
+    # whole numbers beside nulls would become floats: no user has a bucket of its own, no key is told by a flag
+    bucket = F.when(F.col(user).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int"))
+    dealt = rows.withColumns({"_bucket": bucket, "_none": F.col(key).isNull()})
+    if whole:
+        dealt = dealt.withColumn(key, F.coalesce(F.col(key), F.lit(0).cast(kind)))
+
+    def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {u: tuple(rest) for u, *rest in zip(*state.get)} if state.exists else {}
+        now = None if idle_ms is None else state.getCurrentWatermarkMs()
+        new: dict = {}
+        found = None
+        if not state.hasTimedOut:
+            some = pd.concat(list(batches)).sort_values([user, order, "_none", key], ignore_index=True)
+            codes, names = pd.factorize(some[user], use_na_sentinel=False)
+            users = [None if group[0] < 0 else u for u in np.asarray(names).tolist()]
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            last = np.append(first[1:], len(some)) - 1
+            found, left = step(some, first, last, [known[u][:-1] if u in known else None for u in users])
+            due = [0] * len(users)
+            if now is not None:
+                newest = some[ts].iloc[last].to_numpy().astype("datetime64[ms]").astype(np.int64)
+                due = np.maximum(newest + idle_ms, now + 1).tolist()
+            new = {u: (*v, d) for u, v, d in zip(users, left, due)}
+        if now is not None:
+            known = {u: v for u, v in known.items() if v[-1] >= now}
+        known |= new
+        if known:
+            state.update((list(known), *(list(column) for column in zip(*known.values()))))
+            if now is not None:
+                state.setTimeoutTimestamp(max(min(v[-1] for v in known.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if found is not None:
+            if whole and found["_none"].any():
+                found[key] = found[key].astype("Int64").mask(found["_none"])
+            yield found[out.names]
+
+    return dealt.groupBy("_bucket").applyInPandasWithState(run, out, held, "append", _timeout(idle))
 
 
 def dedup_consecutive_stream(
     views: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    value: str = "institution", *, late: str, idle: str | None,
+    value: str = "institution", *, late: str, idle: str | None, buckets: int = USER_BUCKETS,
 ) -> DataFrame:
     """Keep changes of the viewed value per user; state is the last value.
 
     A view more than ``late`` behind the newest one seen is dropped; other late views
     are ordered within their micro-batch only. With ``idle``, users idle longer than
     that in event time lose their state, and their next view counts as a change;
-    with None state is kept for ever and rows equal the batch form.
+    with None state is kept for ever and rows equal the batch form. A task holds a
+    micro-batch's views of one of ``buckets`` groups of users.
     """
     real = views.withWatermark(ts, late).where(F.col(value).isNotNull() & (F.col(value) != ""))
     out = T.StructType(_fields(views, key, user, ts, value))
-    idle_ms = _millis(idle)
 
-    def changes(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([ts, key])  # a user's rows of one micro-batch
-        last = state.get[0] if state.exists else None
+    def changes(rows: pd.DataFrame, first: np.ndarray, last: np.ndarray, known: list) -> tuple[pd.DataFrame, list]:
         previous = rows[value].shift(1)
-        previous.iloc[0] = last
-        state.update((rows[value].iloc[-1],))
-        _expire(state, rows[ts].iloc[-1], idle_ms)
-        yield rows[rows[value] != previous][out.names]
+        previous.iloc[first] = [None if k is None else k[0] for k in known]
+        return rows[rows[value] != previous].copy(), [(v,) for v in rows[value].iloc[last].tolist()]
 
-    return real.groupBy(user).applyInPandasWithState(
-        changes, out, "last string", "append", _timeout(idle)
-    )
+    return _by_user(real.select(out.names), user, ts, key, ts, out, [T.StructField("last", T.StringType())], changes,
+                    idle, buckets)
 
 
 def quota_stream(
     requests: DataFrame, limit: int = dims.QUOTA_LIMIT, window_seconds: int = dims.QUOTA_SECONDS,
     user: str = "user_id", ts: str = "ts", key: str = "event_id",
-    *, late: str, idle: str | None,
+    *, late: str, idle: str | None, buckets: int = USER_BUCKETS,
 ) -> DataFrame:
     """Quota flags on a stream; state per user is the open window and its count.
 
-    ``late`` and ``idle`` as in ``dedup_consecutive_stream``. ``idle`` must be longer
-    than the quota window, so that expired state never differs from a window that
-    has run out.
+    ``late``, ``idle`` and ``buckets`` as in ``dedup_consecutive_stream``. ``idle`` must be
+    longer than the quota window, so that expired state never differs from a window that
+    has run out. Requests without a time are left out, as in the batch form.
     """
     width = window_seconds * 1_000_000
     out = T.StructType([*_fields(requests, key, user, ts),
                         T.StructField("window_start_us", T.LongType()),
                         T.StructField("accepted", T.BooleanType())])
-    idle_ms = _millis(idle)
 
-    def admit(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["_t", key])  # a user's rows of one micro-batch
-        known = state.get if state.exists else (None, 0)
-        starts, flags = quota_windows(rows["_t"].to_numpy(), limit, width, *known)
-        start = int(starts[-1])
-        used = int((starts == start).sum()) + (known[1] if known[0] == start else 0)
-        state.update((start, int(used)))
-        _expire(state, rows[ts].iloc[-1], idle_ms)
-        yield rows.assign(window_start_us=starts, accepted=flags)[out.names]
-
-    timed = requests.withWatermark(ts, late).select(key, user, ts, micros(ts).alias("_t"))
-    return timed.groupBy(user).applyInPandasWithState(
-        admit, out, "start long, used long", "append", _timeout(idle)
-    )
+    def admit(rows: pd.DataFrame, first: np.ndarray, last: np.ndarray, known: list) -> tuple[pd.DataFrame, list]:
+        times = rows["_t"].to_numpy()
+        starts, flags, left = np.empty(len(rows), np.int64), np.empty(len(rows), bool), []
+        for a, b, held in zip(first.tolist(), (last + 1).tolist(), known):
+            opened, used = held or (None, 0)
+            starts[a:b], flags[a:b] = quota_windows(times[a:b], limit, width, opened, used)
+            start = int(starts[b - 1])
+            left.append((start, int((starts[a:b] == start).sum()) + (used if opened == start else 0)))
+        return rows.assign(window_start_us=starts, accepted=flags), left
+
+    timed = requests.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(key, user, ts, micros(ts).alias("_t"))
+    kept = [T.StructField("opened", T.LongType()), T.StructField("used", T.LongType())]
+    return _by_user(timed, user, ts, key, "_t", out, kept, admit, idle, buckets)
 
 
 STATE_BUCKETS = 16  # folders of a state table; constant while a stream lives

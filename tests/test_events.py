@@ -197,6 +197,59 @@ def test_idle_users_are_forgotten_only_if_asked(spark, event_stream):
     assert {r["event_id"]: r["accepted"] for r in got.collect()} == brute_quota(make_events(300), 3, 3600)
 
 
+def many_users(n=900):
+    """More users than rows a user; rows without a user are one user's, and ids beyond 2 ** 53 stand beside none."""
+    rng = random.Random(8)
+    return [((1 << 53) + i, rng.randint(1, 300) if i % 10 else None, at, kind, value)
+            for i, _, at, kind, value in make_events(n, 8)]
+
+
+@pytest.mark.parametrize("buckets", [4, 512])
+def test_users_of_streams_share_groups(spark, tmp_path, buckets):
+    folder, rows = str(tmp_path), many_users()
+    ordered_files(spark, rows, f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for name, made in (("quota", streams.quota_stream(stream, 1, 36000, **KEEP, buckets=buckets)),
+                       ("dedup", streams.dedup_consecutive_stream(stream, **KEEP, buckets=buckets))):
+        query = made.writeStream.format("parquet").option("path", f"{folder}/{name}").option(
+            "checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= min(buckets + 1, 301)
+    quota = spark.read.parquet(f"{folder}/quota").collect()
+    assert len(quota) == len(rows) and {r.event_id: r.accepted for r in quota} == brute_quota(rows, 1, 36000)
+    dedup = spark.read.parquet(f"{folder}/dedup").collect()
+    assert sorted(r.event_id for r in dedup) == sorted(brute_changes(rows))
+    assert {(r.event_id, r.user_id) for r in quota + dedup} <= {r[:2] for r in rows}
+
+
+def test_rows_without_id_or_time_in_streams(spark, tmp_path):
+    at = [START + dt.timedelta(hours=h) for h in range(3)]
+    big = (1 << 53) + 1
+    rows = [(None, 1, at[1], "view", "A"), (big, 1, at[1], "view", "B"), (big + 2, 2, at[1], "view", "A"),
+            (7, 2, None, "view", "A"), (8, 3, at[2], "view", "")]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    quota = drain(streams.quota_stream(stream, 1, 3600, **KEEP, buckets=1), folder, "quota").collect()
+    # rows without an id come last among those of their time; without a time they are left out
+    assert {(r.event_id, r.accepted) for r in quota} == {(big, True), (None, False), (big + 2, True), (8, True)}
+    dedup = drain(streams.dedup_consecutive_stream(stream, **KEEP, buckets=1), folder, "dedup").collect()
+    assert {(r.event_id, r.institution) for r in dedup} == {(big, "B"), (None, "A"), (big + 2, "A")}
+
+
+@pytest.mark.parametrize("buckets", [1, 512])
+def test_idle_users_of_a_group_are_forgotten_one_by_one(spark, tmp_path, buckets):
+    folder = str(tmp_path)
+    slices = [[(1, 1, 0, "A"), (2, 2, 0, "A")], [(3, 2, 1, "A"), (4, 3, 5, "A")], [(5, 3, 6, "A")],
+              [(6, 1, 6.5, "A"), (7, 2, 6.6, "A"), (8, 3, 6.7, "A")]]
+    for rows in slices:
+        spark.createDataFrame([(i, u, START + dt.timedelta(hours=h), "view", v) for i, u, h, v in rows], SCHEMA).coalesce(
+            1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    made = streams.dedup_consecutive_stream(stream, late="0 seconds", idle="2 hours", buckets=buckets)
+    assert {r.event_id for r in drain(made, folder, "idle").collect()} == {1, 2, 4, 6, 7}
+
+
 def hot_rows(n=600):
     """One user has two thirds of all events; some are later than those of the next file."""
     return [(i, -1 if i % 3 else user, at, kind, value) for i, user, at, kind, value in make_events(n, 9)]
