@@ -11,16 +11,16 @@ from ..operators.events import latest_preferences
 from ..session import exists, write_scratch
 
 BUCKETS = 64
+PART_ROWS = 1 << 20  # rows of a bucket that one task merges, about
 
 
 def _in_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
 
-def _store(rows: DataFrame, path: str) -> None:
+def _write(rows: DataFrame, path: str) -> None:
     # one folder per bucket; only folders that rows are written to are replaced
-    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def merge_keyed(
@@ -36,12 +36,19 @@ def merge_keyed(
     Changes of no rows touch nothing; a null key is a value like any other.
     """
     new = write_scratch(_in_buckets(latest_preferences(changes, keys, order), keys, buckets), "changes")
-    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+    sizes = {r["bucket"]: r["count"] for r in new.groupBy("bucket").count().collect()}
+    touched = sorted(sizes)
     if touched and exists(spark, path):
         old = read_keyed(spark, path, new).where(F.col("bucket").isin(touched))
-        new = write_scratch(latest_preferences(old.unionByName(new), [*keys, "bucket"], order), "merged")
-    if touched:
-        _store(new, path)
+        for r in old.groupBy("bucket").count().collect():
+            sizes[r["bucket"]] += r["count"]
+        # moved once: a part of a bucket is merged and written where it lies; the files read go when all are written
+        parts = 1 + max(sizes.values()) // PART_ROWS
+        both = old.unionByName(new).withColumn("_part", F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(parts)))
+        dealt = both.repartition("bucket", "_part")
+        _write(latest_preferences(dealt, ["bucket", "_part", *keys], order).drop("_part"), path)
+    elif touched:
+        _write(new.hint("rebalance", F.col("bucket")), path)
     return touched
 
 

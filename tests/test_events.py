@@ -152,6 +152,21 @@ def test_merges_leave_other_buckets_alone(spark, tmp_path):
     assert keyed.merge_keyed(spark, path, first.where("false"), keys, ["updated_at"], 16) == []
 
 
+@pytest.mark.parametrize("part_rows", [5, 1 << 20])
+def test_merges_move_kept_rows_once(spark, tmp_path, monkeypatch, part_rows):
+    cols, stored = "k long, v string, at long", []
+    monkeypatch.setattr(keyed, "PART_ROWS", part_rows)
+    monkeypatch.setattr(keyed, "write_scratch", lambda df, name, f=keyed.write_scratch: stored.append(name) or f(df, name))
+    path, want = str(tmp_path / "kept"), {}
+    for turn in range(3):
+        rows = [(k if k else None, f"{turn}-{k}", 10 * (turn if k % 2 else -turn) + k) for k in range(turn * 50, turn * 50 + 120)]
+        want |= {k: (v, at) for k, v, at in rows if k not in want or at > want[k][1]}
+        keyed.merge_keyed(spark, path, spark.createDataFrame(rows, cols), ["k"], ["at"], 8)
+        got = keyed.read_keyed(spark, path, spark.createDataFrame(rows, cols)).collect()
+        assert len(got) == len(want) and {r.k: (r.v, r.at) for r in got} == want
+    assert stored == ["changes"] * 3  # kept rows go from the table to the table
+
+
 def ordered_files(spark, rows, folder, n=4):
     """The events as files in time order."""
     rows = sorted(rows, key=lambda r: (r[2], r[0]))
